@@ -66,7 +66,7 @@ class _Elements(HTMLParser):
         while self.open and self.rows[self.open[-1]]["tag"] in _CLOSED_BY.get(tag, ()):
             self._close()
         given = {k: v or "" for k, v in attrs}
-        marks = [tag] + [f".{c}" for c in given.get("class", "").split()] + [f"#{given['id']}"] * ("id" in given)
+        marks = [tag] + [f".{c}" for c in given.get("class", "").split()] + ([f"#{given['id']}"] if "id" in given else [])
         marks += [f"[{k}]" for k in given if k.startswith("data-")]
         marks += [f"[{k}={given[k]}]" for k in _NAMED_ATTRIBUTES if k in given]
         above = self.rows[self.open[-1]] if self.open else None
@@ -79,6 +79,9 @@ class _Elements(HTMLParser):
         if tag not in _VOID:
             self.open.append(len(self.rows) - 1)
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # a slash does not close an element in HTML
+
     def handle_endtag(self, tag):
         if any(self.rows[i]["tag"] == tag for i in self.open):
             while self._close() != tag:
