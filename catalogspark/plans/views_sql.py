@@ -56,11 +56,11 @@ VIEWS = {
                           WHEN 3 THEN 'database' ELSE 'storage' END AS component
   FROM events""",
     "clickstream": """
-  SELECT event_id, ts, epoch_ms(ts) AS ts_ms, user_id, event_type AS event, value, props,
-         epoch_ms(date_trunc('day', ts)) || '-' || user_id AS session_id
+  SELECT event_id, ts, (epoch_us(ts) // 1000) AS ts_ms, user_id, event_type AS event, value, props,
+         (epoch_us(date_trunc('day', ts)) // 1000) || '-' || user_id AS session_id
   FROM events""",
     "cache_access": """
-  SELECT event_id, 'user-' || user_id AS key, ts, epoch_ms(ts) AS ts_ms, value,
+  SELECT event_id, 'user-' || user_id AS key, ts, (epoch_us(ts) // 1000) AS ts_ms, value,
          CASE WHEN event_type IN ('view', 'purchase') THEN 'hit' WHEN event_type = 'click' THEN 'stale'
               WHEN event_type = 'signup' THEN 'miss' ELSE 'error' END AS outcome
   FROM events""",
