@@ -103,10 +103,10 @@ class _Elements(HTMLParser):
         return "".join(self.parts), self.rows
 
 
-_FIELDS = [("n", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("marks", pa.string()),
+_FIELDS = [("n", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("marks", pa.string()),
            ("above", pa.string()), ("href", pa.string()), ("src", pa.string()), ("data_src", pa.string()),
            ("start", pa.int32()), ("size", pa.int32())]
-_NODES = ("array<struct<n:int,last:int,parent:int,marks:string,above:string,href:string,src:string,"
+_NODES = ("array<struct<n:int,last:int,parent:int,tag:string,marks:string,above:string,href:string,src:string,"
           "data_src:string,start:int,size:int>>")
 
 
@@ -225,7 +225,7 @@ def _image(node: Column) -> Column:
     return F.coalesce(src, node["data_src"], F.lit(""))
 
 
-def _first_text(nodes: Column, selectors: list[str]) -> Column:
+def first_text(nodes: Column, selectors: list[str]) -> Column:
     """Text of the first selector whose first element has any."""
     return F.coalesce(*[F.nullif(_text(_head(select_all(nodes, s))), F.lit("")) for s in selectors])
 
@@ -240,14 +240,12 @@ def navigation_links(parsed: DataFrame, selectors: list[str] = NAVIGATION_SELECT
             .filter(U.is_navigation_link(F.col("title"), F.col("source_url"))))
 
 
-def category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS) -> DataFrame:
-    """page_id, position, title, source_url, product_count of category links.
+def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS) -> DataFrame:
+    """Add `links`: position, title, source_url, product_count of each category link of the page.
 
     The text of a link holds that of everything inside it, so a title nested in it needs no extra look.
     """
     nodes = F.col("nodes")
-    counters = select_all(nodes, *COUNT_SELECTORS)
-    boxes = select_all(nodes, ".category-item")
 
     def count(a: Column) -> Column:
         parent = F.get(F.col("nodes"), a["parent"])
@@ -262,14 +260,19 @@ def category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS)
     links = F.transform(first_hit(nodes, selectors), lambda a: F.struct(
         a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _link(a).alias("source_url"),
         count(a).alias("product_count")))
-    return (parsed.withColumn("_counters", counters).withColumn("_boxes", F.when(F.size(boxes) > 0, boxes)
-                                                                .otherwise(F.slice(boxes, 1, 0)))
-            .select("page_id", "url", F.inline(links))
-            .filter((F.col("title") != "") & (F.col("source_url") != "") & ~F.col("source_url").contains("#")))
+    return (parsed.withColumns({"_counters": select_all(nodes, *COUNT_SELECTORS), "_boxes": select_all(nodes, ".category-item")})
+            .withColumn("links", F.filter(links, lambda x: (x["title"] != "") & (x["source_url"] != "")
+                                          & ~x["source_url"].contains("#")))
+            .drop("_counters", "_boxes"))
 
 
-def listings(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
-    """page_id, url, position, title, product_url, price, currency, thumbnail of product cards."""
+def category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS) -> DataFrame:
+    """page_id, url and the link columns, one row per category link."""
+    return with_category_links(parsed, selectors).select("page_id", "url", F.inline("links"))
+
+
+def with_cards(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
+    """Add `cards`: position, title, product_url, price, currency, thumbnail of each product card of the page."""
     nodes = F.col("nodes")
 
     def card(c: Column) -> Column:
@@ -281,10 +284,16 @@ def listings(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFr
             F.coalesce(_link(link), F.lit("")).alias("product_url"), X.price_of(price).alias("price"),
             X.currency_of(price).alias("currency"), _image(image).alias("thumbnail"))
 
+    cards = F.transform(first_hit(nodes, selectors), card)
     return (parsed.withColumns({"_links": select_all(nodes, *CARD_LINKS), "_prices": select_all(nodes, *CARD_PRICES),
                                 "_images": select_all(nodes, "img")})
-            .select("page_id", "url", F.inline(F.transform(first_hit(nodes, selectors), card)))
-            .filter((F.col("title") != "") & (F.col("product_url") != "")))
+            .withColumn("cards", F.filter(cards, lambda c: (c["title"] != "") & (c["product_url"] != "")))
+            .drop("_links", "_prices", "_images"))
+
+
+def listings(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
+    """page_id, url and the card columns, one row per product card."""
+    return with_cards(parsed, selectors).select("page_id", "url", F.inline("cards"))
 
 
 def _specs(nodes: Column) -> Column:
@@ -308,22 +317,26 @@ def _specs(nodes: Column) -> Column:
 def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]+)") -> DataFrame:
     """One row per page: title, source_url, source_id, price, currency, image_urls, summary, specs, available."""
     nodes = F.col("nodes")
-    price = _first_text(nodes, PRICE_SELECTORS)
+    price = first_text(nodes, PRICE_SELECTORS)
     stock = _head(F.coalesce(*[F.when(F.size(e) > 0, e) for e in (select_all(nodes, s) for s in STOCK_SELECTORS)]))
     images = F.array_distinct(F.filter(F.transform(first_hit(nodes, IMAGE_SELECTORS), _image), lambda u: u != ""))
     return parsed.select(
-        "page_id", X.clean_text(_first_text(nodes, TITLE_SELECTORS)).alias("title"), F.col("url").alias("source_url"),
+        "page_id", X.clean_text(first_text(nodes, TITLE_SELECTORS)).alias("title"), F.col("url").alias("source_url"),
         U.source_id(F.col("url"), source_id_pattern).alias("source_id"), X.price_of(price).alias("price"),
         X.currency_of(price).alias("currency"), images.alias("image_urls"),
-        X.clean_text(_first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs(nodes).alias("specs"),
+        X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs(nodes).alias("specs"),
         X.is_available(_text(stock)).alias("available"))
 
 
-def page_facts(parsed: DataFrame) -> DataFrame:
-    """page_id, url, page_title, has_next, next_url."""
+def with_page_facts(parsed: DataFrame) -> DataFrame:
+    """Add page_title, has_next and next_url."""
     nodes = F.col("nodes")
     found = [select_all(nodes, s) for s in NEXT_SELECTORS]
-    link = F.coalesce(*[F.nullif(_link(_head(f)), F.lit("")) for f in found])
-    return parsed.select(
-        "page_id", "url", X.clean_text(_text(_head(select_all(nodes, "title")))).alias("page_title"),
-        F.greatest(*[F.size(f) for f in found]).__gt__(0).alias("has_next"), link.alias("next_url"))
+    return parsed.withColumns({
+        "page_title": X.clean_text(_text(_head(select_all(nodes, "title")))),
+        "has_next": F.greatest(*[F.size(f) for f in found]) > 0,
+        "next_url": F.coalesce(*[F.nullif(_link(_head(f)), F.lit("")) for f in found])})
+
+
+def page_facts(parsed: DataFrame) -> DataFrame:
+    return with_page_facts(parsed).select("page_id", "url", "page_title", "has_next", "next_url")

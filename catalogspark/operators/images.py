@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import urls as U
 
@@ -39,7 +39,11 @@ def _size_of(data: bytes) -> tuple[str | None, int | None, int | None]:
     return None, None, None
 
 
-@F.pandas_udf("struct<format:string,width:int,height:int>")
+FACTS = T.StructType([T.StructField("format", T.StringType()), T.StructField("width", T.IntegerType()),
+                      T.StructField("height", T.IntegerType())])
+
+
+@F.pandas_udf(FACTS)
 def image_facts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in content:
         facts = pd.DataFrame([_size_of(bytes(data)) for data in batch], columns=["format", "width", "height"])

@@ -51,22 +51,19 @@ def chain_heads(facts: DataFrame) -> DataFrame:
 def ingest_category(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Category rows (title, source_url, product_count) and listing rows with their category_url.
 
-    Each page is parsed once; the extracted facts are written and read by the three branches.
+    Each page is parsed once: its facts, links and cards are written, and the branches read those.
     """
-    parsed = E.parse_pages(pages)
-    facts = written(E.page_facts(parsed).withColumn("_one", F.lit(1)), "page-facts").drop("_one")
-    cards = written(E.listings(parsed), "listings")
-    heads = written(chain_heads(facts.select("url", "next_url")), "chain-heads")
-    links = E.category_links(parsed).groupBy("url").agg(F.min_by("title", "position").alias("_first"))
-    chained = cards.join(heads, "url")
-    counts = chained.groupBy("category_url").agg(F.count(F.lit(1)).alias("_n"))
-    starts = heads.select(F.col("category_url").alias("url")).distinct()
-    categories = (starts.join(facts.select("url", "page_title"), "url").join(links, "url", "left")
-                  .join(counts.withColumnRenamed("category_url", "url"), "url", "left")
+    parsed = E.with_category_links(E.with_cards(E.with_page_facts(E.parse_pages(pages))))
+    found = written(parsed.select("page_id", "url", "page_title", "next_url", "cards",
+                                  F.get("links", F.lit(0))["title"].alias("_first")), "category-pages")
+    heads = chain_heads(found.select("url", "next_url"))
+    placed = found.join(heads, "url")
+    # Sizes are added up per page, so a long chain moves one number per page.
+    sizes = placed.groupBy("category_url").agg(F.sum(F.size("cards")).cast("int").alias("product_count"))
+    categories = (found.select(F.col("url").alias("category_url"), "page_title", "_first").join(sizes, "category_url")
                   .select(F.coalesce("_first", F.nullif("page_title", F.lit("")), F.lit("Unknown Category")).alias("title"),
-                          F.col("url").alias("source_url"),
-                          F.coalesce("_n", F.lit(0)).cast("int").alias("product_count")))
-    return categories, chained
+                          F.col("category_url").alias("source_url"), "product_count"))
+    return categories, placed.select("page_id", "url", "category_url", F.inline("cards"))
 
 
 def listing_products(chained: DataFrame, categories: DataFrame) -> DataFrame:
