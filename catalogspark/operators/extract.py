@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as X, urls as U
+from ..session import spread_small
 
 # The default selectors, in the order in which they are tried.
 NAVIGATION_SELECTORS = [
@@ -55,35 +56,69 @@ _NAMED_ATTRIBUTES = ("role", "aria-label")
 BATCH_BYTES = 4 << 20
 
 
+_FIELDS = {"n": "int", "last": "int", "parent": "int", "tag": "string", "marks": "string", "above": "string",
+           "href": "string", "src": "string", "data_src": "string", "start": "int", "size": "int"}
+_ARROW = {"int": pa.int32(), "string": pa.string()}
+_NODES = T.ArrayType(T.StructType([
+    T.StructField(name, T.IntegerType() if kind == "int" else T.StringType()) for name, kind in _FIELDS.items()]))
+_UNMARK = str.maketrans("/|", "__")
+
+
 class _Elements(HTMLParser):
-    """Elements in document order: n, last descendant, own marks, marks above, links, text range."""
+    """Collects the elements of a run of pages in document order, one list per field.
+
+    n, last and parent number the elements of one page; marks are an element's tag, classes, id and
+    attributes, above those of its ancestors; start and size are its range in the page's text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.parts, self.length = [], [], [], 0
+        self.columns = {name: [] for name in _FIELDS}
+        self.texts, self.offsets = [], [0]
+
+    def read(self, html: str) -> None:
+        self.reset()
+        self.open, self.parts, self.length = [], [], 0
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._close()
+        self.texts.append("".join(self.parts))
+        self.offsets.append(len(self.columns["n"]))
 
     def handle_starttag(self, tag, attrs):
-        while self.open and self.rows[self.open[-1]]["tag"] in _CLOSED_BY.get(tag, ()):
+        columns, base = self.columns, self.offsets[-1]
+        closes = _CLOSED_BY.get(tag)
+        while closes and self.open and columns["tag"][self.open[-1]] in closes:
             self._close()
-        given = {k: v or "" for k, v in attrs}
-        marks = [tag] + [f".{c}" for c in given.get("class", "").split()] + ([f"#{given['id']}"] if "id" in given else [])
-        marks += [f"[{k}]" for k in given if k.startswith("data-")]
-        marks += [f"[{k}={given[k]}]" for k in _NAMED_ATTRIBUTES if k in given]
-        above = self.rows[self.open[-1]] if self.open else None
-        self.rows.append({
-            "n": len(self.rows), "last": len(self.rows), "parent": self.open[-1] if self.open else -1, "tag": tag,
-            "marks": "|" + "|".join(re.sub(r"[/|]", "_", m) for m in marks) + "|",
-            "above": above["above"] + above["marks"] + "/" if above else "/",
-            "href": given.get("href"), "src": given.get("src"), "data_src": given.get("data-src"),
-            "start": self.length, "size": 0})
+        marks, given = [tag], {}
+        for name, value in attrs:
+            value = value or ""
+            given.setdefault(name, value)
+            if name == "class":
+                marks += [f".{c}" for c in value.split()]
+            elif name == "id":
+                marks.append(f"#{value}")
+            elif name in _NAMED_ATTRIBUTES:
+                marks.append(f"[{name}={value}]")
+            elif name.startswith("data-"):
+                marks.append(f"[{name}]")
+        at, above = len(columns["n"]), self.open[-1] if self.open else None
+        row = (at - base, at - base, -1 if above is None else above - base, tag,
+               "|" + "|".join([m.translate(_UNMARK) for m in marks]) + "|",
+               "/" if above is None else f"{columns['above'][above]}{columns['marks'][above]}/",
+               given.get("href"), given.get("src"), given.get("data-src"), self.length, 0)
+        for values, value in zip(columns.values(), row):
+            values.append(value)
         if tag not in _VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash does not close an element in HTML
 
     def handle_endtag(self, tag):
-        if any(self.rows[i]["tag"] == tag for i in self.open):
+        tags = self.columns["tag"]
+        if any(tags[at] == tag for at in self.open):
             while self._close() != tag:
                 pass
 
@@ -92,58 +127,38 @@ class _Elements(HTMLParser):
         self.length += len(data)
 
     def _close(self) -> str:
-        row = self.rows[self.open.pop()]
-        row["last"], row["size"] = len(self.rows) - 1, self.length - row["start"]
-        return row["tag"]
+        at, columns = self.open.pop(), self.columns
+        columns["last"][at] = len(columns["n"]) - 1 - self.offsets[-1]
+        columns["size"][at] = self.length - columns["start"][at]
+        return columns["tag"][at]
 
-    def finish(self) -> tuple[str, list[dict]]:
-        self.close()
-        while self.open:
-            self._close()
-        return "".join(self.parts), self.rows
-
-
-_FIELDS = [("n", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("marks", pa.string()),
-           ("above", pa.string()), ("href", pa.string()), ("src", pa.string()), ("data_src", pa.string()),
-           ("start", pa.int32()), ("size", pa.int32())]
-_NODES = ("array<struct<n:int,last:int,parent:int,tag:string,marks:string,above:string,href:string,src:string,"
-          "data_src:string,start:int,size:int>>")
+    def arrow(self) -> list[pa.Array]:
+        fields = [pa.array(values, _ARROW[_FIELDS[name]]) for name, values in self.columns.items()]
+        return [pa.array(self.texts, pa.string()), pa.ListArray.from_arrays(
+            pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=list(_FIELDS)))]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace html by text and nodes; output batches are cut by the bytes read, not by rows."""
     for batch in batches:
         kept = batch.drop_columns(["html"])
-        start, texts, nodes, seen = 0, [], [], 0
+        start, seen, pages = 0, 0, _Elements()
         for i, html in enumerate(batch.column("html")):
             source = html.as_py() or ""
-            page = _Elements()
-            page.feed(source)
-            text, rows = page.finish()
-            texts.append(text)
-            nodes.append(rows)
+            pages.read(source)
             seen += len(source)
             if seen >= BATCH_BYTES or i == batch.num_rows - 1:
-                yield _output(kept.slice(start, len(texts)), texts, nodes)
-                start, texts, nodes, seen = i + 1, [], [], 0
-
-
-def _output(kept: pa.RecordBatch, texts: list[str], nodes: list[list[dict]]) -> pa.RecordBatch:
-    offsets = [0]
-    for rows in nodes:
-        offsets.append(offsets[-1] + len(rows))
-    flat = [pa.array([row[name] for rows in nodes for row in rows], kind) for name, kind in _FIELDS]
-    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                      pa.StructArray.from_arrays(flat, names=[name for name, _ in _FIELDS]))
-    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string()), listed],
-                                      names=[*kept.schema.names, "text", "nodes"])
+                rows = kept.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *pages.arrow()], names=[*kept.schema.names, "text", "nodes"])
+                start, seen, pages = i + 1, 0, _Elements()
 
 
 def parse_pages(pages: DataFrame, handler: Callable | None = None) -> DataFrame:
     """pages(…, url, html) with `html` replaced by `text` and `nodes`.  A user's handler may take its place."""
     kept = [f for f in pages.schema if f.name != "html"]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType())]).add(
-        "nodes", T.DataType.fromDDL(_NODES))
-    return pages.select(*[f.name for f in kept], "html").mapInArrow(handler or _parse_batches, schema)
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("nodes", _NODES)])
+    rows = spread_small(pages.select(*[f.name for f in kept], "html"))
+    return rows.mapInArrow(handler or _parse_batches, schema)
 
 
 # ---- selectors as expressions -------------------------------------------------------------------
@@ -167,40 +182,35 @@ def _marks(compound: str) -> tuple[list[str], list[str], list[tuple[str, str]]]:
     return must, must_not, contains
 
 
-def _test(selector: str) -> Callable[[Column], Column]:
-    """A CSS selector (tags, classes, ids, attributes, :not, descendants) as a test of an element record."""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _test(selector: str) -> str:
+    """A CSS selector (tags, classes, ids, attributes, :not, descendants) as SQL about an element record x."""
     *ancestors, own = re.findall(r'(?:\[[^\]]*\]|[^\s\[])+', selector)
     must, must_not, contains = _marks(own)
-    chain = r"/(?:.*/)?".join("".join(rf"(?=[^/]*\|{re.escape(m)}\|)" for m in _marks(a)[0]) + "[^/]*" for a in ancestors)
-
-    def test(node: Column) -> Column:
-        found = F.lit(True)
-        for mark in must:
-            found = found & node["marks"].contains(f"|{mark}|")
-        for mark in must_not:
-            found = found & ~node["marks"].contains(f"|{mark}|")
-        for column, part in contains:
-            found = found & F.coalesce(node[column].contains(part), F.lit(False))
-        return found & node["above"].rlike("/" + chain + "/") if ancestors else found
-    return test
+    tests = [f"contains(x.marks, {_quoted(f'|{m}|')})" for m in must]
+    tests += [f"NOT contains(x.marks, {_quoted(f'|{m}|')})" for m in must_not]
+    tests += [f"coalesce(contains(x.{column}, {_quoted(part)}), false)" for column, part in contains]
+    if ancestors:
+        step = lambda a: "".join(rf"(?=[^/]*\|{re.escape(m)}\|)" for m in _marks(a)[0]) + "[^/]*"
+        tests.append(f"x.above RLIKE {_quoted('/' + '/(?:.*/)?'.join(step(a) for a in ancestors) + '/')}")
+    return " AND ".join(tests)
 
 
-def select_all(nodes: Column, *selectors: str) -> Column:
-    """Elements that match any of the selectors, in document order."""
-    tests = [_test(s) for s in selectors]
+def select_all(nodes: str, *selectors: str) -> Column:
+    """Elements of an array column that match any of the selectors, in document order."""
+    return F.expr(f"filter({nodes}, x -> {' OR '.join(f'({_test(s)})' for s in selectors)})")
 
-    def any_test(node: Column) -> Column:
-        found = tests[0](node)
-        for test in tests[1:]:
-            found = found | test(node)
-        return found
-    return F.filter(nodes, any_test)
 
+def first_hit(nodes: str, selectors: list[str]) -> Column:
+    """All elements of the first selector that matches any.
 
-def first_hit(nodes: Column, selectors: list[str]) -> Column:
-    """All elements of the first selector that matches any; coalesce stops at the first."""
-    tried = [select_all(nodes, s) for s in selectors]
-    return F.coalesce(*[F.when(F.size(t) > 0, t) for t in tried], F.slice(nodes, 1, 0))
+    Each element is ranked by the first selector it matches; those of the least rank are the hit.
+    """
+    rank = "CASE " + " ".join(f"WHEN {_test(s)} THEN {i}" for i, s in enumerate(selectors)) + " END"
+    return F.expr(f"transform(array(array_min(transform({nodes}, x -> {rank}))), least -> filter({nodes}, x -> {rank} = least))[0]")
 
 
 def _head(elements: Column) -> Column:
@@ -225,7 +235,7 @@ def _image(node: Column) -> Column:
     return F.coalesce(src, node["data_src"], F.lit(""))
 
 
-def first_text(nodes: Column, selectors: list[str]) -> Column:
+def first_text(nodes: str, selectors: list[str]) -> Column:
     """Text of the first selector whose first element has any."""
     return F.coalesce(*[F.nullif(_text(_head(select_all(nodes, s))), F.lit("")) for s in selectors])
 
@@ -234,7 +244,7 @@ def first_text(nodes: Column, selectors: list[str]) -> Column:
 
 def navigation_links(parsed: DataFrame, selectors: list[str] = NAVIGATION_SELECTORS) -> DataFrame:
     """page_id, position, title, source_url of the menu links that lead to the catalogue."""
-    links = F.transform(first_hit(F.col("nodes"), selectors), lambda a: F.struct(
+    links = F.transform(first_hit("nodes", selectors), lambda a: F.struct(
         a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _link(a).alias("source_url")))
     return (parsed.select("page_id", "url", F.inline(links))
             .filter(U.is_navigation_link(F.col("title"), F.col("source_url"))))
@@ -245,14 +255,14 @@ def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELEC
 
     The text of a link holds that of everything inside it, so a title nested in it needs no extra look.
     """
-    nodes = F.col("nodes")
+    nodes = "nodes"
 
     def count(a: Column) -> Column:
         parent = F.get(F.col("nodes"), a["parent"])
         box = F.element_at(F.filter(F.col("_boxes"), lambda b: (b["n"] <= a["n"]) & (b["last"] >= a["n"])), -1)
         tried = []
         for selector in COUNT_SELECTORS:
-            near = select_all(F.col("_counters"), selector)
+            near = select_all("_counters", selector)
             found = F.coalesce(_head(_inside(near, a)), _head(_inside(near, parent)), _head(_inside(near, box)))
             tried.append(X.first_match(_text(found), r"(\d+)", 1).try_cast("int"))
         return F.coalesce(*tried, F.lit(0))
@@ -273,7 +283,7 @@ def category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS)
 
 def with_cards(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
     """Add `cards`: position, title, product_url, price, currency, thumbnail of each product card of the page."""
-    nodes = F.col("nodes")
+    nodes = "nodes"
 
     def card(c: Column) -> Column:
         link = _head(_inside(F.col("_links"), c))
@@ -296,18 +306,16 @@ def listings(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFr
     return with_cards(parsed, selectors).select("page_id", "url", F.inline("cards"))
 
 
-def _specs(nodes: Column) -> Column:
-    box = _head(first_hit(nodes, SPEC_SELECTORS))
-    rows, cells = _inside(select_all(nodes, "tr"), box), _inside(select_all(nodes, "td", "th"), box)
+def _specs() -> Column:
+    """Specs from the prepared columns: table rows of the box (`_rows`, `_cells`), else its list items (`_items`)."""
     pair = lambda key, value: F.struct(X.spec_key(key).alias("key"), value.alias("value"))
 
     def table_row(r: Column) -> Column:
-        own = _inside(cells, r)
+        own = _inside(F.col("_cells"), r)
         return pair(_text(F.get(own, F.lit(0))), _text(F.get(own, F.lit(1))))
 
-    items = F.filter(F.transform(_inside(select_all(nodes, *SPEC_ITEMS), box), lambda i: _text(i)),
-                     lambda t: t.contains(":"))
-    entries = F.when(F.size(rows) > 0, F.transform(rows, table_row)).otherwise(F.transform(items, X.spec_pair))
+    lines = F.filter(F.transform(F.col("_items"), lambda i: _text(i)), lambda t: t.contains(":"))
+    entries = F.when(F.size("_rows") > 0, F.transform("_rows", table_row)).otherwise(F.transform(lines, X.spec_pair))
     full = F.filter(entries, lambda e: (F.coalesce(e["key"], F.lit("")) != "")
                     & (F.coalesce(e["value"], F.lit("")) != ""))
     empty = F.create_map().cast("map<string,string>")
@@ -315,22 +323,30 @@ def _specs(nodes: Column) -> Column:
 
 
 def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]+)") -> DataFrame:
-    """One row per page: title, source_url, source_id, price, currency, image_urls, summary, specs, available."""
-    nodes = F.col("nodes")
-    price = first_text(nodes, PRICE_SELECTORS)
-    stock = _head(F.coalesce(*[F.when(F.size(e) > 0, e) for e in (select_all(nodes, s) for s in STOCK_SELECTORS)]))
-    images = F.array_distinct(F.filter(F.transform(first_hit(nodes, IMAGE_SELECTORS), _image), lambda u: u != ""))
-    return parsed.select(
+    """One row per page: title, source_url, source_id, price, currency, image_urls, summary, specs, available.
+
+    The element arrays are narrowed in stages, so no array is searched again inside another search.
+    """
+    nodes, box = "nodes", F.col("_box")
+    stock = F.coalesce(*[_head(select_all(nodes, s)) for s in STOCK_SELECTORS])
+    staged = parsed.withColumns({
+        "_box": _head(first_hit(nodes, SPEC_SELECTORS)), "_price": first_text(nodes, PRICE_SELECTORS),
+        "_images": F.transform(first_hit(nodes, IMAGE_SELECTORS), _image), "_stock": stock,
+    }).withColumns({
+        "_rows": _inside(select_all(nodes, "tr"), box), "_cells": _inside(select_all(nodes, "td", "th"), box),
+        "_items": _inside(select_all(nodes, *SPEC_ITEMS), box)})
+    return staged.select(
         "page_id", X.clean_text(first_text(nodes, TITLE_SELECTORS)).alias("title"), F.col("url").alias("source_url"),
-        U.source_id(F.col("url"), source_id_pattern).alias("source_id"), X.price_of(price).alias("price"),
-        X.currency_of(price).alias("currency"), images.alias("image_urls"),
-        X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs(nodes).alias("specs"),
-        X.is_available(_text(stock)).alias("available"))
+        U.source_id(F.col("url"), source_id_pattern).alias("source_id"), X.price_of(F.col("_price")).alias("price"),
+        X.currency_of(F.col("_price")).alias("currency"),
+        F.array_distinct(F.filter("_images", lambda u: u != "")).alias("image_urls"),
+        X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs().alias("specs"),
+        X.is_available(_text(F.col("_stock"))).alias("available"))
 
 
 def with_page_facts(parsed: DataFrame) -> DataFrame:
     """Add page_title, has_next and next_url."""
-    nodes = F.col("nodes")
+    nodes = "nodes"
     found = [select_all(nodes, s) for s in NEXT_SELECTORS]
     return parsed.withColumns({
         "page_title": X.clean_text(_text(_head(select_all(nodes, "title")))),

@@ -35,7 +35,7 @@ def page_links(spark, sf):
   FROM pages""")
 def page_titles(spark, sf):
     parsed = E.parse_pages(A.page(spark, sf))
-    nodes = F.col("nodes")
+    nodes = "nodes"
     return parsed.select("page_id", X.clean_text(E.first_text(nodes, E.TITLE_SELECTORS)).alias("title"),
                          X.clean_text(E.first_text(nodes, ["title"])).alias("page_title"))
 
@@ -44,7 +44,7 @@ def page_titles(spark, sf):
   CAST(CASE WHEN contains(html, '<div class="ad">') THEN len(regexp_extract_all(html, '<div class="ad">'))
     ELSE len(regexp_extract_all(html, '<nav>')) END AS INTEGER) AS hits FROM pages""")
 def page_first_selector(spark, sf):
-    hits = E.first_hit(F.col("nodes"), [".missing a", "div.ad", "nav"])
+    hits = E.first_hit("nodes", [".missing a", "div.ad", "nav"])
     return E.parse_pages(A.page(spark, sf)).select("page_id", F.get(hits, F.lit(0))["tag"].alias("tag"), F.size(hits).alias("hits"))
 
 
@@ -348,12 +348,11 @@ def composite_publish(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("progress_observed", "SELECT count(*) AS rows, count(*) FILTER (p_partkey % 10 <> 0) AS available FROM part")
+@query("progress_observed", """SELECT count(*) AS written, count(*) AS rows, count(*) FILTER (p_partkey % 10 <> 0) AS available FROM part""")
 def progress_observed(spark, sf):
-    """Counts taken while the rows are written: no second pass over them."""
+    """Counts taken while the rows are written, beside a count of what was written."""
     df, seen = ingest.observed(A.product(spark, sf), "products", rows=F.count(F.lit(1)), available=F.count_if("available"))
-    df.write.parquet(scratch_path(spark, "observed"))
-    # One row of the counted table carries the measures, so the frame stays derived from it.
-    measures = seen.get
-    return A.product(spark, sf).limit(1).select(F.lit(measures["rows"]).cast("bigint").alias("rows"),
-                                                F.lit(measures["available"]).cast("bigint").alias("available"))
+    path = scratch_path(spark, "observed")
+    df.write.parquet(path)
+    measures = {name: F.lit(value).cast("bigint") for name, value in seen.get.items()}
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written")).withColumns(measures)

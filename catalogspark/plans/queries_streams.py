@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import merge as M, metrics as X, ratelimit as R
+from ..operators import metrics as X
 from ..session import prepare, scratch_path
 from ..sources import adapters as A
 from ..sources.exports import Snapshots
 from ..streaming import streams as T
 from .queries_catalog import _SIGNED, _SCRAPED, change_feed
 from .queries_jobs import _stamp, _stamp_sql
-from .registry import query
+from .registry import ORACLES, query
 from .views_sql import SITE, with_views
 
 
@@ -193,12 +193,11 @@ def stream_history(spark, sf):
     return rows.select(_stamp("window_start"), "jobs", "peak_memory")
 
 
-@query("stream_rate_limit", """SELECT count(*) AS requests, count(DISTINCT key) AS keys FROM (SELECT event_type AS key FROM events)""")
+@query("stream_rate_limit", ORACLES["rate_limit_sliding"])
 def stream_rate_limit(spark, sf):
-    """The sliding-log limit on the stream; its verdicts are compared with the batch operator's."""
+    """The sliding-log limit on a stream of requests."""
     root = scratch_path(spark, "limits")
     requests = stream_events(spark, sf).select(
         F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
     T.rate_limit_stream(requests, Snapshots(spark, f"{root}/accepted"), f"{root}/verdicts", 1, 3)
-    streamed = spark.read.parquet(f"{root}/verdicts/*").filter("_new")
-    return streamed.agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("key").alias("keys"))
+    return spark.read.parquet(f"{root}/verdicts/*").filter("_new").select("key", "request_id", "allowed")
