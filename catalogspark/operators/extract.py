@@ -213,8 +213,14 @@ def first_hit(nodes: str, selectors: list[str]) -> Column:
     return F.expr(f"transform(array(array_min(transform({nodes}, x -> {rank}))), least -> filter({nodes}, x -> {rank} = least))[0]")
 
 
-def _head(elements: Column) -> Column:
-    return F.get(elements, F.lit(0))
+def _first(elements: Column, use: Callable[[Column], Column]) -> Column:
+    """A function of the first element, null when there is none.  The element is looked up once."""
+    return F.get(F.transform(F.slice(elements, 1, 1), use), F.lit(0))
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _inside(elements: Column, node: Column) -> Column:
@@ -222,22 +228,21 @@ def _inside(elements: Column, node: Column) -> Column:
     return F.filter(elements, lambda x: (x["n"] > node["n"]) & (x["n"] <= node["last"]))
 
 
-def _text(node: Column, text: str = "text") -> Column:
-    return X.trim_all(F.substr(F.col(text), node["start"] + 1, node["size"]))
+def _text(node: Column) -> Column:
+    return X.trim_all(F.substr(F.col("text"), node["start"] + 1, node["size"]))
 
 
-def _link(node: Column) -> Column:
-    return U.resolve_url(F.col("url"), F.coalesce(node["href"], F.lit("")))
+def _resolved(link: Column) -> Column:
+    return _bind(F.coalesce(link, F.lit("")), lambda href: U.resolve_url(F.col("url"), href))
 
 
 def _image(node: Column) -> Column:
-    src = F.nullif(U.resolve_url(F.col("url"), F.coalesce(node["src"], F.lit(""))), F.lit(""))
-    return F.coalesce(src, node["data_src"], F.lit(""))
+    return F.coalesce(F.nullif(_resolved(node["src"]), F.lit("")), node["data_src"], F.lit(""))
 
 
 def first_text(nodes: str, selectors: list[str]) -> Column:
     """Text of the first selector whose first element has any."""
-    return F.coalesce(*[F.nullif(_text(_head(select_all(nodes, s))), F.lit("")) for s in selectors])
+    return F.coalesce(*[F.nullif(_first(select_all(nodes, s), _text), F.lit("")) for s in selectors])
 
 
 # ---- the four page readers -----------------------------------------------------------------------
@@ -245,7 +250,7 @@ def first_text(nodes: str, selectors: list[str]) -> Column:
 def navigation_links(parsed: DataFrame, selectors: list[str] = NAVIGATION_SELECTORS) -> DataFrame:
     """page_id, position, title, source_url of the menu links that lead to the catalogue."""
     links = F.transform(first_hit("nodes", selectors), lambda a: F.struct(
-        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _link(a).alias("source_url")))
+        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("source_url")))
     return (parsed.select("page_id", "url", F.inline(links))
             .filter(U.is_navigation_link(F.col("title"), F.col("source_url"))))
 
@@ -255,22 +260,32 @@ def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELEC
 
     The text of a link holds that of everything inside it, so a title nested in it needs no extra look.
     """
-    nodes = "nodes"
+    # Counters carry the number in their text, so the search below compares only positions.
+    counters = F.transform(select_all("nodes", *COUNT_SELECTORS), lambda x: F.struct(
+        x["n"].alias("n"), x["marks"].alias("marks"), x["above"].alias("above"), x["href"].alias("href"),
+        X.first_match(_text(x), r"(\d+)", 1).try_cast("int").alias("number")))
 
     def count(a: Column) -> Column:
-        parent = F.get(F.col("nodes"), a["parent"])
-        box = F.element_at(F.filter(F.col("_boxes"), lambda b: (b["n"] <= a["n"]) & (b["last"] >= a["n"])), -1)
-        tried = []
-        for selector in COUNT_SELECTORS:
-            near = select_all("_counters", selector)
-            found = F.coalesce(_head(_inside(near, a)), _head(_inside(near, parent)), _head(_inside(near, box)))
-            tried.append(X.first_match(_text(found), r"(\d+)", 1).try_cast("int"))
-        return F.coalesce(*tried, F.lit(0))
-
-    links = F.transform(first_hit(nodes, selectors), lambda a: F.struct(
-        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _link(a).alias("source_url"),
+        """First selector whose counter in the link, its parent or its box has a number."""
+        spans = F.array(
+            F.struct(a["n"].alias("n"), a["last"].alias("last")),
+            F.struct(F.get(F.col("nodes"), a["parent"])["n"].alias("n"), F.get(F.col("nodes"), a["parent"])["last"].alias("last")),
+            F.try_element_at(F.filter(F.col("_boxes"), lambda b: (b["n"] <= a["n"]) & (b["last"] >= a["n"])), F.lit(-1)))
+
+        def numbers(bound: Column) -> Column:
+            tried = []
+            for selector in COUNT_SELECTORS:
+                near = select_all("_counters", selector)
+                found = F.filter(F.transform(bound, lambda b: F.get(_inside(near, b), F.lit(0))), lambda x: x.isNotNull())
+                tried.append(F.get(found, F.lit(0))["number"])
+            return F.coalesce(*tried, F.lit(0))
+        return _bind(spans, numbers)
+
+    links = F.transform(first_hit("nodes", selectors), lambda a: F.struct(
+        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("source_url"),
         count(a).alias("product_count")))
-    return (parsed.withColumns({"_counters": select_all(nodes, *COUNT_SELECTORS), "_boxes": select_all(nodes, ".category-item")})
+    boxes = F.transform(select_all("nodes", ".category-item"), lambda b: F.struct(b["n"].alias("n"), b["last"].alias("last")))
+    return (parsed.withColumns({"_counters": counters, "_boxes": boxes})
             .withColumn("links", F.filter(links, lambda x: (x["title"] != "") & (x["source_url"] != "")
                                           & ~x["source_url"].contains("#")))
             .drop("_counters", "_boxes"))
@@ -283,22 +298,24 @@ def category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS)
 
 def with_cards(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
     """Add `cards`: position, title, product_url, price, currency, thumbnail of each product card of the page."""
-    nodes = "nodes"
-
     def card(c: Column) -> Column:
-        link = _head(_inside(F.col("_links"), c))
-        price = F.coalesce(_text(_head(_inside(F.col("_prices"), c))), F.lit(""))
-        image = _head(_inside(F.col("_images"), c))
+        link = _first(_inside(F.col("_links"), c), lambda a: F.struct(
+            X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("url")))
+        price = _first(_inside(F.col("_prices"), c), lambda p: _bind(_text(p), lambda t: F.struct(
+            X.price_of(t).alias("price"), X.currency_of(t).alias("currency"))))
+        return F.struct(c["n"].alias("position"), link.alias("link"), price.alias("price"),
+                        F.coalesce(_first(_inside(F.col("_images"), c), _image), F.lit("")).alias("thumbnail"))
+
+    def flat(c: Column) -> Column:
         return F.struct(
-            c["n"].alias("position"), X.clean_text(_text(link)).alias("title"),
-            F.coalesce(_link(link), F.lit("")).alias("product_url"), X.price_of(price).alias("price"),
-            X.currency_of(price).alias("currency"), _image(image).alias("thumbnail"))
+            c["position"].alias("position"), c["link"]["title"].alias("title"), c["link"]["url"].alias("product_url"),
+            c["price"]["price"].alias("price"), c["price"]["currency"].alias("currency"), c["thumbnail"].alias("thumbnail"))
 
-    cards = F.transform(first_hit(nodes, selectors), card)
-    return (parsed.withColumns({"_links": select_all(nodes, *CARD_LINKS), "_prices": select_all(nodes, *CARD_PRICES),
-                                "_images": select_all(nodes, "img")})
-            .withColumn("cards", F.filter(cards, lambda c: (c["title"] != "") & (c["product_url"] != "")))
-            .drop("_links", "_prices", "_images"))
+    found = F.filter(F.transform(first_hit("nodes", selectors), card),
+                     lambda c: (c["link"]["title"] != "") & (c["link"]["url"] != ""))
+    return (parsed.withColumns({"_links": select_all("nodes", *CARD_LINKS), "_prices": select_all("nodes", *CARD_PRICES),
+                                "_images": select_all("nodes", "img")})
+            .withColumn("cards", F.transform(found, flat)).drop("_links", "_prices", "_images"))
 
 
 def listings(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> DataFrame:
@@ -311,8 +328,8 @@ def _specs() -> Column:
     pair = lambda key, value: F.struct(X.spec_key(key).alias("key"), value.alias("value"))
 
     def table_row(r: Column) -> Column:
-        own = _inside(F.col("_cells"), r)
-        return pair(_text(F.get(own, F.lit(0))), _text(F.get(own, F.lit(1))))
+        return _bind(F.transform(F.slice(_inside(F.col("_cells"), r), 1, 2), _text),
+                     lambda own: pair(F.get(own, F.lit(0)), F.get(own, F.lit(1))))
 
     lines = F.filter(F.transform(F.col("_items"), lambda i: _text(i)), lambda t: t.contains(":"))
     entries = F.when(F.size("_rows") > 0, F.transform("_rows", table_row)).otherwise(F.transform(lines, X.spec_pair))
@@ -328,9 +345,10 @@ def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]
     The element arrays are narrowed in stages, so no array is searched again inside another search.
     """
     nodes, box = "nodes", F.col("_box")
-    stock = F.coalesce(*[_head(select_all(nodes, s)) for s in STOCK_SELECTORS])
+    # The first selector with an element decides, whatever its text.
+    stock = F.coalesce(*[_first(select_all(nodes, s), _text) for s in STOCK_SELECTORS])
     staged = parsed.withColumns({
-        "_box": _head(first_hit(nodes, SPEC_SELECTORS)), "_price": first_text(nodes, PRICE_SELECTORS),
+        "_box": F.get(first_hit(nodes, SPEC_SELECTORS), F.lit(0)), "_price": first_text(nodes, PRICE_SELECTORS),
         "_images": F.transform(first_hit(nodes, IMAGE_SELECTORS), _image), "_stock": stock,
     }).withColumns({
         "_rows": _inside(select_all(nodes, "tr"), box), "_cells": _inside(select_all(nodes, "td", "th"), box),
@@ -341,17 +359,17 @@ def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]
         X.currency_of(F.col("_price")).alias("currency"),
         F.array_distinct(F.filter("_images", lambda u: u != "")).alias("image_urls"),
         X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs().alias("specs"),
-        X.is_available(_text(F.col("_stock"))).alias("available"))
+        X.is_available(F.col("_stock")).alias("available"))
 
 
 def with_page_facts(parsed: DataFrame) -> DataFrame:
     """Add page_title, has_next and next_url."""
-    nodes = "nodes"
-    found = [select_all(nodes, s) for s in NEXT_SELECTORS]
-    return parsed.withColumns({
-        "page_title": X.clean_text(_text(_head(select_all(nodes, "title")))),
-        "has_next": F.greatest(*[F.size(f) for f in found]) > 0,
-        "next_url": F.coalesce(*[F.nullif(_link(_head(f)), F.lit("")) for f in found])})
+    links = [_first(select_all("nodes", s), lambda x: F.coalesce(x["href"], F.lit(""))) for s in NEXT_SELECTORS]
+    return parsed.withColumn("_links", F.array(*links)).withColumns({
+        "page_title": X.clean_text(first_text("nodes", ["title"])),
+        "has_next": F.exists("_links", lambda h: h.isNotNull()),
+        "next_url": F.nullif(_resolved(F.get(F.filter("_links", lambda h: h != ""), F.lit(0))), F.lit("")),
+    }).drop("_links")
 
 
 def page_facts(parsed: DataFrame) -> DataFrame:
