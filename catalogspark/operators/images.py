@@ -51,7 +51,10 @@ def image_facts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def read_blobs(spark, path: str) -> DataFrame:
-    """Image files as url, length, content; the url is the file's path."""
+    """Image files as url, length, content; the url is the file's path.
+
+    The file source skips empty files, so such an image ends like one that was not downloaded.
+    """
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "length", "content")
 
 

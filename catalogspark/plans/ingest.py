@@ -101,26 +101,34 @@ def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, O
 Stage = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
-def publish_all(stores: dict[str, Snapshots], stages: list[Stage], version: int) -> dict[str, int]:
+def publish_all(stores: dict[str, Snapshots], commits: Snapshots, stages: list[Stage], version: int) -> dict[str, int]:
     """Run the stages in order and publish every table they return, or none.
 
-    All tables are first written under their new version; a table is only visible with the version
-    all of them reached, so an error in any stage leaves readers on the old state.  Returns the rows
-    per published table, counted during the write.
+    Each returned table is written once, as a snapshot of this version, and later stages read it from
+    there.  Readers follow the commit, one small row per table that names its snapshot; it is written
+    last, so an error in any stage leaves them on the old state.  Returns the rows written per table.
     """
-    state = {name: store.read() for name, store in stores.items()}
-    for stage in stages:
-        state |= stage({name: df for name, df in state.items() if df is not None})
+    spark = commits.spark
+    versions = committed_versions(stores, commits)
+    state = {name: stores[name].at(v) for name, v in versions.items()}
     rows = {}
-    for name, store in stores.items():
-        if state[name] is not None:
-            df, seen = observed(state[name], f"{name}-{version}")
-            store.publish(df, version)
-            rows[name] = seen.get["rows"]
+    for stage in stages:
+        for name, table in stage(dict(state)).items():
+            counted, seen = observed(table, f"{name}-{version}")
+            stores[name].publish(counted, version)
+            rows[name], versions[name] = seen.get["rows"], version
+            state[name] = stores[name].at(version)
+    commits.publish(spark.createDataFrame(list(versions.items()), "name string, version bigint").coalesce(1), version)
     return rows
 
 
-def read_published(stores: dict[str, Snapshots]) -> dict[str, DataFrame]:
-    """The tables at the newest version that all of them have."""
-    common = set.intersection(*[set(store.versions()) for store in stores.values()])
-    return {name: store.read(before=max(common) + 1) for name, store in stores.items()}
+def committed_versions(stores: dict[str, Snapshots], commits: Snapshots) -> dict[str, int]:
+    """Snapshot per table of the last commit; before the first one, the newest of each table."""
+    last = commits.read()
+    if last is not None:
+        return {row["name"]: row["version"] for row in last.collect()}
+    return {name: store.versions()[-1] for name, store in stores.items() if store.versions()}
+
+
+def read_published(stores: dict[str, Snapshots], commits: Snapshots) -> dict[str, DataFrame]:
+    return {name: stores[name].at(v) for name, v in committed_versions(stores, commits).items()}

@@ -341,8 +341,9 @@ def composite_publish(spark, sf):
     def recount(state):
         return {"category": M.refresh_product_counts(state["category"], state["product"]).select(*state["category"].columns)}
 
-    counted = ingest.publish_all(stores, [merge_navigation, merge_products, recount], 2)
-    published = ingest.read_published(stores)
+    commits = Snapshots(spark, f"{root}/commits")
+    counted = ingest.publish_all(stores, commits, [merge_navigation, merge_products, recount], 2)
+    published = ingest.read_published(stores, commits)
     rows = [published[name].agg(F.lit(name).alias("entity"), F.lit(counted[name]).cast("bigint").alias("n"),
                                 F.count_if(F.col("title").startswith("New ")).alias("fresh")) for name in stores]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -70,4 +70,7 @@ class Snapshots:
     def read(self, before: int | None = None) -> DataFrame | None:
         """The newest snapshot (older than `before`), or None when there is none."""
         usable = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(self._folder(usable[-1])) if usable else None
+        return self.at(usable[-1]) if usable else None
+
+    def at(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._folder(version))
