@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import first_match
+from .text import bind, first_match
 
 # Seconds to live by endpoint (tested in this order) and by setting name.
 ENDPOINT_TTLS = [("/navigation", 3600), ("/categories", 1800), ("/products/", 120), ("/products", 300)]
@@ -48,28 +48,30 @@ def key_prefix(key: Column) -> Column:
     return F.split(path, ":")[0]
 
 
-def _parameters(key: Column) -> Column:
-    path = F.regexp_extract(key, r"^[a-z]+://[^/]+/([^?#]*)", 1)
-    return F.str_to_map(F.coalesce(F.get(F.split(path, ":"), F.lit(1)), F.lit("")), F.lit("&"), F.lit("="))
-
-
 def refresh_job(key: Column, site: str) -> Column:
     """The crawl job that refreshes a cache key: struct(type, target_url, metadata), null if none does."""
-    prefix, given = key_prefix(key), _parameters(key)
-    value = lambda name: F.try_url_decode(F.nullif(F.element_at(given, F.lit(name)), F.lit("")))
-    nav, parent, cat, item = value("navId"), value("parentId"), value("categoryId"), value("id")
-    job = lambda kind, url, *meta: F.struct(
-        F.lit(kind).alias("type"), url.alias("target_url"),
-        F.map_filter(F.create_map(F.lit("cache_prefix"), prefix, *meta), lambda k, v: v.isNotNull()).alias("metadata"))
-    return (F.when(prefix == "navigation", job("navigation", F.lit(site)))
-            .when(prefix == "categories", job(
-                "category", F.when(nav.isNull(), F.lit(f"{site}/categories"))
-                .otherwise(F.concat(F.lit(f"{site}/category/"), nav)), F.lit("nav_id"), nav, F.lit("parent_id"), parent))
-            .when(prefix == "products", job(
-                "product", F.when(cat.isNull(), F.lit(f"{site}/products"))
-                .otherwise(F.concat(F.lit(f"{site}/category/"), cat, F.lit("/products"))), F.lit("category_id"), cat))
-            .when((prefix == "product_detail") & item.isNotNull(), job(
-                "product", F.concat(F.lit(f"{site}/product/"), item), F.lit("product_id"), item)))
+    pieces = F.split(F.regexp_extract(key, r"^[a-z]+://[^/]+/([^?#]*)", 1), ":")
+    given = F.str_to_map(F.coalesce(F.get(pieces, F.lit(1)), F.lit("")), F.lit("&"), F.lit("="))
+    names = ("navId", "parentId", "categoryId", "id")
+    parsed = bind(F.struct(F.get(pieces, F.lit(0)).alias("prefix"), given.alias("given")), lambda p: F.struct(
+        p["prefix"].alias("prefix"),
+        *[F.try_url_decode(F.nullif(F.element_at(p["given"], F.lit(n)), F.lit(""))).alias(n) for n in names]))
+
+    def job(p: Column) -> Column:
+        prefix, nav, parent, cat, item = p["prefix"], *[p[n] for n in names]
+        made = lambda kind, url, *meta: F.struct(
+            F.lit(kind).alias("type"), url.alias("target_url"),
+            F.map_filter(F.create_map(F.lit("cache_prefix"), prefix, *meta), lambda k, v: v.isNotNull()).alias("metadata"))
+        return (F.when(prefix == "navigation", made("navigation", F.lit(site)))
+                .when(prefix == "categories", made(
+                    "category", F.coalesce(F.concat(F.lit(f"{site}/category/"), nav), F.lit(f"{site}/categories")),
+                    F.lit("nav_id"), nav, F.lit("parent_id"), parent))
+                .when(prefix == "products", made(
+                    "product", F.coalesce(F.concat(F.lit(f"{site}/category/"), cat, F.lit("/products")),
+                                          F.lit(f"{site}/products")), F.lit("category_id"), cat))
+                .when((prefix == "product_detail") & item.isNotNull(), made(
+                    "product", F.concat(F.lit(f"{site}/product/"), item), F.lit("product_id"), item)))
+    return bind(parsed, job)
 
 
 def freshness(age_ms: Column, ttl_s: Column, stale_factor: int = STALE_FACTOR) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Currency signs of the price text and of the price label.
@@ -16,6 +18,14 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function names it.
+
+    Without it each mention would repeat the value's whole expression, in the plan and at run time.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only spaces."""
     return F.regexp_replace(text, r"(?U)^[\s﻿]+|[\s﻿]+$", "")

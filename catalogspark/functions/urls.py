@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import first_match, trim_all
+from .text import bind, first_match, trim_all
 
 # Path patterns a crawler may always fetch, and those it may not.  The first list wins.
 ALLOWED_PATTERNS = [
@@ -100,29 +100,36 @@ def is_parsable(url: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Resolve '.' and '..' segments of an absolute path."""
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .when(s == ".", done).otherwise(F.concat(done, F.array(s))))
-    tail = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
-    return F.when(~path.contains("/."), path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), tail))
+    def resolved(p: Column) -> Column:
+        segments = F.split(p, "/")
+        kept = F.aggregate(
+            F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array().cast("array<string>"),
+            lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+        tail = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+        whole = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//$", "/")
+        return F.when(p.contains("/."), whole).otherwise(p)
+    return bind(path, resolved)
 
 
 def resolve_url(base: Column, relative: Column) -> Column:
     """Join a link to the page it stands on.  '' stays '', anything starting with http stays as it is."""
+    def joined(p: Column) -> Column:
+        page, rel, path = p["page"], p["rel"], p["path"]
+        home = origin(page)
+        return (
+            F.when(rel.rlike(_SCHEME), rel)
+            .when(rel.startswith("//"), F.concat(_part(page, r"^([^/]*)"), rel))
+            .when(rel.startswith("?"), F.concat(home, path_of(page), rel))
+            .when(rel.startswith("#"), F.concat(home, path_of(page), query_of(page), rel))
+            .otherwise(F.concat(home, _without_dots(F.concat(
+                F.when(rel.startswith("/"), "").otherwise(F.regexp_replace(path_of(page), r"[^/]*$", "")), path)),
+                F.regexp_replace(rel, r"^[^?#]*", ""))))
+
     rel = F.replace(trim_all(relative), F.lit(" "), F.lit("%20"))
-    rel_path, rel_rest = _part(rel, r"^([^?#]*)"), F.regexp_replace(rel, r"^[^?#]*", "")
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    joined = (
-        F.when(rel.rlike(_SCHEME), rel)
-        .when(rel.startswith("//"), F.concat(_part(base, r"^([^/]*)"), rel))
-        .when(rel.startswith("/"), F.concat(origin(base), _without_dots(rel_path), rel_rest))
-        .when(rel.startswith("?"), F.concat(origin(base), path_of(base), rel))
-        .when(rel.startswith("#"), F.concat(origin(base), path_of(base), query_of(base), rel))
-        .otherwise(F.concat(origin(base), _without_dots(F.concat(folder, rel_path)), rel_rest)))
+    parts = F.struct(base.alias("page"), rel.alias("rel"), _part(rel, r"^([^?#]*)").alias("path"))
     return (F.when(relative.isNull() | (relative == ""), "").when(relative.startswith("http"), relative)
-            .when(~is_parsable(base), relative).otherwise(joined))
+            .when(~is_parsable(base), relative).otherwise(bind(parts, joined)))
 
 
 def absolute_image_url(image: Column, base: Column) -> Column:
@@ -135,12 +142,12 @@ def absolute_image_url(image: Column, base: Column) -> Column:
 
 def normalise_url(url: Column, base: str) -> Column:
     """Absolute url without the tracking parameters; other parameters keep their order and text."""
-    full = F.when(is_parsable(url), url).otherwise(resolve_url(F.lit(base), url))
-    kept = F.filter(F.split(F.substr(query_of(full), F.lit(2)), "&"),
-                    lambda p: (p != "") & ~F.split(p, "=")[0].isin(TRACKING_PARAMETERS))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(~is_parsable(full), url).otherwise(
-        F.concat(origin(full), _without_dots(path_of(full)), query, fragment_of(full)))
+    def cleaned(full: Column) -> Column:
+        kept = F.array_join(F.filter(F.split(F.substr(query_of(full), F.lit(2)), "&"),
+                                     lambda p: (p != "") & ~F.split(p, "=")[0].isin(TRACKING_PARAMETERS)), "&")
+        query = bind(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise(""))
+        return F.when(is_parsable(full), F.concat(origin(full), _without_dots(path_of(full)), query, fragment_of(full)))
+    return F.coalesce(bind(F.when(is_parsable(url), url).otherwise(resolve_url(F.lit(base), url)), cleaned), url)
 
 
 def _any_of(patterns: list[str]) -> str:
@@ -152,9 +159,9 @@ def _policy_path(url: Column) -> Column:
 
 
 def is_url_allowed(url: Column) -> Column:
-    path = _policy_path(url)
-    return (F.when(~is_parsable(url), False).when(path.rlike(_any_of(ALLOWED_PATTERNS)), True)
-            .otherwise(~path.rlike(_any_of(DISALLOWED_PATTERNS))))
+    verdict = bind(_policy_path(url), lambda path: path.rlike(_any_of(ALLOWED_PATTERNS))
+                   | ~path.rlike(_any_of(DISALLOWED_PATTERNS)))
+    return is_parsable(url) & F.coalesce(verdict, F.lit(False))
 
 
 def blocking_rule(url: Column) -> Column:
@@ -162,10 +169,12 @@ def blocking_rule(url: Column) -> Column:
 
     The rules are a short fixed list, so this is a chain of tests in the scan stage, not a join.
     """
-    path = _policy_path(url)
-    tests = [F.when(path.rlike(p), F.lit(number)) for number, p in enumerate(DISALLOWED_PATTERNS, 1)]
-    return (F.when(~is_parsable(url), F.lit(0)).when(path.rlike(_any_of(ALLOWED_PATTERNS)), None)
-            .otherwise(F.coalesce(*tests)))
+    def first(path: Column) -> Column:
+        found = F.when(path.rlike(_any_of(ALLOWED_PATTERNS)), F.lit(None).cast("int"))
+        for number, pattern in enumerate(DISALLOWED_PATTERNS, 1):
+            found = found.when(path.rlike(pattern), F.lit(number))
+        return found
+    return F.when(~is_parsable(url), F.lit(0)).otherwise(bind(_policy_path(url), first))
 
 
 def rule_pattern(number: Column) -> Column:

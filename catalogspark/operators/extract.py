@@ -218,11 +218,6 @@ def _first(elements: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.slice(elements, 1, 1), use), F.lit(0))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """A function of a value that is computed once, however often the function names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _inside(elements: Column, node: Column) -> Column:
     """Those elements that are descendants of a node."""
     return F.filter(elements, lambda x: (x["n"] > node["n"]) & (x["n"] <= node["last"]))
@@ -233,7 +228,7 @@ def _text(node: Column) -> Column:
 
 
 def _resolved(link: Column) -> Column:
-    return _bind(F.coalesce(link, F.lit("")), lambda href: U.resolve_url(F.col("url"), href))
+    return U.resolve_url(F.col("url"), F.coalesce(link, F.lit("")))
 
 
 def _image(node: Column) -> Column:
@@ -279,7 +274,7 @@ def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELEC
                 found = F.filter(F.transform(bound, lambda b: F.get(_inside(near, b), F.lit(0))), lambda x: x.isNotNull())
                 tried.append(F.get(found, F.lit(0))["number"])
             return F.coalesce(*tried, F.lit(0))
-        return _bind(spans, numbers)
+        return X.bind(spans, numbers)
 
     links = F.transform(first_hit("nodes", selectors), lambda a: F.struct(
         a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("source_url"),
@@ -301,7 +296,7 @@ def with_cards(parsed: DataFrame, selectors: list[str] = CARD_SELECTORS) -> Data
     def card(c: Column) -> Column:
         link = _first(_inside(F.col("_links"), c), lambda a: F.struct(
             X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("url")))
-        price = _first(_inside(F.col("_prices"), c), lambda p: _bind(_text(p), lambda t: F.struct(
+        price = _first(_inside(F.col("_prices"), c), lambda p: X.bind(_text(p), lambda t: F.struct(
             X.price_of(t).alias("price"), X.currency_of(t).alias("currency"))))
         return F.struct(c["n"].alias("position"), link.alias("link"), price.alias("price"),
                         F.coalesce(_first(_inside(F.col("_images"), c), _image), F.lit("")).alias("thumbnail"))
@@ -328,7 +323,7 @@ def _specs() -> Column:
     pair = lambda key, value: F.struct(X.spec_key(key).alias("key"), value.alias("value"))
 
     def table_row(r: Column) -> Column:
-        return _bind(F.transform(F.slice(_inside(F.col("_cells"), r), 1, 2), _text),
+        return X.bind(F.transform(F.slice(_inside(F.col("_cells"), r), 1, 2), _text),
                      lambda own: pair(F.get(own, F.lit(0)), F.get(own, F.lit(1))))
 
     lines = F.filter(F.transform(F.col("_items"), lambda i: _text(i)), lambda t: t.contains(":"))

@@ -21,7 +21,7 @@ class Ingested:
 
 def ingest_navigation(pages: DataFrame, selectors: list[str] = E.NAVIGATION_SELECTORS) -> Ingested:
     """Menu links of all pages as navigation rows, one per url (duplicates fall to the first page)."""
-    links = E.navigation_links(E.parse_pages(pages), selectors)
+    links = written(E.navigation_links(E.parse_pages(pages), selectors), "menu-links")
     rows = M.latest_per_key(links.select("source_url", "title", "page_id", "position")
                             .withColumns({"_p": F.col("page_id"), "_n": -F.col("position")}), "source_url", ["_p", "_n"])
     good, bad = V.split_valid(rows.select("title", "source_url", F.lit(None).cast("string").alias("parent_id")),
@@ -75,8 +75,11 @@ def listing_products(chained: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def ingest_products(pages: DataFrame, strict: bool = False, source_id_pattern: str = r"/product/([^/]+)") -> Ingested:
-    """Product rows of detail pages.  A page without title is refused; with `strict` it fails the job."""
-    details = E.product_details(E.parse_pages(pages), source_id_pattern)
+    """Product rows of detail pages.  A page without title is refused; with `strict` it fails the job.
+
+    The extracted facts are written once, so that neither the check nor its two outputs parse again.
+    """
+    details = written(E.product_details(E.parse_pages(pages), source_id_pattern), "product-pages")
     rows = details.withColumn("currency", F.coalesce("currency", F.lit("GBP"))).withColumn(
         "category_id", F.lit(None).cast("string"))
     rules = V.rules("write_product")
