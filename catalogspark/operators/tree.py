@@ -35,13 +35,16 @@ def walk_down(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def hierarchy(navigation: DataFrame) -> DataFrame:
-    """The tree below the roots.  Rows with a missing parent and cycles are not part of it.
-
-    Sorting by (title_path, path) lists each node before its children and siblings by title.
-    """
+    """The tree below the roots.  Rows with a missing parent and cycles are not part of it."""
     return walk_down(navigation, navigation.filter(F.col("parent_id").isNull()))
 
 
+def in_display_order(tree: DataFrame, collation: str | None = None) -> DataFrame:
+    """Each node before its children, siblings by title; a collation such as UNICODE sorts as people do."""
+    titles = F.col("title_path") if collation is None else F.transform("title_path", lambda t: F.collate(t, collation))
+    return tree.orderBy(titles, "path")
+
+
 def search_tree(tree: DataFrame, term: str) -> DataFrame:
     """Nodes that match or lead to a match; a match without matches below keeps its whole subtree."""
     matches = tree.filter(F.lower("title").contains(term.lower())).select("id", "path")

@@ -429,7 +429,7 @@ def refresh_metrics(spark, sf):
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""")
 def running_mean(spark, sf):
     events = A.table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    totals = T.running_totals(events, "event_type", ["ts", "event_id"], F.date_trunc("hour", "ts"), "value")
+    totals = T.running_totals(events, "event_type", ["ts", "event_id"], F.date_trunc("minute", "ts"), "value")
     return totals.select("event_id", "running_count",
                          (F.round("running_sum", 2) / F.col("running_count")).alias("running_mean"))
 
@@ -444,8 +444,8 @@ def json_column(spark, sf):
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Analytics batches: the events of a user and half hour, and a timing per event that is not an error."""
-    events = A.clickstream(spark, sf).withColumn("batch", F.floor(F.col("ts_ms") / 1_800_000))
+    """Analytics batches of at most ten events of a session, and a timing per event that is not an error."""
+    events = A.clickstream(spark, sf).withColumn("batch", F.floor(F.col("event_id") / 10))
     event = F.struct(F.col("event"), F.lit("interaction").alias("category"), F.col("props").alias("properties"),
                      F.col("ts").alias("timestamp"), F.col("session_id").alias("sessionId"), F.col("user_id").cast("string").alias("userId"))
     metric = F.struct(F.when(F.col("event") == "view", "page_load").otherwise("api_call").alias("name"), F.col("value"),
@@ -461,7 +461,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
 @query("payload_explode", """SELECT 'event' AS kind, event_type AS name, count(*) AS n FROM events WHERE user_id % 10 > 1 GROUP BY ALL
   UNION ALL SELECT 'metric', CASE WHEN event_type = 'view' THEN 'page_load' ELSE 'api_call' END, count(*) FROM events
     WHERE user_id % 10 > 1 AND event_type <> 'error' GROUP BY ALL
-  UNION ALL SELECT 'refused', 'payload', count(DISTINCT (user_id, (epoch_us(ts) // 1000) // 1800000)) FROM events WHERE user_id % 10 <= 1""")
+  UNION ALL SELECT 'refused', 'payload', count(DISTINCT (user_id, date_trunc('day', ts), event_id // 10)) FROM events WHERE user_id % 10 <= 1""")
 def payload_explode(spark, sf):
     """Payloads written as JSON lines, scanned with their schema, guarded and exploded."""
     path = scratch_path(spark, "payloads")

@@ -126,8 +126,11 @@ def test_hierarchy(spark):
     tree = {r.id: r for r in T.hierarchy(nav(spark, TREE)).collect()}
     assert set(tree) == {"1", "2", "3", "4", "5", "6", "10"}
     assert tree["10"].path == ["1", "2", "5", "10"] and tree["10"].depth == 3
-    ordered = [r.title for r in T.hierarchy(nav(spark, TREE)).orderBy("title_path", "path").collect()]
+    ordered = [r.title for r in T.in_display_order(T.hierarchy(nav(spark, TREE))).collect()]
     assert ordered == ["Books", "Fiction", "Crime", "Science Fiction", "Space", "Science", "Physics"]
+    mixed = T.hierarchy(nav(spark, [("1", "apple", None), ("2", "Banana", None), ("3", "\u00c4pfel", None)]))
+    assert [r.title for r in T.in_display_order(mixed).collect()] == ["Banana", "apple", "\u00c4pfel"]
+    assert [r.title for r in T.in_display_order(mixed, "UNICODE").collect()] == ["\u00c4pfel", "apple", "Banana"]
 
 
 def test_search_tree(spark):
