@@ -96,8 +96,8 @@ def system_measures(spark: SparkSession, sf: str) -> DataFrame:
 _MEASURES = """SELECT date_trunc('hour', ts) AS ts, round(least(100.0, avg(value) * 4), 4) AS memory_percent,
   count(*) FILTER (event_type = 'error') * 100.0 / count(*) AS error_rate FROM events GROUP BY 1"""
 _ALERTS = """SELECT ts, 'memory-high' AS id, 'High Memory Usage' AS title,
-    'Memory usage is at ' || format('{:.2f}', memory_percent) || '%' AS message FROM measures WHERE memory_percent > 85
-  UNION ALL SELECT ts, 'error-rate-high', 'High Error Rate', 'Error rate is at ' || format('{:.2f}', error_rate) || '%'
+    'Memory usage is at ' || format('{:.2f}', round(memory_percent, 2)) || '%' AS message FROM measures WHERE memory_percent > 85
+  UNION ALL SELECT ts, 'error-rate-high', 'High Error Rate', 'Error rate is at ' || format('{:.2f}', round(error_rate, 2)) || '%'
   FROM measures WHERE error_rate > 5"""
 
 
@@ -237,7 +237,7 @@ def cache_stats(spark, sf):
         OR stale_rate > 50 THEN 'degraded' ELSE 'healthy' END AS status,
       CAST((error_rate > 5)::INT + (total_requests > 10 AND hit_rate < 30)::INT + (stale_rate > 50)::INT AS INTEGER) AS issues,
       CASE WHEN error_rate > 10 THEN 'High error rate: ' WHEN error_rate > 5 THEN 'Elevated error rate: ' END
-        || format('{{:.2f}}', error_rate) || '%' AS error_issue
+        || format('{{:.2f}}', round(error_rate, 2)) || '%' AS error_issue
     FROM (SELECT *, {_RATES} FROM (SELECT key, {_STATS} FROM cache_access GROUP BY key))""", "cache_access"))
 def cache_health(spark, sf):
     rows = C.cache_health(C.cache_stats(A.cache_access(spark, sf), "key"))

@@ -30,8 +30,8 @@ def page_links(spark, sf):
     return E.navigation_links(E.parse_pages(A.page(spark, sf)), SITE_MENU).select("page_id", "title", "source_url")
 
 
-@query("page_titles", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g'))
-  AS title, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')) AS page_title
+@query("page_titles", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+  AS title, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS page_title
   FROM pages""")
 def page_titles(spark, sf):
     parsed = E.parse_pages(A.page(spark, sf))
