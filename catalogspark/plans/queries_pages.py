@@ -30,9 +30,19 @@ def page_links(spark, sf):
     return E.navigation_links(E.parse_pages(A.page(spark, sf)), SITE_MENU).select("page_id", "title", "source_url")
 
 
-@query("page_titles", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
-  AS title, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS page_title
-  FROM pages""")
+def _unescaped(sql: str) -> str:
+    """SQL that decodes the entities found in the pages, with or without their semicolon."""
+    for entity, character in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&#x27;?", "''"), ("&amp;?", "&")):
+        sql = f"regexp_replace({sql}, '{entity}', '{character}', 'g')"
+    return sql
+
+
+def _tag_text(tag: str) -> str:
+    text = _unescaped(f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1, 's')")
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+@query("page_titles", f"SELECT page_id, {_tag_text('h1')} AS title, {_tag_text('title')} AS page_title FROM pages")
 def page_titles(spark, sf):
     parsed = E.parse_pages(A.page(spark, sf))
     nodes = "nodes"
