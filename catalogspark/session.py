@@ -35,13 +35,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_PRIVATE_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="catalogspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    application = spark.sparkContext.applicationId
+    if application not in _PRIVATE_ROOTS:
+        _PRIVATE_ROOTS[application] = tempfile.mkdtemp(prefix="catalogspark-")
+    return _PRIVATE_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
