@@ -201,3 +201,13 @@ def stream_rate_limit(spark, sf):
         F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
     T.rate_limit_stream(requests, Snapshots(spark, f"{root}/accepted"), f"{root}/verdicts", 1, 3)
     return spark.read.parquet(f"{root}/verdicts/*").filter("_new").select("key", "request_id", "allowed")
+
+
+@query("stream_rate_fixed", ORACLES["rate_limit_fixed"])
+def stream_rate_fixed(spark, sf):
+    """The clock-minute limit on a stream of requests."""
+    root = scratch_path(spark, "minutes")
+    requests = stream_events(spark, sf).select(
+        F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
+    T.fixed_minute_stream(requests, Snapshots(spark, f"{root}/counts"), f"{root}/verdicts", limit=2)
+    return spark.read.parquet(f"{root}/verdicts/*").select("key", "request_id", "position", "allowed")

@@ -37,8 +37,9 @@ def drain_updates(stream: DataFrame, purpose: str, keys: list[str]) -> DataFrame
     spark, out = stream.sparkSession, scratch_path(stream.sparkSession, purpose)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
+        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
 
+    save(spark.createDataFrame([], stream.schema), -1)  # so that a stream without rows gives an empty frame
     query = (stream.writeStream.outputMode("update").foreachBatch(save)
              .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     query.awaitTermination()
@@ -166,6 +167,34 @@ def rate_limit_stream(requests: DataFrame, store: Snapshots, verdicts: str, per_
     query.awaitTermination()
 
 
+def fixed_minute_stream(requests: DataFrame, store: Snapshots, verdicts: str, limit: int = R.CLIENT_PER_MINUTE,
+                        keep_minutes: int = 5) -> None:
+    """Clock-minute limit on a stream of requests(key, ts_ms, request_id).
+
+    The state is one count per client and minute, kept for the tolerated delay; a request's position
+    is its position in the micro-batch after those already counted in its minute.
+    """
+    minute = F.floor(F.col("ts_ms") / R.MINUTE_MS).alias("minute")
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        counted = store.read(before=batch_id)
+        placed = R.fixed_minute(batch.select("key", "ts_ms", "request_id"), limit).select("*", minute)
+        if counted is not None:
+            placed = placed.join(counted, ["key", "minute"], "left").withColumn(
+                "position", F.col("position") + F.coalesce("n", F.lit(0))).drop("n")
+        placed.withColumn("allowed", F.col("position") <= limit).write.mode("overwrite").parquet(f"{verdicts}/b={batch_id}")
+        now = batch.select("key", minute).groupBy("key", "minute").agg(F.count(F.lit(1)).alias("n"))
+        if counted is not None:
+            now = now.unionByName(counted).groupBy("key", "minute").agg(F.sum("n").alias("n"))
+        newest = now.agg(F.max("minute")).scalar()
+        store.publish(now.filter(F.col("minute") >= newest - keep_minutes), batch_id)
+
+    query = (requests.writeStream.foreachBatch(judge)
+             .option("checkpointLocation", scratch_path(requests.sparkSession, "minute-state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 class Progress(StreamingQueryListener):
     """Calls a user's function with the input rows and state rows of every finished micro-batch."""
 

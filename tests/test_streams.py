@@ -62,6 +62,24 @@ def test_rate_limit(spark, split):
     assert rows(got, "request_id", "allowed") == rows(R.sliding_log(ask(events), 1, 2), "request_id", "allowed")
 
 
+def test_fixed_minute(spark, split):
+    events, stream = split
+    # A day per minute, so that minutes are full and micro-batch borders fall inside them.
+    ask = lambda df: df.select(F.lit("all").alias("key"), F.floor(F.unix_millis("ts") / 1440).alias("ts_ms"), F.col("event_id").alias("request_id"))
+    root = scratch_path(spark, "t")
+    T.fixed_minute_stream(ask(stream()), Snapshots(spark, f"{root}/counts"), f"{root}/verdicts", 20)
+    got = spark.read.parquet(f"{root}/verdicts/*")
+    want = R.fixed_minute(ask(events), 20)
+    assert rows(got, "request_id", "position", "allowed") == rows(want, "request_id", "position", "allowed")
+
+
+def test_stream_without_rows(spark, split):
+    events, stream = split
+    got = T.drain_updates(T.sessions_by_id(stream().filter("false").select(
+        F.lit("s").alias("session_id"), F.unix_millis("ts").alias("ts_ms"))), "t", ["session_id"])
+    assert got.columns == ["session_id", "events", "start_ms", "end_ms"] and got.count() == 0
+
+
 def test_job_fold(spark, sf_dir):
     events = Q.job_events(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     path = scratch_path(spark, "job-events")
