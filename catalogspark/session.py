@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches for Python are cut by bytes as well as by rows: one page or text may be very long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 
@@ -39,10 +42,12 @@ _PRIVATE_ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named (tests)."""
+    """The shared folder named by the cluster; a private one only in local mode, where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _PRIVATE_ROOTS:
         _PRIVATE_ROOTS[application] = tempfile.mkdtemp(prefix="catalogspark-")

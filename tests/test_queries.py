@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalogspark.plans import registry
 from compare import compare, oracle
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+registry.load()
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
