@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, mixing, neardup, packing, rules, token_counts, warc
+from . import chat, classifier, mixing, neardup, packing, rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -42,6 +42,11 @@ def op2(spark, sf):
     return packing.pack(pieces)
 
 
+@query("op3_quality_classifier")
+def op3(spark, sf):
+    return classifier.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
 _MIX_SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
