@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, classifier, mixing, neardup, packing, rules, token_counts, warc
+from . import chat, classifier, lm, mixing, neardup, packing, rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -90,6 +90,11 @@ def op5(spark, sf):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_deleted_interpolation")
+def op6(spark, sf):
+    return lm.score_texts(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op7_quality_rules")
 def op7(spark, sf):
     judged = rules.judge(table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "labels"))
