@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, classifier, lm, mixing, neardup, packing, rules, token_counts, warc
+from . import chat, classifier, fingerprints, lm, mixing, neardup, packing, rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_iblt_fingerprints")
+def op1(spark, sf):
+    return fingerprints.compare_edited(table(spark, sf, "documents").select("doc_id", "text")).drop("edited_digests")
+
+
 @query("op2_best_fit_packing")
 def op2(spark, sf):
     pieces = packing.token_pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
