@@ -266,9 +266,12 @@ def _rest(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; rows repeating it are dropped too."""
+    """docs with one document of each component, that with the smallest id; rows that repeat its id and text go too.
+
+    Documents without words stay, one for each id; so does every row without an id.
+    """
     found = near_duplicates(docs, percent, width)
     keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    key = F.xxhash64("text")
-    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_hash"))).drop("_id", "_hash")
-    return named
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_alone", alone).dropDuplicates(["_id", "_hash", "_alone"]).drop("_id", "_hash", "_alone")
