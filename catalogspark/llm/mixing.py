@@ -37,9 +37,10 @@ def source_plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
                           - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
               # The virtual time if just the sources before this one have stopped.
               .withColumn("level", (F.col("budget") - F.col("stopped")) / F.col("running")))
-    # It is the right one for the first source that does not stop before it; where all stop, no time is too late.
+    # It is the right one for the first source that does not stop before it; for later ones it only falls.  Where all
+    # stop, no time is too late.
     fits = F.when(F.col("level") <= F.col("stop") / F.col("weight"), F.col("level"))
-    time = F.coalesce(F.min(fits).over(Window.partitionBy()), F.lit(float("inf")))
+    time = F.coalesce(F.max(fits).over(Window.partitionBy()), F.lit(float("inf")))
     return levels.withColumn("target", F.least(F.col("weight") * time, F.col("stop"))).select(
         "source", "rank", "weight", "source_size", "before", "target", "budget")
 
@@ -90,9 +91,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Documents without words have no weight in a mix and are kept once.
     """
     plan = mix_plan(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"),
-        F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("_times"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = keyed.join(plan.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))
-                       & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_digest")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"),
+        F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("__times")).where("__times > 0")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+                      & (own == F.col("__digest")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -61,7 +61,7 @@ weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE
   1.5::DOUBLE * sum(source_size) OVER () AS budget FROM ranked),
 levels AS (SELECT *, (budget - coalesce(sum(stop) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
   WINDOW w AS (ORDER BY stop / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT *, least(weight * coalesce(min(CASE WHEN level <= stop / weight THEN level END) OVER (), 'infinity'::DOUBLE), stop) AS target FROM levels),
+targets AS (SELECT *, least(weight * coalesce(max(CASE WHEN level <= stop / weight THEN level END) OVER (), 'infinity'::DOUBLE), stop) AS target FROM levels),
 queue AS (SELECT s.doc_id, s.size, t.rank, t.weight, t.source_size, t.target, t.budget, md5(s.doc_id::VARCHAR) AS turn,
   CAST(sum(s.size) OVER (PARTITION BY t.rank ORDER BY md5(s.doc_id::VARCHAR), s.doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / t.weight AS finish
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
