@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import written
 
 SAMPLE = 20_000       # at most so many labelled documents are fitted on, chosen by a hash of their ids
 BITS = 20             # 2 ** BITS weights
 MIN_DOCS = 5          # features of fewer labelled documents have no weight
+MIN_LEAN = 4.0        # nor those whose documents' grades are within so many standard deviations of the usual
 EPOCHS = 6
 RATE = 0.1
 RIDGE = 1e-4
@@ -117,8 +118,14 @@ def fit_rows(rows: list[tuple[int, object]], seed: int = 7):
 
     if len({grade for grade, _ in rows}) < 2:
         return np.empty(0, "i4"), np.empty(0, "f8"), [-20.0 + k for k in range(GRADES - 1)]
-    docs = np.bincount(np.concatenate([f for _, f in rows]), minlength=1 << BITS)
-    useful = docs >= min(MIN_DOCS, len(rows))
+    flat, of = np.concatenate([f for _, f in rows]), np.repeat([g for g, _ in rows], [len(f) for _, f in rows])
+    docs = np.bincount(flat, minlength=1 << BITS)
+    useful = np.zeros(1 << BITS, bool)
+    for k in range(GRADES - 1):  # most words say nothing; with weights of their own they would only learn documents by heart
+        usual = sum(g <= k for g, _ in rows) / len(rows)
+        low = np.bincount(flat[of <= k], minlength=1 << BITS)
+        useful |= np.abs(low - docs * usual) > MIN_LEAN * np.sqrt(np.maximum(docs * usual * (1 - usual), 1e-9))
+    useful &= docs >= min(MIN_DOCS, len(rows))
     rows = [(grade, f[useful[f]]) for grade, f in rows]
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     below = np.cumsum([sum(g == k for g, _ in rows) + 1 for k in range(GRADES)])[:-1] / (len(rows) + GRADES)
@@ -172,18 +179,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes
 SCORES = "score double, expected_grade double, tail_probability double"
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, tail: float = TAIL, keep_text: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, tail: float = TAIL, keep_text: bool = False,
+             prefix: str = "") -> DataFrame:
     """docs with score, expected_grade, tail_probability (that of the best grade) and kept added; every document is scored.
 
     The text is left out unless `keep_text`.  A null text is scored as the empty text; repeated rows are scored each.
-    Columns of docs named as the new ones are replaced.
+    Columns of docs named as the new ones are replaced; `prefix` gives the new ones other names.
     """
     used, weights, cuts = fit(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((used, weights, cuts))
-    made = ("score", "expected_grade", "tail_probability", "kept")
-    kept = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", " + SCORES
+    made = [prefix + name for name in ("score", "expected_grade", "tail_probability")]
+    kept = [c for c in docs.columns if c not in (*made, prefix + "kept") and (keep_text or c != "text")]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType()) for name in made])
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -198,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, tail: flo
             above = 1 / (1 + np.exp(np.clip(cuts[None, :] - scores[:, None], -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(scores), pa.array(above.sum(1)), pa.array(above[:, -1])],
-                names=[*kept, "score", "expected_grade", "tail_probability"])
+                names=[*kept, *made])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])])
-    return rows.mapInArrow(work, schema).withColumn("kept", F.col("tail_probability") >= tail)
+    return rows.mapInArrow(work, schema).withColumn(prefix + "kept", F.col(made[2]) >= tail)

@@ -26,8 +26,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are good with a probability of at least a half."""
     prepare(spark)
-    judged = classifier.classify(docs, labels(spark, sf_dir), keep_text=True)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = classifier.classify(docs, labels(spark, sf_dir), keep_text=True, prefix="__")
+    return judged.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
