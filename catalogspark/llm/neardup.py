@@ -271,7 +271,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS)
     Documents without words stay, one for each id; so does every row without an id.
     """
     found = near_duplicates(docs, percent, width)
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    keep = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_alone", alone).dropDuplicates(["_id", "_hash", "_alone"]).drop("_id", "_hash", "_alone")
+    return kept.withColumn("__alone", alone).dropDuplicates(["__id", "__hash", "__alone"]).drop("__id", "__hash", "__alone")

@@ -169,5 +169,5 @@ def drop_failed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the documents that `judge` rejects; the verdicts, ids and hashes only, are joined back to the texts."""
     row = F.xxhash64("text")
     verdicts = judge(docs.select("doc_id", "text", "lang", row.alias("text_hash")), labels, **options)
-    failed = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_hash")), "left_anti")
+    failed = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col("__id")) & (row == F.col("__hash")), "left_anti")

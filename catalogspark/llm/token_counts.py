@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str, text: str =
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(*[c for c in kept], F.octet_length(normalised(F.col(text))).cast("long").alias("n_bytes"),
-                       content_digest(F.col(text)).alias("_digest"))
-    counts = read_cache(spark, cache_path, version).select(F.col("digest").alias("_counted"), "n_tokens")
-    return (rows.join(counts, F.col("_digest") == F.col("_counted"))
-            .withColumn("over_limit", F.col("n_tokens") > limit).drop("_digest", "_counted"))
+                       content_digest(F.col(text)).alias("__digest"))
+    counts = read_cache(spark, cache_path, version).select(F.col("digest").alias("__counted"), "n_tokens")
+    return (rows.join(counts, F.col("__digest") == F.col("__counted"))
+            .withColumn("over_limit", F.col("n_tokens") > limit).drop("__digest", "__counted"))
