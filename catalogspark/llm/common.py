@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import written
 
@@ -30,7 +30,7 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     rows that tie get distinct totals in any order.
     """
     part, local = f"_{name}_part", f"_{name}_local"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {part} int, {local} long"
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(local, T.LongType())])
 
     def add_up(batches: Iterator) -> Iterator:
         import numpy as np
@@ -58,37 +58,98 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 
 # Encoders of this Python worker, by file; a worker serves many tasks.
 _ENCODERS: dict[tuple[str, str], object] = {}
-CACHED_WORDS = 300_000   # entries of an encoder's word table before it starts afresh
+CACHED_WORDS = 400_000   # entries of a word table before it makes way for a new one
 CACHED_LENGTH = 48       # longer chunks are not kept
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Recent:
+    """A table of bounded size: when full, it is kept as the older one, and what is asked for again moves over."""
+
+    def __init__(self, limit: int = CACHED_WORDS):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def turn(self) -> dict:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def missing(self, keys: set) -> list:
+        """Keys in neither table; those in the older one are moved."""
+        old, lacking = self.old, []
+        for key in keys:
+            value = old.get(key)
+            if value is None:
+                lacking.append(key)
+            else:
+                self.new[key] = value
+        return lacking
 
 
 class IdEncoder:
     """Token ids of whole texts by a `tokenizers` file, as little-endian unsigned 32-bit bytes.
 
-    The file's tokenizer must drop white space and never look across it, as word-level BPE with word ends does: then a
-    text's ids are those of its chunks between spaces, and a chunk met before need not be encoded again.
+    The file's tokenizer must drop white space, put letters and marks into different words, ignore case and close each
+    word with "</w>".  Then a text's ids are those of its chunks between spaces, a chunk of letters with ASCII marks
+    behind them has the ids of both parts, and many words of letters can be encoded as one text and told apart by their
+    ends.  What is not of this form is encoded as it is.
     """
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.words, self.marks = Recent(), Recent(), {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
+        return [np.array(code.ids, "<u4").tobytes()
+                for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        import numpy as np
+
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                code, stops = ids.tobytes(), (4 * stops).tolist()
+                self.words.new.update(zip(some, [code[a:b] for a, b in zip([0, *stops], stops)]))
+            else:  # a letter that the tokenizer takes for something else
+                self.words.new.update(zip(some, self._alone(some)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        known[""] = b""
-        new = list({c for chunks in split for c in chunks if c not in known})
+        known, words = self.chunks.turn(), self.words.turn()
+        parts, whole, cores = [], [], set()
+        for chunk in self.chunks.missing({c for chunks in split for c in chunks if c not in known}):
+            core = chunk.rstrip(_MARKS)
+            if (core.isalpha() or not core) and len(chunk) <= CACHED_LENGTH:
+                word = core.lower() if core.isascii() else core
+                parts.append((chunk, word, chunk[len(core):]))
+                if word and word not in words:
+                    cores.add(word)
+            else:
+                whole.append(chunk)
+        self._learn(self.words.missing(cores))
+        words[""] = b""
+        for chunk, word, mark in parts:
+            if mark not in self.marks:
+                if len(self.marks) > CACHED_WORDS:
+                    self.marks = {"": b""}
+                self.marks[mark] = self._alone([mark])[0]
+            known[chunk] = words[word] + self.marks[mark]
         long = {}
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
-            for chunk, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (known if len(chunk) <= CACHED_LENGTH else long)[chunk] = np.array(code.ids, "<u4").tobytes()
+        for at in range(0, len(whole), 1000):
+            some = whole[at:at + 1000]
+            for chunk, code in zip(some, self._alone(some)):
+                (known if len(chunk) <= CACHED_LENGTH else long)[chunk] = code
         if long:
             return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
         return [b"".join([known[c] for c in chunks]) for chunks in split]
