@@ -155,7 +155,8 @@ def typed_specs(specs: Column) -> dict[str, Column]:
 
 
 def purge_prefix(df: DataFrame, prefix_pattern: str, column: str = "source_url") -> DataFrame:
-    return df.filter(~F.col(column).like(prefix_pattern))
+    """Rows left after the delete; a null value matches no pattern and stays."""
+    return df.filter(~F.coalesce(F.col(column).like(prefix_pattern), F.lit(False)))
 
 
 def categories_with_navigation(categories: DataFrame, navigation: DataFrame) -> DataFrame:

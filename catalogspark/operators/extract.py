@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as X, urls as U
-from ..session import spread_small
+from . import merge as M
 
 # The default selectors, in the order in which they are tried.
 NAVIGATION_SELECTORS = [
@@ -56,33 +57,91 @@ _NAMED_ATTRIBUTES = ("role", "aria-label")
 BATCH_BYTES = 4 << 20
 
 
-_FIELDS = {"n": "int", "last": "int", "parent": "int", "tag": "string", "marks": "string", "above": "string",
+_FIELDS = {"n": "int", "last": "int", "parent": "int", "tag": "string", "marks": "string", "inside": "long",
            "href": "string", "src": "string", "data_src": "string", "start": "int", "size": "int"}
-_ARROW = {"int": pa.int32(), "string": pa.string()}
-_NODES = T.ArrayType(T.StructType([
-    T.StructField(name, T.IntegerType() if kind == "int" else T.StringType()) for name, kind in _FIELDS.items()]))
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+_KINDS = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType()}
+_NODES = T.ArrayType(T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in _FIELDS.items()]))
 _UNMARK = str.maketrans("/|", "__")
 
 
+# ---- selectors, taken apart -----------------------------------------------------------------------
+
+_TOKEN = re.compile(r':not\((?P<no>[^)]+)\)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<val>[^"]*)")?\]'
+                    r'|(?P<mark>[.#]?[\w-]+)')
+
+
+def _marks(compound: str) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    """Marks that must be there, marks that must not, and (column, substring) tests of one compound selector."""
+    must, must_not, contains = [], [], []
+    for token in _TOKEN.finditer(compound):
+        if token["no"]:
+            must_not.append(token["no"])
+        elif token["op"] == "*=":
+            contains.append((token["attr"].replace("-", "_"), token["val"]))
+        elif token["attr"]:
+            must.append(f"[{token['attr']}={token['val']}]" if token["op"] else f"[{token['attr']}]")
+        else:
+            must.append(token["mark"])
+    return must, must_not, contains
+
+
+def _compounds(selector: str) -> list[str]:
+    return re.findall(r'(?:\[[^\]]*\]|[^\s\[])+', selector)
+
+
+def _chains(selectors: list[str]) -> list[tuple[str, ...]]:
+    """The ancestor parts of selectors, each with the parts before it: ("nav",), ("header", "nav"), ...
+
+    An element carries one bit for each of them, so a record has the same size however deep the element lies.
+    """
+    found = {tuple(_compounds(s)[:k]) for s in selectors for k in range(1, len(_compounds(s)))}
+    return sorted(found, key=lambda c: (len(c), c))
+
+
+# All default selectors; others are named when pages are parsed.
+_DEFAULTS = [s for name, value in sorted(globals().items()) if isinstance(value, list) and name.isupper() for s in value]
+_CHAINS = _chains(_DEFAULTS)
+MAX_CHAINS = 62
+
+
+def _bit(ancestors: tuple[str, ...], chains: list[tuple[str, ...]]) -> int:
+    return 1 << chains.index(ancestors)
+
+
 class _Elements(HTMLParser):
     """Collects the elements of a run of pages in document order, one list per field.
 
     n, last and parent number the elements of one page; marks are an element's tag, classes, id and
-    attributes, above those of its ancestors; start and size are its range in the page's text.
+    attributes; inside has a bit for each chain of selectors that its ancestors fulfil; start and size
+    are its range in the page's text.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, chains: list[tuple[str, ...]] = _CHAINS) -> None:
         super().__init__(convert_charrefs=True)
         self.columns = {name: [] for name in _FIELDS}
-        self.texts, self.offsets = [], [0]
+        self.texts, self.offsets, self.errors = [], [0], []
+        self.chains = {}  # by one mark of the last part: the other marks, those it must not have, the bit before, the bit
+        for chain in chains:
+            must, must_not, _ = _marks(chain[-1])
+            self.chains.setdefault(must[0], []).append(
+                (set(must), set(must_not), _bit(chain[:-1], chains) if chain[:-1] else 0, _bit(chain, chains)))
 
     def read(self, html: str) -> None:
+        """Adds a page.  One that the parser can't read has an error and no elements; the others are not touched by it."""
         self.reset()
-        self.open, self.parts, self.length = [], [], 0
-        self.feed(html)
-        self.close()
-        while self.open:
-            self._close()
+        self.open, self.below, self.parts, self.length, error = [], [0], [], 0, None
+        try:
+            self.feed(html)
+            self.close()
+            while self.open:
+                self._close()
+        except Exception as problem:  # whatever a page holds, it concerns this page only
+            error = f"{type(problem).__name__}: {problem}"
+            self.parts = []
+            for values in self.columns.values():
+                del values[self.offsets[-1]:]
+        self.errors.append(error)
         self.texts.append("".join(self.parts))
         self.offsets.append(len(self.columns["n"]))
 
@@ -103,22 +162,31 @@ class _Elements(HTMLParser):
                 marks.append(f"[{name}={value}]")
             elif name.startswith("data-"):
                 marks.append(f"[{name}]")
-        at, above = len(columns["n"]), self.open[-1] if self.open else None
-        row = (at - base, at - base, -1 if above is None else above - base, tag,
-               "|" + "|".join([m.translate(_UNMARK) for m in marks]) + "|",
-               "/" if above is None else f"{columns['above'][above]}{columns['marks'][above]}/",
+        at, inside = len(columns["n"]), self.below[-1]
+        row = (at - base, at - base, self.open[-1] - base if self.open else -1, tag,
+               "|" + "|".join([m.translate(_UNMARK) for m in marks]) + "|", inside,
                given.get("href"), given.get("src"), given.get("data-src"), self.length, 0)
         for values, value in zip(columns.values(), row):
             values.append(value)
         if tag not in _VOID:
+            below, own = inside, set(marks)
+            for mark in own & self.chains.keys():
+                for must, must_not, before, bit in self.chains[mark]:
+                    if must <= own and not must_not & own and before & inside == before:
+                        below |= bit
             self.open.append(at)
+            self.below.append(below)
+            self.tags[tag] = self.tags.get(tag, 0) + 1
+
+    def reset(self):
+        super().reset()
+        self.tags = {}  # how many elements of each tag are open
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash does not close an element in HTML
 
     def handle_endtag(self, tag):
-        tags = self.columns["tag"]
-        if any(tags[at] == tag for at in self.open):
+        if self.tags.get(tag):
             while self._close() != tag:
                 pass
 
@@ -128,6 +196,8 @@ class _Elements(HTMLParser):
 
     def _close(self) -> str:
         at, columns = self.open.pop(), self.columns
+        self.below.pop()
+        self.tags[columns["tag"][at]] -= 1
         columns["last"][at] = len(columns["n"]) - 1 - self.offsets[-1]
         columns["size"][at] = self.length - columns["start"][at]
         return columns["tag"][at]
@@ -135,73 +205,76 @@ class _Elements(HTMLParser):
     def arrow(self) -> list[pa.Array]:
         fields = [pa.array(values, _ARROW[_FIELDS[name]]) for name, values in self.columns.items()]
         return [pa.array(self.texts, pa.string()), pa.ListArray.from_arrays(
-            pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=list(_FIELDS)))]
+            pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=list(_FIELDS))),
+            pa.array(self.errors, pa.string())]
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace html by text and nodes; output batches are cut by the bytes read, not by rows."""
+def _parse_batches(batches: Iterator[pa.RecordBatch], chains: list[tuple[str, ...]] = _CHAINS) -> Iterator[pa.RecordBatch]:
+    """Replace html by text, nodes and parse_error; output batches are cut by the bytes read, not by rows."""
     for batch in batches:
         kept = batch.drop_columns(["html"])
-        start, seen, pages = 0, 0, _Elements()
+        start, seen, pages = 0, 0, _Elements(chains)
         for i, html in enumerate(batch.column("html")):
             source = html.as_py() or ""
             pages.read(source)
             seen += len(source)
             if seen >= BATCH_BYTES or i == batch.num_rows - 1:
                 rows = kept.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *pages.arrow()], names=[*kept.schema.names, "text", "nodes"])
-                start, seen, pages = i + 1, 0, _Elements()
+                yield pa.RecordBatch.from_arrays([*rows.columns, *pages.arrow()],
+                                                 names=[*kept.schema.names, "text", "nodes", "parse_error"])
+                start, seen, pages = i + 1, 0, _Elements(chains)
 
 
-def parse_pages(pages: DataFrame, handler: Callable | None = None) -> DataFrame:
-    """pages(…, url, html) with `html` replaced by `text` and `nodes`.  A user's handler may take its place."""
-    kept = [f for f in pages.schema if f.name != "html"]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("nodes", _NODES)])
-    rows = spread_small(pages.select(*[f.name for f in kept], "html"))
-    return rows.mapInArrow(handler or _parse_batches, schema)
+def latest_pages(pages: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row per url, the newest by `order`: by default fetched_at, where pages have it, else the page_id.
 
+    A page that was crawled again must count once: what follows joins pages by url.
+    """
+    newest = order or ["fetched_at" if "fetched_at" in pages.columns else "page_id"]
+    return M.latest_per_key(pages.withColumn("_tie", F.xxhash64("html")), "url", [*newest, "_tie"]).drop("_tie").select(*pages.columns)
 
-# ---- selectors as expressions -------------------------------------------------------------------
 
-_TOKEN = re.compile(r':not\((?P<no>[^)]+)\)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<val>[^"]*)")?\]'
-                    r'|(?P<mark>[.#]?[\w-]+)')
+def parse_pages(pages: DataFrame, selectors: list[str] = (), handler: Callable | None = None) -> DataFrame:
+    """pages(…, url, html) with `html` replaced by `text`, `nodes` and `parse_error`.
 
+    `selectors` names those with ancestors that are used later besides the defaults.  A page that can't be parsed has
+    no elements and says why in `parse_error`.  A user's handler may take the parser's place.
+    """
+    chains = [*_CHAINS, *[c for c in _chains(list(selectors)) if c not in _CHAINS]]
+    if len(chains) > MAX_CHAINS:
+        raise ValueError(f"at most {MAX_CHAINS} different ancestors of selectors")
+    kept = [f for f in pages.schema if f.name != "html"]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("nodes", _NODES),
+                           T.StructField("parse_error", T.StringType())])
+    parse = handler or partial(_parse_batches, chains=chains)
+    return pages.select(*[f.name for f in kept], "html").mapInArrow(lambda batches: parse(batches), schema)
 
-def _marks(compound: str) -> tuple[list[str], list[str], list[tuple[str, str]]]:
-    """Marks that must be there, marks that must not, and (column, substring) tests of one compound selector."""
-    must, must_not, contains = [], [], []
-    for token in _TOKEN.finditer(compound):
-        if token["no"]:
-            must_not.append(token["no"])
-        elif token["op"] == "*=":
-            contains.append((token["attr"].replace("-", "_"), token["val"]))
-        elif token["attr"]:
-            must.append(f"[{token['attr']}={token['val']}]" if token["op"] else f"[{token['attr']}]")
-        else:
-            must.append(token["mark"])
-    return must, must_not, contains
 
+# ---- selectors as expressions -------------------------------------------------------------------
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _test(selector: str) -> str:
+def _test(selector: str, extra: list[str]) -> str:
     """A CSS selector (tags, classes, ids, attributes, :not, descendants) as SQL about an element record x."""
-    *ancestors, own = re.findall(r'(?:\[[^\]]*\]|[^\s\[])+', selector)
+    *ancestors, own = _compounds(selector)
     must, must_not, contains = _marks(own)
     tests = [f"contains(x.marks, {_quoted(f'|{m}|')})" for m in must]
     tests += [f"NOT contains(x.marks, {_quoted(f'|{m}|')})" for m in must_not]
     tests += [f"coalesce(contains(x.{column}, {_quoted(part)}), false)" for column, part in contains]
     if ancestors:
-        step = lambda a: "".join(rf"(?=[^/]*\|{re.escape(m)}\|)" for m in _marks(a)[0]) + "[^/]*"
-        tests.append(f"x.above RLIKE {_quoted('/' + '/(?:.*/)?'.join(step(a) for a in ancestors) + '/')}")
+        chains = [*_CHAINS, *[c for c in _chains(extra) if c not in _CHAINS]]
+        tests.append(f"x.inside & {_bit(tuple(ancestors), chains)}L != 0")
     return " AND ".join(tests)
 
 
 def select_all(nodes: str, *selectors: str) -> Column:
-    """Elements of an array column that match any of the selectors, in document order."""
-    return F.expr(f"filter({nodes}, x -> {' OR '.join(f'({_test(s)})' for s in selectors)})")
+    """Elements of an array column that match any of the selectors, in document order.
+
+    Selectors with ancestors other than the defaults' must be those, in all, that the pages were parsed with.
+    """
+    return F.expr(f"filter({nodes}, x -> {' OR '.join(f'({_test(s, list(selectors))})' for s in selectors)})")
 
 
 def first_hit(nodes: str, selectors: list[str]) -> Column:
@@ -209,7 +282,7 @@ def first_hit(nodes: str, selectors: list[str]) -> Column:
 
     Each element is ranked by the first selector it matches; those of the least rank are the hit.
     """
-    rank = "CASE " + " ".join(f"WHEN {_test(s)} THEN {i}" for i, s in enumerate(selectors)) + " END"
+    rank = "CASE " + " ".join(f"WHEN {_test(s, list(selectors))} THEN {i}" for i, s in enumerate(selectors)) + " END"
     return F.expr(f"transform(array(array_min(transform({nodes}, x -> {rank}))), least -> filter({nodes}, x -> {rank} = least))[0]")
 
 
@@ -242,12 +315,20 @@ def first_text(nodes: str, selectors: list[str]) -> Column:
 
 # ---- the four page readers -----------------------------------------------------------------------
 
+def menu(selectors: list[str] = NAVIGATION_SELECTORS) -> Column:
+    """The menu's links: position, title, source_url."""
+    return F.transform(first_hit("nodes", selectors), lambda a: F.struct(
+        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("source_url")))
+
+
+def catalogue_links(found: DataFrame) -> DataFrame:
+    """page_id, url and the links in `menu` that lead to the catalogue, one row per link."""
+    return found.select("page_id", "url", F.inline("menu")).filter(U.is_navigation_link(F.col("title"), F.col("source_url")))
+
+
 def navigation_links(parsed: DataFrame, selectors: list[str] = NAVIGATION_SELECTORS) -> DataFrame:
     """page_id, position, title, source_url of the menu links that lead to the catalogue."""
-    links = F.transform(first_hit("nodes", selectors), lambda a: F.struct(
-        a["n"].alias("position"), X.clean_text(_text(a)).alias("title"), _resolved(a["href"]).alias("source_url")))
-    return (parsed.select("page_id", "url", F.inline(links))
-            .filter(U.is_navigation_link(F.col("title"), F.col("source_url"))))
+    return catalogue_links(parsed.select("page_id", "url", menu(selectors).alias("menu")))
 
 
 def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELECTORS) -> DataFrame:
@@ -257,7 +338,7 @@ def with_category_links(parsed: DataFrame, selectors: list[str] = CATEGORY_SELEC
     """
     # Counters carry the number in their text, so the search below compares only positions.
     counters = F.transform(select_all("nodes", *COUNT_SELECTORS), lambda x: F.struct(
-        x["n"].alias("n"), x["marks"].alias("marks"), x["above"].alias("above"), x["href"].alias("href"),
+        x["n"].alias("n"), x["marks"].alias("marks"), x["inside"].alias("inside"), x["href"].alias("href"),
         X.first_match(_text(x), r"(\d+)", 1).try_cast("int").alias("number")))
 
     def count(a: Column) -> Column:
@@ -354,7 +435,7 @@ def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]
         X.currency_of(F.col("_price")).alias("currency"),
         F.array_distinct(F.filter("_images", lambda u: u != "")).alias("image_urls"),
         X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs().alias("specs"),
-        X.is_available(F.col("_stock")).alias("available"))
+        X.is_available(F.col("_stock")).alias("available"), "parse_error")
 
 
 def with_page_facts(parsed: DataFrame) -> DataFrame:

@@ -69,11 +69,11 @@ def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests(type, target_url, priority, metadata, seq) against the open jobs.
 
     An open job of the same type and url absorbs them and takes the greatest priority; otherwise one
-    job is added with the greatest priority and the first request's metadata.  Returns the change
+    job is added with the greatest priority, 5 where no request names one, and the first request's metadata.  Returns the change
     rows: id, type, target_url, priority, metadata, action.
     """
     wanted = requests.groupBy("type", "target_url").agg(
-        F.max("priority").alias("_asked"), F.min_by("metadata", "seq").alias("metadata"))
+        F.coalesce(F.max("priority"), F.lit(DEFAULT_PRIORITY)).alias("_asked"), F.min_by("metadata", "seq").alias("metadata"))
     open_jobs = in_status(jobs, *S.OPEN_STATUSES).groupBy("type", "target_url").agg(
         F.min(F.struct("id", "priority")).alias("_open"))
     return wanted.join(open_jobs, ["type", "target_url"], "left").select(
@@ -177,8 +177,11 @@ def apply_retention(jobs: DataFrame, as_of: Column, rule: str = "terminal_hours"
     return jobs.filter(~is_outdated(as_of, rule, amount))
 
 
-def cleared(jobs: DataFrame) -> DataFrame:
-    return jobs.limit(0)
+def clear(store) -> DataFrame:
+    """Deletes all jobs of a published table: its next snapshot has none.  Returns the table as it is read then."""
+    versions = store.versions()
+    store.publish(store.at(versions[-1]).filter(F.lit(False)), versions[-1] + 1)
+    return store.read()
 
 
 def count_by_status(jobs: DataFrame) -> DataFrame:

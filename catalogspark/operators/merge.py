@@ -63,12 +63,27 @@ def _with_new_defaults(incoming: DataFrame, table: str, kinds: dict) -> DataFram
     return S.with_defaults(renamed, table).withColumnsRenamed({n: f"_new_{n}" for n in names})
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Point updates as one join: non-null values of a change row replace the stored ones."""
-    changed = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changed])
-    return target.join(new, key, "left").select(
-        *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in target.columns])
+def apply_changes(target: DataFrame, changes: DataFrame, key: str = "id", as_of: Column | None = None,
+                  cleared: str | None = None) -> DataFrame:
+    """Point updates as one join: non-null values of a change row replace the stored ones.
+
+    `cleared` names a column of the changes that lists target columns to set to null.  With `as_of`, updated_at of each
+    row that has a change row takes that moment.
+    """
+    changed = [c for c in changes.columns if c not in (key, cleared)]
+    lists = F.col(cleared) if cleared else F.lit(None).cast("array<string>")
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changed], lists.alias("_cleared"), F.lit(True).alias("_hit"))
+
+    def value(name: str) -> Column:
+        if name == key:
+            return F.col(name)
+        if name == "updated_at" and as_of is not None:
+            return F.when(F.col("_hit"), as_of).otherwise(F.col(name)).alias(name)
+        kept = F.coalesce(F.col(f"_new_{name}"), F.col(name)) if name in changed else F.col(name)
+        emptied = F.coalesce(F.array_contains("_cleared", name), F.lit(False)) if cleared else F.lit(False)
+        return F.when(~emptied, kept).alias(name) if cleared else kept.alias(name)
+
+    return target.join(new, key, "left").select(*[value(c) for c in target.columns])
 
 
 def affected(rows: DataFrame, name: str = "affected") -> DataFrame:

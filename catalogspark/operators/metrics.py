@@ -39,19 +39,25 @@ def top_k(df: DataFrame, by: str, k: int, name: str = "count") -> DataFrame:
 
 def filter_logs(logs: DataFrame, level: str | None = None, component: str | None = None, search: str | None = None,
                 start: Column | None = None, end: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Each given argument narrows the rows; metadata is JSON text; both time bounds are inclusive."""
+    """Each given argument narrows the rows; metadata is JSON text or a map; both time bounds are inclusive.
+
+    With a limit the newest rows are kept.
+    """
     if level is not None:
         logs = logs.filter(F.col("level") == level)
     if component is not None:
         logs = logs.filter(F.col("component") == component)
     if search is not None:
         wanted = search.lower()
-        logs = logs.filter(F.lower("message").contains(wanted) | F.lower("metadata").contains(wanted))
+        kind = logs.schema["metadata"].dataType.simpleString()
+        metadata = F.col("metadata") if kind == "string" else F.to_json("metadata")
+        found = F.lower("message").contains(wanted) | F.lower(metadata).contains(wanted)
+        logs = logs.filter(F.coalesce(found, F.lower("message").contains(wanted), F.lower(metadata).contains(wanted)))
     if start is not None:
         logs = logs.filter(F.col("timestamp") >= start)
     if end is not None:
         logs = logs.filter(F.col("timestamp") <= end)
-    return logs if limit is None else logs.limit(limit)
+    return logs if limit is None else logs.orderBy(F.col("timestamp").desc(), "message", "component").limit(limit)
 
 
 def log_stats(logs: DataFrame) -> DataFrame:
@@ -204,6 +210,12 @@ def payload_metrics(payloads: DataFrame) -> DataFrame:
     return payloads.select(F.col("sessionId").alias("session_id"), F.inline("performanceMetrics"))
 
 
+def analytics_top(clicks: DataFrame, as_of: Column, by: str, k: int = 10, hours: int = 24) -> DataFrame:
+    """The pages or events (column `by`) seen most often in the last day."""
+    recent = clicks.filter((F.col("ts") > as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= as_of))
+    return top_k(recent.filter(F.col(by).isNotNull()), by, k)
+
+
 def analytics_summary(clicks: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Last day: sessions, page views, events, mean session length, mean value per metric, error share."""
     recent = clicks.filter((F.col("ts") > as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= as_of))

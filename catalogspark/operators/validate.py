@@ -98,12 +98,13 @@ def split_valid(df: DataFrame, ruleset: list[Rule]) -> tuple[DataFrame, DataFram
 
 
 def require_valid(df: DataFrame, ruleset: list[Rule]) -> DataFrame:
-    """Fail the job on the first bad row (all-or-nothing batches)."""
+    """Fail the job on the first bad row (all-or-nothing batches).
+
+    The check is a filter: no selection of columns, nor a mere count, can prune it away.
+    """
     checked = with_errors(df, ruleset)
-    stop = F.raise_error(F.concat(F.lit("validation failed: "), F.array_join("errors", ", ")))
-    # The check must be part of the output, or the optimizer would drop it.
-    head = checked.columns[0]
-    return checked.withColumn(head, F.when(F.size("errors") == 0, F.col(head)).otherwise(stop)).drop("errors")
+    stop = F.raise_error(F.concat(F.lit("validation failed: "), F.array_join("errors", ", "))).cast("boolean")
+    return checked.filter(F.when(F.size("errors") == 0, F.lit(True)).otherwise(stop)).drop("errors")
 
 
 def count_violations(df: DataFrame, ruleset: list[Rule]) -> DataFrame:

@@ -14,27 +14,36 @@ from ..sources.exports import Snapshots
 
 @dataclass
 class Ingested:
-    """Rows to merge, and rows refused with their errors."""
+    """Rows to merge, rows refused with their errors, and pages (page_id, url, parse_error) that can't be parsed."""
     rows: DataFrame
     refused: DataFrame
+    broken: DataFrame
 
 
 def ingest_navigation(pages: DataFrame, selectors: list[str] = E.NAVIGATION_SELECTORS) -> Ingested:
-    """Menu links of all pages as navigation rows, one per url (duplicates fall to the first page)."""
-    links = written(E.navigation_links(E.parse_pages(pages), selectors), "menu-links")
+    """Menu links of all pages as navigation rows, one per url: that of the newest page, and on it the first."""
+    parsed = E.parse_pages(E.latest_pages(pages), selectors)
+    found = written(parsed.select("page_id", "url", "parse_error", E.menu(selectors).alias("menu")), "menu-links")
+    links = E.catalogue_links(found)
     rows = M.latest_per_key(links.select("source_url", "title", "page_id", "position")
                             .withColumns({"_p": F.col("page_id"), "_n": -F.col("position")}), "source_url", ["_p", "_n"])
     good, bad = V.split_valid(rows.select("title", "source_url", F.lit(None).cast("string").alias("parent_id")),
                               V.rules("write_navigation"))
-    return Ingested(good, bad)
+    return Ingested(good, bad, broken_pages(found))
+
+
+def broken_pages(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("parse_error").isNotNull()).select("page_id", "url", "parse_error")
 
 
 def chain_heads(facts: DataFrame) -> DataFrame:
     """url -> category_url: the first page of the chain of next links a page belongs to.
 
     Pointers double their reach each round, so a chain of n pages takes log2(n) joins.  Pages on a
-    loop of next links have no first page; each of them stands for itself.
+    loop of next links have no first page; each of them stands for itself.  There is one pointer per
+    url, however often the url occurs, so no round makes more rows.
     """
+    facts = facts.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max("next_url").alias("next_url"))
     previous = (facts.filter(F.col("next_url").isNotNull()).groupBy(F.col("next_url").alias("url"))
                 .agg(F.min("url").alias("_previous")))
     pointers = cut_lineage(facts.select("url").join(previous, "url", "left").select(
@@ -48,14 +57,16 @@ def chain_heads(facts: DataFrame) -> DataFrame:
     return pointers.select("url", F.when(F.col("done"), F.col("head")).otherwise(F.col("url")).alias("category_url"))
 
 
-def ingest_category(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Category rows (title, source_url, product_count) and listing rows with their category_url.
+def ingest_category(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Category rows (title, source_url, product_count), listing rows with their category_url, broken pages.
 
-    Each page is parsed once: its facts, links and cards are written, and the branches read those.
+    Of a page that was crawled several times the newest row counts.  Each page is parsed once: its facts, links and
+    cards are written, and the branches read those.
     """
-    parsed = E.with_category_links(E.with_cards(E.with_page_facts(E.parse_pages(pages))))
-    found = written(parsed.select("page_id", "url", "page_title", "next_url", "cards",
+    parsed = E.with_category_links(E.with_cards(E.with_page_facts(E.parse_pages(E.latest_pages(pages)))))
+    everything = written(parsed.select("page_id", "url", "parse_error", "page_title", "next_url", "cards",
                                   F.get("links", F.lit(0))["title"].alias("_first")), "category-pages")
+    found = everything.filter(F.col("parse_error").isNull())
     heads = chain_heads(found.select("url", "next_url"))
     placed = found.join(heads, "url")
     # Sizes are added up per page, so a long chain moves one number per page.
@@ -63,7 +74,7 @@ def ingest_category(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     categories = (found.select(F.col("url").alias("category_url"), "page_title", "_first").join(sizes, "category_url")
                   .select(F.coalesce("_first", F.nullif("page_title", F.lit("")), F.lit("Unknown Category")).alias("title"),
                           F.col("category_url").alias("source_url"), "product_count"))
-    return categories, placed.select("page_id", "url", "category_url", F.inline("cards"))
+    return categories, placed.select("page_id", "url", "category_url", F.inline("cards")), broken_pages(everything)
 
 
 def listing_products(chained: DataFrame, categories: DataFrame) -> DataFrame:
@@ -79,14 +90,20 @@ def ingest_products(pages: DataFrame, strict: bool = False, source_id_pattern: s
 
     The extracted facts are written once, so that neither the check nor its two outputs parse again.
     """
-    details = written(E.product_details(E.parse_pages(pages), source_id_pattern), "product-pages")
+    parsed = E.parse_pages(E.latest_pages(pages))
+    everything = written(E.product_details(parsed, source_id_pattern), "product-pages")
+    details = everything.filter(F.col("parse_error").isNull()).drop("parse_error")
     rows = details.withColumn("currency", F.coalesce("currency", F.lit("GBP"))).withColumn(
         "category_id", F.lit(None).cast("string"))
     rules = V.rules("write_product")
+    broken = broken_pages(everything.withColumnRenamed("source_url", "url"))
     if strict:
-        return Ingested(V.require_valid(rows, rules), rows.limit(0))
+        whole = everything.withColumn("title", F.when(F.col("parse_error").isNull(), F.col("title"))).select(*details.columns)
+        checked = whole.withColumn("currency", F.coalesce("currency", F.lit("GBP"))).withColumn(
+            "category_id", F.lit(None).cast("string"))
+        return Ingested(V.require_valid(checked, rules), V.with_errors(rows.limit(0), rules), broken)
     good, bad = V.split_valid(rows, rules)
-    return Ingested(good, bad)
+    return Ingested(good, bad, broken)
 
 
 def process_jobs(jobs: DataFrame, processor: Callable, schema: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas as S
 from ..functions import text as X
@@ -143,17 +143,21 @@ def specs_clean(spark, sf):
 
 @query("specs_typed", with_views(
     """SELECT id, spec_author AS author, spec_isbn AS isbn, TRY_CAST(spec_pages AS INTEGER) AS pages,
-    spec_format AS format, CAST(NULL AS VARCHAR) AS publisher FROM product""", "product"))
+    spec_format AS format, CAST(NULL AS VARCHAR) AS publisher, 'en' AS language, CAST(NULL AS VARCHAR) AS publication_date,
+    CAST(NULL AS VARCHAR) AS dimensions, k % 900 || ' g' AS weight FROM product""", "product"))
 def specs_typed(spark, sf):
-    document = F.try_parse_json(F.to_json("specs"))
-    return A.product(spark, sf).select("id", *[c.alias(n) for n, c in C.typed_specs(document).items() if n in (
-        "author", "isbn", "pages", "format", "publisher")])
+    more = F.create_map(F.lit("language"), F.lit("en"), F.lit("weight"),
+                        F.concat((F.col("id").cast("bigint") % 900).cast("string"), F.lit(" g")))
+    document = F.try_parse_json(F.to_json(X.merge_maps(F.col("specs"), more)))
+    return A.product(spark, sf).select("id", *[c.alias(n) for n, c in C.typed_specs(document).items()])
 
 
 @query("purge_prefix", with_views(
-    f"SELECT count(*) AS kept FROM product WHERE source_url NOT LIKE '{SITE}/products/1%'", "product"))
+    f"SELECT count(*) AS kept, count(*) FILTER (k % 10 = 0) AS without_url FROM product WHERE k % 10 = 0 OR source_url NOT LIKE '{SITE}/products/1%'", "product"))
 def purge_prefix(spark, sf):
-    return C.purge_prefix(A.product(spark, sf), f"{SITE}/products/1%").agg(F.count(F.lit(1)).alias("kept"))
+    rows = A.product(spark, sf).withColumn("source_url", F.when(F.col("id").cast("bigint") % 10 != 0, F.col("source_url")))
+    return C.purge_prefix(rows, f"{SITE}/products/1%").agg(
+        F.count(F.lit(1)).alias("kept"), F.count_if(F.col("source_url").isNull()).alias("without_url"))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------
@@ -230,6 +234,16 @@ def nav_tree(spark, sf):
         "id", "title", "depth", F.array_join("path", ">").alias("path"), F.array_join("title_path", ">").alias("title_path"))
 
 
+@query("nav_display_order", with_views(
+    """SELECT id, CAST(row_number() OVER (ORDER BY titles, path) AS BIGINT) AS position FROM tree""", "navigation", tree=_TREE, recursive=True))
+def nav_display_order(spark, sf):
+    """The place of each node when the tree is listed: parents first, siblings by title."""
+    ordered = T.in_display_order(T.hierarchy(A.navigation(spark, sf)))
+    # A global sort numbers its partitions in order, so ids that grow with partition and place can be counted.
+    numbered = ordered.select("id", F.monotonically_increasing_id().alias("_at"))
+    return numbered.select("id", F.row_number().over(Window.orderBy("_at")).cast("long").alias("position"))
+
+
 @query("nav_search", with_views(
     """SELECT id, title FROM tree t WHERE EXISTS (SELECT 1 FROM matched m WHERE list_contains(m.path, t.id))
       OR EXISTS (SELECT 1 FROM matched m WHERE list_contains(t.path, m.id)
@@ -369,13 +383,16 @@ def category_upsert(spark, sf):
 
 @query("point_updates", with_views(
     """SELECT id, CASE WHEN k % 4 = 0 THEN false WHEN k % 4 = 1 THEN true ELSE available END AS available,
-      CASE WHEN k % 4 = 0 THEN 'USD' ELSE currency END AS currency FROM product""", "product"))
+      CASE WHEN k % 4 = 0 THEN 'USD' ELSE currency END AS currency, CASE WHEN k % 4 = 1 THEN NULL ELSE summary END AS summary,
+      k % 4 < 2 AS stamped FROM product""", "product"))
 def point_updates(spark, sf):
     products = A.product(spark, sf)
     k = F.col("id").cast("bigint")
     changes = products.filter(k % 4 < 2).select("id", (k % 4 == 1).alias("available"),
-                                                F.when(k % 4 == 0, "USD").alias("currency"))
-    return M.apply_changes(products, changes).select("id", "available", "currency")
+                                                F.when(k % 4 == 0, "USD").alias("currency"),
+                                                F.when(k % 4 == 1, F.array(F.lit("summary"))).alias("cleared"))
+    changed = M.apply_changes(products, changes, as_of=A.as_of(), cleared="cleared")
+    return changed.select("id", "available", "currency", "summary", (F.col("updated_at") == A.as_of()).alias("stamped"))
 
 
 # ---- validation ------------------------------------------------------------------------------------------
@@ -422,10 +439,87 @@ def validate_strict(spark, sf):
 
 @query("db_checks", """SELECT count(*) FILTER (p_partkey % 19 = 0) AS check_price_positive,
   count(*) FILTER (p_partkey % 23 IN (0, 1)) AS check_currency_valid,
-  count(*) FILTER (p_partkey % 29 = 1) AS check_image_urls_array FROM part""")
+  count(*) FILTER (p_partkey % 41 = 0) AS check_image_urls_array, count(*) FILTER (p_partkey % 29 = 1) AS image_json FROM part""")
 def db_checks(spark, sf):
-    checks = V.rules("check_product")[:2] + [V.check_images_json("image_json")]
-    return V.count_violations(dirty_products(spark, sf), checks)
+    rows = dirty_products(spark, sf).withColumn("image_urls", F.when(F.col("id").cast("bigint") % 41 != 0, F.col("image_urls")))
+    (_, bad_json), = [V.check_images_json("image_json")]
+    return V.count_violations(rows, [*V.rules("check_product"), ("image_json", bad_json)])
+
+
+def dirty_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl jobs with faults planted by order key."""
+    k = F.substring("id", 2, 20).cast("bigint")
+    return A.scrape_job(spark, sf).withColumns({
+        "type": F.when(k % 11 == 0, "image").otherwise(F.col("type")),
+        "status": F.when(k % 13 == 0, "lost").otherwise(F.col("status")),
+        "attempts": F.when(k % 17 == 0, -1).otherwise(F.col("attempts")).cast("int"),
+        "target_url": F.when(k % 19 == 0, "nowhere").otherwise(F.col("target_url")),
+        "priority": F.when(k % 23 == 0, 11).when(k % 29 == 0, F.lit(None)).otherwise(F.col("priority")).cast("int")})
+
+
+@query("db_checks_jobs", """SELECT count(*) FILTER (o_orderkey % 11 = 0) AS check_type, count(*) FILTER (o_orderkey % 13 = 0) AS check_status FROM orders""")
+def db_checks_jobs(spark, sf):
+    return V.count_violations(dirty_jobs(spark, sf), V.rules("check_job"))
+
+
+def _errors_sql(cases: dict[str, str], source: str) -> str:
+    listed = ", ".join(f"CASE WHEN {c} THEN '{m}' END" for m, c in cases.items())
+    return f"""SELECT id, array_to_string(errors, '; ') AS errors FROM (
+      SELECT id, list_filter([{listed}], lambda e: e IS NOT NULL) AS errors FROM ({source})) WHERE len(errors) > 0"""
+
+
+def _refused(rows: DataFrame, ruleset: str) -> DataFrame:
+    return V.split_valid(rows, V.rules(ruleset))[1].select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+_JOB_ROWS = "SELECT 'j' || o_orderkey AS id, o_orderkey AS k FROM orders"
+
+
+@query("validate_jobs", _errors_sql({"status: not one of queued, running, completed, failed": "k % 13 = 0", "attempts: negative": "k % 17 = 0"}, _JOB_ROWS))
+def validate_jobs(spark, sf):
+    return _refused(dirty_jobs(spark, sf), "write_job")
+
+
+@query("validate_jobs_strict", _errors_sql({"type: not one of navigation, category, product": "k % 11 = 0", "target_url: invalid url": "k % 19 = 0",
+                                            "priority: not in 1..10": "k % 23 = 0"}, _JOB_ROWS))
+def validate_jobs_strict(spark, sf):
+    return _refused(dirty_jobs(spark, sf), "strict_job")
+
+
+def dirty_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Scraped category (and navigation) rows, one per supplier, with faults planted by its key."""
+    k = F.col("s_suppkey")
+    return A.table(spark, sf, "supplier").select(
+        k.cast("string").alias("id"), F.when(k % 5 == 0, "").when(k % 5 == 1, F.repeat(F.lit("t"), 201)).otherwise(F.col("s_name")).alias("title"),
+        F.when(k % 7 == 0, "nowhere").otherwise(F.concat(F.lit(f"{SITE}/c/"), k.cast("string"))).alias("source_url"),
+        F.when(k % 11 == 0, -1).otherwise(3).alias("product_count"),
+        F.when(k % 13 == 0, "x").alias("navigation_id"), F.when(k % 13 == 0, "x").alias("parent_id"))
+
+
+_SUPPLIER_ROWS = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey AS k FROM supplier"
+_TITLE, _LONG, _URL = ({"title: required": "k % 5 = 0"}, {"title: longer than 200": "k % 5 = 1"}, {"source_url: invalid url": "k % 7 = 0"})
+_COUNT, _NAV, _PARENT = ({"product_count: negative": "k % 11 = 0"}, {"navigation_id: invalid uuid": "k % 13 = 0"},
+                         {"parent_id: invalid uuid": "k % 13 = 0"})
+
+
+@query("validate_categories", _errors_sql(_TITLE | _URL | _NAV | _COUNT, _SUPPLIER_ROWS))
+def validate_categories(spark, sf):
+    return _refused(dirty_categories(spark, sf), "write_category")
+
+
+@query("validate_categories_strict", _errors_sql(_TITLE | _LONG | _URL | _COUNT | _NAV, _SUPPLIER_ROWS))
+def validate_categories_strict(spark, sf):
+    return _refused(dirty_categories(spark, sf), "strict_category")
+
+
+@query("validate_navigation", _errors_sql(_TITLE | _URL | _PARENT, _SUPPLIER_ROWS))
+def validate_navigation(spark, sf):
+    return _refused(dirty_categories(spark, sf), "write_navigation")
+
+
+@query("validate_navigation_strict", _errors_sql(_TITLE | _LONG | _URL | _PARENT, _SUPPLIER_ROWS))
+def validate_navigation_strict(spark, sf):
+    return _refused(dirty_categories(spark, sf), "strict_navigation")
 
 
 @query("user_rules", """SELECT CAST(p_partkey AS VARCHAR) AS id, 'size: odd' AS error FROM part WHERE p_size % 2 = 1""")

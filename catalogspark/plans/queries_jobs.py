@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import jobs as J, merge as M, ratelimit as R
 from ..sources import adapters as A
-from ..sources.exports import append_rows
+from ..sources.exports import Snapshots, append_rows
 from ..session import scratch_path
 from . import ingest, sqlfuncs
 from .registry import query
@@ -68,12 +68,17 @@ def queue_health(spark, sf):
     return J.queue_health(A.scrape_job(spark, sf), A.as_of())
 
 
+# A moment in the midst of the jobs.
+_BUSY_TEXT = "1995-10-15 23:59:59"
+_BUSY = f"TIMESTAMP '{_BUSY_TEXT}'"
+
+
 @query("jobs_last_24h", jobs_sql(
     f"""SELECT completed, failed, coalesce(completed * 100.0 / nullif(completed + failed, 0), CAST(100.0 AS DOUBLE)) AS success_rate
     FROM (SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
-          FROM scrape_job WHERE completed_at >= {AS_OF} - INTERVAL 24 HOUR AND completed_at <= {AS_OF})"""))
+          FROM scrape_job WHERE completed_at >= {_BUSY} - INTERVAL 24 HOUR AND completed_at <= {_BUSY})"""))
 def jobs_last_24h(spark, sf):
-    return J.recent_outcomes(A.scrape_job(spark, sf), A.as_of())
+    return J.recent_outcomes(A.scrape_job(spark, sf), F.lit(_BUSY_TEXT).cast("timestamp"))
 
 
 # ---- dispatch, locks, retries -------------------------------------------------------------------------------
@@ -262,9 +267,13 @@ def jobs_oldest_n(spark, sf):
     return J.oldest(J.in_status(A.scrape_job(spark, sf), "queued", "failed"), 50).select("id", "status")
 
 
-@query("cleared_jobs", jobs_sql("SELECT id, status FROM scrape_job WHERE false"))
+@query("cleared_jobs", jobs_sql("SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM scrape_job"))
 def cleared_jobs(spark, sf):
-    return J.cleared(A.scrape_job(spark, sf)).select("id", "status")
+    """A published job table, before and after all its rows are deleted."""
+    store = Snapshots(spark, scratch_path(spark, "jobs"))
+    store.publish(A.scrape_job(spark, sf), 1)
+    after = J.clear(store)
+    return store.at(1).agg(F.count("*").alias("before")).withColumn("after", after.agg(F.count("*")).scalar())
 
 
 @query("user_processor", jobs_sql("SELECT id, type || ' done' AS outcome FROM scrape_job WHERE status = 'queued'"))

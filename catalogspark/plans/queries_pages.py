@@ -27,7 +27,7 @@ _UTILITY = "|".join(U.UTILITY_TITLES)
     f"""SELECT page_id, title, source_url FROM rows WHERE title <> '' AND NOT regexp_matches(title, '(?i){_UTILITY}')
     AND NOT contains(source_url, '#')""", links=_LINKS, rows=_LINK_ROWS))
 def page_links(spark, sf):
-    return E.navigation_links(E.parse_pages(A.page(spark, sf)), SITE_MENU).select("page_id", "title", "source_url")
+    return E.navigation_links(E.parse_pages(A.page(spark, sf), SITE_MENU), SITE_MENU).select("page_id", "title", "source_url")
 
 
 def _unescaped(sql: str) -> str:
@@ -50,12 +50,18 @@ def page_titles(spark, sf):
                          X.clean_text(E.first_text(nodes, ["title"])).alias("page_title"))
 
 
-@query("page_first_selector", r"""SELECT page_id, CASE WHEN contains(html, '<div class="ad">') THEN 'div' ELSE 'nav' END AS tag,
-  CAST(CASE WHEN contains(html, '<div class="ad">') THEN len(regexp_extract_all(html, '<div class="ad">'))
+@query("page_first_selector", r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'div' ELSE 'nav' END AS tag,
+  CAST(CASE page_id % 3 WHEN 0 THEN 2 WHEN 1 THEN len(regexp_extract_all(html, '<div class="ad">'))
     ELSE len(regexp_extract_all(html, '<nav>')) END AS INTEGER) AS hits FROM pages""")
 def page_first_selector(spark, sf):
-    hits = E.first_hit("nodes", [".missing a", "div.ad", "nav"])
-    return E.parse_pages(A.page(spark, sf)).select("page_id", F.get(hits, F.lit(0))["tag"].alias("tag"), F.size(hits).alias("hits"))
+    """A third of the pages has what the first selector wants, a third only what the second does, the others the last."""
+    selectors = [".offer section", "div.ad", "nav"]
+    hits = E.first_hit("nodes", selectors)
+    html, kind = F.col("html"), F.col("page_id") % 3
+    mixed = A.page(spark, sf).withColumn("html", F.when(kind == 0, F.concat(
+        F.lit('<div class="offer"><section>a</section><p><section>b</section></div>'), html)).when(kind == 2, F.replace(
+            html, F.lit('<div class="ad">'), F.lit("<div>"))).otherwise(html))
+    return E.parse_pages(mixed, selectors).select("page_id", F.get(hits, F.lit(0))["tag"].alias("tag"), F.size(hits).alias("hits"))
 
 
 @query("nav_ingest", with_views(
@@ -99,7 +105,7 @@ _CHAINS = f"""SELECT no, chain, page_no, page_no - row_number() OVER (PARTITION
       AS source_url, 'Brand ' || no AS title, CAST(sum(n) AS INTEGER) AS product_count FROM chains GROUP BY no, chain, island""",
     chains=_CHAINS))
 def category_ingest(spark, sf):
-    categories, _ = ingest.ingest_category(A.listing_page(spark, sf))
+    categories, _, _ = ingest.ingest_category(A.recrawled(A.listing_page(spark, sf)))
     return categories.select("source_url", "title", "product_count")
 
 
@@ -108,7 +114,7 @@ def category_ingest(spark, sf):
   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'Summary of ' || p_name END AS summary FROM part""")
 def listing_ingest(spark, sf):
     """Listing rows fill what the stored products lack, and take the id of their category."""
-    categories, chained = ingest.ingest_category(A.listing_page(spark, sf))
+    categories, chained, _ = ingest.ingest_category(A.recrawled(A.listing_page(spark, sf)))
     stored = M.upsert(A.category(spark, sf).limit(0), categories, "category", A.as_of(), ["title"]).drop("action")
     rows = ingest.listing_products(chained, stored)
     merged = M.upsert(A.product(spark, sf).withColumn("category_id", F.lit(None).cast("string")), rows, "product", A.as_of(),
@@ -141,22 +147,31 @@ def _detail_columns(df: DataFrame) -> DataFrame:
 @query("product_ingest", with_views("SELECT * EXCLUDE (k) FROM details WHERE k % 19 <> 0", details=_DETAILS))
 def product_ingest(spark, sf):
     """Detail pages merged into an empty product table; pages without title are refused."""
-    got = ingest.ingest_products(A.detail_page(spark, sf))
+    got = ingest.ingest_products(A.recrawled(A.detail_page(spark, sf)))
     return _detail_columns(M.upsert(A.product(spark, sf).limit(0), got.rows, "product", A.as_of(), ["title"]))
 
 
 @query("product_ingest_refused", with_views(
     "SELECT source_url, 'title: required' AS errors FROM details WHERE k % 19 = 0", details=_DETAILS))
 def product_ingest_refused(spark, sf):
-    refused = ingest.ingest_products(A.detail_page(spark, sf)).refused
+    refused = ingest.ingest_products(A.recrawled(A.detail_page(spark, sf))).refused
     return refused.select("source_url", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("product_ingest_strict", with_views("SELECT * EXCLUDE (k) FROM details WHERE k % 19 <> 0", details=_DETAILS))
+@query("product_ingest_strict", """SELECT count(*) AS pages, CAST(0 AS BIGINT) AS merged,
+  CASE WHEN count_if(p_partkey % 19 = 0) > 0 THEN 'refused' ELSE 'accepted' END AS verdict FROM part""")
 def product_ingest_strict(spark, sf):
-    """All-or-nothing: with the untitled pages among them the job would fail."""
-    titled = A.detail_page(spark, sf).filter(F.col("html").contains("<h1"))
-    return _detail_columns(ingest.ingest_products(titled, strict=True).rows)
+    """All-or-nothing over all pages: with untitled pages among them the job fails and nothing is merged."""
+    pages = A.detail_page(spark, sf)
+    rows = ingest.ingest_products(pages, strict=True).rows
+    try:
+        merged, verdict = rows.count(), "accepted"
+    except Exception as error:
+        if "validation failed" not in str(error):
+            raise
+        merged, verdict = 0, "refused"
+    return pages.agg(F.count("*").alias("pages")).select(
+        "pages", F.lit(merged).cast("long").alias("merged"), F.lit(verdict).alias("verdict"))
 
 
 # ---- urls -----------------------------------------------------------------------------------------------------
@@ -216,15 +231,20 @@ def url_normalised(spark, sf):
 
 
 @query("crawl_delay", """SELECT user_id, CAST(CASE user_id % 5 WHEN 0 THEN 10000 WHEN 1 THEN 10000 WHEN 2 THEN 1000 ELSE 2000 END AS INTEGER) AS delay,
-  CAST((CASE user_id % 5 WHEN 0 THEN user_id % 3 * 5000 < 10000 WHEN 1 THEN user_id % 3 * 5000 < 10000 WHEN 2 THEN user_id % 3 * 5000 < 1000
-    ELSE user_id % 3 * 5000 < 2000 END)::INT + (user_id % 6 > 3)::INT + (user_id % 5 >= 3)::INT AS INTEGER) AS warnings
-  FROM (SELECT DISTINCT user_id FROM events)""")
+  array_to_string(list_filter([
+    CASE WHEN user_id % 3 * 5000 < wanted THEN 'Crawl delay ' || user_id % 3 * 5000 || 'ms is less than recommended ' || wanted
+      || 'ms for user agent ' || agent END,
+    CASE WHEN user_id % 6 > 3 THEN 'High concurrency (' || user_id % 6 || ') may violate rate limiting policies' END,
+    CASE WHEN agent = '' THEN 'User agent should be specified' WHEN user_id % 5 = 3
+      THEN 'User agent should identify the scraper clearly and not impersonate a regular browser' END], lambda t: t IS NOT NULL), '; ') AS warnings
+  FROM (SELECT DISTINCT user_id, ['AhrefsBot/7', 'MJ12bot', 'Pinterestbot', 'Mozilla/5.0', ''][user_id % 5 + 1] AS agent,
+    [10000, 10000, 1000, 2000, 2000][user_id % 5 + 1] AS wanted FROM events)""")
 def crawl_delay(spark, sf):
     u = F.col("user_id")
     agents = F.array(*[F.lit(a) for a in ("AhrefsBot/7", "MJ12bot", "Pinterestbot", "Mozilla/5.0", "")])
     agent = F.element_at(agents, (u % 5 + 1).cast("int"))
     return A.table(spark, sf, "events").select("user_id").distinct().select(
-        "user_id", U.crawl_delay(agent).alias("delay"), F.size(U.crawl_warnings(agent, u % 3 * 5000, u % 6)).alias("warnings"))
+        "user_id", U.crawl_delay(agent).alias("delay"), F.array_join(U.crawl_warnings(agent, u % 3 * 5000, u % 6), "; ").alias("warnings"))
 
 
 @query("price_extract", f"""SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 1.0 ELSE {_LIST_PRICE} END AS price,
@@ -345,7 +365,7 @@ def composite_publish(spark, sf):
         return {"navigation": M.upsert(state["navigation"], menu, "navigation", A.as_of(), ["title"]).drop("action")}
 
     def merge_products(state):
-        rows = ingest.ingest_products(A.detail_page(spark, sf)).rows
+        rows = ingest.ingest_products(A.recrawled(A.detail_page(spark, sf))).rows
         return {"product": M.upsert(state["product"], rows, "product", A.as_of(), ["title"]).drop("action")}
 
     def recount(state):

@@ -16,9 +16,12 @@ from .views_sql import SITE, with_views
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # A stream source wants a folder or a glob; the table may be one file or a folder of files.
+    # A stream source wants a folder; the table may be one, or one file in the folder of all tables.
     path = f"{sf}/{name}.parquet"
-    return T.read_stream(prepare(spark), f"{path}*", spark.read.parquet(path).schema)
+    table = spark.read.parquet(path)
+    one_file = all(file.endswith(f"/{name}.parquet") for file in table.inputFiles())
+    folder, names = (sf, f"{name}.parquet") if one_file else (path, None)
+    return T.read_stream(prepare(spark), folder, table.schema, names=names)
 
 
 def stream_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,11 +45,12 @@ def stream_log_tail(spark, sf):
     return T.drain(T.log_tail(logs, "error", "queue"), "log-tail")
 
 
-@query("stream_late", """SELECT event_id % 11 > 5 AS late, count(*) AS n FROM events GROUP BY 1""")
+@query("stream_late", """SELECT event_id % 11 > 5 OR event_id % 13 = 0 AS late, count(*) AS n FROM events GROUP BY 1""")
 def stream_late(spark, sf):
-    """Events received up to ten minutes after they happened, split at the tolerance of five."""
+    """Events received up to ten minutes after they happened, some without a time, split at the tolerance of five."""
     received = stream_events(spark, sf).withColumn(
-        "received", F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 11).cast("int")))
+        "received", F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 11).cast("int"))).withColumn(
+        "ts", F.when(F.col("event_id") % 13 != 0, F.col("ts")))
     on_time, late = T.split_late(received, "received", "ts")
     rows = T.drain(on_time, "on-time").withColumn("late", F.lit(False)).unionByName(
         T.drain(late, "late").withColumn("late", F.lit(True)))

@@ -72,19 +72,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before costly per-row work.
-
-    An input large enough to fill all cores by file splits keeps its splits and is not shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    return df.repartition(cores) if estimated_bytes(df) < cores * split else df

@@ -197,6 +197,18 @@ def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit('</div><div class="pagination">'), link, F.lit("</div></body></html>")).alias("html"))
 
 
+def recrawled(pages: DataFrame) -> DataFrame:
+    """Pages as a crawl leaves them: every page, a third also with an older text, and for one in seven a broken page."""
+    pages = pages.select("page_id", "url", "html")
+    number = F.crc32(F.encode("url", "UTF-8"))
+    older = pages.filter(number % 3 == 0).withColumn("html", F.concat(
+        F.lit('<title>Old</title><div class="product-item"><a href="/products/gone">Gone</a></div><h1>Old</h1>'), F.col("html")))
+    broken = pages.filter(number % 7 == 0).withColumn("url", F.concat("url", F.lit("#broken"))).withColumn(
+        "html", F.concat(F.lit("<h1>Broken</h1><![foo bar]>"), F.col("html")))
+    return (pages.withColumn("fetched_at", F.lit(2)).unionByName(older.withColumn("fetched_at", F.lit(1)))
+            .unionByName(broken.withColumn("fetched_at", F.lit(2))))
+
+
 def category_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered overview pages: one per 100 suppliers, a card per supplier with its item count."""
     k = F.col("s_suppkey")

@@ -43,59 +43,6 @@ def json_field(text: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(F.try_parse_json(text), path, kind)
 
 
-# The sample rows of the stored tables (host names replaced by a neutral one).
-SEED_SITE = "https://shop.example.com/books"
-SEED_NAVIGATION = [
-    ("1", "Books", "", None),
-    ("2", "Fiction", "/fiction", "1"),
-    ("3", "Non-Fiction", "/non-fiction", "1"),
-    ("4", "Children's Books", "/childrens", "1"),
-    ("5", "Academic & Education", "/academic", "1"),
-    ("10", "Crime & Thriller", "/fiction/crime-thriller", "2"),
-    ("11", "Romance", "/fiction/romance", "2"),
-    ("12", "Science Fiction & Fantasy", "/fiction/sci-fi-fantasy", "2"),
-    ("13", "Literary Fiction", "/fiction/literary", "2"),
-    ("20", "Biography & Autobiography", "/non-fiction/biography", "3"),
-    ("21", "History", "/non-fiction/history", "3"),
-    ("22", "Science & Nature", "/non-fiction/science", "3"),
-    ("23", "Self-Help", "/non-fiction/self-help", "3"),
-]
-SEED_CATEGORY = [("1", "10", 1250), ("2", "11", 890), ("3", "12", 675), ("4", "13", 1100), ("5", "20", 450),
-                 ("6", "21", 780), ("7", "22", 320), ("8", "23", 290)]
-SEED_PRODUCT = [
-    ("1", "1", "The Thursday Murder Club", "/richard-osman/the-thursday-murder-club/9780241988268", "8.99",
-     {"author": "Richard Osman", "isbn": "9780241988268", "publisher": "Viking", "pages": "336"}),
-    ("2", "2", "It Ends with Us", "/colleen-hoover/it-ends-with-us/9781501110368", "9.99",
-     {"author": "Colleen Hoover", "isbn": "9781501110368", "publisher": "Atria Books", "pages": "384"}),
-    ("3", "3", "Dune", "/frank-herbert/dune/9780441172719", "12.99",
-     {"author": "Frank Herbert", "isbn": "9780441172719", "publisher": "Ace Books", "pages": "688"}),
-]
-SEED_JOB = [("1", "navigation", ""), ("2", "category", "/fiction/crime-thriller"),
-            ("3", "product", "/richard-osman/the-thursday-murder-club/9780241988268")]
-
-
-def seed_tables(spark: SparkSession, as_of: Column) -> dict[str, DataFrame]:
-    """The sample navigation, category, product and scrape_job rows."""
-    def stored(df: DataFrame, schema: StructType, table: str) -> DataFrame:
-        filled = {f.name: F.col(f.name) if f.name in df.columns else F.lit(None) for f in schema}
-        filled |= {c: as_of for c in ("last_scraped_at", "created_at", "updated_at") if c in filled}
-        return S.with_defaults(df.select(*[filled[f.name].cast(f.dataType).alias(f.name) for f in schema]), table)
-
-    site = lambda df: df.withColumn("source_url", F.concat(F.lit(SEED_SITE), "source_url"))
-    nav = spark.createDataFrame(SEED_NAVIGATION, "id string, title string, source_url string, parent_id string")
-    place = {row[0]: row for row in SEED_NAVIGATION}
-    cat = spark.createDataFrame([(i, n, place[n][1], place[n][2], c) for i, n, c in SEED_CATEGORY],
-                                "id string, navigation_id string, title string, source_url string, product_count int")
-    prod = spark.createDataFrame(
-        SEED_PRODUCT, "id string, category_id string, title string, source_url string, price string, "
-                      "specs map<string,string>")
-    job = spark.createDataFrame([(i, t, SEED_SITE + u, "completed", 1) for i, t, u in SEED_JOB],
-                                "id string, type string, target_url string, status string, attempts int")
-    return {"navigation": stored(site(nav), S.NAVIGATION, "navigation"),
-            "category": stored(site(cat), S.CATEGORY, "category"),
-            "product": stored(site(prod), S.PRODUCT, "product"), "scrape_job": stored(job, S.SCRAPE_JOB, "scrape_job")}
-
-
 def synthetic_products(ids: DataFrame, site: str) -> DataFrame:
     """One made-up product per value of `id` (counted from 0), e.g. spark.range(n).
 

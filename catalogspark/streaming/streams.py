@@ -16,8 +16,11 @@ from ..sources.exports import Snapshots
 TOLERANCE = "5 minutes"
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 64,
+                names: str | None = None) -> DataFrame:
+    """The files of a folder as a stream; `names` is a pattern that their names must match."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt)
+    return (reader.option("pathGlobFilter", names) if names else reader).load(path)
 
 
 def drain(stream: DataFrame, purpose: str) -> DataFrame:
@@ -61,8 +64,8 @@ def log_tail(logs: DataFrame, level: str | None = None, component: str | None =
 
 
 def split_late(events: DataFrame, received: str, sent: str, window_ms: int = 300_000) -> tuple[DataFrame, DataFrame]:
-    """Rows received within the tolerance, and the side output of the others."""
-    ok = within_tolerance(F.unix_millis(received), F.unix_millis(sent), window_ms)
+    """Rows received within the tolerance, and the side output of the others, rows without a time among them."""
+    ok = F.coalesce(within_tolerance(F.unix_millis(received), F.unix_millis(sent), window_ms), F.lit(False))
     return events.filter(ok), events.filter(~ok)
 
 

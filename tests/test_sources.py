@@ -10,15 +10,6 @@ from catalogspark.session import scratch_path
 from catalogspark.sources import exports as X, tables as R
 
 
-def test_seed_rows(spark):
-    seed = R.seed_tables(spark, F.lit("2024-01-01").cast("timestamp"))
-    assert {name: df.count() for name, df in seed.items()} == {"navigation": 13, "category": 8, "product": 3, "scrape_job": 3}
-    assert [(f.name, f.dataType) for f in seed["product"].schema] == [(f.name, f.dataType) for f in S.PRODUCT]
-    depths = {r.depth: r.n for r in T.hierarchy(seed["navigation"]).groupBy("depth").agg(F.count("*").alias("n")).collect()}
-    assert depths == {0: 1, 1: 4, 2: 8}
-    assert seed["product"].first().currency == "GBP"
-
-
 def test_synthetic_products(spark):
     made = R.synthetic_products(spark.range(100), "https://e.com")
     again = R.synthetic_products(spark.range(100).repartition(7), "https://e.com")
