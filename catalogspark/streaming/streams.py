@@ -145,23 +145,38 @@ def upsert_stream(stream: DataFrame, store: Snapshots, table: str, as_of: Column
     query.awaitTermination()
 
 
+def _set_late_apart(rows: DataFrame, ts_ms: str, watermark: DataFrame, path: str) -> DataFrame:
+    """The rows not behind the watermark (a frame of one value, null before the first batch); the others are written."""
+    late = F.coalesce(F.col(ts_ms) < watermark.scalar(), F.lit(False))
+    rows.filter(late).write.mode("overwrite").parquet(path)
+    return rows.filter(~late)
+
+
 def rate_limit_stream(requests: DataFrame, store: Snapshots, verdicts: str, per_minute: int = R.PER_MINUTE,
-                      per_hour: int = R.PER_HOUR) -> None:
+                      per_hour: int = R.PER_HOUR, delay_ms: int = 300_000) -> None:
     """Sliding-log limit on a stream of requests(key, ts_ms, request_id) that comes in time order.
 
     What a key must remember is its accepted requests of the last hour, at most `per_hour`.  They are
     kept as a snapshot and put before each micro-batch, which the batch operator then judges: denied
     requests do not count, so judging the accepted ones again accepts them again.
+
+    The watermark is `delay_ms` behind the newest accepted request of any key.  What is older than an hour before it is
+    forgotten, so keys that do not come back leave the state; requests behind it are not judged but written beside the
+    verdicts, under "-late".
     """
     def judge(batch: DataFrame, batch_id: int) -> None:
         past = store.read(before=batch_id)
         rows = batch.select("key", "ts_ms", "request_id").withColumn("_new", F.lit(True))
         if past is not None:
+            rows = _set_late_apart(rows, "ts_ms", past.agg(F.max("ts_ms") - delay_ms), f"{verdicts}-late/b={batch_id}")
             rows = rows.unionByName(past.withColumn("_new", F.lit(False)))
         R.sliding_log(rows, per_minute, per_hour).write.mode("overwrite").parquet(f"{verdicts}/b={batch_id}")
         judged = batch.sparkSession.read.parquet(f"{verdicts}/b={batch_id}")
         ends = judged.groupBy("key").agg(F.max("ts_ms").alias("_end"))
-        kept = judged.filter("allowed").join(ends, "key").filter(F.col("ts_ms") > F.col("_end") - R.HOUR_MS)
+        accepted = judged.filter("allowed")
+        newest = accepted.agg(F.max("ts_ms")).scalar()
+        kept = accepted.join(ends, "key").filter(
+            (F.col("ts_ms") > F.col("_end") - R.HOUR_MS) & (F.col("ts_ms") > newest - delay_ms - R.HOUR_MS))
         store.publish(kept.select("key", "ts_ms", "request_id"), batch_id)
 
     query = (requests.writeStream.foreachBatch(judge)
@@ -175,12 +190,17 @@ def fixed_minute_stream(requests: DataFrame, store: Snapshots, verdicts: str, li
     """Clock-minute limit on a stream of requests(key, ts_ms, request_id).
 
     The state is one count per client and minute, kept for the tolerated delay; a request's position
-    is its position in the micro-batch after those already counted in its minute.
+    is its position in the micro-batch after those already counted in its minute.  The watermark is
+    `keep_minutes` behind the newest minute counted before the micro-batch: minutes behind it are
+    forgotten, and requests in them are not judged but written beside the verdicts, under "-late".
     """
     minute = F.floor(F.col("ts_ms") / R.MINUTE_MS).alias("minute")
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         counted = store.read(before=batch_id)
+        if counted is not None:
+            batch = _set_late_apart(batch.select("key", "ts_ms", "request_id"), "ts_ms",
+                                    counted.agg((F.max("minute") - keep_minutes) * R.MINUTE_MS), f"{verdicts}-late/b={batch_id}")
         placed = R.fixed_minute(batch.select("key", "ts_ms", "request_id"), limit).select("*", minute)
         if counted is not None:
             placed = placed.join(counted, ["key", "minute"], "left").withColumn(

@@ -73,6 +73,51 @@ def test_fixed_minute(spark, split):
     assert rows(got, "request_id", "position", "allowed") == rows(want, "request_id", "position", "allowed")
 
 
+MINUTES = [[(20, 1), (20, 2)], [(5, 3), (5, 4), (18, 5), (18, 6)], [(18, 7), (5, 8)], [(90, 9)], [(20, 10), (88, 11)]]
+
+
+def _in_files(spark, groups):
+    """A stream whose micro-batches are the groups of (minute, request_id), in this order."""
+    import time
+
+    path = scratch_path(spark, "files")
+    schema = "key string, ts_ms long, request_id long"
+    for group in groups:
+        rows = [("k", m * 60_000 + r, r) for m, r in group]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # the file source goes by the time of the files
+    return T.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+
+
+def test_fixed_minute_sets_late_requests_apart(spark):
+    root = scratch_path(spark, "t")
+    store = Snapshots(spark, f"{root}/counts")
+    T.fixed_minute_stream(_in_files(spark, MINUTES), store, f"{root}/verdicts", 2)
+    got = {r.request_id: (r.position, r.allowed) for r in spark.read.parquet(f"{root}/verdicts/*").collect()}
+    # Minute 18 was within the delay, and its third request is denied; minute 5, and 20 after 90, are late.
+    assert got == {1: (1, True), 2: (2, True), 5: (1, True), 6: (2, True), 7: (3, False), 9: (1, True), 11: (1, True)}
+    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts-late/*").collect()} == {3, 4, 8, 10}
+    assert store.read().count() == 2
+
+
+def test_sliding_limit_forgets_keys_that_do_not_return(spark):
+    root = scratch_path(spark, "t")
+    store = Snapshots(spark, f"{root}/accepted")
+    groups = [[(m, m)] for m in (0, 500, 1000, 996, 400)]
+    keyed = _in_files(spark, groups).withColumn("key", F.concat(F.lit("k"), F.col("request_id").cast("string")))
+    T.rate_limit_stream(keyed, store, f"{root}/verdicts", 1, 2)
+    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts/*").filter("_new AND allowed").collect()} == {0, 500, 1000, 996}
+    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts-late/*").collect()} == {400}
+    assert {r.request_id for r in store.read().collect()} == {1000, 996}
+
+
+def test_split_keeps_rows_without_a_time(spark):
+    rows = spark.createDataFrame([(1, 10_000, 9_000), (2, None, 9_000), (3, 900_000, 9_000)], "id int, r long, s long").select(
+        "id", F.timestamp_millis("r").alias("r"), F.timestamp_millis("s").alias("s"))
+    on_time, late = T.split_late(rows, "r", "s")
+    assert [r.id for r in on_time.collect()] == [1] and sorted(r.id for r in late.collect()) == [2, 3]
+
+
 def test_stream_without_rows(spark, split):
     events, stream = split
     got = T.drain_updates(T.sessions_by_id(stream().filter("false").select(
