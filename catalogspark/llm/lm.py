@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import scratch_path, written
 from .common import cores
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000  # a task needs about 150 bytes for each
 SLICE_BYTES = 64 << 20     # text per slice of keys; small inputs have eight slices per core
 FOLDS, HELD_OUT = 7, 2     # documents whose crc32(doc_id) mod 7 is 2 are not learned from
 DEV = 10                   # one training document in ten is deleted from the counts that the weights are learned by
@@ -133,7 +133,7 @@ class Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
         stops = self.starts + words
         # What is predicted: the words, then an end.  What it is predicted from: a start, then the words.
-        self.word = np.full(self.lengths.sum(), end, "i8")
+        self.word = np.full(self.lengths.sum(), end, "i4")
         inside = np.ones(len(self.word), bool)
         inside[stops] = False
         self.word[inside] = tokens
@@ -142,7 +142,9 @@ class Block:
         self.before[self.starts] = end + 1
         self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
         self.dev = np.repeat(np.array(row["dev"], bool), self.lengths)
-        pairs, self.pair = np.unique(self.before * n + self.word, return_inverse=True)
+        pairs, pair = np.unique(self.before.astype("i8") * n + self.word, return_inverse=True)
+        self.pair = pair.astype("i4")
+        del pair
         ones = vocabulary * np.uint64(0x9E3779B97F4A7C15)
         single = _spread(ones) | np.uint64(1)
         single[-1] &= ~np.uint64(1)  # the start is no word
