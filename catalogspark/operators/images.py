@@ -53,9 +53,13 @@ def image_facts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def read_blobs(spark, path: str) -> DataFrame:
     """Image files as url, length, content; the url is the file's path.
 
-    The file source skips empty files, so such an image ends like one that was not downloaded.
+    The file source skips empty files, so such an image ends like one that was not downloaded.  Files above the guard are
+    listed without being read: the source takes the limit on the length as a filter.
     """
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "length", "content")
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= MAX_BYTES).select(F.col("path").alias("url"), "length", "content")
+    large = files.filter(F.col("length") > MAX_BYTES).select(F.col("path").alias("url"), "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def inspect(blobs: DataFrame, public_url: str) -> DataFrame:
@@ -96,10 +100,10 @@ def image_results(links: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def rejoin(results: DataFrame) -> DataFrame:
-    """Per product the public urls of its good images in their order; bounded by the product's own list."""
+    """Per product the public urls of its good images in their order, and whether all were good; bounded by its own list."""
     kept = F.collect_list(F.when(F.col("success"), F.struct("position", "public_url")))
-    return (results.groupBy("product_id").agg(F.sort_array(kept).alias("_urls"))
-            .select("product_id", F.transform("_urls", lambda u: u["public_url"]).alias("image_urls")))
+    return (results.groupBy("product_id").agg(F.sort_array(kept).alias("_urls"), F.bool_and("success").alias("complete"))
+            .select("product_id", F.transform("_urls", lambda u: u["public_url"]).alias("image_urls"), "complete"))
 
 
 def image_stats(results: DataFrame) -> DataFrame:

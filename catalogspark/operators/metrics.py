@@ -71,6 +71,19 @@ def top_errors(logs: DataFrame, k: int = 5) -> DataFrame:
     return top_k(logs.filter("level = 'error'"), "message", k)
 
 
+def log_overview(logs: DataFrame, as_of: Column, hours: int = 24, k: int = 5) -> DataFrame:
+    """One row: total, first and last timestamp, rows and errors of the last hours, and the k most frequent error texts.
+
+    Messages are counted before the few that are kept are gathered.
+    """
+    recent = (F.col("timestamp") > as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col("timestamp") <= as_of)
+    rows = logs.agg(F.count(F.lit(1)).alias("total"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"),
+                    F.count_if(recent).alias("recent"), F.count_if(recent & (F.col("level") == "error")).alias("recent_errors"))
+    most = top_errors(logs, k).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "message"))),
+                                               lambda t: F.struct(t["message"].alias("message"), (-t["n"]).alias("count"))).alias("top"))
+    return rows.withColumn("top_errors", most.scalar())
+
+
 def http_requests(access: DataFrame) -> DataFrame:
     """Finished requests of an access log, per method and status."""
     return (access.filter(F.col("message") == "Request completed").groupBy("method", "statusCode")

@@ -89,6 +89,19 @@ def log_stats(spark, sf):
     return M.log_stats(A.log(spark, sf))
 
 
+@query("log_overview", views(
+    """SELECT count(*) AS total, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last_at,
+      count(*) FILTER (timestamp > TIMESTAMP '2024-01-19 00:00:00' AND timestamp <= TIMESTAMP '2024-01-20 00:00:00') AS recent,
+      count(*) FILTER (level = 'error' AND timestamp > TIMESTAMP '2024-01-19 00:00:00' AND timestamp <= TIMESTAMP '2024-01-20 00:00:00') AS recent_errors,
+      (SELECT string_agg(m || '=' || n, ';' ORDER BY n DESC, m) FROM (SELECT message || metadata AS m, count(*) AS n FROM log
+        WHERE level = 'error' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)) AS top_errors FROM log""", "log"))
+def log_overview(spark, sf):
+    rows = M.log_overview(A.log(spark, sf).withColumn("message", F.concat("message", "metadata")), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("total", stamp("first_at"), stamp("last_at"), "recent", "recent_errors", F.array_join(
+        F.transform("top_errors", lambda t: F.concat(t["message"], F.lit("="), t["count"].cast("string"))), ";").alias("top_errors"))
+
+
 @query("top_errors", views(
     """SELECT message, count(*) AS count FROM (SELECT message || metadata AS message, level FROM log) WHERE level = 'error'
     GROUP BY message ORDER BY count DESC, message LIMIT 5""", "log"))

@@ -313,11 +313,15 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT CAST(k AS VARCHAR) AS product_id, CAST(i - 1 AS INTEGER) AS position, ok AS success, CASE WHEN ok THEN format END AS format,
       CASE WHEN ok THEN CAST(k % 500 + 10 AS INTEGER) END AS width, CASE WHEN ok THEN CAST(i + 20 AS INTEGER) END AS height,
       CASE WHEN k % 7 = 0 THEN 'Failed to download image' WHEN k % 11 = 0 THEN 'Empty image data received' WHEN k % 5 = 4 THEN 'Unsupported format' END
-      AS error FROM images""", images=_IMAGES))
+      AS error, ok AS keyed, ok AS published FROM images""", images=_IMAGES))
 def image_inventory(spark, sf):
-    return _results(spark, sf).select(
+    """The manifest: the object key is the digest of the bytes with the format, the public url is its place."""
+    rows = _results(spark, sf)
+    key = F.concat(F.lit(r"^products/[0-9a-f]{64}\."), F.coalesce("format", F.lit("-")), F.lit("$"))
+    return rows.select(
         "product_id", "position", "success", "format", F.col("dimensions.width").alias("width"),
-        F.col("dimensions.height").alias("height"), "error")
+        F.col("dimensions.height").alias("height"), "error", F.coalesce(F.rlike("object_key", key), F.lit(False)).alias("keyed"),
+        F.coalesce(F.col("public_url") == F.concat(F.lit(PUBLIC_URL.rstrip("/") + "/"), "object_key"), F.lit(False)).alias("published"))
 
 
 @query("image_stats", with_views(
@@ -332,15 +336,12 @@ def image_stats(spark, sf):
 
 @query("image_rejoin", with_views(
     """SELECT CAST(k AS VARCHAR) AS product_id, CAST(count(*) FILTER (ok) AS INTEGER) AS images,
-      bool_and(ok) AS complete FROM images GROUP BY k""", images=_IMAGES))
+      coalesce(string_agg(format, ',' ORDER BY i) FILTER (ok), '') AS formats, bool_and(ok) AS complete FROM images GROUP BY k""", images=_IMAGES))
 def image_rejoin(spark, sf):
-    """Per product the public urls of its good images, beside whether all of them were good."""
-    results = _results(spark, sf)
-    good, bad = I.split_results(results)
-    urls = I.rejoin(results)
-    failed = bad.select("product_id").distinct().withColumn("_failed", F.lit(True))
-    return urls.join(failed, "product_id", "left").select(
-        "product_id", F.size("image_urls").alias("images"), F.col("_failed").isNull().alias("complete"))
+    """Per product the public urls of its good images (shown by their formats, in order), and whether all were good."""
+    formats = F.transform("image_urls", lambda u: F.regexp_extract(u, r"\.([a-z]+)$", 1))
+    return I.rejoin(_results(spark, sf)).select(
+        "product_id", F.size("image_urls").alias("images"), F.array_join(formats, ",").alias("formats"), "complete")
 
 
 # ---- composite write ---------------------------------------------------------------------------------------------------
