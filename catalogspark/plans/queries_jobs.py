@@ -287,21 +287,25 @@ def user_processor(spark, sf):
 
 @query("sql_functions", jobs_sql(
     f"""SELECT 'stats' AS kind, status AS id, count(*) AS n FROM scrape_job GROUP BY status
-    UNION ALL SELECT 'claim', id, priority FROM (SELECT id, priority FROM scrape_job WHERE status = 'queued'
+    UNION ALL SELECT 'claim w1', id, priority FROM (SELECT id, priority FROM scrape_job WHERE status = 'queued'
       OR (status = 'running' AND locked_at < {AS_OF} - INTERVAL 15 MINUTE) ORDER BY priority DESC, created_at, id LIMIT 10)
     UNION ALL SELECT 'retry', id, attempts FROM (SELECT id, attempts FROM scrape_job WHERE status = 'failed'
       AND attempts < max_attempts ORDER BY updated_at, id LIMIT 20)
     UNION ALL SELECT 'health', 'expired', count(*) FROM scrape_job WHERE status = 'running'
-      AND locked_at < {AS_OF} - INTERVAL 10 MINUTE"""))
+      AND locked_at < {AS_OF} - INTERVAL 10 MINUTE
+    UNION ALL SELECT 'health', 'queued s', CAST(epoch({AS_OF}) - epoch(min(created_at)) AS BIGINT) FROM scrape_job WHERE status = 'queued'
+    UNION ALL SELECT 'health', 'running s', CAST(epoch({AS_OF}) - epoch(min(locked_at)) AS BIGINT) FROM scrape_job WHERE status = 'running'"""))
 def sql_functions(spark, sf):
     A.scrape_job(spark, sf).createOrReplaceTempView("catalog_jobs")
     sqlfuncs.register(spark, "catalog_jobs", A.AS_OF)
     return spark.sql("""
         SELECT 'stats' AS kind, status AS id, count AS n FROM get_queue_stats()
-        UNION ALL (SELECT 'claim', id, CAST(priority AS BIGINT) FROM claimable_jobs(15)
+        UNION ALL (SELECT 'claim ' || locked_by, id, CAST(priority AS BIGINT) FROM claimable_jobs('w1', 15)
                    ORDER BY priority DESC, created_at, id LIMIT 10)
         UNION ALL (SELECT 'retry', id, CAST(attempts AS BIGINT) FROM get_retryable_jobs() ORDER BY updated_at, id LIMIT 20)
-        UNION ALL SELECT 'health', 'expired', expired_locks FROM get_queue_health()""")
+        UNION ALL SELECT 'health', 'expired', expired_locks FROM get_queue_health()
+        UNION ALL SELECT 'health', 'queued s', oldest_queued_s FROM get_queue_health()
+        UNION ALL SELECT 'health', 'running s', oldest_running_s FROM get_queue_health()""")
 
 
 # ---- rate limits -------------------------------------------------------------------------------------------------
