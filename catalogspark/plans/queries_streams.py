@@ -127,7 +127,7 @@ def stream_job_fold(spark, sf):
         JOIN orders o ON f.job_id = 'j' || o.o_orderkey)) GROUP BY status""")
 def stream_job_locks(spark, sf):
     """The folded jobs at a moment: locks that have outlived their time are back in the queue."""
-    folded = T.fold_jobs(job_events(A.table(spark, sf, "orders")))
+    folded = T.drain_updates(T.fold_jobs(job_events(stream_table(spark, sf, "orders"))), "job-locks", ["job_id"])
     return T.folded_at(folded, F.lit("1998-06-01 00:00:00").cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
