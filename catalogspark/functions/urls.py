@@ -19,7 +19,7 @@ DISALLOWED_PATTERNS = [
     r"/orders",
     r"/checkouts?/",
     r"/checkout$",
-    r"/78440726801/(checkouts|orders)",
+    r"/\d{6,}/(checkouts|orders)",
     r"/carts",
     r"/account",
     r"/collections/.*sort_by",

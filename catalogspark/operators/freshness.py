@@ -65,6 +65,7 @@ def cache_trend(samples: DataFrame, ts: str = "ts") -> DataFrame:
 def cache_recommendations(stats: DataFrame, trend: DataFrame) -> DataFrame:
     """The current statistics (one row) with both trends and the texts of the rules that fire."""
     both = stats.withColumns({c: trend.select(c).scalar() for c in trend.columns})
+    # The texts of the rules.
     rules = [
         (F.col("hit_rate") < 50, "Consider increasing cache TTL values to improve hit rate"),
         (F.col("stale_rate") > 30, "High stale rate detected - consider more frequent cache warming"),

@@ -128,6 +128,7 @@ def performance_report(scraping: DataFrame, queue: DataFrame, memory_percent: fl
     """Scraping metrics (one row) beside queue totals (one row), with the texts of the rules that fire."""
     q = lambda name: F.col(f"_q.{name}")
     active = q("queued") + q("running") + q("completed")
+    # The texts of the rules.
     rules = [
         (F.col("success_rate") < LOW_SUCCESS, "Consider investigating frequent job failures"),
         (F.col("average_scraping_time") > SLOW_JOB_MS,

@@ -288,6 +288,7 @@ def test_cache_health_levels(spark):
 
 
 def test_image_statistics(spark):
+    # A golden case of the image statistics.
     rows = [(True, 1000, "jpeg"), (True, 2000, "png"), (True, 3000, "jpeg"), (False, None, None)]
     row = Im.image_stats(spark.createDataFrame(rows, "success boolean, size bigint, format string")).first()
     assert (row.total_processed, row.successful, row.failed, row.total_size, row.average_size, row.format_jpeg, row.format_png) == (4, 3, 1, 6000, 2000, 2, 1)
