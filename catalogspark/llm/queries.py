@@ -101,7 +101,44 @@ def op6(spark, sf):
     return lm.score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("op7_quality_rules")
+_RULES_SQL = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+k AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS window5,
+  unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, window5) AS n FROM k),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, range(0, 5) AS o(j) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks,
+  length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  [{'rule': 'duplicate_line_share', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END},
+   {'rule': 'mark_share', 'v': CASE WHEN word_chars > 0 THEN n_marks / word_chars ELSE 0.0 END},
+   {'rule': 'mean_word_chars', 'v': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END},
+   {'rule': 'repeat_share', 'v': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END},
+   {'rule': 'symbol_share', 'v': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END},
+   {'rule': 'upper_share', 'v': CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0.0 END}] AS measures FROM m),
+l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT lang, x.rule, x.v, quality = 1 AND toxic = 0 AS good, quality = 0 AS bad
+  FROM (SELECT doc_id, lang, unnest(measures) AS x FROM b) JOIN l USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+cuts AS (SELECT rule, unnest(cuts) AS cutoff FROM (VALUES ??) AS v(rule, cuts)),
+n AS (SELECT lang, cuts.rule, cutoff, count(*) FILTER (good) AS good, count(*) FILTER (good AND v > cutoff) AS lost, count(*) FILTER (bad AND v > cutoff) AS won
+  FROM x JOIN cuts ON x.rule = cuts.rule GROUP BY ALL),
+p AS (SELECT *, count(*) OVER () AS tests, CASE WHEN good > 0 AND lost <= good * ?rate THEN list_sum(list_transform(range(0, lost + 1), lambda i:
+    exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(?rate) + (good - i) * ln(1 - ?rate)))) ELSE 1.0 END AS p FROM n),
+best AS (SELECT lang, rule, arg_max(cutoff, (won - lost) * 1e6 + cutoff) AS cutoff FROM p WHERE p <= ?level / tests AND won > lost GROUP BY lang, rule),
+f AS (SELECT doc_id, min(best.rule) AS failed_rule FROM (SELECT doc_id, lang, unnest(measures) AS x FROM b) u
+  JOIN best ON best.lang IS NOT DISTINCT FROM u.lang AND best.rule = u.x.rule AND u.x.v > best.cutoff GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule
+FROM b LEFT JOIN f ON f.doc_id = b.doc_id"""
+_RULES_SQL = _RULES_SQL.replace("??", ", ".join(f"('{rule}', {[float(c) for c in cuts]})" for rule, cuts in rules.CUTOFFS.items())) \
+    .replace("?rate", repr(rules.FALSE_REJECTION / len(rules.CUTOFFS))).replace("?level", repr(1 - rules.CONFIDENCE))
+
+
+@query("op7_quality_rules", _RULES_SQL)
 def op7(spark, sf):
     judged = rules.judge(table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
