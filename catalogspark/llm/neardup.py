@@ -130,7 +130,8 @@ def signatures(docs: DataFrame, width: int = WORDS, rows: int = ROWS, bands: int
         .mapInArrow(work, SIGNATURES)
 
 
-COMPARED = "hub long, node long, hub_size int, size int, different int, first array<long>, linked boolean"
+COMPARED = ("hub long, node long, hub_size int, size int, different int, first array<long>, b0 long, b1 long, b2 long, b3 long, "
+            "linked boolean")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -156,13 +157,17 @@ def _compare(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
                 added, missing = np.setdiff1d(found, base, True), np.setdiff1d(base, found, True)
                 common, differ = len(found) - len(added), len(added) + len(missing)
                 # The order of elements is the same for all classes of a hub: by hash, what the hub lacks before the rest.
-                first = np.concatenate([added, missing]).view("i8")
-                out.append((hub, node, len(base), len(found), differ, first,
+                first = np.concatenate([added, missing])
+                marks = np.zeros(256, bool)
+                marks[(first >> np.uint64(56)).astype("i8")] = True
+                out.append((hub, node, len(base), len(found), differ, first.view("i8"),
+                            *np.packbits(marks, bitorder="little").view("<i8").tolist(),
                             100 * common >= percent * (common + differ)))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()),
+                         *[pa.int64()] * 4, pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[
-                    "hub", "node", "hub_size", "size", "different", "first", "linked"])
+                    "hub", "node", "hub_size", "size", "different", "first", "b0", "b1", "b2", "b3", "linked"])
 
     return members.unionByName(hubs).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "part") \
         .select("hub", "part", "node", "text").mapInArrow(work, COMPARED)
@@ -231,7 +236,9 @@ def _rest(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     x and y are similar enough if their sets differ in at most k * (|x| + |y|) elements, k = (100 - percent) /
     (100 + percent), so if their Ds overlap in at least o = (|Dx| + |Dy| - k * (|x| + |y|)) / 2.  Take the first common
-    element of both Ds in the common order: no more than what follows it can be common, which bounds its positions.
+    element of both Ds in the common order: no more than what follows it can be common, which bounds its positions.  Each
+    D also has a bit for the first eight bits of each element: it has no more elements in common with another than bits,
+    plus those of its own that share a bit, which turns away nearly all pairs that can't be links before they are made.
     """
     k = (100 - percent) / (100 + percent)
     label = labels.select(F.col("node").alias("_n"), "label")
@@ -245,17 +252,22 @@ def _rest(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     # The longest start of D that can hold the first common element, whatever the other class.
     longest = F.least(F.col("different"), (F.floor(F.lit(k * (1 + 100 / percent)) * F.col("size")) + 1).cast("int"))
+    own_bits = sum((F.bit_count(f"b{n}") for n in range(1, 4)), F.bit_count("b0"))
     starts = rows.where("different > 0").select(
-        "hub", "node", "size", "different", "label", "outside",
+        "hub", "node", "size", "different", "label", "outside", "b0", "b1", "b2", "b3",
+        (F.col("different") - own_bits).alias("doubled"),
         F.posexplode(F.slice("first", F.lit(1), longest)).alias("pos", "element"))
     x, y = starts.alias("x"), starts.alias("y")
     need = (F.col("x.different") + F.col("y.different") - k * (F.col("x.size") + F.col("y.size"))) / 2 - 1e-9
+    same_bits = sum((F.bit_count(F.col(f"x.b{n}").bitwiseAND(F.col(f"y.b{n}"))) for n in range(1, 4)),
+                    F.bit_count(F.col("x.b0").bitwiseAND(F.col("y.b0"))))
     close = (
         (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label"))
         # Each pair once: from the outside class, and between two of them from the smaller id.
         & F.col("x.outside") & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        & (F.least(F.col("x.different") - F.col("x.pos"), F.col("y.different") - F.col("y.pos")) >= need))
+        & (F.least(F.col("x.different") - F.col("x.pos"), F.col("y.different") - F.col("y.pos")) >= need)
+        & (same_bits + F.least("x.doubled", "y.doubled") >= need))
     found = x.join(y, close).select(F.col("x.hub").alias("hub"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     one = rows.select("hub", F.col("node").alias("a"), F.col("first").alias("fa"), F.col("size").alias("sa"))
     two = rows.select("hub", F.col("node").alias("b"), F.col("first").alias("fb"), F.col("size").alias("sb"))
