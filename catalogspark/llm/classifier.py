@@ -37,7 +37,7 @@ class _Features(dict):
         shapes = (bool(_SYMBOL.search(word)), len(word) > 1 and word.isupper(), word.endswith(("!!", "??", "..")),
                   any(c.isdigit() for c in word), len(word) > 20, "://" in word or "@" in word, not bare)
         value = (crc32(b"w" + bare.encode()) & ((1 << BITS) - 1) if bare else -1, tuple(k for k, on in enumerate(shapes) if on))
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         if len(word) <= 48:
             self[word] = value
@@ -118,7 +118,8 @@ def fit_rows(rows: list[tuple[int, object]], seed: int = 7):
 
     if len({grade for grade, _ in rows}) < 2:
         return np.empty(0, "i4"), np.empty(0, "f8"), [-20.0 + k for k in range(GRADES - 1)]
-    flat, of = np.concatenate([f for _, f in rows]), np.repeat([g for g, _ in rows], [len(f) for _, f in rows])
+    flat = np.concatenate([f for _, f in rows])
+    of = np.repeat(np.array([g for g, _ in rows], "i1"), [len(f) for _, f in rows])
     docs = np.bincount(flat, minlength=1 << BITS)
     useful = np.zeros(1 << BITS, bool)
     for k in range(GRADES - 1):  # most words say nothing; with weights of their own they would only learn documents by heart

@@ -58,7 +58,7 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 
 # Encoders of this Python worker, by file; a worker serves many tasks.
 _ENCODERS: dict[tuple[str, str], object] = {}
-CACHED_WORDS = 400_000   # entries of a word table before it makes way for a new one
+CACHED_WORDS = 200_000   # entries of a word table before it makes way for a new one; workers keep several tables
 CACHED_LENGTH = 48       # longer chunks are not kept
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

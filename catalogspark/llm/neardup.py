@@ -35,7 +35,7 @@ class _Known(dict):
         from xxhash import xxh64_intdigest
 
         value = xxh64_intdigest(word)
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value
         return value
