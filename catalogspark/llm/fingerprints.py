@@ -1,10 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs, in DataFrame functions only.
 
-A paragraph here is what stands between line ends and sentence marks; it is hashed to 64 bits.  A sketch has three tables
-of cells; each digest is added to one cell of each table: a count, the digests' exclusive or, and that of their checks.
+A paragraph here is a line, cut after sentence marks into passages of at least a hundred characters, so that an edit
+touches the rest of its line at most; it is hashed to 64 bits.  A sketch has three tables of cells; each digest is added to one cell of each table: a count, the digests' exclusive or, and that of their checks.
 Sketches of two versions subtract cell by cell, so what both have is gone.  A cell with one digest left shows it by its
 check; taking it out of its other cells uncovers more.  If that ends before all cells are empty, larger sketches are
-tried: the digests are dealt into sixteen by their first bits, again and again until a share is small, and each share has
+tried: the digests are dealt into eight by their first bits, again and again until a share is small, and each share has
 a sketch of its own, made larger where it fails.
 """
 
@@ -14,20 +14,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 
-BOUNDARY = r"[.!?\n]+"
+PASSAGE = r"[^\n]{100,}?[.!?]+|[^\n]+"
 TABLES = 3
-CELLS = 8              # per table of the fingerprint itself
-SHARE = 12             # digests of both versions that one of the larger sketches has at most, if they differ in their bits
-LADDER = (4, 12, 48)   # cells per table of a share's sketch, one try after the other
-LEVELS = 5             # of dealing into sixteen
+CELLS = 4              # per table of the fingerprint itself
+SHARE = 4              # digests of both versions that one of the larger sketches has at most, if they differ in their bits
+LADDER = (3, 10, 40)   # cells per table of a share's sketch, one try after the other
+BITS = 3               # of a digest that one dealing goes by
+LEVELS = 5             # dealings
 
-_CELL = "struct<c: int, k: bigint, h: bigint>"
 
-
-def paragraph_digests(text: Column, boundary: str = BOUNDARY) -> Column:
-    """The distinct digests of the paragraphs with a character in them; a null text has none."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), boundary), lambda p: F.btrim(p) != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.btrim(p))))
+def paragraph_digests(text: Column, passage: str = PASSAGE) -> Column:
+    """The distinct digests of the passages, without spaces around them; those of spaces only and a null text have none."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(passage), F.lit(0))
+    bare = F.filter(F.transform(parts, lambda p: F.btrim(p)), lambda p: p != "")
+    return F.array_distinct(F.transform(bare, lambda p: F.xxhash64(p)))
 
 
 def _place(digest: Column, table: int, cells: int) -> Column:
@@ -80,10 +80,12 @@ def peel(difference: Column, cells: int, steps: Column) -> Column:
 
 
 def _deal(shares: Column, level: int) -> Column:
-    """Splits shares that are too large into sixteen by four more bits of the digest."""
+    """Splits shares that are too large into eight by three more bits of the digest."""
+    last = (1 << BITS) - 1
+
     def split(g):
-        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.filter(
-            g, lambda x: F.shiftrightunsigned(x["d"], 60 - 4 * level).bitwiseAND(F.lit(15).cast("long")) == b))
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")), lambda b: F.filter(
+            g, lambda x: F.shiftrightunsigned(x["d"], 64 - BITS * (level + 1)).bitwiseAND(F.lit(last).cast("long")) == b))
 
     return F.flatten(F.transform(shares, lambda g: F.when(F.size(g) <= SHARE, F.array(g)).otherwise(split(g))))
 
@@ -109,7 +111,7 @@ def larger(one: Column, other: Column) -> Column:
 
 def differing(one: str, other: str, one_cells: str, other_cells: str) -> Column:
     """The digests in which two columns of digests differ, first by their fingerprints' cells, then by larger sketches."""
-    most = 2 * TABLES * CELLS
+    most = TABLES * CELLS  # a sketch can't show more digests than it has cells
     own = peel(subtract(F.col(one_cells), F.col(other_cells)), CELLS, F.least(F.size(one) + F.size(other), F.lit(most)))
     return F.coalesce(own, larger(F.col(one), F.col(other)))
 
@@ -134,7 +136,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     partition, are put in order together.
     """
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)).cast("int").alias("half"), F.min(F.xxhash64("text")).alias("text_hash"))
+        F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)).cast("int").alias("half"), F.min(F.xxhash64(F.coalesce("text", F.lit("")))).alias("text_hash"))
     ranged = written(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
     ends = ranged.groupBy("part").agg(F.max(F.struct("doc_id", "half")).alias("last"))
     by_part = Window.orderBy("part")
@@ -159,18 +161,21 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     its own next.  Equal texts have equal fingerprints.
     """
     links = written(neighbours(docs), "neighbours")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.xxhash64("text").alias("own_hash"))
-    linked = rows.join(links, "doc_id", "left")
-    sent = (linked.where(F.col("own_hash") == F.col("text_hash"))
-            .select(F.col("prior_id").alias("to"), F.struct(
-                F.substring("text", F.lit(1), F.col("half")).alias("head"), paragraph_digests(F.col("text")).alias("digests")).alias("next"))
-            .groupBy("to").agg(F.first("next").alias("next")))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # What is sent and what receives it start from the same shuffle of the texts by id.
+    rows = every.where("doc_id IS NOT NULL")
+    head = F.struct(F.substring("text", F.lit(1), F.col("half")).alias("head"), paragraph_digests(F.col("text")).alias("digests"))
+    # Written as a difference, the hash is no second join key, which would need a shuffle of its own.
+    stands = F.xxhash64("text").bitwiseXOR(F.col("text_hash")) == 0
+    sent = (rows.join(links, "doc_id").where(stands)
+            .select(F.col("prior_id").alias("to"), head.alias("next")).groupBy("to").agg(F.first("next").alias("next")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.length("text") - half).cast("int")),
                       F.substring(F.coalesce("next.head", F.lit("")), F.lit(1), half))
     none = F.array().cast("array<bigint>")
-    both = linked.select("doc_id", "text").join(sent, F.col("doc_id") == F.col("to"), "left").select(
+    received = rows.join(sent, F.col("doc_id") == F.col("to"), "left").select("doc_id", "text", "next")
+    alone = every.where("doc_id IS NULL").withColumn("next", F.lit(None).cast(received.schema["next"].dataType))
+    both = received.unionByName(alone).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"),
         F.coalesce("next.digests", none).alias("n"))
     digests = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
