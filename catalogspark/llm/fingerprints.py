@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs, in DataFrame functions only.
 
-A paragraph here is a line, cut after sentence marks into passages of at least a hundred characters, so that an edit
-touches the rest of its line at most; it is hashed to 64 bits.  A sketch has three tables of cells; each digest is added to one cell of each table: a count, the digests' exclusive or, and that of their checks.
+A paragraph here is what stands between line ends and sentence marks; where that is longer than 300 characters, it is cut
+by its content, so that an edit touches only what is near it.  It is hashed to 64 bits.  A sketch has three tables of cells; each digest is added to one cell of each table: a count, the digests' exclusive or, and that of their checks.
 Sketches of two versions subtract cell by cell, so what both have is gone.  A cell with one digest left shows it by its
 check; taking it out of its other cells uncovers more.  If that ends before all cells are empty, larger sketches are
 tried: the digests are dealt into eight by their first bits, again and again until a share is small, and each share has
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 
-PASSAGE = r"[^\n]{100,}?[.!?]+|[^\n]+"
+# A sentence; in longer runs up to the next mark within, word that ends in d or y, or rare letter; at the worst 300 characters.
+PASSAGE = r"[^.!?\n]{1,300}+(?![^.!?\n])|[^.!?\n]{0,298}?(?:[,;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f7Xx]|[dy] )|[^.!?\n]{1,300}"
 TABLES = 3
 CELLS = 4              # per table of the fingerprint itself
 SHARE = 4              # digests of both versions that one of the larger sketches has at most, if they differ in their bits

@@ -60,3 +60,15 @@ def test_a_ladder_rung_that_fails_is_followed_by_a_larger_one(spark):
 def test_no_python_in_the_plan(spark):
     plan = P.compare_edited(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_sentences_and_long_unmarked_lines_keep_their_likeness(spark):
+    short = [f"Line {k} says this. Then that {k}! And {k} more?" for k in range(2)]
+    words = [" ".join(f"{c}{(k * k) % 97}ord{k % 7} and" for k in range(300)) for c in "wv"]
+    docs = spark.createDataFrame(list(enumerate([*short, *words])), "doc_id long, text string")
+    by = {r.doc_id: r for r in P.compare_edited(docs).collect()}
+    assert by[0].near_edited > 0 and by[2].near_edited > 0.2
+    # An insertion into a long run changes the passages near it, not those after it.
+    shifted = words[0][:50] + "something new " + words[0][50:]
+    assert jaccard(paragraphs(words[0]), paragraphs(shifted)) > 0.8
+    assert max(map(len, paragraphs("z" * 1000))) <= 300
