@@ -228,10 +228,13 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], chains: list[tuple[str, ..
 def latest_pages(pages: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per url, the newest by `order`: by default fetched_at, where pages have it, else the page_id.
 
-    A page that was crawled again must count once: what follows joins pages by url.
+    A page that was crawled again must count once: what follows joins pages by url.  Pages without a url are not known
+    to be the same and are all kept.
     """
     newest = order or ["fetched_at" if "fetched_at" in pages.columns else "page_id"]
-    return M.latest_per_key(pages.withColumn("_tie", F.xxhash64("html")), "url", [*newest, "_tie"]).drop("_tie").select(*pages.columns)
+    known = pages.where("url IS NOT NULL").withColumn("_tie", F.xxhash64("html"))
+    latest = M.latest_per_key(known, "url", [*newest, "_tie"]).drop("_tie").select(*pages.columns)
+    return latest.unionByName(pages.where("url IS NULL"))
 
 
 def parse_pages(pages: DataFrame, selectors: list[str] = (), handler: Callable | None = None) -> DataFrame:

@@ -147,3 +147,14 @@ def test_many_batches(spark):
                                     F.concat(F.lit("<h1>T"), F.col("id"), F.lit("</h1>"), F.repeat(F.lit("x"), 60000)).alias("html"))
     got = E.product_details(E.parse_pages(pages.coalesce(1))).select("page_id", "title").collect()
     assert {(r.page_id, r.title) for r in got} == {(i, f"T{i}") for i in range(300)}
+
+
+def test_pages_without_a_url_are_not_taken_for_one(spark):
+    link = '<header><nav><a href="https://garden.example.com/{0}">{0}</a></nav></header>'
+    pages = spark.createDataFrame([(1, None, link.format("spades")), (2, None, link.format("seeds")), (3, BASE, link.format("old")),
+                                   (4, BASE, link.format("new")), (5, None, link.format("spades"))], PAGES)
+    assert [r.page_id for r in E.latest_pages(pages).orderBy("page_id").collect()] == [1, 2, 4, 5]
+    menus = E.navigation_links(E.parse_pages(E.latest_pages(pages))).orderBy("page_id").collect()
+    assert [r.source_url for r in menus] == [f"{BASE}/{x}" for x in ("spades", "seeds", "new", "spades")]
+    refused = I.ingest_products(spark.createDataFrame([(i, None, details(f"Rake {i}")) for i in range(3)], PAGES)).refused
+    assert refused.count() == 3
