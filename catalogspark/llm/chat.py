@@ -79,13 +79,15 @@ def render(template: Callable[[Messages], str], messages: Messages, loss_roles:
 
 
 def format_chats(rows: DataFrame, template: Callable[[Messages], str] = marked, segment: int | None = SEGMENT,
-                 loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
+                 loss_roles: Sequence[str] = LOSS_ROLES, turnwise: bool = False) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as formatted text: conv_id, segment, part, n_turns, formatted, loss.
 
     Rendering all prefixes takes time with the square of the number of turns, so a long conversation is rendered in
-    segments of at most `segment` turns, side by side; the conversation's text is that of its segments (by segment, then
-    part) one after the other.  This needs a template whose text of two runs of turns is that of each, which every
-    segment checks at its middle; for others pass segment=None, and each conversation is rendered whole.
+    segments of at most `segment` turns; the conversation's text is that of its segments (by segment, then part) one after
+    the other.  This needs a template whose text of two runs of turns is that of each, which every segment checks at its
+    middle; a conversation of several segments is also rendered at doubling lengths and as a whole and compared, so it is
+    held by one task.  A caller who states that the template is `turnwise` spares the latter, and segments are rendered
+    side by side.  For other templates pass segment=None, and each conversation is rendered whole.
 
     Rows are ordered by turn, a null turn last, then role and text.  A null role or text counts as empty; rows without
     a conv_id form one conversation.  `loss` has code-point spans into `formatted`; a segment in which the template
@@ -96,16 +98,36 @@ def format_chats(rows: DataFrame, template: Callable[[Messages], str] = marked,
     number = F.floor(F.col("turn") / segment) if segment else F.lit(0)
     keyed = clean.withColumn("segment", F.coalesce(number, F.lit((1 << 62)) if segment else F.lit(0)).cast("long"))
 
+    together = bool(segment) and not turnwise
+
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         key, part, held = None, 0, []
+        whole, texts, runs = [], [], 0  # of the conversation, as far as it has been rendered
+
+        def compare():
+            if template(whole) != "".join(texts):
+                raise ValueError("the template does not render runs of turns on their own: pass segment=None")
+
+        def over():
+            nonlocal runs
+            if runs & (runs - 1):  # else the last comparison was of the whole
+                compare()
+            whole.clear(), texts.clear()
+            runs = 0
 
         def done():
+            nonlocal runs
             text, _, loss, rewritten = render(template, held, loss_roles)
             half = len(held) // 2
             if segment and half and template(held[:half]) + template(held[half:]) != text:
                 raise ValueError("the template does not render runs of turns on their own: pass segment=None")
+            if together:
+                whole.extend(held), texts.append(text)
+                runs += 1
+                if runs > 1 and not runs & (runs - 1):
+                    compare()
             return (*key, part, len(held), text, [{"start": a, "stop": b} for a, b in loss], rewritten)
 
         def out(rows):
@@ -120,15 +142,19 @@ def format_chats(rows: DataFrame, template: Callable[[Messages], str] = marked,
                 if held and (own != key or (segment and len(held) >= segment)):
                     ready.append(done())
                     part, held = (part + 1 if own == key else 0), []
+                    if together and own[0] != key[0]:
+                        over()
                 key = own
                 held.append((role, text))
             if ready:
                 yield out(ready)
         if held:
-            yield out([done()])
+            last = done()
+            over()
+            yield out([last])
 
     order = [F.asc_nulls_first("conv_id"), F.asc("segment"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
-    return keyed.repartition("conv_id", "segment").sortWithinPartitions(*order).select(
+    return keyed.repartition("conv_id", *([] if together else ["segment"])).sortWithinPartitions(*order).select(
         "conv_id", "segment", "role", "text").mapInArrow(work, FORMATTED)
 
 

@@ -190,7 +190,7 @@ def op10(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)],
                                   "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(rows.unionByName(probe)))
+    return chat.read_back(chat.format_chats(rows.unionByName(probe), turnwise=True))
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -68,3 +68,13 @@ def test_a_template_that_needs_the_whole_conversation_is_not_cut(spark):
 
 def test_empty(spark):
     assert C.read_back(C.format_chats(frame(spark).limit(0))).count() == 0
+
+
+def test_a_template_that_rewrites_far_back_is_not_cut(spark):
+    # Within 64 turns this is turn-wise; of a longer conversation only the last hundred turns are kept.
+    last = lambda ms: "".join(f"{r}:{t}\n" for r, t in ms[-100:])
+    with pytest.raises(PySparkException):
+        C.format_chats(frame(spark), last).count()
+    short = C.format_chats(frame(spark).where("conv_id <> 2"), last)
+    assert short.count() == 4 and C.format_chats(frame(spark), last, segment=None).where("rewritten").count() == 1
+    assert C.format_chats(frame(spark), turnwise=True).exceptAll(C.format_chats(frame(spark))).count() == 0
