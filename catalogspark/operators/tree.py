@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 def walk_down(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -45,6 +45,21 @@ def in_display_order(tree: DataFrame, collation: str | None = None) -> DataFrame
     return tree.orderBy(titles, "path")
 
 
+def display_positions(tree: DataFrame, collation: str | None = None) -> DataFrame:
+    """id, position: the place of each node in display order, from 1.
+
+    A global sort numbers its partitions in order.  A node's place is that within its partition after the nodes of all
+    partitions before; only the counts, one row per partition, are put in order together.
+    """
+    placed = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    ordered = written(in_display_order(tree, collation).select("id", placed.alias("_at")), "ordered").select(
+        "id", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part").alias("_of"), F.expr(
+        "coalesce(sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
+    return ordered.join(before, F.col("_part") == F.col("_of")).select(
+        "id", (F.col("_before") + F.col("_place") + 1).cast("long").alias("position"))
+
+
 def search_tree(tree: DataFrame, term: str) -> DataFrame:
     """Nodes that match or lead to a match; a match without matches below keeps its whole subtree."""
     matches = tree.filter(F.lower("title").contains(term.lower())).select("id", "path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..functions import text as X
@@ -238,10 +238,7 @@ def nav_tree(spark, sf):
     """SELECT id, CAST(row_number() OVER (ORDER BY titles, path) AS BIGINT) AS position FROM tree""", "navigation", tree=_TREE, recursive=True))
 def nav_display_order(spark, sf):
     """The place of each node when the tree is listed: parents first, siblings by title."""
-    ordered = T.in_display_order(T.hierarchy(A.navigation(spark, sf)))
-    # A global sort numbers its partitions in order, so ids that grow with partition and place can be counted.
-    numbered = ordered.select("id", F.monotonically_increasing_id().alias("_at"))
-    return numbered.select("id", F.row_number().over(Window.orderBy("_at")).cast("long").alias("position"))
+    return T.display_positions(T.hierarchy(A.navigation(spark, sf)))
 
 
 @query("nav_search", with_views(

@@ -317,3 +317,18 @@ def test_image_files(spark, tmp_path):
     assert got["a.png"].public_url.startswith("https://i.example.com/products/") and got["a.png"].object_key.endswith(".png")
     assert got["c.gif"].error == "Unsupported format"
     assert "b.jpg" not in got  # the file source skips empty files; such an image counts as not downloaded
+
+
+def test_display_positions_number_the_nodes_without_one_window_over_all(spark):
+    nodes = spark.createDataFrame([(f"n{i:04d}", f"title {(i * 7919) % 1009}", f"n{(i - 1) // 9:04d}" if i else None) for i in range(1000)],
+                                  "id string, title string, parent_id string").repartition(7)
+    tree = T.hierarchy(nodes)
+    wanted = [r.id for r in sorted(tree.collect(), key=lambda r: (r.title_path, r.path))]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are borders to cross
+    try:
+        placed = T.display_positions(tree)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [(r.position, r.id) for r in placed.orderBy("position").collect()] == list(enumerate(wanted, 1))
+    assert "row_number" not in placed._jdf.queryExecution().toString()
