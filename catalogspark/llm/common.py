@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -90,8 +91,8 @@ class IdEncoder:
     """Token ids of whole texts by a `tokenizers` file, as little-endian unsigned 32-bit bytes.
 
     The file's tokenizer must drop white space, put letters and marks into different words, ignore case and close each
-    word with "</w>".  Then a text's ids are those of its chunks between spaces, a chunk of letters with ASCII marks
-    behind them has the ids of both parts, and many words of letters can be encoded as one text and told apart by their
+    word with "</w>".  Then a text's ids are those of its chunks between spaces, a chunk of letters (normalised ones)
+    with ASCII marks behind them has the ids of both parts, and many words of letters can be encoded as one text and told apart by their
     ends.  What is not of this form is encoded as it is.
     """
 
@@ -124,13 +125,19 @@ class IdEncoder:
             else:  # a letter that the tokenizer takes for something else
                 self.words.new.update(zip(some, self._alone(some)))
 
+    @staticmethod
+    def _letters(core: str) -> bool:
+        """Whether a chunk's start is of letters only, as the tokenizer sees them: some letters are normalised to one with
+        a combining mark behind it, which belongs to the marks that follow."""
+        return core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()) or not core
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known, words = self.chunks.turn(), self.words.turn()
         parts, whole, cores = [], [], set()
         for chunk in self.chunks.missing({c for chunks in split for c in chunks if c not in known}):
             core = chunk.rstrip(_MARKS)
-            if (core.isalpha() or not core) and len(chunk) <= CACHED_LENGTH:
+            if len(chunk) <= CACHED_LENGTH and self._letters(core):
                 word = core.lower() if core.isascii() else core
                 parts.append((chunk, word, chunk[len(core):]))
                 if word and word not in words:
