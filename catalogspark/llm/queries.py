@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, classifier, fingerprints, lm, mixing, neardup, packing, rules, token_counts, warc
+from . import chat, classifier, divergence, fingerprints, lm, mixing, neardup, packing, rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -193,4 +193,28 @@ def op10(spark, sf):
     return chat.read_back(chat.format_chats(rows.unionByName(probe), turnwise=True))
 
 
+_AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+per AS (SELECT r, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM per GROUP BY lang, term HAVING count(*) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, k.total, coalesce(sum(p.n), 0)::HUGEINT AS n FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN per p ON p.lang = g.lang AND p.source = g.source AND p.term = k.term GROUP BY ALL),
+p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER a + count(*) OVER a) AS p,
+  1 + 1000000000::HUGEINT * (total + 1) // (sum(total) OVER a + count(*) OVER a) AS ql FROM c WINDOW a AS (PARTITION BY lang, source)),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source),
+term AS (SELECT lang, source, term AS item, CAST((p - ql) * (p - ql) // ql AS BIGINT) AS value FROM p WHERE n > 0 AND p > ql)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT lang, source, 'term', item, value, rank FROM (SELECT *,
+  CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 200"""
+
+
+@query("op11_divergence_audit", _AUDIT_SQL)
+def op11(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
