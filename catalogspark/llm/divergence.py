@@ -20,6 +20,7 @@ from ..session import written
 from .common import running_total
 
 BLOCK = 2048        # leaves of the subtree that a task holds
+HELD = 500_000      # (lang, source, term) that a task counts before it hands them on
 SLICE = 128         # groups of a block whose pairs with all others one task walks
 SCALE = 1_000_000_000
 DOCUMENTS = 3
@@ -55,12 +56,12 @@ def count_terms(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
                 number, having = groups.setdefault((lang, source), (Counter(), Counter()))
-                found = Counter(text.as_py().encode().translate(_TERM_BYTES).split())
+                words = text.as_py().encode().translate(_TERM_BYTES).split()
                 held -= len(number)
-                number.update(found)
-                having.update(found.keys())
+                number.update(words)
+                having.update(set(words))
                 held += len(number)
-                if held > 300_000:
+                if held > HELD:
                     yield from out(groups)
                     groups, held = {}, 0
         yield from out(groups)
