@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, classifier, divergence, fingerprints, lm, mixing, neardup, packing, rules, token_counts, warc
+from . import chat, classifier, divergence, fingerprints, lm, mixing, neardup, packing, rules, setjoin, token_counts, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -217,4 +217,37 @@ def op11(spark, sf):
     return divergence.audit(table(spark, sf, "documents"))
 
 
+_TRIE_SQL = """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT)), lambda r, b:
+    list_reduce(list_prepend(xor(r, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h FROM ids),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+  md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.c, t.n AS place, 0 AS own, role, text FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.n <= h.h
+  UNION ALL SELECT h.c, t.n, 1, role, text FROM h JOIN t ON t.c = h.c AND t.n > h.h),
+l AS (SELECT ids.c, coalesce(list({'role': role, 'text': text} ORDER BY own, place) FILTER (r.c IS NOT NULL), []) AS turns FROM ids LEFT JOIN r ON r.c = ids.c GROUP BY ids.c),
+p AS (SELECT c, len(turns) AS size, d, md5(to_json(turns[:d])::VARCHAR) AS key, md5(to_json(turns[:d - 1])::VARCHAR) AS up, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM l)),
+n AS (SELECT d, key, min(c) AS conv_id, any_value(CASE WHEN d > 0 THEN up END) AS up, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends_sha256 FROM p GROUP BY d, key),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+s AS (SELECT p.d, p.key, count(*) FILTER (k.up IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved_tokens
+  FROM n LEFT JOIN k ON k.up = n.key JOIN p ON p.c = n.conv_id AND p.d <= n.d GROUP BY p.d, p.key)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.key = n.key LEFT JOIN n m ON m.key = n.up AND m.d = n.d - 1 LEFT JOIN k ON k.up = n.key"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark, sf):
+    return trie.prefix_trie(*trie.rebuild(trie.numbered_turns(table(spark, sf, "conversations"))))
+
+
+@query("op13_set_join", _NEAR_SQL.replace("len(words) < 5", "len(words) < 4").replace("len(words) - 3), lambda i: array_to_string(words[i:i + 4]",
+                                                                                     "len(words) - 2), lambda i: array_to_string(words[i:i + 3]")
+       .replace(", d.doc_id = min(reach.b) AS kept", ""))
+def op13(spark, sf):
+    joined = setjoin.join_sets(table(spark, sf, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
