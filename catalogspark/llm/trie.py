@@ -132,45 +132,51 @@ def _key_at(rows: DataFrame, paths: DataFrame, conv: str, depth: Column, name: s
 
 
 EDGE = ("vkey", "vtop", "vtopkey", "vdepth", "vrep")
+STEPS = 5           # halvings of a search that go into one job
 
 
-def _exits(waiting: DataFrame, paths: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
-    """Where each waiting conversation (conv, len, end, a, akey) leaves the trie: at depth x with key xkey.
+def _enter(waiting: DataFrame, paths: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
+    """Fat binary search: a, the depth of the deepest node on the path of each conversation (conv, len, end, a, akey), and
+    in the columns of EDGE the edge that it enters below, null where there is none.
 
-    a is the depth of a node on its path that is already known.  Where x lies within an edge, the columns of EDGE tell
-    which; nextkey is the key one turn further, null where the conversation ends at x.
+    Rows whose search is over look up a depth that they have, so that none is without a key and all go one way.
     """
     edges = nodes.select("hkey", "ckey", *[F.col(c[1:]).alias(c) for c in EDGE])
     q = waiting.select("*", F.col("len").alias("b"), *[F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in EDGE])
     columns = q.columns
-    searching = F.col("vkey").isNull() & (F.col("a") < F.col("b"))
-    for _ in range(longest.bit_length() if nodes.limit(1).count() else 0):
-        if not q.where(searching).limit(1).count():
-            break
-        # Fat binary search: all on the path up to a, nothing beyond b.
-        open_ = q.where(searching).drop(*EDGE).withColumn("f", fattest("a", "b"))
-        open_ = _key_at(open_, paths, "conv", F.col("f"), "fkey").join(edges.drop("ckey"), F.col("fkey") == F.col("hkey"), "left")
-        open_ = _key_at(open_, paths, "conv", F.least(F.coalesce("vdepth", "f"), "len"), "ekey")
-        whole = F.coalesce(F.col("ekey") == F.col("vkey"), F.lit(False))
-        moved = open_.select(
-            "conv", "len", "end", F.when(whole, F.col("vdepth")).otherwise(F.col("a")).alias("a"), F.when(whole, F.col("vkey")).otherwise(F.col("akey")).alias("akey"),
-            F.when(F.col("vkey").isNull(), F.col("f") - 1).otherwise(F.col("b")).alias("b"), *[F.when(~whole, F.col(c)).alias(c) for c in EDGE])
-        q = written(moved.select(columns).unionByName(q.where(~searching)), "search")
+    candidates = edges.select("hkey", *[F.col(c).alias(f"_{c}") for c in EDGE])
+    for step in range(longest.bit_length() if nodes.limit(1).count() else 0):
+        # All on the path up to a, nothing beyond b.
+        q = q.withColumn("searching", F.col("vkey").isNull() & (F.col("a") < F.col("b")))
+        q = q.withColumn("f", F.when(F.col("searching"), fattest("a", "b")).otherwise(F.col("len")))
+        q = _key_at(q, paths, "conv", F.col("f"), "fkey").join(candidates, F.col("fkey") == F.col("hkey"), "left")
+        q = _key_at(q, paths, "conv", F.least(F.coalesce("_vdepth", "f"), "len"), "ekey")
+        hit = F.col("searching") & F.col("_vkey").isNotNull()
+        whole = hit & F.coalesce(F.col("ekey") == F.col("_vkey"), F.lit(False))
+        q = q.select("conv", "len", "end", F.when(whole, F.col("_vdepth")).otherwise(F.col("a")).alias("a"),
+                     F.when(whole, F.col("_vkey")).otherwise(F.col("akey")).alias("akey"),
+                     F.when(F.col("searching") & ~hit, F.col("f") - 1).otherwise(F.col("b")).alias("b"),
+                     *[F.when(hit & ~whole, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in EDGE]).select(columns)
+        if step % STEPS == STEPS - 1:
+            q = written(q, "search")
     # Where the search ends at a node, the edge below it is that of the next turn.
-    settled = q.where("vkey IS NULL AND a = len").drop("b")
-    below = _key_at(q.where("vkey IS NULL AND a < len").drop(*EDGE), paths, "conv", F.col("a") + 1, "nkey").join(
-        edges.drop("hkey"), F.col("nkey") == F.col("ckey"), "left")
-    entered = written(below.select(columns).unionByName(q.where("vkey IS NOT NULL")).drop("b"), "entered")
+    below = edges.select("ckey", *[F.col(c).alias(f"_{c}") for c in EDGE])
+    q = _key_at(q, paths, "conv", F.least(F.col("a") + 1, "len"), "nkey").join(below, F.col("nkey") == F.col("ckey"), "left")
+    new = F.col("vkey").isNull() & (F.col("a") < F.col("len"))
+    return q.select("conv", "len", "end", "a", "akey", *[F.when(new, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in EDGE])
 
+
+def _leave(entered: DataFrame, paths: DataFrame) -> DataFrame:
+    """Adds x and xkey, where a conversation leaves the trie, within its edge or at its node a, and nextkey, the key one
+    turn further, null where it ends at x."""
     span = entered.where("vkey IS NOT NULL").select("conv", "vrep", "vtop", F.least("len", "vdepth").alias("m"))
     mine = span.join(paths.select("conv", "depth", "key"), "conv").where("depth > vtop AND depth <= m")
     theirs = paths.select(F.col("conv").alias("vrep"), "depth", "key")
-    met = mine.join(theirs, ["vrep", "depth", "key"]).groupBy("conv").agg(F.max("depth").alias("x"), F.max_by("key", "depth").alias("xkey"))
-    left = entered.where("vkey IS NULL").select("*", F.col("a").alias("x"), F.col("akey").alias("xkey")).unionByName(entered.where("vkey IS NOT NULL").join(met, "conv"))
-    onward = _key_at(left.where("x < len"), paths, "conv", F.col("x") + 1, "nextkey")
-    ended = left.where("x = len").withColumn("nextkey", F.lit(None).cast("binary"))
-    # A conversation that ends at a node has nothing left to insert; it only drops out.
-    return onward.unionByName(ended).unionByName(settled.select("*", F.col("a").alias("x"), F.col("akey").alias("xkey"), F.lit(None).cast("binary").alias("nextkey")))
+    met = mine.join(theirs, ["vrep", "depth", "key"]).groupBy("conv").agg(F.max("depth").alias("met"))
+    left = entered.join(met, "conv", "left").withColumn("x", F.coalesce("met", "a")).drop("met")
+    left = _key_at(left, paths, "conv", F.greatest("x", F.lit(1)), "_xkey").withColumn("xkey", F.when(F.col("x") > 0, F.col("_xkey")).otherwise(F.lit(ROOT)))
+    left = _key_at(left.drop("_xkey"), paths, "conv", F.least(F.col("x") + 1, "len"), "_nextkey")
+    return left.withColumn("nextkey", F.when(F.col("x") < F.col("len"), F.col("_nextkey"))).drop("_nextkey")
 
 
 def build(classes: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
@@ -178,18 +184,19 @@ def build(classes: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
 
     classes: conv, len, end, one row for each different conversation; paths: conv, depth, key of their prefixes.
     """
-    spark = classes.sparkSession
-    nodes = spark.createDataFrame([], "key binary, depth long, top long, topkey binary, rep long, hkey binary, ckey binary")
-    waiting = written(classes.where("len > 0").select("conv", "len", "end", F.lit(0).cast("long").alias("a"), F.lit(ROOT).alias("akey")), "waiting")
+    nodes = classes.sparkSession.createDataFrame([], "key binary, depth long, top long, topkey binary, rep long, hkey binary, ckey binary")
+    waiting = classes.where("len > 0").select("conv", "len", "end", F.lit(0).cast("long").alias("a"), F.lit(ROOT).alias("akey"))
     turn = 0
     while waiting.limit(1).count():
         turn += 1
-        exits = written(_exits(waiting, paths, nodes, longest), "exits")
-        onward = exits.where("nextkey IS NOT NULL")
-        first = written(onward.groupBy("nextkey").agg(F.min_by("conv", F.xxhash64("conv", F.lit(turn))).alias("conv")).select("conv"), "first")
-        leaves = onward.join(first, "conv").select(F.col("end").alias("key"), F.col("len").alias("depth"), F.col("x").alias("top"), F.col("xkey").alias("topkey"), F.col("conv").alias("rep"))
-
-        cuts = exits.where("vkey IS NOT NULL").select(*EDGE, "x", "xkey").dropDuplicates(["xkey"])
+        exits = written(_leave(written(_enter(waiting, paths, nodes, longest), "entered"), paths), "exits")
+        # A conversation that ends at x has nothing left to insert; of the others one for each next turn goes first.
+        chosen = exits.where("nextkey IS NOT NULL").groupBy("nextkey").agg(F.min_by("conv", F.xxhash64("conv", F.lit(turn))).alias("chosen"))
+        onward = written(exits.join(chosen, "nextkey"), "onward")
+        leaves = onward.where("conv = chosen").select(
+            F.col("end").alias("key"), F.col("len").alias("depth"), F.col("x").alias("top"), F.col("xkey").alias("topkey"), F.col("conv").alias("rep"))
+
+        cuts = exits.where("vkey IS NOT NULL").dropDuplicates(["xkey"]).select(*EDGE, "x", "xkey")
         cut = cuts.select(*EDGE).dropDuplicates(["vkey"])
         points = cuts.unionByName(cut.select(*EDGE, F.col("vdepth").alias("x"), F.col("vkey").alias("xkey")))
         along_edge = Window.partitionBy("vkey").orderBy("x")
@@ -197,8 +204,8 @@ def build(classes: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
                                F.coalesce(F.lag("xkey").over(along_edge), "vtopkey").alias("topkey"), F.col("vrep").alias("rep"))
         fresh = _key_at(leaves.unionByName(pieces), paths, "rep", fattest("top", "depth"), "hkey")
         fresh = _key_at(fresh, paths, "rep", F.col("top") + 1, "ckey")
-        waiting = written(onward.join(first, "conv", "left_anti").select("conv", "len", "end", F.col("x").alias("a"), F.col("xkey").alias("akey")), "waiting")
         nodes = written(nodes.join(cut.select(F.col("vkey").alias("key")), "key", "left_anti").unionByName(fresh), "nodes")
+        waiting = onward.where("conv <> chosen").select("conv", "len", "end", F.col("x").alias("a"), F.col("xkey").alias("akey"))
     return nodes
 
 
