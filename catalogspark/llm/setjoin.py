@@ -9,6 +9,7 @@
        the leader's set.
     4. Answers between two classes of one block are derived from the leader's: the difference of x and y is that of Dx and
        Dy.  It can be small enough only if the Ds overlap in their first elements, which is a join on (leader, element).
+       The few pairs that pass are confirmed on full sets.
     5. Components are the connected components of the links.
 """
 
@@ -138,22 +139,29 @@ ANSWERS = "leader long, node long, size int, different int, first array<long>, m
 
 
 def leader_answers(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Each pair on full sets: the node's size, D (what only the node has, then what only the leader has), a bit set of D,
-    and whether the two link.  A leader with many nodes has its set in several groups."""
+    """Each pair (leader, node) on full sets: the node's size, the size of D (what only the node has, then what only the
+    leader has) with its first elements and a bit set of it, and whether the two link.
+
+    texts: node, doc_id, text_hash and text of every class that is asked for, possibly repeated.  A leader with many nodes
+    has its set in several groups; texts go straight to the groups that need them.
+    """
     counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
     dealt = pairs.join(counts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TOGETHER)).alias("group"))
-    followers = dealt.join(texts, "node").select("leader", "group", F.lit(1).alias("turn"), "node", "text")
-    first = dealt.select("leader", "group").distinct().join(texts.withColumnRenamed("node", "leader"), "leader").select(
-        "leader", "group", F.lit(0).alias("turn"), F.col("leader").alias("node"), "text")
+    wanted = dealt.select("leader", "group", F.lit(1).alias("turn"), "node").union(
+        dealt.select("leader", "group", F.lit(0), F.col("leader")).distinct())
+    first = (100 - percent) / (100 + percent) * (1 + 100 / percent)
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        base = np.empty(0, "u8")
+        base, before = np.empty(0, "u8"), None
         for batch in batches:
             rows = []
-            for leader, turn, node, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "turn", "node")), batch.column("text")):
+            for leader, group, turn, node, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "group", "turn", "node")), batch.column("text")):
+                if (leader, group, turn, node) == before:   # a row that is there twice
+                    continue
+                before = (leader, group, turn, node)
                 found = shingles(text.as_py(), width)
                 if turn == 0:
                     base = found
@@ -163,24 +171,26 @@ def leader_answers(pairs: DataFrame, texts: DataFrame, percent: int, width: int)
                 bits = np.zeros(256, bool)
                 bits[(d >> np.uint64(56)).astype("i8")] = True
                 common = len(found) - len(own)
-                rows.append((leader, node, len(found), len(d), d.view("i8"), np.packbits(bits, bitorder="little").view("<i8"),
-                             100 * common >= percent * (common + len(d))))
+                rows.append((leader, node, len(found), len(d), d[:int(first * len(found)) + 1].view("i8"),
+                             np.packbits(bits, bitorder="little").view("<i8"), 100 * common >= percent * (common + len(d))))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                  names=["leader", "node", "size", "different", "first", "marks", "linked"])
 
     keys = ["leader", "group"]
-    return followers.unionByName(first).repartition(*keys).sortWithinPartitions(*keys, "turn").select("leader", "turn", "node", "text").mapInArrow(work, ANSWERS)
+    return (wanted.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys, "turn", "node")
+            .select("leader", "group", "turn", "node", "text").mapInArrow(work, ANSWERS))
 
 
-def derived_links(answers: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes of one leader that are not yet joined (node, label), from the leader's answers alone.
+def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """leader, node: pairs of classes of one leader that may link and are not yet joined (node, label), from the leader's
+    answers alone.
 
     x and y link if their sets differ in at most k * (|x| + |y|) elements, k = (1 - t) / (1 + t).  They differ in
     |Dx| + |Dy| - 2 |Dx and Dy|, so the Ds must have `need` elements in common.  If none are needed, both link with the
-    leader and are joined.  Else what follows the first common element in each D bounds the rest; so does a comparison of
-    the bit sets, as elements with different bits are different.
+    leader and are joined.  Else the first common element is among the first of both, and what follows it in each D bounds
+    the rest; so does a comparison of the bit sets, as elements with different bits are different.
     """
     k = (100 - percent) / (100 + percent)
     label = joined.select(F.col("node").alias("_n"), "label")
@@ -189,12 +199,9 @@ def derived_links(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
         "apart", F.col("label") != F.coalesce("leading", "leader")).drop("_l", "leading")
     # Only leaders with two classes or more, not all joined with them, can have more to tell.
     telling = rows.groupBy("leader").agg(F.count("*").alias("_n"), F.max("apart").alias("_any")).where("_n > 1 AND _any").select("leader")
-    rows = written(rows.join(telling, "leader"), "telling")
-
-    most = F.least("different", (F.floor(F.col("size") * (k * (1 + 100 / percent))) + 1).cast("int"))
     marked = F.aggregate("marks", F.lit(0), lambda n, m: n + F.bit_count(m))
-    starts = rows.select("leader", "node", "size", "different", "label", "apart", "marks", (F.col("different") - marked).alias("hidden"),
-                         F.posexplode(F.slice("first", F.lit(1), most)).alias("i", "element"))
+    starts = written(rows.join(telling, "leader").select("leader", "node", "size", "different", "label", "apart", "marks", (F.col("different") - marked).alias("hidden"),
+                                                         F.posexplode("first").alias("i", "element")), "telling")
     x, y = starts.alias("x"), starts.alias("y")
     need = (F.col("x.different") + F.col("y.different") - k * (F.col("x.size") + F.col("y.size"))) / 2 - 1e-9
     same_marks = F.aggregate(F.zip_with("x.marks", "y.marks", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, m: n + m)
@@ -204,12 +211,7 @@ def derived_links(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
         & (F.least(F.col("x.different") - F.col("x.i"), F.col("y.different") - F.col("y.i")) >= need)
         & (same_marks + F.least("x.hidden", "y.hidden") >= need))
-    found = x.join(y, promising).select(F.col("x.leader").alias("leader"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    one = rows.select("leader", F.col("node").alias("a"), F.col("first").alias("da"), F.col("size").alias("na"))
-    two = rows.select("leader", F.col("node").alias("b"), F.col("first").alias("db"), F.col("size").alias("nb"))
-    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    common = (F.col("na") + F.col("nb") - differ) / 2
-    return found.join(one, ["leader", "a"]).join(two, ["leader", "b"]).where(100 * common >= percent * (common + differ)).select("a", "b")
+    return x.join(y, promising).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("node")).distinct()
 
 
 def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_frequent: int = FREQUENT) -> DataFrame:
@@ -231,13 +233,19 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_
     classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "n", "starts"), "classes")
 
     pairs = written(leader_pairs(classes, percent), "pairs")
-    wanted = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct().join(classes.select("node", "rep"), "node")
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    texts = written(hashed.join(wanted, (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash")))
-                    .groupBy("node").agg(F.first("text").alias("text")), "texts")
-    answers = written(leader_answers(pairs, texts, percent, width), "answers")
-    direct = answers.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = written(direct.unionByName(derived_links(answers, components(direct), percent)), "links")
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    def answers(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct().join(classes.select("node", "rep"), "node")
+        texts = hashed.join(asked.select("node", "rep.doc_id", "rep.text_hash"), ["doc_id", "text_hash"]).select("node", "text")
+        return written(leader_answers(pairs, texts, percent, width), "answers")
+
+    def linked(found: DataFrame) -> DataFrame:
+        return found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    told = answers(pairs)
+    derived = written(derived_pairs(told, components(linked(told)), percent), "derived")
+    links = written(linked(told).unionByName(linked(answers(derived))), "links")
 
     label = components(links)
     least = label.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep.doc_id").alias("least"))
