@@ -8,7 +8,7 @@ from ..operators import metrics as X
 from ..session import prepare, scratch_path
 from ..sources import adapters as A
 from ..sources.exports import Snapshots
-from ..streaming import streams as T
+from ..streaming import keyed as K, streams as T
 from .queries_catalog import _SIGNED, _SCRAPED, change_feed
 from .queries_jobs import _stamp, _stamp_sql
 from .registry import ORACLES, query
@@ -121,14 +121,19 @@ def stream_job_fold(spark, sf):
     return _fold_columns(T.drain_updates(T.fold_jobs(job_events(stream_table(spark, sf, "orders"))), "job-fold", ["job_id"]))
 
 
-@query("stream_job_locks", f"""SELECT status, count(*) AS n FROM (
-  SELECT CASE WHEN status = 'running' AND locked_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 10 MINUTE THEN 'queued' ELSE status END AS status
-  FROM (SELECT f.status, o.o_orderdate + to_minutes(CAST(2 * f.attempts - 1 AS INTEGER)) AS locked_at FROM ({_FOLD}) f
-        JOIN orders o ON f.job_id = 'j' || o.o_orderkey)) GROUP BY status""")
+# The watermark at the end: the last event of all less five minutes.
+@query("stream_job_locks", f"""SELECT status, cause, count(*) AS n FROM (
+  SELECT CASE WHEN status = 'running' AND expired THEN 'queued' ELSE status END AS status,
+    CASE WHEN status = 'running' AND expired THEN 'lock expired' WHEN attempts = 0 THEN 'enqueue' WHEN status = 'running' THEN 'claim'
+      WHEN status = 'completed' THEN 'complete' ELSE 'fail' END AS cause
+  FROM (SELECT f.status, f.attempts, o.o_orderdate + to_minutes(CAST(2 * f.attempts - 1 + 10 AS INTEGER)) <=
+          (SELECT max(o_orderdate + to_minutes(CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderstatus = 'P' THEN 2 * (o_orderkey % 4) - 1
+            ELSE 2 * (o_orderkey % 4) END AS INTEGER))) - INTERVAL 5 MINUTE FROM orders) AS expired
+        FROM ({_FOLD}) f JOIN orders o ON f.job_id = 'j' || o.o_orderkey)) GROUP BY status, cause""")
 def stream_job_locks(spark, sf):
-    """The folded jobs at a moment: locks that have outlived their time are back in the queue."""
-    folded = T.drain_updates(T.fold_jobs(job_events(stream_table(spark, sf, "orders"))), "job-locks", ["job_id"])
-    return T.folded_at(folded, F.lit("1998-06-01 00:00:00").cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Jobs as their stream leaves them: timers have put those whose locks outlived their time back into the queue."""
+    states = T.drain(K.job_states(job_events(stream_table(spark, sf, "orders"))), "job-locks", keyed=True)
+    return K.newest_states(states).groupBy("status", "cause").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_counts", with_views(
@@ -169,13 +174,16 @@ def stream_error_windows(spark, sf):
 
 
 @query("stream_sessions", with_views(
-    """SELECT session_id, count(*) AS events, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM clickstream GROUP BY session_id""", "clickstream"))
+    """SELECT session_id, events, start_ms, end_ms FROM (
+      SELECT session_id, count(*) AS events, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM clickstream GROUP BY session_id)
+    WHERE end_ms + 86400000 <= (SELECT max(epoch_us(ts)) // 1000 - 300000 FROM events)""", "clickstream"))
 def stream_sessions(spark, sf):
+    """Sessions by the id the client sends, closed a day after the last event."""
     ts = F.col("ts")
     clicks = stream_events(spark, sf).select(
         F.unix_millis(ts).alias("ts_ms"),
         F.concat(F.unix_millis(F.date_trunc("day", ts)).cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("session_id"))
-    return T.drain_updates(T.sessions_by_id(clicks), "sessions", ["session_id"])
+    return T.drain(K.sessions_by_id(clicks), "sessions", keyed=True).where("NOT late").drop("late")
 
 
 @query("stream_sessions_gap", with_views(
@@ -197,21 +205,18 @@ def stream_history(spark, sf):
     return rows.select(_stamp("window_start"), "jobs", "peak_memory")
 
 
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_events(spark, sf).select(
+        F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
+
+
 @query("stream_rate_limit", ORACLES["rate_limit_sliding"])
 def stream_rate_limit(spark, sf):
     """The sliding-log limit on a stream of requests."""
-    root = scratch_path(spark, "limits")
-    requests = stream_events(spark, sf).select(
-        F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
-    T.rate_limit_stream(requests, Snapshots(spark, f"{root}/accepted"), f"{root}/verdicts", 1, 3)
-    return spark.read.parquet(f"{root}/verdicts/*").filter("_new").select("key", "request_id", "allowed")
+    return T.drain(K.rate_limit(_requests(spark, sf), 1, 3), "limits", keyed=True).select("key", "request_id", "allowed")
 
 
 @query("stream_rate_fixed", ORACLES["rate_limit_fixed"])
 def stream_rate_fixed(spark, sf):
     """The clock-minute limit on a stream of requests."""
-    root = scratch_path(spark, "minutes")
-    requests = stream_events(spark, sf).select(
-        F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
-    T.fixed_minute_stream(requests, Snapshots(spark, f"{root}/counts"), f"{root}/verdicts", limit=2)
-    return spark.read.parquet(f"{root}/verdicts/*").select("key", "request_id", "position", "allowed")
+    return T.drain(K.fixed_minute(_requests(spark, sf), limit=2), "minutes", keyed=True).select("key", "request_id", "position", "allowed")

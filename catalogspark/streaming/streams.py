@@ -1,17 +1,18 @@
-"""Structured Streaming jobs.  State is kept by Spark's own aggregations; order inside a batch never matters."""
+"""Structured Streaming jobs.  State is kept by Spark: in aggregations here, by key and with timers in `keyed`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schemas as S
-from ..operators import jobs as J, merge as M, ratelimit as R
+from ..operators import jobs as J, merge as M
 from ..operators.validate import within_tolerance
 from ..session import scratch_path
 from ..sources.exports import Snapshots
+from .keyed import PROVIDER
 
 TOLERANCE = "5 minutes"
 
@@ -23,11 +24,26 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return (reader.option("pathGlobFilter", names) if names else reader).load(path)
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
+def start_keyed(stream: DataFrame, out: str) -> StreamingQuery:
+    """Start a stream with per-key state (`keyed`) into a Parquet sink; its state store is one that has timers."""
+    conf, (name, provider) = stream.sparkSession.conf, PROVIDER
+    before = conf.get(name)
+    conf.set(name, provider)
+    try:  # the setting is read when a stream starts, and other streams keep theirs
+        return (stream.writeStream.format("parquet").option("path", f"{out}/data")
+                .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)
+
+
+def drain(stream: DataFrame, purpose: str, keyed: bool = False) -> DataFrame:
     """Append everything that is there now to a Parquet sink and read it back."""
     spark, out = stream.sparkSession, scratch_path(stream.sparkSession, purpose)
-    query = (stream.writeStream.format("parquet").option("path", f"{out}/data")
-             .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    if keyed:
+        query = start_keyed(stream, out)
+    else:
+        query = (stream.writeStream.format("parquet").option("path", f"{out}/data")
+                 .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
@@ -145,79 +161,6 @@ def upsert_stream(stream: DataFrame, store: Snapshots, table: str, as_of: Column
     query.awaitTermination()
 
 
-def _set_late_apart(rows: DataFrame, ts_ms: str, watermark: DataFrame, path: str) -> DataFrame:
-    """The rows not behind the watermark (a frame of one value, null before the first batch); the others are written."""
-    late = F.coalesce(F.col(ts_ms) < watermark.scalar(), F.lit(False))
-    rows.filter(late).write.mode("overwrite").parquet(path)
-    return rows.filter(~late)
-
-
-def rate_limit_stream(requests: DataFrame, store: Snapshots, verdicts: str, per_minute: int = R.PER_MINUTE,
-                      per_hour: int = R.PER_HOUR, delay_ms: int = 300_000) -> None:
-    """Sliding-log limit on a stream of requests(key, ts_ms, request_id) that comes in time order.
-
-    What a key must remember is its accepted requests of the last hour, at most `per_hour`.  They are
-    kept as a snapshot and put before each micro-batch, which the batch operator then judges: denied
-    requests do not count, so judging the accepted ones again accepts them again.
-
-    The watermark is `delay_ms` behind the newest accepted request of any key.  What is older than an hour before it is
-    forgotten, so keys that do not come back leave the state; requests behind it are not judged but written beside the
-    verdicts, under "-late".
-    """
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        past = store.read(before=batch_id)
-        rows = batch.select("key", "ts_ms", "request_id").withColumn("_new", F.lit(True))
-        if past is not None:
-            rows = _set_late_apart(rows, "ts_ms", past.agg(F.max("ts_ms") - delay_ms), f"{verdicts}-late/b={batch_id}")
-            rows = rows.unionByName(past.withColumn("_new", F.lit(False)))
-        R.sliding_log(rows, per_minute, per_hour).write.mode("overwrite").parquet(f"{verdicts}/b={batch_id}")
-        judged = batch.sparkSession.read.parquet(f"{verdicts}/b={batch_id}")
-        ends = judged.groupBy("key").agg(F.max("ts_ms").alias("_end"))
-        accepted = judged.filter("allowed")
-        newest = accepted.agg(F.max("ts_ms")).scalar()
-        kept = accepted.join(ends, "key").filter(
-            (F.col("ts_ms") > F.col("_end") - R.HOUR_MS) & (F.col("ts_ms") > newest - delay_ms - R.HOUR_MS))
-        store.publish(kept.select("key", "ts_ms", "request_id"), batch_id)
-
-    query = (requests.writeStream.foreachBatch(judge)
-             .option("checkpointLocation", scratch_path(requests.sparkSession, "limit-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-
-
-def fixed_minute_stream(requests: DataFrame, store: Snapshots, verdicts: str, limit: int = R.CLIENT_PER_MINUTE,
-                        keep_minutes: int = 5) -> None:
-    """Clock-minute limit on a stream of requests(key, ts_ms, request_id).
-
-    The state is one count per client and minute, kept for the tolerated delay; a request's position
-    is its position in the micro-batch after those already counted in its minute.  The watermark is
-    `keep_minutes` behind the newest minute counted before the micro-batch: minutes behind it are
-    forgotten, and requests in them are not judged but written beside the verdicts, under "-late".
-    """
-    minute = F.floor(F.col("ts_ms") / R.MINUTE_MS).alias("minute")
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        counted = store.read(before=batch_id)
-        if counted is not None:
-            batch = _set_late_apart(batch.select("key", "ts_ms", "request_id"), "ts_ms",
-                                    counted.agg((F.max("minute") - keep_minutes) * R.MINUTE_MS), f"{verdicts}-late/b={batch_id}")
-        placed = R.fixed_minute(batch.select("key", "ts_ms", "request_id"), limit).select("*", minute)
-        if counted is not None:
-            placed = placed.join(counted, ["key", "minute"], "left").withColumn(
-                "position", F.col("position") + F.coalesce("n", F.lit(0))).drop("n")
-        placed.withColumn("allowed", F.col("position") <= limit).write.mode("overwrite").parquet(f"{verdicts}/b={batch_id}")
-        now = batch.select("key", minute).groupBy("key", "minute").agg(F.count(F.lit(1)).alias("n"))
-        if counted is not None:
-            now = now.unionByName(counted).groupBy("key", "minute").agg(F.sum("n").alias("n"))
-        newest = now.agg(F.max("minute")).scalar()
-        store.publish(now.filter(F.col("minute") >= newest - keep_minutes), batch_id)
-
-    query = (requests.writeStream.foreachBatch(judge)
-             .option("checkpointLocation", scratch_path(requests.sparkSession, "minute-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-
-
 class Progress(StreamingQueryListener):
     """Calls a user's function with the input rows and state rows of every finished micro-batch."""
 

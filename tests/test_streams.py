@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.operators import jobs as J, merge as M, metrics as X, ratelimit as R
+from catalogspark.operators import jobs as J, merge as M, metrics as X, ratelimit as R, timeline as TL
 from catalogspark.plans import queries_streams as Q
 from catalogspark.session import scratch_path
 from catalogspark.sources import adapters as A
 from catalogspark.sources.exports import Snapshots
-from catalogspark.streaming import streams as T
+from catalogspark.streaming import keyed as K, streams as T
 
 
 @pytest.fixture(scope="module")
@@ -56,9 +56,8 @@ def test_sessions_close_once(split):
 def test_rate_limit(spark, split):
     events, stream = split
     ask = lambda df: df.select(F.col("event_type").alias("key"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("request_id"))
-    root = scratch_path(spark, "t")
-    T.rate_limit_stream(ask(stream()), Snapshots(spark, f"{root}/accepted"), f"{root}/verdicts", 1, 2)
-    got = spark.read.parquet(f"{root}/verdicts/*").filter("_new")
+    got = T.drain(K.rate_limit(ask(stream()), 1, 2), "t", keyed=True)
+    assert got.filter("late").isEmpty()
     assert rows(got, "request_id", "allowed") == rows(R.sliding_log(ask(events), 1, 2), "request_id", "allowed")
 
 
@@ -66,9 +65,7 @@ def test_fixed_minute(spark, split):
     events, stream = split
     # A day per minute, so that minutes are full and micro-batch borders fall inside them.
     ask = lambda df: df.select(F.lit("all").alias("key"), F.floor(F.unix_millis("ts") / 1440).alias("ts_ms"), F.col("event_id").alias("request_id"))
-    root = scratch_path(spark, "t")
-    T.fixed_minute_stream(ask(stream()), Snapshots(spark, f"{root}/counts"), f"{root}/verdicts", 20)
-    got = spark.read.parquet(f"{root}/verdicts/*")
+    got = T.drain(K.fixed_minute(ask(stream()), 20), "t", keyed=True)
     want = R.fixed_minute(ask(events), 20)
     assert rows(got, "request_id", "position", "allowed") == rows(want, "request_id", "position", "allowed")
 
@@ -89,26 +86,75 @@ def _in_files(spark, groups):
     return T.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
 
 
+def _drained(stream):
+    """Rows of a stream with state by key, and its state rows after each micro-batch."""
+    out = scratch_path(stream.sparkSession, "t")
+    query = T.start_keyed(stream, out)
+    query.awaitTermination()
+    kept = [sum(s.numRowsTotal for s in p.stateOperators) for p in query.recentProgress]
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data").collect(), kept
+
+
 def test_fixed_minute_sets_late_requests_apart(spark):
-    root = scratch_path(spark, "t")
-    store = Snapshots(spark, f"{root}/counts")
-    T.fixed_minute_stream(_in_files(spark, MINUTES), store, f"{root}/verdicts", 2)
-    got = {r.request_id: (r.position, r.allowed) for r in spark.read.parquet(f"{root}/verdicts/*").collect()}
+    found, kept = _drained(K.fixed_minute(_in_files(spark, MINUTES), 2))
+    got = {r.request_id: (r.position, r.allowed) for r in found if not r.late}
     # Minute 18 was within the delay, and its third request is denied; minute 5, and 20 after 90, are late.
     assert got == {1: (1, True), 2: (2, True), 5: (1, True), 6: (2, True), 7: (3, False), 9: (1, True), 11: (1, True)}
-    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts-late/*").collect()} == {3, 4, 8, 10}
-    assert store.read().count() == 2
+    assert {r.request_id for r in found if r.late} == {3, 4, 8, 10}
+    assert max(kept) == 2 and kept[-1] == 1       # the hour of minute 20 is gone
 
 
 def test_sliding_limit_forgets_keys_that_do_not_return(spark):
-    root = scratch_path(spark, "t")
-    store = Snapshots(spark, f"{root}/accepted")
     groups = [[(m, m)] for m in (0, 500, 1000, 996, 400)]
     keyed = _in_files(spark, groups).withColumn("key", F.concat(F.lit("k"), F.col("request_id").cast("string")))
-    T.rate_limit_stream(keyed, store, f"{root}/verdicts", 1, 2)
-    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts/*").filter("_new AND allowed").collect()} == {0, 500, 1000, 996}
-    assert {r.request_id for r in spark.read.parquet(f"{root}/verdicts-late/*").collect()} == {400}
-    assert {r.request_id for r in store.read().collect()} == {1000, 996}
+    found, kept = _drained(K.rate_limit(keyed, 1, 2))
+    assert {r.request_id for r in found if r.allowed} == {0, 500, 1000, 996}
+    assert {r.request_id for r in found if r.late} == {400}
+    assert max(kept) == 2 and kept[-1] == 2       # of five keys; only those of the last hour and the delay are kept
+
+
+def test_sliding_limit_counts_what_lies_behind_a_request_out_of_order(spark):
+    # Minutes 61 and 62 were accepted before 3 came: with it the hour from 3 to 62 would hold three.
+    found, _ = _drained(K.rate_limit(_in_files(spark, [[(61, 1), (62, 2)], [(3, 3), (1, 4)], [(125, 5)]]), 5, 2, "100 minutes"))
+    assert {r.request_id: r.allowed for r in found} == {1: True, 2: True, 3: False, 4: False, 5: True}
+
+
+def _job(minute, seq, kind, job="j", worker="w", error=None):
+    return (job, minute, seq, kind, worker, error, 2)
+
+
+def test_lock_timers_requeue_and_finished_jobs_leave(spark):
+    import time
+
+    batches = [[_job(0, 0, "enqueue"), _job(1, 1, "claim"), _job(0, 0, "enqueue", "k"), _job(2, 1, "claim", "k")],
+               [_job(30, 2, "complete", "k")],                                # in time, though its lock has run out by now
+               [_job(60, 0, "enqueue", "m"), _job(20, 2, "claim", worker="v")],  # behind the watermark
+               [_job(3000, 0, "enqueue", "n")], [_job(3001, 1, "claim", "n")]]
+    path, schema = scratch_path(spark, "files"), "job_id string, minute int, seq int, kind string, worker string, error string, max_attempts int"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_millis(F.col("minute") * 60_000)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = T.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    found, kept = _drained(K.job_states(stream))
+    told = {}
+    for r in sorted(found, key=lambda r: (r.job_id, r.version or 0)):
+        told.setdefault(r.job_id, []).append((r.status, r.cause, r.at_ms // 60_000))
+    assert told["j"] == [(None, "claim", 20), ("running", "claim", 1), ("queued", "lock expired", 11)]
+    assert told["k"][0] == ("running", "claim", 2) and told["k"][-1] == ("completed", "complete", 30)
+    assert told["n"][0] == ("queued", "enqueue", 3000) and told["n"][1] == ("running", "claim", 3001)
+    assert [r.job_id for r in found if r.late] == ["j"]
+    assert kept[-1] < max(kept)                                   # j, k and m have left the state
+
+
+def test_sessions_by_id_close_and_leave_the_state(spark, split):
+    events, stream = split
+    name = lambda df: df.select(F.concat(F.lit("s"), F.col("user_id")).alias("session_id"), F.unix_millis("ts").alias("ts_ms"))
+    found, kept = _drained(K.sessions_by_id(name(stream()), gap="2 hours"))
+    got = sorted((r.session_id, r.start_ms, r.end_ms, r.events) for r in found if not r.late)
+    end = events.agg(F.max(F.unix_millis("ts"))).first()[0] - 300_000
+    want = [(r.session_id, r.start_ms, r.end_ms, r.events) for r in TL.gap_sessions(name(events), "session_id", "ts_ms", 7_200_000).collect()
+            if r.end_ms + 7_200_000 <= end]
+    assert got == sorted(want) and kept[-1] < max(kept)
 
 
 def test_split_keeps_rows_without_a_time(spark):
