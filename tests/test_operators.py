@@ -53,6 +53,19 @@ def test_sliding_log(spark, seed, per_minute, per_hour, span):
     assert got == brute_sliding(rows, per_minute, per_hour)
 
 
+@pytest.mark.parametrize("step,jitter,per_minute,per_hour", [(400_000, 300_000, 1, 7), (9_000, 1, 3, 20)])
+def test_a_saturated_key_is_walked_by_several_tasks(spark, step, jitter, per_minute, per_hour):
+    """A key over its limit for a day: in the first case logs soon forget where they began, in the second never."""
+    rnd = random.Random(step)
+    rows = [("hot", k * step + rnd.randrange(jitter), k) for k in range(86_400_000 // step)]
+    frame = spark.createDataFrame(rows, "key string, ts_ms bigint, request_id bigint")
+    walk = frame.select("key", F.lit(1).cast("bigint").alias("run"), "ts_ms", F.lit(1).alias("n"))
+    placed, pieces = R.in_pieces(walk, len(rows) // 5)
+    assert pieces.count() == 6 and R.by_piece(placed).select(F.spark_partition_id()).distinct().count() >= 3
+    got = {r.request_id: r.allowed for r in R.sliding_log(frame, per_minute, per_hour, len(rows) // 5).collect()}
+    assert got == brute_sliding(rows, per_minute, per_hour)
+
+
 def test_sliding_log_first_ten(spark):
     frame = spark.range(15).select(F.lit("k").alias("key"), F.col("id").alias("ts_ms"), F.col("id").alias("request_id"))
     got = {r.request_id: r.allowed for r in R.sliding_log(frame).collect()}
