@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as X, urls as U
+from ..session import written
 from . import merge as M
 
 # The default selectors, in the order in which they are tried.
@@ -225,16 +226,26 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], chains: list[tuple[str, ..
                 start, seen, pages = i + 1, 0, _Elements(chains)
 
 
-def latest_pages(pages: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row per url, the newest by `order`: by default fetched_at, where pages have it, else the page_id.
+RECENCY = ("_at", "_tie")
 
-    A page that was crawled again must count once: what follows joins pages by url.  Pages without a url are not known
-    to be the same and are all kept.
+
+def with_recency(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """Add what tells the newest of several crawls of a page: fetched_at, where pages have it, else the page_id, and a
+    hash of the html.  `newest` chooses by it when the html is gone."""
+    at = order or ("fetched_at" if "fetched_at" in pages.columns else "page_id")
+    return pages.withColumns({"_at": F.col(at), "_tie": F.xxhash64("html")})
+
+
+def newest(found: DataFrame, purpose: str, url: str = "url") -> DataFrame:
+    """What was found on the newest crawl of each url, written once.
+
+    A page that was crawled again must count once: what follows joins pages by url.  Pages without a url are not known to
+    be the same and are all kept.  Facts are narrow, so each crawl is read where it lies and no html is moved.
     """
-    newest = order or ["fetched_at" if "fetched_at" in pages.columns else "page_id"]
-    known = pages.where("url IS NOT NULL").withColumn("_tie", F.xxhash64("html"))
-    latest = M.latest_per_key(known, "url", [*newest, "_tie"]).drop("_tie").select(*pages.columns)
-    return latest.unionByName(pages.where("url IS NULL"))
+    rows = written(found.withColumn("_id", F.monotonically_increasing_id()), purpose)
+    best = M.winners(rows.where(F.col(url).isNotNull()), url, ["_at"], F.col("_tie"))
+    columns = [c for c in found.columns if c not in RECENCY]
+    return rows.join(best, "_id").select(columns).unionByName(rows.where(F.col(url).isNull()).select(columns))
 
 
 def parse_pages(pages: DataFrame, selectors: list[str] = (), handler: Callable | None = None) -> DataFrame:
@@ -418,8 +429,8 @@ def _specs() -> Column:
     return F.coalesce(F.aggregate(full, empty, lambda m, e: X.merge_maps(m, F.create_map(e["key"], e["value"]))), empty)
 
 
-def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]+)") -> DataFrame:
-    """One row per page: title, source_url, source_id, price, currency, image_urls, summary, specs, available.
+def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]+)", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page: title, source_url, source_id, price, currency, image_urls, summary, specs, available, and `keep`.
 
     The element arrays are narrowed in stages, so no array is searched again inside another search.
     """
@@ -438,7 +449,7 @@ def product_details(parsed: DataFrame, source_id_pattern: str = r"/product/([^/]
         X.currency_of(F.col("_price")).alias("currency"),
         F.array_distinct(F.filter("_images", lambda u: u != "")).alias("image_urls"),
         X.clean_text(first_text(nodes, SUMMARY_SELECTORS)).alias("summary"), _specs().alias("specs"),
-        X.is_available(F.col("_stock")).alias("available"), "parse_error")
+        X.is_available(F.col("_stock")).alias("available"), "parse_error", *keep)
 
 
 def with_page_facts(parsed: DataFrame) -> DataFrame:

@@ -5,15 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
+from ..session import written
 
 MERGE_MODES = ("overwrite", "overwrite_all", "fill_only")
 
 
+# Decimal digits that hold a type's values, and what makes them positive.
+_DIGITS = {"boolean": (1, 1), "tinyint": (3, 129), "smallint": (5, 32_769), "int": (10, 2**31 + 1), "date": (10, 2**31 + 1),
+           "bigint": (20, 2**63 + 1), "timestamp": (20, 2**63 + 1)}
+_WIDE = "decimal(38,0)"
+
+
+def _rank(df: DataFrame, order: list[str], tie: Column) -> Column:
+    """One value that orders rows by `order`, nulls first, and then by a hash.
+
+    Numbers and times that fit go into a decimal, which a hash aggregate can hold; anything else is a struct.
+    """
+    kinds = dict(df.dtypes)
+    if not all(kinds[c] in _DIGITS for c in order) or sum(_DIGITS[kinds[c]][0] for c in order) > 30:
+        return F.struct(*order, tie)
+    value, places = F.pmod(tie, F.lit(10**8)).cast(_WIDE), 8
+    for name in reversed(order):
+        digits, shift = _DIGITS[kinds[name]]
+        number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kinds[name], lambda c: c.cast("bigint"))(F.col(name))
+        number = F.coalesce(number.cast(_WIDE) + F.lit(str(shift)).cast(_WIDE), F.lit(0).cast(_WIDE))
+        value, places = (number * F.lit(str(10**places)).cast(_WIDE) + value).cast(_WIDE), places + digits
+    return value
+
+
+def winners(rows: DataFrame, key: str, order: list[str], tie: Column, row_id: str = "_id") -> DataFrame:
+    """The row ids of the last row of each key: only the key, the order and the id are aggregated, map-side first."""
+    return rows.groupBy(key).agg(F.max_by(row_id, _rank(rows, order, tie)).alias(row_id)).select(row_id)
+
+
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key.  An aggregate, not a window: copies of a hot key shrink before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(newest).select(key, "_row.*")
+    """The last row of each key by `order`; rows that tie go by a hash of all their columns.
+
+    The rows are written once with an id; the winner of a key is found on narrow columns, so that copies of a hot key
+    shrink before the shuffle, and its payload joined by the id.
+    """
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "latest")
+    whole = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes]
+    return rows.join(winners(rows, key, order, F.xxhash64(*whole)), "_id").drop("_id")
 
 
 def upsert(target: DataFrame, source: DataFrame, table: str, as_of: Column, order: list[str],

@@ -22,8 +22,8 @@ class Ingested:
 
 def ingest_navigation(pages: DataFrame, selectors: list[str] = E.NAVIGATION_SELECTORS) -> Ingested:
     """Menu links of all pages as navigation rows, one per url: that of the newest page, and on it the first."""
-    parsed = E.parse_pages(E.latest_pages(pages), selectors)
-    found = written(parsed.select("page_id", "url", "parse_error", E.menu(selectors).alias("menu")), "menu-links")
+    parsed = E.parse_pages(E.with_recency(pages), selectors)
+    found = E.newest(parsed.select("page_id", "url", "parse_error", E.menu(selectors).alias("menu"), *E.RECENCY), "menu-links")
     links = E.catalogue_links(found)
     rows = M.latest_per_key(links.select("source_url", "title", "page_id", "position")
                             .withColumns({"_p": F.col("page_id"), "_n": -F.col("position")}), "source_url", ["_p", "_n"])
@@ -63,9 +63,10 @@ def ingest_category(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Of a page that was crawled several times the newest row counts.  Each page is parsed once: its facts, links and
     cards are written, and the branches read those.
     """
-    parsed = E.with_category_links(E.with_cards(E.with_page_facts(E.parse_pages(E.latest_pages(pages)))))
-    everything = written(parsed.select("page_id", "url", "parse_error", "page_title", "next_url", "cards",
-                                  F.get("links", F.lit(0))["title"].alias("_first")), "category-pages")
+    parsed = E.with_category_links(E.with_cards(E.with_page_facts(E.parse_pages(E.with_recency(pages)))))
+    facts = parsed.select("page_id", "url", "parse_error", "page_title", "next_url", "cards",
+                          F.get("links", F.lit(0))["title"].alias("_first"), *E.RECENCY)
+    everything = written(E.newest(facts, "category-crawls"), "category-pages")
     found = everything.filter(F.col("parse_error").isNull())
     heads = chain_heads(found.select("url", "next_url"))
     placed = found.join(heads, "url")
@@ -90,8 +91,8 @@ def ingest_products(pages: DataFrame, strict: bool = False, source_id_pattern: s
 
     The extracted facts are written once, so that neither the check nor its two outputs parse again.
     """
-    parsed = E.parse_pages(E.latest_pages(pages))
-    everything = written(E.product_details(parsed, source_id_pattern), "product-pages")
+    parsed = E.parse_pages(E.with_recency(pages))
+    everything = written(E.newest(E.product_details(parsed, source_id_pattern, E.RECENCY), "product-crawls", "source_url"), "product-pages")
     details = everything.filter(F.col("parse_error").isNull()).drop("parse_error")
     rows = details.withColumn("currency", F.coalesce("currency", F.lit("GBP"))).withColumn(
         "category_id", F.lit(None).cast("string"))

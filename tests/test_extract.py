@@ -153,8 +153,25 @@ def test_pages_without_a_url_are_not_taken_for_one(spark):
     link = '<header><nav><a href="https://garden.example.com/{0}">{0}</a></nav></header>'
     pages = spark.createDataFrame([(1, None, link.format("spades")), (2, None, link.format("seeds")), (3, BASE, link.format("old")),
                                    (4, BASE, link.format("new")), (5, None, link.format("spades"))], PAGES)
-    assert [r.page_id for r in E.latest_pages(pages).orderBy("page_id").collect()] == [1, 2, 4, 5]
-    menus = E.navigation_links(E.parse_pages(E.latest_pages(pages))).orderBy("page_id").collect()
+    facts = E.parse_pages(E.with_recency(pages)).select("page_id", "url", E.menu().alias("menu"), *E.RECENCY)
+    menus = E.catalogue_links(E.newest(facts, "t")).orderBy("page_id").collect()
     assert [r.source_url for r in menus] == [f"{BASE}/{x}" for x in ("spades", "seeds", "new", "spades")]
     refused = I.ingest_products(spark.createDataFrame([(i, None, details(f"Rake {i}")) for i in range(3)], PAGES)).refused
     assert refused.count() == 3
+
+
+def test_no_html_is_moved_to_find_the_newest_crawl(spark):
+    when = F.timestamp_seconds(F.col("id") % 7)
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit(f"{BASE}/product/"), F.col("id") % 6).alias("url"),
+                                   F.concat(F.lit("<h1>T"), F.col("id"), F.lit("</h1>")).alias("html"), when.alias("fetched_at"))
+    got = I.ingest_products(pages)
+    rows = {r.source_url: r.title for r in got.rows.collect()}
+    best = {}
+    for i in range(60):
+        best.setdefault(i % 6, []).append((i % 7, i))
+    for k, crawls in best.items():
+        last = [i for at, i in crawls if at == max(crawls)[0]]
+        assert rows[f"{BASE}/product/{k}"] in {f"T{i}" for i in last}      # of one moment, any, but the same each time
+    parsed = E.product_details(E.parse_pages(E.with_recency(pages)), keep=E.RECENCY)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan

@@ -176,6 +176,26 @@ def products(spark, rows):
     return frame.select(*[filled[f.name].cast(f.dataType).alias(f.name) for f in S.PRODUCT])
 
 
+def test_latest_row_of_a_hot_key(spark):
+    rnd = random.Random(8)
+    rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(20)}", rnd.choice([None, -5, 3, 2**40]), rnd.randrange(4), rnd.random() < 0.5, f"p{i % 50}")
+            for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, a bigint, b int, c boolean, payload string").withColumn("m", F.create_map("payload", "k"))
+    first = lambda v: (v is not None, v or 0)
+    for order in (["a"], ["a", "b"], ["b", "c"], ["payload", "a"]):
+        got = M.latest_per_key(frame, "k", order)
+        found = {r.k: r for r in got.collect()}
+        at = [frame.columns.index(c) for c in order]
+        value = lambda r: [first(r[i]) if not isinstance(r[i], str) else r[i] for i in at]
+        for k in {r[0] for r in rows}:
+            assert value(tuple(found[k])) == max(value(r) for r in rows if r[0] == k)
+        assert found.keys() == {r[0] for r in rows} and got.count() == len(found)
+        again = {r.k: r for r in M.latest_per_key(frame.repartition(7), "k", order).collect()}
+        assert again == found                                        # ties go by content
+    plan = M.latest_per_key(frame, "k", ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_upsert_modes(spark):
     stored = products(spark, [("a", "u1", "Old", 5.0, "EUR"), ("b", "u2", "Keep", None, "USD")])
     scraped = spark.createDataFrame([("u1", "New", None, 2), ("u1", "Older", 9.0, 1), ("u3", "Add", 3.0, 1)],
