@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import metrics as X
 from ..session import prepare, scratch_path
 from ..sources import adapters as A
-from ..sources.exports import Snapshots
+from ..sources.exports import BucketedTable
 from ..streaming import keyed as K, streams as T
 from .queries_catalog import _SIGNED, _SCRAPED, change_feed
 from .queries_jobs import _stamp, _stamp_sql
@@ -151,9 +151,10 @@ def stream_counts(spark, sf):
     """SELECT source_url, coalesce(s.title, p.title) AS title, CAST(coalesce(s.price, p.price) AS DOUBLE) AS price
     FROM product p FULL OUTER JOIN scraped s USING (source_url)""", "product", scraped=_SCRAPED))
 def stream_upsert(spark, sf):
-    """Scraped rows as a stream, merged batch by batch into published snapshots."""
-    store = Snapshots(spark, scratch_path(spark, "product-store"))
-    store.publish(A.product(spark, sf), 0)
+    """Scraped rows as a stream, merged batch by batch into the buckets that they touch."""
+    products = A.product(spark, sf)
+    store = BucketedTable(spark, scratch_path(spark, "product-store"), products.schema, buckets=16)
+    store.replace(products, list(range(16)), 0)
     k = F.col("p_partkey")
     number = F.when(k % 9 == 0, k + 100_000_000).otherwise(k)
     scraped = stream_table(spark, sf, "part").filter(k % 3 != 2).withColumn(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 LOG_EXPORT_LIMIT = 10_000
 LOG_COLUMNS = ["timestamp", "level", "component", "message", "metadata"]
@@ -74,3 +77,76 @@ class Snapshots:
 
     def at(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._folder(version))
+
+
+class BucketedTable:
+    """A table in hash buckets of its key, of which a merge reads and writes only those that its rows fall into.
+
+    A merge writes the touched buckets into a folder of its version and then, as one small snapshot, which version of each
+    bucket is current; readers follow the newest such layout, so a job that dies half-way changes nothing.  Versions come
+    from the caller, so a repeated attempt reads what lay before it and replaces its own folder.  The number of buckets is
+    fixed for a table; a bucket should be a few hundred megabytes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str = "source_url", buckets: int = 64) -> None:
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
+        self.layouts = Snapshots(spark, f"{self.root}/layouts")
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def layout(self, before: int | None = None) -> dict[int, int]:
+        """The version of each bucket that holds rows."""
+        found = self.layouts.read(before)
+        return {} if found is None else {r.bucket: r.version for r in found.collect()}
+
+    def _folder(self, version: int, bucket: int) -> str:
+        return f"{self.root}/data/v={version:012d}/_bucket={bucket}"
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        paths = [self._folder(v, b) for b, v in self.layout(before).items() if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets that rows fall into: numbers below `buckets`, however many rows there are."""
+        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
+
+    def replace(self, rows: DataFrame, touched: list[int], version: int) -> None:
+        """Make rows the content of the touched buckets."""
+        folder = f"{self.root}/data/v={version:012d}"
+        dealt = rows.withColumn("_bucket", self.bucket()).repartition(max(1, len(touched)), "_bucket")
+        dealt.write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        made = {int(s.getPath().getName()[8:]) for s in files.listStatus(path) if s.getPath().getName().startswith("_bucket=")}
+        layout = {b: v for b, v in self.layout(version).items() if b not in touched} | {b: version for b in made}
+        self.layouts.publish(self.spark.createDataFrame(sorted(layout.items()), "bucket int, version bigint").coalesce(1), version)
+
+    def merge(self, rows: DataFrame, version: int, how: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replace the buckets of rows by how(their content before this version, rows); returns them."""
+        touched = self.touched(rows)
+        self.replace(how(self.read(version, touched), rows), touched, version)
+        return touched
+
+    def expire(self, keep: int = 2) -> list[str]:
+        """Remove bucket folders of this table that none of the last `keep` layouts names; returns their paths.
+
+        Readers that hold an older layout than those must have ended.
+        """
+        versions = self.layouts.versions()
+        if len(versions) <= keep:
+            return []
+        named = {self._folder(v, b) for number in versions[-keep:] for b, v in self.layout(number + 1).items()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = []
+        for version in versions[:-keep]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/v={version:012d}")
+            for status in files.listStatus(folder) if files.exists(folder) else []:
+                name = status.getPath().getName()
+                if name.startswith("_bucket=") and self._folder(version, int(name[8:])) not in named:
+                    files.delete(status.getPath(), True)
+                    old.append(self._folder(version, int(name[8:])))
+        return old

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from .. import schemas as S
 from ..operators import jobs as J, merge as M
 from ..operators.validate import within_tolerance
-from ..session import scratch_path
-from ..sources.exports import Snapshots
+from ..session import scratch_path, written
+from ..sources.exports import BucketedTable
 from .keyed import PROVIDER
 
 TOLERANCE = "5 minutes"
@@ -145,15 +145,17 @@ def live_counts(feed: DataFrame) -> DataFrame:
     return M.signed_changes(feed).groupBy("category_id").agg(F.sum("delta").alias("delta"))
 
 
-def upsert_stream(stream: DataFrame, store: Snapshots, table: str, as_of: Column, order: list[str],
-                  mode: str = "overwrite") -> None:
-    """Merge each micro-batch into the newest snapshot and publish the result under the batch's number.
+def upsert_stream(stream: DataFrame, store: BucketedTable, table: str, as_of: Column, order: list[str],
+                  mode: str = "overwrite", keep: int = 2) -> None:
+    """Merge each micro-batch into the buckets that its rows fall into, under the batch's number.
 
-    A repeated batch reads the snapshot before its own and replaces its own folder.
+    What is written follows the batch, not the table.  A repeated batch reads the layout before its own and replaces its own
+    folder, so it changes nothing.  Buckets that the last `keep` layouts do not name are removed.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = store.read(before=batch_id + 1)
-        store.publish(M.upsert(current, batch, table, as_of, order, mode).drop("action"), batch_id + 1)
+        rows = written(batch.filter(F.col(store.key).isNotNull()), "upsert-batch")
+        store.merge(rows, batch_id + 1, lambda current, new: M.upsert(current, new, table, as_of, order, mode).drop("action"))
+        store.expire(keep)
 
     query = (stream.writeStream.foreachBatch(merge)
              .option("checkpointLocation", scratch_path(stream.sparkSession, "upsert-state"))

@@ -7,7 +7,7 @@ from catalogspark.operators import jobs as J, merge as M, metrics as X, ratelimi
 from catalogspark.plans import queries_streams as Q
 from catalogspark.session import scratch_path
 from catalogspark.sources import adapters as A
-from catalogspark.sources.exports import Snapshots
+from catalogspark.sources.exports import BucketedTable
 from catalogspark.streaming import keyed as K, streams as T
 
 
@@ -203,17 +203,43 @@ def test_fold_equals_the_queue_operators(spark):
     assert tuple(T.fold_jobs(frame).select(*columns).first()) == tuple(jobs.select(*columns).first()) == ("failed", 3, "e3", None)
 
 
-def test_upsert_batches(spark, sf_dir):
-    store = Snapshots(spark, scratch_path(spark, "t-store"))
-    store.publish(A.product(spark, sf_dir), 0)
-    new = A.product(spark, sf_dir).select("source_url", "title").filter(F.col("title") > "m").withColumn("at", F.lit(1))
+def _files(spark, folder):
+    return sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+                  .select("path", "modificationTime", "length").collect())
+
+
+def test_upsert_batches_touch_their_buckets(spark, sf_dir):
+    products = A.product(spark, sf_dir)
+    root = scratch_path(spark, "t-store")
+    store = BucketedTable(spark, root, products.schema, buckets=32)
+    store.replace(products, list(range(32)), 0)
+    assert rows(store.read(), "source_url") == rows(products, "source_url")
+    first = _files(spark, f"{root}/data/v=000000000000")
+    urls = [r.source_url for r in products.select("source_url").limit(3).collect()]
     path = scratch_path(spark, "t-scraped")
-    for i in range(3):
-        new.withColumns({"title": F.concat("title", F.lit(f" {i}")), "at": F.lit(i)}).coalesce(1).write.mode("append").parquet(path)
-    T.upsert_stream(T.read_stream(spark, path, new.schema, files_per_trigger=1), store, "product", A.as_of(), ["at"])
-    changed = store.read().filter(F.col("title").rlike(" [0-9]$"))
-    assert len(store.versions()) == 4
-    assert changed.count() == new.count()
+    for i in range(4):  # two known rows and a new one in each batch
+        new = [(urls[i % 3], f"title {i}", i), (urls[2], f"again {i}", i), (f"https://garden.example.com/new/{i}", f"new {i}", i), (None, "lost", i)]
+        spark.createDataFrame(new, "source_url string, title string, at int").coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    T.upsert_stream(T.read_stream(spark, path, schema, files_per_trigger=1), store, "product", A.as_of(), ["at"], keep=5)
+    assert store.read().count() == products.count() + 4
+    titles = {r.source_url: r.title for r in store.read().filter(F.col("title").rlike("^(title|again|new) [0-9]$")).collect()}
+    assert len(titles) == 7 and titles[urls[2]].startswith("again")
+    for version in range(1, 5):
+        assert len(_files(spark, f"{root}/data/v={version:012d}")) <= 3
+    assert _files(spark, f"{root}/data/v=000000000000") == first
+
+    # A repeated batch changes nothing; then what no newer layout names goes.
+    before = sorted(map(repr, store.read().collect()))
+    again = spark.createDataFrame([(urls[0], "title 9", 9)], "source_url string, title string, at int")
+    merge = lambda current, new: M.upsert(current, new, "product", A.as_of(), ["at"]).drop("action")
+    for _ in range(2):
+        touched = store.merge(again, 5, merge)
+        after = sorted(map(repr, store.read().collect()))
+        assert len(touched) == 1 and len(after) == len(before) and len(set(after) - set(before)) <= 1
+    gone = store.expire(1)
+    assert gone and sorted(map(repr, store.read().collect())) == after
+    assert store.expire(1) == [] and len(_files(spark, f"{root}/data/v=000000000000")) < len(first)
 
 
 def test_progress(spark, split):
