@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..functions.stem import STOP_WORDS, stems_sql, words_sql
 from ..operators import catalog as C, merge as M, tree as T, validate as V
+from ..operators.search import search, write_index
+from ..session import scratch_path
 from ..sources import adapters as A, tables as R
 from .registry import query
 from .views_sql import AS_OF, SITE, with_views
@@ -110,6 +113,33 @@ def product_search_ranked(spark, sf):
     return C.page(hits, order, 20).select("id", "title", "rank")
 
 
+# Titles with plurals, stop words and words in between; the twin has the same rules in its own array functions.
+_LONG_TITLE = """CASE {k} % 4 WHEN 0 THEN {title} WHEN 1 THEN 'Used ' || {title} || 's, and a ' || {title}
+  WHEN 2 THEN replace({title}, ' ', ' or hand-painted ') || 's' ELSE {title} || ' in its finished ' || {type} || ' box' END"""
+_TITLE_WORDS = words_sql("title", duck=True)
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("product_search_text", with_views(
+    f"""SELECT id, rank FROM (
+      SELECT id, created_at, round(1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(flatten(list_transform(one, lambda p: list_transform(two,
+        lambda q: abs(p - q)))), lambda d: 1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(d / 1.5 - 2))))), lambda a, b: a * b), 6) AS rank
+      FROM (SELECT id, created_at, list_filter(range(1, len(stems) + 1), lambda i: stems[i] = 'blue' AND words[i] NOT IN ({_STOP})) AS one,
+              list_filter(range(1, len(stems) + 1), lambda i: stems[i] = 'ring' AND words[i] NOT IN ({_STOP})) AS two
+            FROM (SELECT *, {stems_sql("words", duck=True)} AS stems FROM titled)) WHERE len(one) > 0 AND len(two) > 0)
+    ORDER BY rank DESC, created_at DESC, id LIMIT 20""", "product",
+    titled=f"SELECT id, created_at, {_TITLE_WORDS} AS words FROM (SELECT id, created_at, {_LONG_TITLE.format(k='k', title='title', type='spec_type')} AS title "
+           "FROM product WHERE available)"))
+def product_search_text(spark, sf):
+    """Words of a query in any form, over an index that is written for it."""
+    title = _LONG_TITLE.format(k="CAST(id AS BIGINT)", title="title", type="specs['type']")
+    products = A.product(spark, sf).withColumn("title", F.expr(title))
+    path = scratch_path(spark, "title-index")
+    write_index(products, path)
+    order = [F.col("rank").desc(), F.col("created_at").desc(), F.col("id")]
+    return C.page(search(products, path, "the blue rings"), order, 20).select("id", "rank")
+
+
 @query("product_specs_eq", with_views("SELECT id FROM product WHERE spec_author = 'Author 7'", "product"))
 def product_specs_eq(spark, sf):
     return C.spec_equals(A.product(spark, sf), "author", "Author 7").select("id")
