@@ -26,11 +26,11 @@ from .neardup import components, shingles
 WORDS = 4
 PERCENT = 85
 FREQUENT = 1 << 16   # elements that may be put last: half a megabyte for each task
-SAMPLED = 8          # one of so many texts, chosen by hash, tells which are frequent
+SAMPLED = 16         # one of so many texts, chosen by hash, tells which are frequent
 TOGETHER = 256       # classes compared with a leader in one group
 
 
-def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 4) -> list[int]:
+def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 3) -> list[int]:
     """Elements of at least `least` different sets among a sample of the texts, the `most` most frequent ones, sorted.
 
     They are put last in the order of elements.  Any order gives the same links, as long as all sets have the same; this
@@ -54,9 +54,8 @@ def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT,
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
     sets = sample.mapInArrow(work, "digest binary, elements array<long>")
     # Copies count once: one set for each digest.
-    one = written(sets.withColumn("first", F.monotonically_increasing_id()), "sample")
-    keep = one.groupBy("digest").agg(F.min("first").alias("first")).select("first")
-    counted = one.join(keep, "first", "left_semi").select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("n"))
+    counted = sets.groupBy("digest").agg(F.first("elements").alias("elements")).select(F.explode("elements").alias("element")) \
+        .groupBy("element").agg(F.count("*").alias("n"))
     top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "element").limit(most)
     return sorted(r.element for r in top.select("element").collect())
 
