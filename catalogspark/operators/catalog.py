@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import first_of
+from ..session import written
 
 PRODUCT_SORTS = {
     "price_asc": lambda: F.col("price").asc_nulls_last(),
@@ -61,6 +62,24 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, order: list[Column], key: list[str], columns: list[str], limit: int, offset: int) -> DataFrame:
+    """The rows offset + 1 ... offset + limit in an order, however far down, without sorting or gathering what is before.
+
+    Only the columns that the order reads are dealt into ranges and counted; the counts tell which ranges hold the page,
+    and only those are sorted, each by its task.  The page's rows are then fetched by key, which must be unique and without
+    nulls and end the order.
+    """
+    narrow = df.select(*dict.fromkeys([*columns, *key])).repartitionByRange(*order)
+    ranged = written(narrow.withColumn("_range", F.spark_partition_id()), "ranges")
+    along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)   # one row per range
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", "_n", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    held = counts.where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_n") > offset)).select("_range", "_before")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    wanted = ranged.join(held, "_range").withColumn("_place", place).where(f"_place > {offset} AND _place <= {offset + limit}")
+    return df.join(wanted.select(*key, "_place"), key).orderBy("_place").drop("_place")
+
+
 def product_page(products: DataFrame, sort: str = DEFAULT_SORT, limit: int = DEFAULT_LIMIT, offset: int = 0,
                  category_id: str | None = None, available: bool | None = None) -> DataFrame:
     check_page(limit, offset, sort)

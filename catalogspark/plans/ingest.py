@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from ..functions.text import merge_maps
 from ..operators import extract as E, merge as M, validate as V
 from ..session import cut_lineage, written
 from ..sources.exports import Snapshots
@@ -119,27 +120,77 @@ def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, O
     return df.observe(seen, *[c.alias(n) for n, c in measures.items()]), seen
 
 
+def run_account(pages: DataFrame, got: Ingested) -> DataFrame:
+    """One row for a run: pages requested, crawled (the newest of each url), successful, refused and broken, and the share
+    of the crawled that were successful (null without any)."""
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return (pages.agg(F.count(F.lit(1)).alias("requested"))
+            .withColumns({"successful": count(got.rows), "refused": count(got.refused), "broken": count(got.broken)})
+            .withColumn("crawled", F.col("successful") + F.col("refused") + F.col("broken"))
+            .withColumn("success_rate", F.round(F.try_divide(F.col("successful"), F.col("crawled")), 6)))
+
+
 Stage = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
-def publish_all(stores: dict[str, Snapshots], commits: Snapshots, stages: list[Stage], version: int) -> dict[str, int]:
+@dataclass
+class JobMark:
+    """The job that a composite write belongs to: the name of the table of jobs among the stores, its id, the moment."""
+    table: str
+    job_id: str
+    as_of: Column
+
+
+def _marked(jobs: DataFrame, mark: JobMark, status: str, rows: dict[str, int], error: str | None) -> DataFrame:
+    """The jobs with one of them ended: its lock is gone, its metadata has the rows written per table."""
+    mine = F.col("id") == mark.job_id
+    counts = [F.lit(x) for name, n in rows.items() for x in (f"rows_{name}", str(n))]
+    changed = {
+        "status": F.lit(status), "completed_at": mark.as_of, "updated_at": mark.as_of, "locked_at": F.lit(None), "locked_by": F.lit(None),
+        "last_error": F.lit(error), "metadata": merge_maps(F.col("metadata"), F.create_map(*counts)) if counts else F.col("metadata")}
+    kinds = {f.name: f.dataType for f in jobs.schema}
+    return jobs.withColumns({c: F.when(mine, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in changed.items() if c in kinds})
+
+
+def publish_all(stores: dict[str, Snapshots], commits: Snapshots, stages: list[Stage], version: int,
+                job: JobMark | None = None) -> dict[str, int]:
     """Run the stages in order and publish every table they return, or none.
 
     Each returned table is written once, as a snapshot of this version, and later stages read it from
     there.  Readers follow the commit, one small row per table that names its snapshot; it is written
     last, so an error in any stage leaves them on the old state.  Returns the rows written per table.
+
+    With a job, its mark is part of the same commit: completed, with the rows per table.  If a stage fails, a commit of
+    this version has the old state of all other tables and the job as failed, with the error and the rows written so far.
     """
     spark = commits.spark
-    versions = committed_versions(stores, commits)
-    state = {name: stores[name].at(v) for name, v in versions.items()}
-    rows = {}
-    for stage in stages:
-        for name, table in stage(dict(state)).items():
-            counted, seen = observed(table, f"{name}-{version}")
-            stores[name].publish(counted, version)
-            rows[name], versions[name] = seen.get["rows"], version
-            state[name] = stores[name].at(version)
-    commits.publish(spark.createDataFrame(list(versions.items()), "name string, version bigint").coalesce(1), version)
+    old = committed_versions(stores, commits)
+    versions, state, rows = dict(old), {name: stores[name].at(v) for name, v in old.items()}, {}
+
+    def publish(name: str, table: DataFrame) -> None:
+        counted, seen = observed(table, f"{name}-{version}")
+        stores[name].publish(counted, version)
+        rows[name], versions[name] = seen.get["rows"], version
+        state[name] = stores[name].at(version)
+
+    def commit(named: dict[str, int]) -> None:
+        commits.publish(spark.createDataFrame(list(named.items()), "name string, version bigint").coalesce(1), version)
+
+    try:
+        for stage in stages:
+            for name, table in stage(dict(state)).items():
+                publish(name, table)
+    except Exception as error:
+        if job:
+            stores[job.table].publish(_marked(stores[job.table].at(old[job.table]), job, "failed", rows, str(error)[:500]), version)
+            commit(old | {job.table: version})
+        raise
+    if job:
+        marked = _marked(state[job.table], job, "completed", dict(rows), None)
+        # A table of jobs that a stage has written is read while its mark is: it goes through a folder of its own.
+        stores[job.table].publish(written(marked, "job-mark") if versions[job.table] == version else marked, version)
+        versions[job.table] = version
+    commit(versions)
     return rows
 
 

@@ -113,6 +113,13 @@ def product_search_ranked(spark, sf):
     return C.page(hits, order, 20).select("id", "title", "rank")
 
 
+@query("deep_page", """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 1000""")
+def deep_page(spark, sf):
+    """A page a thousand rows down."""
+    orders = A.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return C.deep_page(orders, [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey")], ["o_orderkey"], ["o_totalprice"], 100, 1000)
+
+
 # Titles with plurals, stop words and words in between; the twin has the same rules in its own array functions.
 _LONG_TITLE = """CASE {k} % 4 WHEN 0 THEN {title} WHEN 1 THEN 'Used ' || {title} || 's, and a ' || {title}
   WHEN 2 THEN replace({title}, ' ', ' or hand-painted ') || 's' ELSE {title} || ' in its finished ' || {type} || ' box' END"""

@@ -136,9 +136,13 @@ def requeue(spark, sf):
 
 
 @query("requeue_one", jobs_sql(
-    "SELECT count(*) AS affected FROM scrape_job WHERE id = 'j5' AND status = 'failed' AND attempts < max_attempts"))
+    """SELECT id, CASE WHEN id = 'j10' THEN 'queued' ELSE status END AS status, CASE WHEN id <> 'j10' THEN last_error END AS last_error,
+      id = 'j10' AS released FROM scrape_job WHERE status = 'failed' AND attempts < max_attempts"""))
 def requeue_one(spark, sf):
-    return M.affected(J.requeue(A.scrape_job(spark, sf), A.as_of(), job_id="j5").filter("released"))
+    """One failed job with attempts left, among the others, which stay as they are."""
+    jobs = A.scrape_job(spark, sf)
+    failed = jobs.filter("status = 'failed' AND attempts < max_attempts").select("id")
+    return J.requeue(jobs, A.as_of(), job_id="j10").join(failed, "id", "left_semi").select("id", "status", "last_error", "released")
 
 
 def _register_retention(name: str, rule: str, amount: int, where: str, as_of_text: str) -> None:

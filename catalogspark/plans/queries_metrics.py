@@ -371,27 +371,31 @@ _TARGET = f"""CASE u % 4 WHEN 0 THEN '{SITE}' WHEN 1 THEN CASE WHEN u % 8 = 1 TH
   ELSE '{SITE}/product/' || u END"""
 
 
-# Made for entries that are not fresh, so that the plan also has rows when hardly any entry is stale.
 @query("refresh_plan", views(
     f"""SELECT CASE u % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'category' ELSE 'product' END AS type, {_TARGET} AS target_url,
-      CAST(3 AS INTEGER) AS priority, count(DISTINCT key) AS keys FROM entries WHERE {_AGE} > ttl * 1000 GROUP BY ALL""", entries=_ENTRIES))
+      CAST(3 AS INTEGER) AS priority, count(DISTINCT key) AS keys FROM entries WHERE {_CLASS} = 'stale' GROUP BY ALL""", entries=_ENTRIES))
 def refresh_plan(spark, sf):
-    entries = _classified(spark, sf)
-    due = entries.withColumn("freshness", F.when(F.col("freshness") != "fresh", "stale").otherwise("fresh"))
-    requests = C.refresh_requests(due, SITE)
+    requests = C.refresh_requests(_classified(spark, sf), SITE)
     return requests.groupBy("type", "target_url", "priority").agg(F.count_distinct("seq").alias("keys"))
 
 
+@query("refresh_manual", views(
+    f"""SELECT CASE u % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'category' ELSE 'product' END AS type, {_TARGET} AS target_url,
+      CAST(7 AS INTEGER) AS priority, 'manual' AS asked, count(DISTINCT key) AS keys FROM entries GROUP BY ALL""", entries=_ENTRIES))
+def refresh_manual(spark, sf):
+    """Every entry asked for by hand, fresh ones too: before the scheduled ones in the queue."""
+    requests = C.refresh_requests(_classified(spark, sf), SITE, manual=True)
+    return requests.groupBy("type", "target_url", "priority", F.col("metadata")["revalidation_type"].alias("asked")).agg(F.count_distinct("seq").alias("keys"))
+
+
 @query("refresh_enqueue", views(
     f"""SELECT r.type, url AS target_url, CASE WHEN o.id IS NULL THEN 'insert' ELSE 'raise' END AS action,
       CAST(greatest(3, coalesce(o.priority, 0)) AS INTEGER) AS priority FROM (
       SELECT DISTINCT CASE u % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'category' ELSE 'product' END AS type, {_TARGET} AS url
-      FROM entries WHERE {_AGE} > ttl * 1000) r LEFT JOIN open_jobs o ON o.type = r.type AND o.target_url = r.url""",
+      FROM entries WHERE {_CLASS} = 'stale') r LEFT JOIN open_jobs o ON o.type = r.type AND o.target_url = r.url""",
     "scrape_job", entries=_ENTRIES, open_jobs=OPEN_JOBS_SQL))
 def refresh_enqueue(spark, sf):
-    entries = _classified(spark, sf)
-    due = entries.withColumn("freshness", F.when(F.col("freshness") != "fresh", "stale").otherwise("fresh"))
-    changes = J.enqueue(A.scrape_job(spark, sf), C.refresh_requests(due, SITE))
+    changes = J.enqueue(A.scrape_job(spark, sf), C.refresh_requests(_classified(spark, sf), SITE))
     return changes.select("type", "target_url", "action", "priority")
 
 
@@ -569,6 +573,31 @@ def metric_rollup(spark, sf):
     return M.metric_rollup(rows, "name", "kind").withColumn("avg_value", F.round("avg_value", 8))
 
 
+_CALLS = """SELECT event_type AS endpoint, CASE WHEN user_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  CAST(CASE WHEN event_id % 20 = 0 THEN 500 ELSE 200 END AS INTEGER) AS status, user_id % 2 = 0 AS cached, date_trunc('week', ts) AS week, value FROM events"""
+
+
+@query("metric_percentiles", f"""SELECT endpoint, method, status, cached, {_stamp_sql('week', 'week')}, count(value) AS n, min(value) AS min_value, max(value) AS max_value,
+  true AS p50_close, true AS p95_close FROM ({_CALLS}) GROUP BY endpoint, method, status, cached, week""")
+def metric_percentiles(spark, sf):
+    """API calls by endpoint, method, status and cache use: hourly sketches merged by week; their p50 and p95 against the
+    exact ranks of those values, which may be off by 0.03."""
+    by = ["endpoint", "method", "status", "cached"]
+    u, ts = F.col("user_id"), F.col("ts").cast("timestamp")
+    calls = A.table(spark, sf, "events").select(
+        F.col("event_type").alias("endpoint"), F.when(u % 3 == 0, "POST").otherwise("GET").alias("method"),
+        F.when(F.col("event_id") % 20 == 0, 500).otherwise(200).alias("status"), (u % 2 == 0).alias("cached"), ts.alias("ts"), "value")
+    hourly = M.percentile_sketches(calls, by)
+    weekly = M.merge_sketches(hourly.withColumn("week", F.date_trunc("week", "window_start")), [*by, "week"])
+    shares = {"p50": 0.5, "p95": 0.95}
+    found = M.percentiles(weekly, shares)
+    rows = calls.withColumn("week", F.date_trunc("week", "ts")).join(found.select(*by, "week", *shares), [*by, "week"])
+    exact = rows.groupBy(*by, "week").agg(*[c for p in shares for c in (
+        F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_below"), F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_upto"))])
+    close = {f"{p}_close": (F.col(f"{p}_below") <= share + 0.03) & (F.col(f"{p}_upto") >= share - 0.03) for p, share in shares.items()}
+    return found.join(exact, [*by, "week"]).withColumns(close).select(*by, _stamp("week"), "n", "min_value", "max_value", *close)
+
+
 def resource_urls(clicks: DataFrame) -> DataFrame:
     paths = F.array(*[F.lit(p) for p in ("/a/app.js?v=1", "/a/site.css", "/i/logo.png", "/api/products", "/page")])
     return clicks.withColumn("resource", F.element_at(paths, (F.col("user_id") % 5 + 1).cast("int")))

@@ -380,6 +380,60 @@ def composite_publish(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+_RUN = "(SELECT count(*) FROM navigation)"
+
+
+@query("composite_job_marks", with_views(
+    f"""SELECT id, CASE id WHEN 'j5' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN id = 'j13' THEN 'crawler lost' END AS last_error,
+      CAST(NULL AS VARCHAR) AS locked_by, {_RUN} AS navigation, CASE id WHEN 'j5' THEN (SELECT count(*) FROM category) END AS category,
+      (SELECT count(*) FROM navigation WHERE parent_id IS NULL) AS roots_left FROM scrape_job WHERE id IN ('j5', 'j13')""",
+    "navigation", "category", "scrape_job"))
+def composite_job_marks(spark, sf):
+    """Two composite writes and the marks of their jobs in the same commits: one goes through, one breaks off half-way."""
+    root = scratch_path(spark, "store")
+    stores = {name: Snapshots(spark, f"{root}/{name}") for name in ("navigation", "category", "job")}
+    for name, df in (("navigation", A.navigation), ("category", A.category), ("job", A.scrape_job)):
+        stores[name].publish(df(spark, sf), 1)
+
+    def retitle(state):
+        return {"navigation": state["navigation"].withColumn("title", F.upper("title"))}
+
+    def touch(state):
+        return {"category": state["category"].withColumn("product_count", F.col("product_count") + 1)}
+
+    def empty(state):
+        return {"navigation": state["navigation"].withColumn("parent_id", F.lit(None).cast("string"))}
+
+    def lost(state):
+        raise RuntimeError("crawler lost")
+
+    commits = Snapshots(spark, f"{root}/commits")
+    ingest.publish_all(stores, commits, [retitle, touch], 2, ingest.JobMark("job", "j5", A.as_of()))
+    try:
+        ingest.publish_all(stores, commits, [empty, lost], 3, ingest.JobMark("job", "j13", A.as_of()))
+    except RuntimeError:
+        pass
+    published = ingest.read_published(stores, commits)
+    roots = published["navigation"].filter("parent_id IS NULL").agg(F.count(F.lit(1))).scalar()
+    rows = lambda name: F.col("metadata")[f"rows_{name}"].cast("bigint").alias(name)
+    return published["job"].filter(F.col("id").isin("j5", "j13")).select(
+        "id", "status", "last_error", "locked_by", rows("navigation"), rows("category"), roots.alias("roots_left"))
+
+
+@query("run_account", """SELECT requested, successful, refused, broken, successful + refused + broken AS crawled,
+  round(successful * 1.0 / (successful + refused + broken), 6) AS success_rate FROM (
+  SELECT count(*) + count(*) FILTER (p_partkey % 3 = 0) + count(*) FILTER (p_partkey % 7 = 0) AS requested, count(*) FILTER (p_partkey % 19 <> 0) AS successful,
+  count(*) FILTER (p_partkey % 19 = 0) AS refused, count(*) FILTER (p_partkey % 7 = 0) AS broken FROM part)""")
+def run_account(spark, sf):
+    """Requested against successful pages of a run, in which a third came twice and a seventh again, broken."""
+    pages = A.detail_page(spark, sf).select("page_id", "url", "html")
+    k = F.col("page_id").cast("bigint")
+    crawl = (pages.withColumn("fetched_at", F.lit(2)).unionByName(pages.filter(k % 3 == 0).withColumn("fetched_at", F.lit(1)))
+             .unionByName(pages.filter(k % 7 == 0).select("page_id", F.concat("url", F.lit("#broken")).alias("url"),
+                                                         F.concat(F.lit("<![foo bar]>"), "html").alias("html"), F.lit(2).alias("fetched_at"))))
+    return ingest.run_account(crawl, ingest.ingest_products(crawl))
+
+
 @query("progress_observed", """SELECT count(*) AS written, count(*) AS rows, count(*) FILTER (p_partkey % 10 <> 0) AS available FROM part""")
 def progress_observed(spark, sf):
     """Counts taken while the rows are written, beside a count of what was written."""

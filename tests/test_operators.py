@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogspark import schemas as S
 from catalogspark.operators import catalog as C, freshness as Fr, images as Im, jobs as J, merge as M, ratelimit as R
-from catalogspark.operators import timeline as L, tree as T, validate as V
+from catalogspark.operators import metrics as X, timeline as L, tree as T, validate as V
 
 NOW = None
 
@@ -365,3 +365,32 @@ def test_display_positions_number_the_nodes_without_one_window_over_all(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert [(r.position, r.id) for r in placed.orderBy("position").collect()] == list(enumerate(wanted, 1))
     assert "row_number" not in placed._jdf.queryExecution().toString()
+
+
+# ---- deep pages and percentiles ---------------------------------------------------------------------------------
+
+def test_a_deep_page_sorts_only_the_ranges_that_hold_it(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, *range(40)]), f"p{i}") for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "id int, price int, payload string").repartition(6)
+    order = [F.col("price").desc_nulls_last(), F.col("id")]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for offset in (0, 7_490, 19_990, 30_000):
+        got = C.deep_page(frame, order, ["id"], ["price"], 20, offset).collect()
+        assert [tuple(r) for r in got] == want[offset:offset + 20]
+
+
+def test_percentiles_of_merged_sketches(spark):
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(3)}", 1_700_000_000 + rnd.randrange(5 * 86_400), rnd.expovariate(0.01)) for _ in range(30_000)]
+    rows += [("few", 1_700_000_000, float(k)) for k in range(11)] + [("few", 1_700_000_000, None), ("none", 1_700_000_000, None)]
+    frame = spark.createDataFrame(rows, "endpoint string, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    hourly = X.percentile_sketches(frame, ["endpoint"])
+    merged = X.merge_sketches(X.merge_sketches(hourly, ["endpoint"], "1 day"), ["endpoint"])
+    got = {r.endpoint: r for r in X.percentiles(merged, {"p50": 0.5, "p95": 0.95}).collect()}
+    for name in ("hot", "k0", "k1", "k2"):
+        values = sorted(v for k, _, v in rows if k == name)
+        assert got[name].n == len(values) and got[name].max_value == values[-1]
+        for share, found in ((0.5, got[name].p50), (0.95, got[name].p95)):
+            assert abs(sum(v <= found for v in values) / len(values) - share) < 0.03
+    assert got["few"].p50 == 5.0 and got["few"].n == 11 and "none" not in got
