@@ -4,9 +4,9 @@
        sets that link share an element near the start of both, so an index list per element holds those that have it there.
     2. A list is cut into blocks by set size.  How far into a set an element lies bounds the size of partners that it can
        lead to: an entry goes only to the blocks that its position admits, and skips the others with all they hold.
-    3. In each block the class with the most company is the leader.  The others are compared with it on full sets: a pair
-       for each class and leader, never all pairs of a block.  Their answer is known from here on as a difference D from
-       the leader's set.
+    3. In each block the class with the most company is the leader.  The others are compared with it, a pair for each class
+       and leader, never all pairs of a block: the clearly different ones on their first elements, the rest on full sets.
+       Their answer is known from here on as a difference D from the leader's set.
     4. Answers between two classes of one block are derived from the leader's: the difference of x and y is that of Dx and
        Dy.  It can be small enough only if the Ds overlap in their first elements, which is a join on (leader, element).
        The few pairs that pass are confirmed on full sets.
@@ -60,9 +60,28 @@ def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT,
     return sorted(r.element for r in top.select("element").collect())
 
 
-def _places(percent: int, size: int) -> int:
-    """How many of a set's first elements can be the first one shared with a partner of any size."""
-    return size - -(-percent * size // 100) + 1
+def _kept(percent: int, size: int) -> int:
+    """How many of a set's first elements are kept: those that can be the first one shared with a partner of any size, and
+    some more than the first elements of a difference that `derived_pairs` asks for."""
+    return min(size, max(size - -(-percent * size // 100) + 1, int(1.25 * _first(percent) * size) + 2))
+
+
+def _first(percent: int) -> float:
+    """Two sets that link have the first element that they both have, but a third lacks, within this share of their sizes."""
+    return (100 - percent) / (100 + percent) * (1 + 100 / percent)
+
+
+def _late(elements, last):
+    """Which elements are among the frequent ones (a sorted array)."""
+    import numpy as np
+
+    return last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
+
+
+def _frequent_array(frequent: list[int]):
+    import numpy as np
+
+    return np.sort(np.array(frequent or [0], "i8").view("u8"))
 
 
 def ordered_sets(docs: DataFrame, frequent: list[int], percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -73,12 +92,10 @@ def ordered_sets(docs: DataFrame, frequent: list[int], percent: int = PERCENT, w
         import numpy as np
         import pyarrow as pa
 
-        last = np.sort(np.array(frequent, "i8").view("u8"))
-        last = last if len(last) else np.zeros(1, "u8")
+        last = _frequent_array(frequent)
 
         def start(found):
-            late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
-            n = _places(percent, len(found))
+            late, n = _late(found, last), _kept(percent, len(found))
             early = found[~late][:n]
             return early if len(early) == n else np.concatenate([early, found[late][:n - len(early)]])
 
@@ -106,7 +123,8 @@ def index_blocks(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     most (n - i) * (1 + t) / t - n elements.  `small`: the entry may be that of the smaller set.
     """
     t = percent / 100
-    entries = classes.select("node", "n", F.posexplode("starts").alias("i", "element"))
+    places = F.expr(f"CAST(n - (n * {percent} + 99) div 100 + 1 AS INT)")
+    entries = classes.select("node", "n", F.posexplode(F.slice("starts", F.lit(1), places)).alias("i", "element"))
     shared = entries.groupBy("element").agg(F.count("*").alias("_n")).where("_n > 1").select("element")
 
     def level(size: Column) -> Column:
@@ -137,24 +155,58 @@ def leader_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 ANSWERS = "leader long, node long, size int, different int, first array<long>, marks array<long>, linked boolean"
 
 
-def leader_answers(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def far_answers(pairs: DataFrame, classes: DataFrame, frequent: list[int], percent: int) -> DataFrame:
+    """Each pair (leader, node) once more: `far` ones answered from the kept first elements alone, the others without.
+
+    A node is far if, as far as the leader's kept elements reach, it has more elements that the leader lacks than a link
+    allows, and as many as `derived_pairs` asks for.  Then the two don't link, and D need not be known to its end.
+    """
+    of = lambda role, n, starts: classes.select(F.col("node").alias(role), F.col("n").alias(n), F.col("starts").alias(starts))
+    both = pairs.join(of("node", "n", "mine"), "node").join(of("leader", "m", "theirs"), "leader")
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last, k = _frequent_array(frequent), (100 - percent) / (100 + percent)
+        for batch in batches:
+            sizes, firsts = [], []
+            columns = [batch.column(c) for c in ("n", "m", "mine", "theirs")]
+            for n, m, mine, theirs in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3]):
+                x, base = (v.values.to_numpy().view("u8") for v in (mine, theirs))
+                most, seen = int(_first(percent) * n) + 1, np.ones(len(x), bool)
+                if len(base) < m:  # the leader's kept elements end here, in the common order
+                    end, late = base[-1], _late(x, last)
+                    seen = late < _late(base[-1:], last)[0]
+                    seen |= (late == _late(base[-1:], last)[0]) & (x <= end)
+                own = x[seen & ~np.isin(x, base)]
+                far = len(own) >= most and len(own) > k * (n + m)
+                sizes.append(n)
+                firsts.append(own[:most].view("i8") if far else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("leader"), batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["leader", "node", "size", "first"])
+
+    return both.select("leader", "node", "n", "m", "mine", "theirs").mapInArrow(work, "leader long, node long, size int, first array<long>")
+
+
+def leader_answers(pairs: DataFrame, texts: DataFrame, frequent: list[int], percent: int, width: int) -> DataFrame:
     """Each pair (leader, node) on full sets: the node's size, the size of D (what only the node has, then what only the
     leader has) with its first elements and a bit set of it, and whether the two link.
 
-    texts: node, doc_id, text_hash and text of every class that is asked for, possibly repeated.  A leader with many nodes
-    has its set in several groups; texts go straight to the groups that need them.
+    texts: node and text of every class that is asked for, possibly repeated.  A leader with many nodes has its set in
+    several groups; texts go straight to the groups that need them.
     """
     counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
     dealt = pairs.join(counts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TOGETHER)).alias("group"))
     wanted = dealt.select("leader", "group", F.lit(1).alias("turn"), "node").union(
         dealt.select("leader", "group", F.lit(0), F.col("leader")).distinct())
-    first = (100 - percent) / (100 + percent) * (1 + 100 / percent)
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        base, before = np.empty(0, "u8"), None
+        last, base, before = _frequent_array(frequent), np.empty(0, "u8"), None
         for batch in batches:
             rows = []
             for leader, group, turn, node, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "group", "turn", "node")), batch.column("text")):
@@ -166,11 +218,11 @@ def leader_answers(pairs: DataFrame, texts: DataFrame, percent: int, width: int)
                     base = found
                     continue
                 own, lacking = np.setdiff1d(found, base, True), np.setdiff1d(base, found, True)
-                d = np.concatenate([own, lacking])
+                d = np.concatenate([part for side in (own, lacking) for late in (_late(side, last),) for part in (side[~late], side[late])])
                 bits = np.zeros(256, bool)
                 bits[(d >> np.uint64(56)).astype("i8")] = True
                 common = len(found) - len(own)
-                rows.append((leader, node, len(found), len(d), d[:int(first * len(found)) + 1].view("i8"),
+                rows.append((leader, node, len(found), len(d), d[:int(_first(percent) * len(found)) + 1].view("i8"),
                              np.packbits(bits, bitorder="little").view("<i8"), 100 * common >= percent * (common + len(d))))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
@@ -186,10 +238,10 @@ def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
     """leader, node: pairs of classes of one leader that may link and are not yet joined (node, label), from the leader's
     answers alone.
 
-    x and y link if their sets differ in at most k * (|x| + |y|) elements, k = (1 - t) / (1 + t).  They differ in
-    |Dx| + |Dy| - 2 |Dx and Dy|, so the Ds must have `need` elements in common.  If none are needed, both link with the
-    leader and are joined.  Else the first common element is among the first of both, and what follows it in each D bounds
-    the rest; so does a comparison of the bit sets, as elements with different bits are different.
+    x and y link if their sets differ in at most k * (|x| + |y|) elements, k = (1 - t) / (1 + t).  They differ as Dx and Dy
+    do.  If the Ds have nothing in common, both link with the leader and are joined.  Else what stands before their first
+    common element is in one of them only, which bounds its places.  Where the Ds are known to their ends they must have
+    `need` elements in common, which bounds the places, and the bits that both have.
     """
     k = (100 - percent) / (100 + percent)
     label = joined.select(F.col("node").alias("_n"), "label")
@@ -202,14 +254,17 @@ def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
     starts = written(rows.join(telling, "leader").select("leader", "node", "size", "different", "label", "apart", "marks", (F.col("different") - marked).alias("hidden"),
                                                          F.posexplode("first").alias("i", "element")), "telling")
     x, y = starts.alias("x"), starts.alias("y")
-    need = (F.col("x.different") + F.col("y.different") - k * (F.col("x.size") + F.col("y.size"))) / 2 - 1e-9
+    allowed = k * (F.col("x.size") + F.col("y.size")) + 1e-9
+    need = (F.col("x.different") + F.col("y.different") - allowed) / 2
     same_marks = F.aggregate(F.zip_with("x.marks", "y.marks", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, m: n + m)
+    enough = ((F.least(F.col("x.different") - F.col("x.i"), F.col("y.different") - F.col("y.i")) >= need)
+              & (same_marks + F.least("x.hidden", "y.hidden") >= need))
     promising = (
         (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label"))
         & F.col("x.apart") & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        & (F.least(F.col("x.different") - F.col("x.i"), F.col("y.different") - F.col("y.i")) >= need)
-        & (same_marks + F.least("x.hidden", "y.hidden") >= need))
+        & (F.col("x.i") + F.col("y.i") <= allowed)
+        & (F.col("x.different").isNull() | F.col("y.different").isNull() | enough))
     return x.join(y, promising).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("node")).distinct()
 
 
@@ -237,14 +292,17 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_
     def answers(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct().join(classes.select("node", "rep"), "node")
         texts = hashed.join(asked.select("node", "rep.doc_id", "rep.text_hash"), ["doc_id", "text_hash"]).select("node", "text")
-        return written(leader_answers(pairs, texts, percent, width), "answers")
+        return written(leader_answers(pairs, texts, frequent, percent, width), "answers")
 
     def linked(found: DataFrame) -> DataFrame:
         return found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    told = answers(pairs)
-    derived = written(derived_pairs(told, components(linked(told)), percent), "derived")
-    links = written(linked(told).unionByName(linked(answers(derived))), "links")
+    judged = written(far_answers(pairs, classes, frequent, percent), "far")
+    near = answers(judged.where("first IS NULL").select("leader", "node"))
+    far = judged.where("first IS NOT NULL").select(
+        "leader", "node", "size", F.lit(None).cast("int").alias("different"), "first", F.lit(None).cast("array<bigint>").alias("marks"), F.lit(False).alias("linked"))
+    derived = written(derived_pairs(near.unionByName(far), components(linked(near)), percent), "derived")
+    links = written(linked(near).unionByName(linked(answers(derived))), "links")
 
     label = components(links)
     least = label.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep.doc_id").alias("least"))
