@@ -88,8 +88,10 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Features of at most `sample` labelled documents.  The sample is bounded, so it is broadcast and no text moves."""
-    chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Features of at most `sample` labelled documents.  Labels of documents that are not there don't count towards the
+    bound.  The sample is bounded, so it is broadcast and no text moves."""
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = grades(labels).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def work(batches: Iterator) -> Iterator:
