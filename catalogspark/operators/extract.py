@@ -264,6 +264,80 @@ def parse_pages(pages: DataFrame, selectors: list[str] = (), handler: Callable |
     return pages.select(*[f.name for f in kept], "html").mapInArrow(lambda batches: parse(batches), schema)
 
 
+# ---- selectors as data, by site ------------------------------------------------------------------
+
+class _Site:
+    """The compiled selectors of a site: for each purpose tests of an element, in the order in which they are tried."""
+
+    def __init__(self, purposes: dict[str, list[str]]) -> None:
+        self.chains = _chains([s for selectors in purposes.values() for s in selectors])
+        self.tests = {purpose: [self._test(s) for s in selectors] for purpose, selectors in purposes.items()}
+
+    def _test(self, selector: str):
+        *ancestors, own = _compounds(selector)
+        must, must_not, contains = _marks(own)
+        bit = _bit(tuple(ancestors), self.chains) if ancestors else 0
+        mark = lambda m: f"|{m.translate(_UNMARK)}|"
+        return [mark(m) for m in must], [mark(m) for m in must_not], contains, bit
+
+    def pick(self, purpose: str, columns: dict[str, list], start: int, stop: int) -> list[int]:
+        """Numbers of the elements of the first selector that matches any."""
+        marks, inside = columns["marks"], columns["inside"]
+        for must, must_not, contains, bit in self.tests[purpose]:
+            hits = [k - start for k in range(start, stop)
+                    if inside[k] & bit == bit and all(m in marks[k] for m in must) and not any(m in marks[k] for m in must_not)
+                    and all(part in (columns[c][k] or "") for c, part in contains)]
+            if hits:
+                return hits
+        return []
+
+
+def _parse_by_site(batches: Iterator[pa.RecordBatch], default: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    compiled: dict[str, _Site] = {}
+    kind = pa.map_(pa.string(), pa.list_(pa.int32()))
+    for batch in batches:
+        kept = batch.drop_columns(["html", "selectors"])
+        for i, (html, own) in enumerate(zip(batch.column("html"), batch.column("selectors").to_pylist())):
+            purposes = default | {purpose: selectors for purpose, selectors in own or () if selectors}
+            name = repr(sorted(purposes.items()))
+            if name not in compiled:
+                compiled[name] = _Site(purposes)
+            site = compiled[name]
+            page = _Elements(site.chains)
+            page.read(html.as_py() or "")
+            picked = [(purpose, site.pick(purpose, page.columns, 0, len(page.columns["n"]))) for purpose in sorted(purposes)]
+            row = kept.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([*row.columns, *page.arrow(), pa.array([picked], kind)],
+                                             names=[*kept.schema.names, "text", "nodes", "parse_error", "picked"])
+
+
+def parse_by_site(pages: DataFrame, sites: DataFrame, default: dict[str, list[str]]) -> DataFrame:
+    """pages(…, url, html) parsed with the selectors of their site: `parse_pages` and `picked`, for each purpose the numbers
+    of the elements of the first selector that matches any.
+
+    sites: host and selectors (map of purpose to selectors), one row per host; what a site does not name, and pages of
+    unknown hosts, fall back on `default`.  A worker compiles the selectors of a site once.  A site may have up to 62
+    different ancestors, however many all sites have together.  The join is by host, and Spark's own size check tells
+    whether the sites, not the pages, are what is moved.
+    """
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1))
+    joined = pages.withColumn("_host", host).join(sites.select(F.lower("host").alias("_host"), "selectors"), "_host", "left").drop("_host")
+    kept = [f for f in pages.schema if f.name != "html"]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("nodes", _NODES), T.StructField("parse_error", T.StringType()),
+                           T.StructField("picked", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
+    return joined.select(*[f.name for f in kept], "html", "selectors").mapInArrow(partial(_parse_by_site, default=default), schema)
+
+
+def picked(purpose: str) -> Column:
+    """The elements that a site's selectors pick for a purpose, in document order."""
+    return F.transform(F.element_at("picked", F.lit(purpose)), lambda n: F.get(F.col("nodes"), n))
+
+
+def picked_text(purpose: str) -> Column:
+    """Text of the first of them, null without any."""
+    return _first(picked(purpose), _text)
+
+
 # ---- selectors as expressions -------------------------------------------------------------------
 
 def _quoted(text: str) -> str:

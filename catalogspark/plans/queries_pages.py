@@ -174,6 +174,26 @@ def product_ingest_strict(spark, sf):
         "pages", F.lit(merged).cast("long").alias("merged"), F.lit(verdict).alias("verdict"))
 
 
+@query("site_selectors", f"""SELECT p_partkey % 3 AS site, p_partkey AS k, CASE WHEN p_partkey % 19 <> 0 THEN p_name END AS title,
+  CASE WHEN p_partkey % 17 <> 0 THEN {_LIST_PRICE} END AS price, CAST(CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS images FROM part""")
+def site_selectors(spark, sf):
+    """Three sites: the default markup; one with its own names for everything; one whose title lies in a box of its own."""
+    k = F.col("page_id").cast("bigint")
+    renamed = F.replace(F.replace(F.replace(F.col("html"), F.lit('<h1 class="product-title">'), F.lit('<p class="headline big">')), F.lit("</h1>"), F.lit("</p>")),
+                        F.lit('class="price"'), F.lit('data-amount="1"'))
+    boxed = F.replace(F.replace(F.col("html"), F.lit('<h1 class="product-title">'), F.lit('<h1>Shop</h1><div id="offer"><b>')), F.lit("</h1>"), F.lit("</b></div>"))
+    pages = A.detail_page(spark, sf).withColumn("html", F.when(k % 3 == 1, renamed).when(k % 3 == 2, boxed).otherwise(F.col("html")))
+    pages = pages.withColumn("url", F.concat(F.element_at(F.array(*[F.lit(f"https://{h}/p/") for h in ("shop.example.com", "Two.example.com", "three.example.com")]),
+                                                          (k % 3 + 1).cast("int")), "page_id"))
+    sites = spark.createDataFrame([
+        ("two.example.com", {"title": ["h1", ".headline:not(.small)"], "price": ["[data-amount]"], "images": ['.product-images img[src*="-a"]']}),
+        ("three.example.com", {"title": ["#offer b"], "images": ['img[src*="-a"]']})], "host string, selectors map<string,array<string>>")
+    default = {"title": E.TITLE_SELECTORS, "price": E.PRICE_SELECTORS, "images": E.IMAGE_SELECTORS}
+    parsed = E.parse_by_site(pages, sites, default)
+    return parsed.select((k % 3).alias("site"), k.alias("k"), F.nullif(X.clean_text(E.picked_text("title")), F.lit("")).alias("title"),
+                         X.price_of(E.picked_text("price")).cast("double").alias("price"), F.size(E.picked("images")).alias("images"))
+
+
 # ---- urls -----------------------------------------------------------------------------------------------------
 
 def policy_urls(spark: SparkSession, sf: str) -> DataFrame:

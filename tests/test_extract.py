@@ -175,3 +175,31 @@ def test_no_html_is_moved_to_find_the_newest_crawl(spark):
     parsed = E.product_details(E.parse_pages(E.with_recency(pages)), keep=E.RECENCY)
     plan = parsed._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_selectors_of_a_site(spark):
+    markup = '<header><nav><a href="/x">Menu</a></nav></header><h2 class="name">Rake</h2><div class="deal"><i>9</i></div><i>7</i>'
+    pages = spark.createDataFrame([(1, "https://a.example.com/1", markup), (2, "https://B.example.com/2", markup), (3, None, markup),
+                                   (4, "https://b.example.com/4", None), (5, "https://b.example.com:8080/5", "<![foo bar]>")], PAGES)
+    sites = spark.createDataFrame([("b.example.com", {"title": [".missing", "h2.name"], "price": [".deal i", "i"], "none": []})],
+                                  "host string, selectors map<string,array<string>>")
+    parsed = E.parse_by_site(pages, sites, {"title": ["header a"], "price": ["i"]})
+    got = {r.page_id: r for r in parsed.select("page_id", E.picked_text("title").alias("t"), F.transform(E.picked("price"), lambda n: n["n"]).alias("p"),
+                                               "parse_error").collect()}
+    assert (got[1].t, got[2].t, got[3].t, got[4].t) == ("Menu", "Rake", "Menu", None)
+    assert len(got[1].p) == 2 and len(got[2].p) == 1 and got[4].p == [] and got[5].parse_error
+
+
+def test_a_handler_takes_the_place_of_the_parser(spark):
+    def handler(batches):
+        for batch in batches:
+            kept = batch.drop_columns(["html"])
+            upper = E.pa.array([(h or "").upper() for h in batch.column("html").to_pylist()], E.pa.string())
+            empty = E._Elements()
+            for _ in range(batch.num_rows):
+                empty.read("")
+            _, nodes, errors = empty.arrow()
+            yield E.pa.RecordBatch.from_arrays([*kept.columns, upper, nodes, errors], names=[*kept.schema.names, "text", "nodes", "parse_error"])
+
+    pages = spark.createDataFrame([(1, BASE, "<h1>a</h1>"), (2, BASE, None)], PAGES)
+    assert {(r.page_id, r.text) for r in E.parse_pages(pages, handler=handler).collect()} == {(1, "<H1>A</H1>"), (2, "")}
