@@ -50,27 +50,50 @@ def image_facts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield facts.astype({"width": "Int32", "height": "Int32"})
 
 
-def read_blobs(spark, path: str) -> DataFrame:
+def write_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+    """Write each blob(name, content) as a file of a shared folder, by the tasks that have it; returns name and length.
+
+    A file is named by its blob, so a repeated task writes it once more, the same.  The folder's scheme must be one that
+    pyarrow knows.
+    """
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            lengths = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{root}/{name}") as file:
+                    file.write(content or b"")
+                lengths.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(lengths, pa.int64())], names=["name", "length"])
+
+    return blobs.select("name", "content").mapInArrow(work, "name string, length bigint")
+
+
+def read_blobs(spark, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Image files as url, length, content; the url is the file's path.
 
     The file source skips empty files, so such an image ends like one that was not downloaded.  Files above the guard are
     listed without being read: the source takes the limit on the length as a filter.
     """
     files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= MAX_BYTES).select(F.col("path").alias("url"), "length", "content")
-    large = files.filter(F.col("length") > MAX_BYTES).select(F.col("path").alias("url"), "length", F.lit(None).cast("binary").alias("content"))
+    small = files.filter(F.col("length") <= max_bytes).select(F.col("path").alias("url"), "length", "content")
+    large = files.filter(F.col("length") > max_bytes).select(F.col("path").alias("url"), "length", F.lit(None).cast("binary").alias("content"))
     return small.unionByName(large)
 
 
-def inspect(blobs: DataFrame, public_url: str) -> DataFrame:
+def inspect(blobs: DataFrame, public_url: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One result per blob(url, length, content): success, error, size, format, dimensions, object key.
 
     Size guards run before any content goes to Python; the bytes are dropped here, so the later join
     with the products moves only these facts.
     """
     guard = (F.when(F.col("length") == 0, "Empty image data received")
-             .when(F.col("length") > MAX_BYTES, F.format_string("Image too large: %d bytes (max: %d)", "length",
-                                                                F.lit(MAX_BYTES))))
+             .when(F.col("length") > max_bytes, F.format_string("Image too large: %d bytes (max: %d)", "length",
+                                                                F.lit(max_bytes))))
     checked = blobs.withColumn("error", guard).withColumn(
         "facts", image_facts(F.when(F.col("error").isNull(), F.col("content")).otherwise(F.lit(b""))))
     fmt = F.col("facts.format")

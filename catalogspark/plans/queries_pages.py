@@ -344,6 +344,20 @@ def image_inventory(spark, sf):
         F.coalesce(F.col("public_url") == F.concat(F.lit(PUBLIC_URL.rstrip("/") + "/"), "object_key"), F.lit(False)).alias("published"))
 
 
+@query("image_files", with_views(
+    """SELECT CAST(k AS VARCHAR) AS product_id, CAST(i - 1 AS INTEGER) AS position, ok AND size <= 33 AS success, CASE WHEN ok AND size <= 33 THEN format END AS format,
+      CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'Failed to download image' WHEN k % 5 = 4 THEN 'Unsupported format'
+        WHEN size > 33 THEN 'Image too large: 34 bytes (max: 33)' END AS error FROM images""", images=_IMAGES))
+def image_files(spark, sf):
+    """The images as files, scanned with a guard of 33 bytes: what is larger is listed and not read, empty files are not there."""
+    folder = scratch_path(spark, "image-files")
+    names = image_blobs(spark, sf).withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
+    I.write_blobs(names, folder).agg(F.sum("length")).collect()
+    blobs = I.read_blobs(spark, folder, 33).withColumn("url", F.concat(F.lit("https://cdn.example.com/img/"), F.regexp_extract("url", "[^/]+$", 0)))
+    rows = I.image_results(I.product_images(A.product(spark, sf)), I.inspect(blobs, PUBLIC_URL, 33))
+    return rows.select("product_id", "position", "success", "format", "error")
+
+
 @query("image_stats", with_views(
     """SELECT count(*) AS total_processed, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed,
       CAST(sum(size) FILTER (ok) AS BIGINT) AS total_size, CAST(round(avg(size) FILTER (ok)) AS BIGINT) AS average_size,
