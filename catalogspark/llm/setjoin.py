@@ -18,20 +18,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import written
 from .neardup import components, shingles
 
 WORDS = 4
 PERCENT = 85
-FREQUENT = 1 << 16   # elements that may be put last: half a megabyte for each task
-SAMPLED = 16         # one of so many texts, chosen by hash, tells which are frequent
+FREQUENT = 1 << 18   # elements that may be put last: two megabytes for each task
+SAMPLED = 4          # one of so many texts, chosen by hash, tells which are frequent
 TOGETHER = 256       # classes compared with a leader in one group
 
 
-def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 3) -> list[int]:
-    """Elements of at least `least` different sets among a sample of the texts, the `most` most frequent ones, sorted.
+def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 2):
+    """Elements of at least `least` different sets among a sample of the texts, not more than the `most` most frequent ones
+    (a numpy array): those above the smallest count that leaves so many.
 
     They are put last in the order of elements.  Any order gives the same links, as long as all sets have the same; this
     one keeps passages that many documents share out of the index lists.
@@ -54,10 +55,13 @@ def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT,
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
     sets = sample.mapInArrow(work, "digest binary, elements array<long>")
     # Copies count once: one set for each digest.
-    counted = sets.groupBy("digest").agg(F.first("elements").alias("elements")).select(F.explode("elements").alias("element")) \
-        .groupBy("element").agg(F.count("*").alias("n"))
-    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "element").limit(most)
-    return sorted(r.element for r in top.select("element").collect())
+    counted = written(sets.groupBy("digest").agg(F.first("elements").alias("elements")).select(F.explode("elements").alias("element"))
+                      .groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= least), "frequent")
+    # One row for each count that there is, not for each element.
+    upto = F.sum("m").over(Window.orderBy(F.desc("n")))
+    cut = counted.groupBy("n").agg(F.count("*").alias("m")).select("n", upto.alias("upto")).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    found = counted.where(F.col("n") >= cut if cut is not None else F.lit(False)).select("element")
+    return found.toArrow().column("element").to_numpy()
 
 
 def _kept(percent: int, size: int) -> int:
@@ -78,13 +82,13 @@ def _late(elements, last):
     return last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
 
 
-def _frequent_array(frequent: list[int]):
+def _frequent_array(frequent):
     import numpy as np
 
-    return np.sort(np.array(frequent or [0], "i8").view("u8"))
+    return np.sort(np.array(frequent if len(frequent) else [0], "i8").view("u8"))
 
 
-def ordered_sets(docs: DataFrame, frequent: list[int], percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+def ordered_sets(docs: DataFrame, frequent, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest of the set (null if empty), starts: the first elements in the common order."""
     def work(batches: Iterator) -> Iterator:
         import hashlib
@@ -155,7 +159,7 @@ def leader_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 ANSWERS = "leader long, node long, size int, different int, first array<long>, marks array<long>, linked boolean"
 
 
-def far_answers(pairs: DataFrame, classes: DataFrame, frequent: list[int], percent: int) -> DataFrame:
+def far_answers(pairs: DataFrame, classes: DataFrame, frequent, percent: int) -> DataFrame:
     """Each pair (leader, node) once more: `far` ones answered from the kept first elements alone, the others without.
 
     A node is far if, as far as the leader's kept elements reach, it has more elements that the leader lacks than a link
@@ -190,7 +194,7 @@ def far_answers(pairs: DataFrame, classes: DataFrame, frequent: list[int], perce
     return both.select("leader", "node", "n", "m", "mine", "theirs").mapInArrow(work, "leader long, node long, size int, first array<long>")
 
 
-def leader_answers(pairs: DataFrame, texts: DataFrame, frequent: list[int], percent: int, width: int) -> DataFrame:
+def leader_answers(pairs: DataFrame, texts: DataFrame, frequent, percent: int, width: int) -> DataFrame:
     """Each pair (leader, node) on full sets: the node's size, the size of D (what only the node has, then what only the
     leader has) with its first elements and a bit set of it, and whether the two link.
 
