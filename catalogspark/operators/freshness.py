@@ -90,15 +90,18 @@ def freshness_counts(classified: DataFrame) -> DataFrame:
 
 
 def refresh_requests(classified: DataFrame, site: str, priority: int | None = None,
-                     trigger: Callable[[DataFrame], DataFrame] | None = None, manual: bool = False) -> DataFrame:
+                     trigger: Callable[[DataFrame], DataFrame] | None = None, manual: bool = False,
+                     expired: bool = False) -> DataFrame:
     """One crawl request per stale key that maps to a job, or, asked for by hand, per key whatever its age, with a higher
-    priority.  Expired keys are written anew when they are next read.  `trigger` may replace the rows' plan."""
-    stale = classified if manual else classified.filter(F.col("freshness") == "stale")
+    priority.  Expired keys are written anew when they are next read, unless `expired` asks for them too.  `trigger` may
+    replace the rows' plan."""
+    due = ["stale", "expired"] if expired else ["stale"]
+    stale = classified if manual else classified.filter(F.col("freshness").isin(due))
     priority = priority or (MANUAL_PRIORITY if manual else STALE_PRIORITY)
     if trigger is not None:
         return trigger(stale)
     job = stale.withColumn("_job", refresh_job(F.col("key"), site)).filter(F.col("_job").isNotNull())
-    extra = F.create_map(F.lit("cache_key"), F.col("key"), F.lit("revalidation_type"), F.lit("manual" if manual else "stale"))
+    extra = F.create_map(F.lit("cache_key"), F.col("key"), F.lit("revalidation_type"), F.lit("manual") if manual else F.col("freshness"))
     return job.select("_job.type", "_job.target_url", F.lit(priority).alias("priority"),
                       merge_maps(F.col("_job.metadata"), extra).alias("metadata"), F.col("key").alias("seq"))
 

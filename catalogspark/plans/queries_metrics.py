@@ -373,9 +373,10 @@ _TARGET = f"""CASE u % 4 WHEN 0 THEN '{SITE}' WHEN 1 THEN CASE WHEN u % 8 = 1 TH
 
 @query("refresh_plan", views(
     f"""SELECT CASE u % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'category' ELSE 'product' END AS type, {_TARGET} AS target_url,
-      CAST(3 AS INTEGER) AS priority, count(DISTINCT key) AS keys FROM entries WHERE {_CLASS} = 'stale' GROUP BY ALL""", entries=_ENTRIES))
+      CAST(3 AS INTEGER) AS priority, count(DISTINCT key) AS keys FROM entries WHERE {_AGE} > ttl * 1000 GROUP BY ALL""", entries=_ENTRIES))
 def refresh_plan(spark, sf):
-    requests = C.refresh_requests(_classified(spark, sf), SITE)
+    """Every entry past its time, expired ones too."""
+    requests = C.refresh_requests(_classified(spark, sf), SITE, expired=True)
     return requests.groupBy("type", "target_url", "priority").agg(F.count_distinct("seq").alias("keys"))
 
 
@@ -392,10 +393,10 @@ def refresh_manual(spark, sf):
     f"""SELECT r.type, url AS target_url, CASE WHEN o.id IS NULL THEN 'insert' ELSE 'raise' END AS action,
       CAST(greatest(3, coalesce(o.priority, 0)) AS INTEGER) AS priority FROM (
       SELECT DISTINCT CASE u % 4 WHEN 0 THEN 'navigation' WHEN 1 THEN 'category' ELSE 'product' END AS type, {_TARGET} AS url
-      FROM entries WHERE {_CLASS} = 'stale') r LEFT JOIN open_jobs o ON o.type = r.type AND o.target_url = r.url""",
+      FROM entries WHERE {_AGE} > ttl * 1000) r LEFT JOIN open_jobs o ON o.type = r.type AND o.target_url = r.url""",
     "scrape_job", entries=_ENTRIES, open_jobs=OPEN_JOBS_SQL))
 def refresh_enqueue(spark, sf):
-    changes = J.enqueue(A.scrape_job(spark, sf), C.refresh_requests(_classified(spark, sf), SITE))
+    changes = J.enqueue(A.scrape_job(spark, sf), C.refresh_requests(_classified(spark, sf), SITE, expired=True))
     return changes.select("type", "target_url", "action", "priority")
 
 

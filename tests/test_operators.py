@@ -394,3 +394,11 @@ def test_percentiles_of_merged_sketches(spark):
         for share, found in ((0.5, got[name].p50), (0.95, got[name].p95)):
             assert abs(sum(v <= found for v in values) / len(values) - share) < 0.03
     assert got["few"].p50 == 5.0 and got["few"].n == 11 and "none" not in got
+
+
+def test_refresh_of_expired_keys_where_asked_for(spark):
+    key = "https://cache.example.com/product_detail:id="
+    entries = spark.createDataFrame([(f"{key}{f}", f) for f in ("fresh", "stale", "expired")], "key string, freshness string")
+    kinds = lambda **how: sorted((r.target_url[-7:], r.metadata["revalidation_type"]) for r in Fr.refresh_requests(entries, "https://s", **how).collect())
+    assert kinds() == [("t/stale", "stale")]
+    assert kinds(expired=True) == [("expired", "expired"), ("t/stale", "stale")]
