@@ -110,6 +110,16 @@ def _bit(ancestors: tuple[str, ...], chains: list[tuple[str, ...]]) -> int:
     return 1 << chains.index(ancestors)
 
 
+def _compiled(chains: list[tuple[str, ...]]) -> dict[str, list[tuple]]:
+    """By one mark of a chain's last part: the other marks, those it must not have, the bit before, the bit."""
+    found = {}
+    for chain in chains:
+        must, must_not, _ = _marks(chain[-1])
+        found.setdefault(must[0], []).append(
+            (set(must), set(must_not), _bit(chain[:-1], chains) if chain[:-1] else 0, _bit(chain, chains)))
+    return found
+
+
 class _Elements(HTMLParser):
     """Collects the elements of a run of pages in document order, one list per field.
 
@@ -122,11 +132,7 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.columns = {name: [] for name in _FIELDS}
         self.texts, self.offsets, self.errors = [], [0], []
-        self.chains = {}  # by one mark of the last part: the other marks, those it must not have, the bit before, the bit
-        for chain in chains:
-            must, must_not, _ = _marks(chain[-1])
-            self.chains.setdefault(must[0], []).append(
-                (set(must), set(must_not), _bit(chain[:-1], chains) if chain[:-1] else 0, _bit(chain, chains)))
+        self.chains = _compiled(chains)
 
     def read(self, html: str) -> None:
         """Adds a page.  One that the parser can't read has an error and no elements; the others are not touched by it."""
@@ -271,6 +277,7 @@ class _Site:
 
     def __init__(self, purposes: dict[str, list[str]]) -> None:
         self.chains = _chains([s for selectors in purposes.values() for s in selectors])
+        self.compiled = _compiled(self.chains)
         self.tests = {purpose: [self._test(s) for s in selectors] for purpose, selectors in purposes.items()}
 
     def _test(self, selector: str):
@@ -297,18 +304,21 @@ def _parse_by_site(batches: Iterator[pa.RecordBatch], default: dict[str, list[st
     kind = pa.map_(pa.string(), pa.list_(pa.int32()))
     for batch in batches:
         kept = batch.drop_columns(["html", "selectors"])
+        start, seen, pages, picked = 0, 0, _Elements([]), []
         for i, (html, own) in enumerate(zip(batch.column("html"), batch.column("selectors").to_pylist())):
-            purposes = default | {purpose: selectors for purpose, selectors in own or () if selectors}
-            name = repr(sorted(purposes.items()))
+            name = repr(own)
             if name not in compiled:
-                compiled[name] = _Site(purposes)
-            site = compiled[name]
-            page = _Elements(site.chains)
-            page.read(html.as_py() or "")
-            picked = [(purpose, site.pick(purpose, page.columns, 0, len(page.columns["n"]))) for purpose in sorted(purposes)]
-            row = kept.slice(i, 1)
-            yield pa.RecordBatch.from_arrays([*row.columns, *page.arrow(), pa.array([picked], kind)],
-                                             names=[*kept.schema.names, "text", "nodes", "parse_error", "picked"])
+                compiled[name] = _Site(default | {purpose: selectors for purpose, selectors in own or () if selectors})
+            site, source = compiled[name], html.as_py() or ""
+            pages.chains = site.compiled
+            pages.read(source)
+            picked.append([(purpose, site.pick(purpose, pages.columns, *pages.offsets[-2:])) for purpose in sorted(site.tests)])
+            seen += len(source)
+            if seen >= BATCH_BYTES or i == batch.num_rows - 1:
+                rows = kept.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *pages.arrow(), pa.array(picked, kind)],
+                                                 names=[*kept.schema.names, "text", "nodes", "parse_error", "picked"])
+                start, seen, pages, picked = i + 1, 0, _Elements([]), []
 
 
 def parse_by_site(pages: DataFrame, sites: DataFrame, default: dict[str, list[str]]) -> DataFrame:

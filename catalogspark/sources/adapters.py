@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..session import prepare
+from ..session import prepare, spread
 
 AS_OF = "2001-08-02 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -178,8 +178,8 @@ def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, F.lit("Free"))
         .otherwise(F.concat(F.lit("£"), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))),
         F.lit("</div></div>"))
-    pages = (table(spark, sf_dir, "part")
-             .groupBy(F.substring("p_brand", 7, 10).alias("no"), F.floor(k / PAGE_KEYS).alias("page_no"))
+    parts = table(spark, sf_dir, "part").withColumns({"no": F.substring("p_brand", 7, 10), "page_no": F.floor(k / PAGE_KEYS)})
+    pages = (spread(parts, "no", "page_no").groupBy("no", "page_no")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), card.alias("c")))),
                                            lambda x: x["c"]), "\n").alias("cards")))
     chain = F.floor(F.col("page_no") / PAGES_PER_CHAIN)
@@ -215,7 +215,8 @@ def category_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = F.concat(
         F.lit('<a href="/collections/s'), k.cast("string"), F.lit('" class="category-item"><h3>'), F.col("s_name"),
         F.lit('</h3> <span class="product-count">('), (k % 90).cast("string"), F.lit(" books)</span></a>"))
-    return (table(spark, sf_dir, "supplier").groupBy(F.floor(k / 100).alias("no"))
+    suppliers = table(spark, sf_dir, "supplier").withColumn("no", F.floor(k / 100))
+    return (spread(suppliers, "no").groupBy("no")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), card.alias("c")))),
                                           lambda x: x["c"]), "\n").alias("cards"))
             .select(F.col("no").cast("string").alias("page_id"),
@@ -248,5 +249,5 @@ def detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</div><div class="product-description"><p>About  '), F.col("p_name"),
         F.lit('</p></div><div class="product-specs">'), specs, F.lit('</div><div class="availability">'), stock,
         F.lit("</div></div></body></html>"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         text.alias("page_id"), F.concat(F.lit(f"{SITE}/product/"), text).alias("url"), html.alias("html"))

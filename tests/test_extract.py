@@ -1,5 +1,6 @@
 """Selectors and page readers on whole pages of an invented garden shop."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,20 @@ def test_a_handler_takes_the_place_of_the_parser(spark):
 
     pages = spark.createDataFrame([(1, BASE, "<h1>a</h1>"), (2, BASE, None)], PAGES)
     assert {(r.page_id, r.text) for r in E.parse_pages(pages, handler=handler).collect()} == {(1, "<H1>A</H1>"), (2, "")}
+
+
+def test_rendered_pages_are_dealt_to_all_cores(spark, sf_dir):
+    """The tables that pages are rendered from are small files, each one task by its bytes."""
+    from catalogspark.sources import adapters as A
+    cores = spark.sparkContext.defaultParallelism
+    for pages in (A.detail_page, A.category_list_page, A.listing_page):
+        assert pages(spark, sf_dir).rdd.getNumPartitions() >= cores
+
+
+def test_pages_of_different_sites_share_a_batch():
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(["1", "2", "3"]), pa.array(["<h1>a</h1><p>b</p>", None, "<div id='x'><h1>c</h1></div>"]),
+        pa.array([[("t", ["p"])], None, [("t", ["#x h1"])]], pa.map_(pa.string(), pa.list_(pa.string())))], names=["page_id", "html", "selectors"])
+    [out] = E._parse_by_site(iter([batch]), {"t": ["h1"]})
+    assert out.column("picked").to_pylist() == [[("t", [1])], [("t", [])], [("t", [1])]]
+    assert [len(nodes) for nodes in out.column("nodes").to_pylist()] == [2, 0, 2]
