@@ -6,11 +6,14 @@ watermark.  Rows behind the watermark are not dropped but handed back marked `la
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import merge
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ratelimit as R
@@ -19,6 +22,9 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+_PART = 10_000      # rows of a key that are turned from their arrays at a time
+
+
 class _Remembering(StatefulProcessor):
     """One row of state for each key, kept until its one timer fires.  Each call of Spark's costs, so there are few."""
 
@@ -44,7 +50,7 @@ class _Remembering(StatefulProcessor):
     def forget(self) -> None:
         self.state.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget()
         return iter(())
 
@@ -52,11 +58,22 @@ class _Remembering(StatefulProcessor):
         pass
 
 
-def _in_time(rows: Iterator[pd.DataFrame], order: list[str], watermark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """A key's rows of a micro-batch in order, and those behind the watermark."""
-    table = pd.concat(list(rows)).sort_values(order)
-    late = table["ts_ms"] < watermark
-    return table[~late], table[late]
+def _in_time(rows: Iterator[Row], watermark: int, tie: str) -> tuple[Iterator[tuple[int, int]], list[tuple[int, int]]]:
+    """(ts_ms, `tie`) of a key's rows of a micro-batch in order, and those behind the watermark.
+
+    Only these two numbers are held of each row: one key may have most rows of a micro-batch.
+    """
+    at, ties, late = array("q"), array("q"), []
+    for row in rows:
+        if row.ts_ms < watermark:
+            late.append((row.ts_ms, row[tie]))
+        else:
+            at.append(row.ts_ms)
+            ties.append(row[tie])
+    order = np.lexsort((ties, at))
+    parts = (order[k:k + _PART] for k in range(0, len(order), _PART))
+    asked = (pair for part in parts for pair in zip(np.asarray(at)[part].tolist(), np.asarray(ties)[part].tolist()))
+    return asked, late
 
 
 def watched(stream: DataFrame, ts_ms: str, delay: str) -> DataFrame:
@@ -73,24 +90,22 @@ class SlidingLog(_Remembering):
     def __init__(self, per_minute: int, per_hour: int):
         self.per_minute, self.per_hour = per_minute, per_hour
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        asked, late = _in_time(rows, ["ts_ms", "request_id"], watermark)
+        asked, late = _in_time(rows, watermark, "request_id")
         known = self.recall()
         log = [t for t in known[0] if t > watermark - R.HOUR_MS] if known else []
-        verdicts = []
-        for at in asked["ts_ms"].tolist():
+        for at, request_id in asked:
             # What lies behind `at` counts too: so no window that holds it can exceed a limit.
             free = (len(log) - bisect_right(log, at - R.MINUTE_MS) < self.per_minute
                     and len(log) - bisect_right(log, at - R.HOUR_MS) < self.per_hour)
             if free:
                 log.insert(bisect_right(log, at), at)
-            verdicts.append(free)
+            yield Row(key=key[0], ts_ms=at, request_id=request_id, allowed=free, late=False)
         if log:
             self.keep((log,), log[-1] + R.HOUR_MS)
-        yield pd.concat([asked.assign(allowed=pd.array(verdicts, "boolean"), late=False),
-                         late.assign(allowed=pd.array([None] * len(late), "boolean"), late=True)])[
-            ["key", "ts_ms", "request_id", "allowed", "late"]]
+        for at, request_id in late:
+            yield Row(key=key[0], ts_ms=at, request_id=request_id, allowed=None, late=True)
 
 
 def rate_limit(requests: DataFrame, per_minute: int = R.PER_MINUTE, per_hour: int = R.PER_HOUR, delay: str = "5 minutes") -> DataFrame:
@@ -100,7 +115,7 @@ def rate_limit(requests: DataFrame, per_minute: int = R.PER_MINUTE, per_hour: in
     its key, but not behind the watermark, also counts those, so that no minute or hour ever holds more than it may.
     """
     asked = watched(requests.select("key", "ts_ms", "request_id"), "ts_ms", delay)
-    return asked.groupBy("key").transformWithStateInPandas(SlidingLog(per_minute, per_hour), SlidingLog.OUT, "Append", "EventTime")
+    return asked.groupBy("key").transformWithState(SlidingLog(per_minute, per_hour), SlidingLog.OUT, "Append", "EventTime")
 
 
 class MinuteCounts(_Remembering):
@@ -112,19 +127,18 @@ class MinuteCounts(_Remembering):
     def __init__(self, limit: int, delay_ms: int):
         self.limit, self.delay_ms = limit, delay_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked, late = _in_time(rows, ["ts_ms", "request_id"], timerValues.getCurrentWatermarkInMs())
-        known = self.recall()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        asked, late = _in_time(rows, timerValues.getCurrentWatermarkInMs(), "request_id")
+        known, any_asked = self.recall(), False
         counts = dict(zip(*known)) if known else {}
-        minute = asked["ts_ms"] // R.MINUTE_MS
-        position = asked.groupby(minute).cumcount() + 1 + minute.map(counts).fillna(0).astype("int64")
-        if len(asked):
-            for now, n in minute.value_counts().items():
-                counts[now] = counts.get(now, 0) + int(n)
-            self.keep((list(map(int, counts)), list(counts.values())), (max(counts) + 1) * R.MINUTE_MS)
-        yield pd.concat([asked.assign(position=position.astype("Int64"), allowed=(position <= self.limit).astype("boolean"), late=False),
-                         late.assign(position=pd.array([None] * len(late), "Int64"), allowed=pd.array([None] * len(late), "boolean"), late=True)])[
-            ["key", "ts_ms", "request_id", "position", "allowed", "late"]]
+        for at, request_id in asked:
+            minute, any_asked = at // R.MINUTE_MS, True
+            position = counts[minute] = counts.get(minute, 0) + 1
+            yield Row(key=key[0], ts_ms=at, request_id=request_id, position=position, allowed=position <= self.limit, late=False)
+        if any_asked:
+            self.keep((list(counts), list(counts.values())), (max(counts) + 1) * R.MINUTE_MS)
+        for at, request_id in late:
+            yield Row(key=key[0], ts_ms=at, request_id=request_id, position=None, allowed=None, late=True)
 
 
 def fixed_minute(requests: DataFrame, limit: int = R.CLIENT_PER_MINUTE, delay_minutes: int = 5) -> DataFrame:
@@ -134,7 +148,7 @@ def fixed_minute(requests: DataFrame, limit: int = R.CLIENT_PER_MINUTE, delay_mi
     """
     asked = watched(requests.select("key", "ts_ms", "request_id"), "ts_ms", f"{delay_minutes} minutes")
     by_hour = asked.withColumn("hour", F.floor(F.col("ts_ms") / R.HOUR_MS)).groupBy("key", "hour")
-    return by_hour.transformWithStateInPandas(MinuteCounts(limit, delay_minutes * R.MINUTE_MS), MinuteCounts.OUT, "Append", "EventTime")
+    return by_hour.transformWithState(MinuteCounts(limit, delay_minutes * R.MINUTE_MS), MinuteCounts.OUT, "Append", "EventTime")
 
 
 class JobFold(_Remembering):
@@ -145,6 +159,7 @@ class JobFold(_Remembering):
     OUT = ("job_id string, version long, status string, attempts int, last_error string, locked_by string, locked_ms long, "
            "at_ms long, cause string, late boolean")
     _FIELDS = [f.split()[0] for f in STATE.split(", ")]
+    _OUT = Row(*[f.split()[0] for f in OUT.split(", ")])
 
     def __init__(self, lock_ms: int, keep_ms: int):
         self.lock_ms, self.keep_ms = lock_ms, keep_ms
@@ -157,27 +172,27 @@ class JobFold(_Remembering):
             return "completed"
         return "failed" if job["kind"] == "fail" and job["attempts"] >= job["max_attempts"] else "queued"
 
-    def row(self, key, job: dict, at_ms: int, cause: str) -> tuple:
+    def row(self, key, job: dict, at_ms: int, cause: str) -> Row:
         status = self.status(job)
         running = status == "running"
-        return (key[0], job["version"], status, job["attempts"], job["error"], job["worker"] if running else None,
-                job["ts_ms"] if running else None, at_ms, cause, False)
-
-    def frame(self, rows: list) -> pd.DataFrame:
-        kinds = {"version": "Int64", "attempts": "Int32", "locked_ms": "Int64", "at_ms": "Int64"}
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in self.OUT.split(", ")]).astype(kinds)
+        return self._OUT(key[0], job["version"], status, job["attempts"], job["error"], job["worker"] if running else None,
+                         job["ts_ms"] if running else None, at_ms, cause, False)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        events, late = _in_time(rows, ["ts_ms", "seq"], watermark)
-        out = [(key[0], None, None, None, None, None, None, int(t), kind, True) for t, kind in zip(late["ts_ms"], late["kind"])]
-        if len(events):
+        events = []
+        for e in rows:
+            if e.ts_ms < watermark:
+                yield self._OUT(key[0], None, None, None, None, None, None, e.ts_ms, e.kind, True)
+            else:
+                events.append(e)
+        if events:
             known = self.recall()
             job = dict(zip(self._FIELDS, known)) if known else dict.fromkeys(self._FIELDS) | {"version": 0, "attempts": 0, "max_attempts": 0}
-            for e in events.itertuples():
-                at = (int(e.ts_ms), int(e.seq))
+            for e in sorted(events, key=lambda e: (e.ts_ms, e.seq)):
+                at = (e.ts_ms, e.seq)
                 job["attempts"] += e.kind == "claim"
-                job["max_attempts"] = max(job["max_attempts"], int(e.max_attempts))
+                job["max_attempts"] = max(job["max_attempts"], e.max_attempts)
                 if e.kind == "fail" and (job["error_ms"] is None or at > (job["error_ms"], job["error_seq"])):
                     job["error"], job["error_ms"], job["error_seq"] = e.error, *at
                 if job["ts_ms"] is None or at > (job["ts_ms"], job["seq"]):
@@ -186,17 +201,16 @@ class JobFold(_Remembering):
             # A job that waits for a worker has nothing to be woken for; it is forgotten when it was left for long.
             running = self.status(job) == "running"
             self.keep(tuple(job[f] for f in self._FIELDS), job["ts_ms"] + (self.lock_ms if running else self.keep_ms))
-            out.append(self.row(key, job, job["ts_ms"], job["kind"]))
-        yield self.frame(out)
+            yield self.row(key, job, job["ts_ms"], job["kind"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         job = dict(zip(self._FIELDS, self.recall()))
         if self.status(job) != "running":
             self.forget()
             return
         job["expired"], job["version"] = True, job["version"] + 1
         self.keep(tuple(job[f] for f in self._FIELDS), job["ts_ms"] + self.lock_ms + self.keep_ms, fired=True)
-        yield self.frame([self.row(key, job, job["ts_ms"] + self.lock_ms, "lock expired")])
+        yield self.row(key, job, job["ts_ms"] + self.lock_ms, "lock expired")
 
 
 def job_states(events: DataFrame, lock_minutes: int = 10, keep_hours: int = 24, delay: str = "5 minutes") -> DataFrame:
@@ -207,7 +221,7 @@ def job_states(events: DataFrame, lock_minutes: int = 10, keep_hours: int = 24,
     of for `keep_hours`, finished ones among them, leaves the state; events behind the watermark come back marked late.
     """
     rows = watched(events.select("job_id", F.unix_millis("ts").alias("ts_ms"), "seq", "kind", "worker", "error", "max_attempts"), "ts_ms", delay)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobFold(lock_minutes * 60_000, keep_hours * R.HOUR_MS), JobFold.OUT, "Append", "EventTime")
+    return rows.groupBy("job_id").transformWithState(JobFold(lock_minutes * 60_000, keep_hours * R.HOUR_MS), JobFold.OUT, "Append", "EventTime")
 
 
 def newest_states(states: DataFrame) -> DataFrame:
@@ -226,25 +240,28 @@ class Sessions(_Remembering):
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events, late = _in_time(rows, ["ts_ms"], timerValues.getCurrentWatermarkInMs())
-        if len(events):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark, events = timerValues.getCurrentWatermarkInMs(), array("q")
+        for row in rows:
+            if row.ts_ms < watermark:
+                yield Row(session_id=key[0], events=1, start_ms=row.ts_ms, end_ms=row.ts_ms, late=True)
+            else:
+                events.append(row.ts_ms)
+        if events:
             counts, starts, ends = self.recall() or ([], [], [])
             merged: list[list[int]] = []
-            for start, end, n in sorted([*zip(starts, ends, counts), *((t, t, 1) for t in events["ts_ms"].tolist())]):
+            for start, end, n in merge(sorted(zip(starts, ends, counts)), ((t, t, 1) for t in np.sort(events).tolist())):
                 if merged and start - merged[-1][1] < self.gap_ms:
                     merged[-1] = [merged[-1][0], max(merged[-1][1], end), merged[-1][2] + n]
                 else:
                     merged.append([start, end, n])
             self._keep_open(merged)
-        if len(late):
-            yield pd.DataFrame({"session_id": key[0], "events": 1, "start_ms": late["ts_ms"], "end_ms": late["ts_ms"], "late": True})
 
     def _keep_open(self, sessions: list, fired: bool = False) -> None:
         starts, ends, counts = map(list, zip(*sessions))
         self.keep((counts, starts, ends), ends[0] + self.gap_ms, fired)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         counts, starts, ends = self.recall()
         past = timerValues.getCurrentWatermarkInMs() - self.gap_ms
         sessions = sorted(zip(starts, ends, counts))
@@ -253,8 +270,8 @@ class Sessions(_Remembering):
             self._keep_open(rest, fired=True)
         else:
             self.forget()
-        yield pd.DataFrame({"session_id": key[0], "events": [s[2] for s in closed], "start_ms": [s[0] for s in closed],
-                            "end_ms": [s[1] for s in closed], "late": False})
+        for start, end, n in closed:
+            yield Row(session_id=key[0], events=n, start_ms=start, end_ms=end, late=False)
 
 
 def sessions_by_id(events: DataFrame, gap: str = "24 hours", delay: str = "5 minutes") -> DataFrame:
@@ -265,4 +282,4 @@ def sessions_by_id(events: DataFrame, gap: str = "24 hours", delay: str = "5 min
     """
     gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
     rows = watched(events.select("session_id", "ts_ms"), "ts_ms", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(gap_ms), Sessions.OUT, "Append", "EventTime")
+    return rows.groupBy("session_id").transformWithState(Sessions(gap_ms), Sessions.OUT, "Append", "EventTime")

@@ -257,3 +257,11 @@ def test_progress(spark, split):
         assert sum(n for _, n in seen) == events.count() and len([n for _, n in seen if n]) == 5
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_a_busy_key_is_not_gathered_in_tables(spark):
+    """Of each row two numbers are held, and verdicts come out one by one."""
+    from collections.abc import Iterator
+    from pyspark.sql import Row
+    asked, late = K._in_time(iter([Row(ts_ms=t, request_id=i) for i, t in enumerate([30, 10, 20, 10, 5])]), 10, "request_id")
+    assert isinstance(asked, Iterator) and list(asked) == [(10, 1), (10, 3), (20, 2), (30, 0)] and late == [(5, 4)]
