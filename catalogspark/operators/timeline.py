@@ -11,17 +11,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def sliding_counts(requests: DataFrame, key: str, ts_ms: str, windows_ms: dict[str, int]) -> DataFrame:
-    """Per (key, instant): requests at it (`n`) and, for each named window w, those in (t - w, t]."""
+    """Per (key, instant): requests at it (`n`) and, for each named window w, those in (t - w, t].
+
+    A request counts from its instant on and no more from w later, so a window's count is a running total of what begins
+    and ends: the cost is linear, however many instants a window holds.
+    """
     bucket_ms = max(windows_ms.values())
     instants = requests.groupBy(key, ts_ms).agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.floor(F.col(ts_ms) / bucket_ms)
+    change = lambda at, own, **deltas: F.struct(
+        at.alias("_at"), F.lit(own).alias("_own"), *[deltas.get(w, F.lit(0).cast("bigint")).alias(f"_{w}") for w in windows_ms])
+    n, at = F.col("n"), F.col(ts_ms)
+    changes = F.array(change(at, True, **dict.fromkeys(windows_ms, n)),
+                      *[change(at + w, False, **{name: -n}) for name, w in windows_ms.items()])
     # Each instant also visits the next bucket, where it only serves as the past of other rows.
-    spread = instants.select(
-        key, ts_ms, "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("_halo")
-    ).withColumn("_bucket", F.floor(F.col(ts_ms) / bucket_ms) + F.col("_halo"))
-    ordered = Window.partitionBy(key, "_bucket").orderBy(ts_ms)
-    counts = {name: F.sum("n").over(ordered.rangeBetween(-(w - 1), 0)) for name, w in windows_ms.items()}
-    return spread.withColumns(counts).filter(F.col("_halo") == 0).drop("_halo", "_bucket")
+    bucket = F.floor(at / bucket_ms)
+    spread = (instants.select(key, "n", bucket.alias("_home"), F.explode(F.sequence(bucket, bucket + 1)).alias("_bucket"), changes.alias("_changes"))
+              .select(key, "n", "_home", "_bucket", F.inline("_changes"))
+              .filter(F.floor(F.col("_at") / bucket_ms) <= F.col("_bucket")))
+    so_far = Window.partitionBy(key, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    counts = {name: F.sum(f"_{name}").over(so_far) for name in windows_ms}
+    return (spread.withColumns(counts).filter(F.col("_own") & (F.col("_home") == F.col("_bucket")))
+            .select(key, F.col("_at").alias(ts_ms), "n", *windows_ms))
 
 
 def running_totals(df: DataFrame, key: str, order: list[str], bucket: Column, value: str) -> DataFrame:
