@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import urls as U
+from ..session import tasks_for
 
 MAX_BYTES = 5 * 1024 * 1024
 FORMATS = ["jpeg", "jpg", "png", "webp", "gif"]
@@ -50,22 +51,36 @@ def image_facts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield facts.astype({"width": "Int32", "height": "Int32"})
 
 
-def write_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+SHARDS = 1024           # folders that files are dealt into, each listed and read by one task
+READ_BYTES = 4 << 20    # content of the files that are handed on together
+
+
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def write_blobs(blobs: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
     """Write each blob(name, content) as a file of a shared folder, by the tasks that have it; returns name and length.
 
-    A file is named by its blob, so a repeated task writes it once more, the same.  The folder's scheme must be one that
-    pyarrow knows.
+    Files are dealt into numbered folders, for `scan_blobs`.  A file is named by its blob, so a repeated task writes it
+    once more, the same.  The folder's scheme must be one that pyarrow knows.
     """
     def work(batches: Iterator) -> Iterator:
+        import zlib
+
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        store.create_dir(root, recursive=True)
+        (store, root), made = _store(folder), set()
         for batch in batches:
             lengths = []
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                with store.open_output_stream(f"{root}/{name}") as file:
+                shard = zlib.crc32(name.encode()) % shards
+                if shard not in made:
+                    store.create_dir(f"{root}/{shard}", recursive=True)
+                    made.add(shard)
+                with store.open_output_stream(f"{root}/{shard}/{name}") as file:
                     file.write(content or b"")
                 lengths.append(len(content or b""))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(lengths, pa.int64())], names=["name", "length"])
@@ -73,6 +88,39 @@ def write_blobs(blobs: DataFrame, folder: str) -> DataFrame:
     return blobs.select("name", "content").mapInArrow(work, "name string, length bigint")
 
 
+def scan_blobs(spark, folder: str, max_bytes: int = MAX_BYTES, shards: int = SHARDS) -> DataFrame:
+    """The files of `write_blobs` as url, length, content, like `read_blobs`, but listed by the tasks that read them.
+
+    For files so many and small that neither the driver should list them nor a scan be planned file by file.
+    """
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = _store(folder)
+        schema = pa.schema([("url", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                rows, held = [], 0
+                for file in store.get_file_info(fs.FileSelector(f"{root}/{shard}", allow_not_found=True)):
+                    if not file.is_file or not file.size:
+                        continue
+                    content = None
+                    if file.size <= max_bytes:
+                        with store.open_input_stream(file.path) as data:
+                            content = data.read()
+                    rows.append((file.path, file.size, content))
+                    held += len(content or b"")
+                    if held >= READ_BYTES or len(rows) >= 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return spark.range(0, shards, 1, min(shards, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(
+        work, "url string, length bigint, content binary")
+
+
 def read_blobs(spark, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Image files as url, length, content; the url is the file's path.
 
@@ -116,8 +164,10 @@ def product_images(products: DataFrame) -> DataFrame:
 
 def image_results(links: DataFrame, facts: DataFrame) -> DataFrame:
     """Per product image its result; a url without a blob is a failed download."""
-    found = facts.withColumnRenamed("url", "image_url")
-    return (links.join(found, "image_url", "left")
+    # In as many tasks as there are links for: by their bytes, which are few beside what a row takes in memory, few would do.
+    tasks = tasks_for(links)
+    found = facts.withColumnRenamed("url", "image_url").repartition(tasks, "image_url")
+    return (links.repartition(tasks, "image_url").join(found, "image_url", "left")
             .withColumn("error", F.when(F.col("success").isNull(), "Failed to download image").otherwise(F.col("error")))
             .withColumn("success", F.coalesce("success", F.lit(False))))
 

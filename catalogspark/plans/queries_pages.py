@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, urls as U
 from ..operators import extract as E, images as I, merge as M
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import adapters as A
 from ..sources.exports import Snapshots
 from . import ingest
@@ -312,7 +312,7 @@ def image_blobs(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 5 == 3, F.concat(F.lit("524946460000000057454250565038580A00000000000000"), _little(w - 1, 3), _little(h - 1, 3), _hex(k, 8)))
         .otherwise(F.concat(F.lit("3C68746D6C3E"), _hex(k, 8))))
     parts = A.table(spark, sf, "part").filter("p_partkey % 4 > 0 AND p_partkey % 7 > 0")
-    rows = parts.select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(1), (F.col("p_partkey") % 4).cast("int"))).alias("i"))
+    rows = spread(parts, "p_partkey").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(1), (F.col("p_partkey") % 4).cast("int"))).alias("i"))
     blob = F.unhex(content)
     return rows.select(F.concat(F.lit("https://cdn.example.com/img/"), k.cast("string"), F.lit("-"), i.cast("string"), F.lit(".jpg")).alias("url"),
                        F.length(blob).cast("bigint").alias("length"), blob.alias("content"))
@@ -353,7 +353,7 @@ def image_files(spark, sf):
     folder = scratch_path(spark, "image-files")
     names = image_blobs(spark, sf).withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
     I.write_blobs(names, folder).agg(F.sum("length")).collect()
-    blobs = I.read_blobs(spark, folder, 33).withColumn("url", F.concat(F.lit("https://cdn.example.com/img/"), F.regexp_extract("url", "[^/]+$", 0)))
+    blobs = I.scan_blobs(spark, folder, 33).withColumn("url", F.concat(F.lit("https://cdn.example.com/img/"), F.regexp_extract("url", "[^/]+$", 0)))
     rows = I.image_results(I.product_images(A.product(spark, sf)), I.inspect(blobs, PUBLIC_URL, 33))
     return rows.select("product_id", "position", "success", "format", "error")
 

@@ -70,14 +70,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 ROWS_PER_TASK = 20_000
 
 
+def tasks_for(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+
+
 def spread(df: DataFrame, *by: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rows dealt to at least as many tasks as there are cores, and to more as they grow in number.
 
     For steps that cost far more per row than its bytes tell, such as pages rendered from a few columns: by its bytes such
     a table is one task.  It is dealt while it is narrow, and counted first, which a Parquet file answers by its footer.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
-    return df.repartition(tasks, *by)
+    return df.repartition(tasks_for(df, rows_per_task), *by)
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -402,3 +402,27 @@ def test_refresh_of_expired_keys_where_asked_for(spark):
     kinds = lambda **how: sorted((r.target_url[-7:], r.metadata["revalidation_type"]) for r in Fr.refresh_requests(entries, "https://s", **how).collect())
     assert kinds() == [("t/stale", "stale")]
     assert kinds(expired=True) == [("expired", "expired"), ("t/stale", "stale")]
+
+
+def test_small_files_are_listed_by_the_tasks_that_read_them(spark, tmp_path):
+    files = [(f"{i}.png", bytes(i)) for i in range(40)]
+    Im.write_blobs(spark.createDataFrame(files, "name string, content binary"), str(tmp_path), shards=8).collect()
+    found = {r.url.rsplit("/", 1)[1]: (r.length, r.content) for r in Im.scan_blobs(spark, str(tmp_path), 30, shards=8).collect()}
+    assert found == {f"{i}.png": (i, bytes(i) if i <= 30 else None) for i in range(1, 40)}
+    assert len(list(tmp_path.iterdir())) <= 8 and Im.scan_blobs(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_image_results_are_joined_in_as_many_tasks_as_cores(spark):
+    links = spark.createDataFrame([("p", 0, "u")], "product_id string, position int, image_url string")
+    facts = spark.createDataFrame([("u", True, None)], "url string, success boolean, error string")
+    got = Im.image_results(links, facts)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and [r.success for r in got.collect()] == [True]
+
+
+def test_sliding_counts_are_running_totals(spark):
+    rnd = random.Random(5)
+    times = sorted(rnd.randrange(-500, 3000) for _ in range(400))
+    got = L.sliding_counts(spark.createDataFrame([("k", t) for t in times], "key string, ts_ms bigint"), "key", "ts_ms", {"short": 7, "long": 100})
+    count = lambda t, w: sum(t - w < x <= t for x in times)
+    assert sorted(map(tuple, got.collect())) == [("k", t, times.count(t), count(t, 7), count(t, 100)) for t in sorted(set(times))]
+    assert "unboundedpreceding" in got._jdf.queryExecution().toString().lower()
