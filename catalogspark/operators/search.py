@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.stem import STOP_WORDS, stems_sql, words_sql
+from ..session import spread, written
 
 ROW_GROUP = 1 << 20      # bytes of an index file that are read or skipped together
 POSTINGS = "term string, id string, positions array<int>"
@@ -28,7 +29,8 @@ def postings(rows: DataFrame, text: str = "title", key: str = "id") -> DataFrame
 
 def write_index(rows: DataFrame, path: str, text: str = "title", key: str = "id") -> None:
     """Write the postings sorted by term; those of a frequent term may cover several files."""
-    found = postings(rows, text, key)
+    # Stemming costs more than its bytes tell, and the range sort reads its rows twice.
+    found = written(postings(spread(rows.select(key, text), key), text, key), "postings")
     (found.repartitionByRange("term", key).sortWithinPartitions("term", key)
      .write.option("parquet.block.size", ROW_GROUP).parquet(path))
 
