@@ -61,6 +61,7 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 _ENCODERS: dict[tuple[str, str], object] = {}
 CACHED_WORDS = 200_000   # entries of a word table before it makes way for a new one; workers keep several tables
 CACHED_LENGTH = 48       # longer chunks are not kept
+_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -131,11 +132,11 @@ class IdEncoder:
         a combining mark behind it, which belongs to the marks that follow."""
         return core.isalpha() and (core.isascii() or normalize("NFC", core).lower().isalpha()) or not core
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _codes(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, of which few are repeated."""
         known, words = self.chunks.turn(), self.words.turn()
         parts, whole, cores = [], [], set()
-        for chunk in self.chunks.missing({c for chunks in split for c in chunks if c not in known}):
+        for chunk in self.chunks.missing({c for c in chunks if c not in known}):
             core = chunk.rstrip(_MARKS)
             if len(chunk) <= CACHED_LENGTH and self._letters(core):
                 word = core.lower() if core.isascii() else core
@@ -158,8 +159,33 @@ class IdEncoder:
             for chunk, code in zip(some, self._alone(some)):
                 (known if len(chunk) <= CACHED_LENGTH else long)[chunk] = code
         if long:
-            return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+            return [known[c] if c in known else long[c] for c in chunks]
+        return [known[c] for c in chunks]
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of a list or Arrow array without nulls.  Arrow numbers the chunks, so that Python sees
+        each only once a call: a call with more texts costs less a text."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        if ends[0] == ends[-1]:
+            return [b""] * len(texts)
+        raw = bytes(memoryview(data)[ends[0]:ends[-1]]).translate(_BLANKS)
+        ends = ends - ends[0]
+        # A chunk ends behind a space or with its text.
+        stop = np.zeros(len(raw) + 1, bool)
+        np.equal(np.frombuffer(raw, np.uint8), 32, out=stop[1:])
+        stop[ends] = True
+        stops = np.flatnonzero(stop).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(stops) - 1, pa.py_buffer(stops), pa.py_buffer(raw)).dictionary_encode()
+        codes = pa.array(self._codes(pc.utf8_rtrim(chunks.dictionary, " ").to_pylist()), pa.large_binary())
+        _, places, ids = codes.take(chunks.indices).buffers()
+        places, ids = np.frombuffer(places, np.int64)[np.searchsorted(stops, ends)].tolist(), memoryview(ids or b"")
+        return [bytes(ids[low:high]) for low, high in zip(places, places[1:])]
 
 
 class PieceCounter:

@@ -12,6 +12,7 @@ from ..session import written
 from .common import IdEncoder, cores, encoder
 
 BLOCK = 4096        # pieces that are packed together
+ENCODED = 1 << 24   # bytes of text that are encoded together
 ISLANDS = 2
 EPOCHS = 2          # migrations happen between epochs
 POPULATION = 4
@@ -30,15 +31,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     def cut(batches: Iterator) -> Iterator:
         import zlib
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         model, end, width = encoder(IdEncoder, tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                codes = model.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, code in zip(part.column("doc_id").to_pylist(), codes):
+            # Slices of some ENCODED bytes: a row count would make them small for short texts and large for long ones.
+            texts = batch.column("text").fill_null("")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64")
+            starts = np.flatnonzero(np.diff(sizes // ENCODED, prepend=-1)).tolist()
+            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+                codes = model.encode(texts.slice(low, high - low))
+                for doc_id, code in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), codes):
                     code += end
                     for number, start in enumerate(range(0, len(code), width)):
                         piece = code[start:start + width]

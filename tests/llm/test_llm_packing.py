@@ -98,6 +98,22 @@ def test_encoder_equals_the_library_for_every_letter_before_a_mark():
     assert not wrong
 
 
+def test_encoder_sees_a_repeated_word_once_a_call():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    model, own = Tokenizer.from_file(FILE), IdEncoder(FILE)
+    texts = ["", " ", "one two\tone\n\ntwo, one", "", "two" * 40 + " é,", " one\r", "two, " * 3000]
+    asked, codes = [], own._codes
+    own._codes = lambda chunks: asked.extend(chunks) or codes(chunks)
+    want = [code.ids for code in model.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(code, "<u4").tolist() for code in own.encode(texts)] == want
+    assert len(asked) < 15
+    part = pa.array(["cut off", *texts, "cut off"], pa.large_string()).slice(1, len(texts))
+    assert [np.frombuffer(code, "<u4").tolist() for code in own.encode(part)] == want
+    assert own.encode([]) == [] and own.encode(["", ""]) == [b"", b""]
+
+
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError, match="at, offset"):
         P.pack(spark.createDataFrame([(1, 5, 0, 0)], "doc_id long, length long, offset long, at long"), 10)
