@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from random import Random
 
@@ -16,7 +16,8 @@ ENCODED = 1 << 24   # bytes of text that are encoded together
 ISLANDS = 2
 EPOCHS = 2          # migrations happen between epochs
 POPULATION = 4
-GENERATIONS = 5     # children an island tries in an epoch
+GENERATIONS = 50    # children in a row without a better plan that end an epoch
+PAIRS = 128         # pairs of pieces that a child tries to exchange
 _BINS = 1 << 16     # sequence numbers within a block
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,9 +90,49 @@ def fitness(plan, capacity):
     return -len(bins), sum((f / capacity) ** 2 for f in fills)
 
 
+def exchange(displaced, lengths, bins, fills, capacity, random: Random) -> list[int]:
+    """Bins that are not full give one or two pieces for one or two of `displaced` that fill them better; what is left
+    outside is smaller and so easier to place (Falkenauer's replacement).  Returns what is left."""
+    import numpy as np
+
+    pool = sorted((lengths[i], i) for i in displaced)
+
+    def swap(b, out, into):
+        for i in out:
+            bins[b].remove(i)
+            fills[b] -= lengths[i]
+        for n, i in into:
+            del pool[bisect_left(pool, (n, i))]
+            bins[b].append(i)
+            fills[b] += n
+        for i in out:
+            insort(pool, (lengths[i], i))
+
+    slack = [b for b, fill in enumerate(fills) if fill < capacity]
+    for b in slack:
+        for i in list(bins[b]):
+            at = bisect_left(pool, (lengths[i] + capacity - fills[b] + 1,)) - 1
+            if at >= 0 and pool[at][0] > lengths[i]:
+                swap(b, [i], [pool[at]])
+    # Pairs cost more: a child tries PAIRS of them, other children others.
+    slack = [b for b in slack if fills[b] < capacity and len(bins[b]) > 1]
+    for b in random.sample(slack, min(PAIRS, len(slack))):
+        if len(pool) < 2:
+            break
+        out = random.sample(bins[b], 2)
+        room = capacity - fills[b] + lengths[out[0]] + lengths[out[1]]
+        sizes = np.array([n for n, _ in pool])
+        mates = np.minimum(np.searchsorted(sizes, room - sizes, "right") - 1, np.arange(len(sizes)) - 1)
+        sums = np.where(mates >= 0, sizes + sizes[mates], -1)
+        at = int(sums.argmax())
+        if room >= sums[at] > lengths[out[0]] + lengths[out[1]]:
+            swap(b, out, [pool[at], pool[int(mates[at])]])
+    return [i for _, i in pool]
+
+
 def crossover(one, other, lengths, capacity, random: Random):
     """Whole well-filled bins of `other` go into `one`; bins of `one` that share an item with them are dissolved, and
-    what they held besides is put back by best fit, largest first."""
+    what they held besides is put back, by exchange for smaller pieces and then by best fit, largest first."""
     ranked = sorted(range(len(other[0])), key=lambda b: -other[1][b])
     well = ranked[:max(1, len(ranked) // 2)]
     chosen = [b for b in well if random.random() < 0.5] or well[:1]
@@ -104,14 +145,40 @@ def crossover(one, other, lengths, capacity, random: Random):
             fills.append(fill)
         else:
             displaced += [i for i in b if i not in inside]
+    # Some bins more are dissolved, the emptiest more often, so that like parents have other children.
+    emptiest = sorted(range(len(bins)), key=lambda b: fills[b] * random.random())[:max(2, len(bins) // 50)]
+    for b in sorted(emptiest, reverse=True):
+        displaced += bins.pop(b)
+        fills.pop(b)
+    displaced = exchange(displaced, lengths, bins, fills, capacity, random)
     displaced.sort(key=lambda i: (-lengths[i], i))
     best_fit(displaced, lengths, bins, fills, capacity)
     return bins, fills
 
 
+def least_bins(lengths, capacity: int) -> int:
+    """No plan has fewer bins: pieces beyond half a bin never share one, and those that are too long to join a piece of
+    a given least length leave no room to pieces of that length or more (Martello and Toth)."""
+    ordered, sums = sorted(lengths), [0]
+    for n in ordered:
+        sums.append(sums[-1] + n)
+    half, least = bisect_right(ordered, capacity // 2), -(-sums[-1] // capacity)
+    for low, n in enumerate(ordered[:half]):
+        if low and ordered[low - 1] == n:
+            continue
+        alone = max(half, bisect_right(ordered, capacity - n))     # beyond it no piece has room for n more
+        room = (alone - half) * capacity - (sums[alone] - sums[half])
+        least = max(least, len(ordered) - half + max(0, -((room - (sums[half] - sums[low])) // capacity)))
+    return max(least, len(ordered) - half)
+
+
 def evolve(lengths: list[int], capacity: int, arrived: list[list[int]], seed: int, generations: int = GENERATIONS):
-    """The best plan of an island after an epoch, as the bin of each item.  `arrived`: its own elite and the migrants."""
-    random, least = Random(seed), -(-sum(lengths) // capacity)
+    """The best plan of an island after an epoch, as the bin of each item.  `arrived`: its own elite and the migrants.
+
+    An epoch ends with a plan that meets the bound, or after `generations` children in a row of which none was better
+    than the best plan before it; as long as they get better, it goes on.
+    """
+    random, least = Random(seed), least_bins(lengths, capacity)
 
     def unfold(assigned):
         bins = [[] for _ in range(max(assigned, default=-1) + 1)]
@@ -128,15 +195,15 @@ def evolve(lengths: list[int], capacity: int, arrived: list[list[int]], seed: in
         noise = [n * random.uniform(0.7, 1.3) for n in lengths]
         people.append(packed(sorted(range(len(lengths)), key=lambda i: -noise[i]), lengths, capacity))
         best = max(best, people[-1], key=lambda p: fitness(p, capacity))
-    for _ in range(generations):
-        if len(best[0]) <= least:
-            break
+    vain = 0
+    while len(best[0]) > least and vain < generations:
         one, other = random.sample(people, 2)
         child = crossover(one, other, lengths, capacity, random)
         worst = min(range(len(people)), key=lambda k: fitness(people[k], capacity))
         if fitness(child, capacity) > fitness(people[worst], capacity):
             people[worst] = child
-        best = max(best, child, key=lambda p: fitness(p, capacity))
+        better = fitness(child, capacity) > fitness(best, capacity)
+        best, vain = (child, 0) if better else (best, vain + 1)
     assigned = [0] * len(lengths)
     for b, items in enumerate(best[0]):
         for i in items:

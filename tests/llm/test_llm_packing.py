@@ -65,6 +65,36 @@ def test_genetic_search_beats_best_fit():
     assert max(P.evolve(lengths, 100, [assigned, migrant], seed=4)) + 1 == 12
 
 
+def test_search_goes_on_as_long_as_it_gains():
+    rng = np.random.default_rng(1)
+    pairs = [(int(rng.integers(1030, 2000)), int(rng.integers(1030, 1066))) for _ in range(100)]
+    lengths = [n for one, other in pairs for n in (one, other, 4096 - one - other)]
+    start, _ = P.packed(sorted(range(300), key=lambda i: -lengths[i]), lengths, 4096)
+    assigned = P.evolve(lengths, 4096, [], seed=1)
+    assert len(assigned) == 300 and np.bincount(assigned, lengths).max() <= 4096
+    # Of the bins that best fit wastes, more than half are saved.
+    assert max(assigned) + 1 - 100 < (len(start) - 100) / 2
+    assert assigned == P.evolve(lengths, 4096, [], seed=1)
+
+
+def test_least_bins_is_a_bound_beyond_the_sum():
+    import random
+
+    def fewest(lengths, capacity, fills=()):
+        if not lengths:
+            return len(fills)
+        n, rest = lengths[0], lengths[1:]
+        places = [fills[:k] + (f + n,) + fills[k + 1:] for k, f in enumerate(fills) if f + n <= capacity]
+        return min(fewest(rest, capacity, p) for p in [*places, (*fills, n)])
+
+    draw = random.Random(2)
+    for _ in range(300):
+        lengths = [draw.randint(0, 10) for _ in range(draw.randint(0, 6))]
+        assert -(-sum(lengths) // 10) <= P.least_bins(lengths, 10) <= fewest(lengths, 10)
+    assert P.least_bins([6, 6, 6, 1], 10) == 3 and P.least_bins([7, 7, 4, 4], 10) == 3
+    assert P.evolve([6] * 50, 10, [], seed=0, generations=10**9)[-1] == 49
+
+
 def test_a_piece_too_long_is_refused(spark):
     with pytest.raises(PySparkException):
         P.pack(spark.createDataFrame([(1, 11)], "doc_id long, length long"), 10).count()
