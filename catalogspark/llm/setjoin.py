@@ -1,7 +1,8 @@
 """Exact Jaccard join of word n-gram sets by set relations: skipped blocks of index lists, and derived answers.
 
-    1. Documents with equal sets form a class.  A class's elements have one order for all: by hash, frequent ones last.  Two
-       sets that link share an element near the start of both, so an index list per element holds those that have it there.
+    1. Documents with equal sets form a class.  A class's elements have one order for all: by hash, common ones after the
+       others and frequent ones last.  Two sets that link share an element near the start of both, so an index list per
+       element holds those that have it there.
     2. A list is cut into blocks by set size.  How far into a set an element lies bounds the size of partners that it can
        lead to: an entry goes only to the blocks that its position admits, and skips the others with all they hold.
     3. In each block the class with the most company is the leader.  The others are compared with it, a pair for each class
@@ -26,17 +27,59 @@ from .neardup import components, shingles
 WORDS = 4
 PERCENT = 85
 FREQUENT = 1 << 18   # elements that may be put last: two megabytes for each task
+COMMON = 1 << 24     # elements that may be put before those and after the others: a sieve of 16 megabytes at most
 SAMPLED = 4          # one of so many texts, chosen by hash, tells which are frequent
 TOGETHER = 256       # classes compared with a leader in one group
 
 
-def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 2):
-    """Elements of at least `least` different sets among a sample of the texts, not more than the `most` most frequent ones
-    (a numpy array): those above the smallest count that leaves so many.
+def _places(values, bits: int):
+    """The word and the four bits in it that stand for each hash (u8 array) in a sieve of 2^bits words."""
+    import numpy as np
 
-    They are put last in the order of elements.  Any order gives the same links, as long as all sets have the same; this
-    one keeps passages that many documents share out of the index lists.
+    one, six = np.uint64(1), np.uint64(63)
+    marks = one << (values & six)
+    for shift in (6, 12, 18):
+        marks |= one << (values >> np.uint64(shift) & six)
+    return (values >> np.uint64(64 - bits)).astype("i8"), marks
+
+
+def sieve(hashes: DataFrame, count: int):
+    """About `count` hashes (one long column) as a blocked Bloom filter (a numpy array of 2^4 to 2^21 words).
+
+    It is made by tasks, a sixteenth of its words by each, so the driver gets its words alone.  More hashes than fit at eight
+    bits each let more others through, and never lose one.
     """
+    import numpy as np
+
+    bits = min(21, max(4, (max(count, 1) * 8 // 64).bit_length()))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = np.zeros(1 << bits, "u8")
+        for batch in batches:
+            at, marks = _places(batch.column("hash").to_numpy().view("u8"), bits)
+            np.bitwise_or.at(words, at, marks)
+        found = [(k, part.tobytes()) for k, part in enumerate(np.split(words, 16)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())],
+                                         names=["part", "words"])
+
+    hashes = hashes.select(F.col(hashes.columns[0]).alias("hash")).where("hash IS NOT NULL")
+    parts = hashes.repartition(F.shiftrightunsigned("hash", 60)).mapInArrow(work, "part int, words binary").toArrow()
+    words = np.zeros(1 << bits, "u8")
+    for part, some in zip(parts.column("part").to_pylist(), parts.column("words").to_pylist()):
+        words.reshape(16, -1)[part] |= np.frombuffer(some, "u8")
+    return words
+
+
+def passes(values, words):
+    """Which hashes (u8 array) a sieve lets through: all that it was made of, and a few others."""
+    at, marks = _places(values, len(words).bit_length() - 1)
+    return words[at] & marks == marks
+
+
+def counted_elements(docs: DataFrame, width: int = WORDS, one_in: int = SAMPLED, least: int = 2) -> DataFrame:
+    """element, n: elements of at least `least` different sets among a sample of the texts."""
     def work(batches: Iterator) -> Iterator:
         import hashlib
 
@@ -55,13 +98,37 @@ def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT,
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
     sets = sample.mapInArrow(work, "digest binary, elements array<long>")
     # Copies count once: one set for each digest.
-    counted = written(sets.groupBy("digest").agg(F.first("elements").alias("elements")).select(F.explode("elements").alias("element"))
-                      .groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= least), "frequent")
+    return written(sets.groupBy("digest").agg(F.first("elements").alias("elements")).select(F.explode("elements").alias("element"))
+                   .groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= least), "frequent")
+
+
+def _most_counted(counted: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The `most` elements with the largest counts, or fewer: those above the smallest count that leaves so many.  And how many."""
     # One row for each count that there is, not for each element.
     upto = F.sum("m").over(Window.orderBy(F.desc("n")))
-    cut = counted.groupBy("n").agg(F.count("*").alias("m")).select("n", upto.alias("upto")).where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    found = counted.where(F.col("n") >= cut if cut is not None else F.lit(False)).select("element")
-    return found.toArrow().column("element").to_numpy()
+    cut, n = (counted.groupBy("n").agg(F.count("*").alias("m")).select("n", upto.alias("upto")).where(F.col("upto") <= most)
+              .agg(F.min("n"), F.max("upto")).first())
+    return counted.where(F.col("n") >= cut if cut is not None else F.lit(False)).select("element"), n or 0
+
+
+def frequent_elements(docs: DataFrame, width: int = WORDS, most: int = FREQUENT, one_in: int = SAMPLED, least: int = 2):
+    """Elements of at least `least` different sets among a sample of the texts, not more than the `most` most frequent ones
+    (a numpy array): those above the smallest count that leaves so many.
+    """
+    return _most_counted(counted_elements(docs, width, one_in, least), most)[0].toArrow().column("element").to_numpy()
+
+
+def late_elements(docs: DataFrame, width: int = WORDS, frequent: int = FREQUENT, common: int = COMMON, one_in: int = SAMPLED):
+    """What comes late in the order of elements: the most frequent ones (a numpy array), and a sieve of the common ones, which
+    are all that two different sets of the sample share, up to `common` of them.
+
+    Any order gives the same links, as long as all sets have the same; this one keeps passages that many documents share out
+    of the index lists.  The frequent ones alone don't: the more texts there are, the more others are in many of them, and
+    pairs that share no more than such an element would grow faster than the texts.
+    """
+    counted = counted_elements(docs, width, one_in)
+    last = _most_counted(counted, frequent)[0].toArrow().column("element").to_numpy()
+    return last, sieve(*_most_counted(counted, max(frequent, common)))
 
 
 def _kept(percent: int, size: int) -> int:
@@ -75,20 +142,34 @@ def _first(percent: int) -> float:
     return (100 - percent) / (100 + percent) * (1 + 100 / percent)
 
 
-def _late(elements, last):
-    """Which elements are among the frequent ones (a sorted array)."""
+def _order(frequent, common=None):
+    """A function that tells how late elements (a u8 array) come: 0, or 1 for common ones, or 2 for frequent ones."""
     import numpy as np
 
-    return last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
+    last = np.sort(np.array(frequent if len(frequent) else [0], "i8").view("u8"))
+
+    def is_last(elements):
+        return last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
+
+    def late(elements):
+        if common is None:
+            return is_last(elements).astype("i1") * 2
+        found = passes(elements, common).astype("i1")   # the frequent ones are common too
+        some = np.flatnonzero(found)
+        found[some] += is_last(elements[some])
+        return found
 
+    return late
 
-def _frequent_array(frequent):
+
+def _in_order(elements, levels):
+    """Elements that are sorted by hash, in the common order."""
     import numpy as np
 
-    return np.sort(np.array(frequent if len(frequent) else [0], "i8").view("u8"))
+    return np.concatenate([elements[levels == k] for k in range(3)])
 
 
-def ordered_sets(docs: DataFrame, frequent, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+def ordered_sets(docs: DataFrame, frequent, percent: int = PERCENT, width: int = WORDS, common=None) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest of the set (null if empty), starts: the first elements in the common order."""
     def work(batches: Iterator) -> Iterator:
         import hashlib
@@ -96,18 +177,19 @@ def ordered_sets(docs: DataFrame, frequent, percent: int = PERCENT, width: int =
         import numpy as np
         import pyarrow as pa
 
-        last = _frequent_array(frequent)
+        late = _order(frequent, common)
 
-        def start(found):
-            late, n = _late(found, last), _kept(percent, len(found))
-            early = found[~late][:n]
-            return early if len(early) == n else np.concatenate([early, found[late][:n - len(early)]])
+        def start(found, levels):
+            n = _kept(percent, len(found))
+            early = found[levels == 0][:n]
+            return early if len(early) == n else _in_order(found, levels)[:n]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(t.as_py(), width) for t in part.column("text")]
-                starts = [start(s) if len(s) else s for s in sets]
+                levels = np.split(late(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
+                starts = [start(s, k) if len(s) else s for s, k in zip(sets, levels)]
                 offsets = np.cumsum([0, *map(len, starts)]).astype("i4")
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
@@ -159,58 +241,68 @@ def leader_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 ANSWERS = "leader long, node long, size int, different int, first array<long>, marks array<long>, linked boolean"
 
 
-def far_answers(pairs: DataFrame, classes: DataFrame, frequent, percent: int) -> DataFrame:
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """leader, group, turn, node: the pairs (turn 1) in groups, each with its leader (turn 0).  A leader with many nodes is in
+    several groups, once in each."""
+    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    dealt = pairs.join(counts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TOGETHER)).alias("group"))
+    return dealt.select("leader", "group", F.lit(1).alias("turn"), "node").union(
+        dealt.select("leader", "group", F.lit(0), F.col("leader")).distinct())
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "group").sortWithinPartitions("leader", "group", "turn", "node")
+
+
+def far_answers(pairs: DataFrame, classes: DataFrame, frequent, percent: int, common=None) -> DataFrame:
     """Each pair (leader, node) once more: `far` ones answered from the kept first elements alone, the others without.
 
     A node is far if, as far as the leader's kept elements reach, it has more elements that the leader lacks than a link
     allows, and as many as `derived_pairs` asks for.  Then the two don't link, and D need not be known to its end.
     """
-    of = lambda role, n, starts: classes.select(F.col("node").alias(role), F.col("n").alias(n), F.col("starts").alias(starts))
-    both = pairs.join(of("node", "n", "mine"), "node").join(of("leader", "m", "theirs"), "leader")
-
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        last, k = _frequent_array(frequent), (100 - percent) / (100 + percent)
+        late, k, m, base = _order(frequent, common), (100 - percent) / (100 + percent), 0, np.empty(0, "u8")
         for batch in batches:
-            sizes, firsts = [], []
-            columns = [batch.column(c) for c in ("n", "m", "mine", "theirs")]
-            for n, m, mine, theirs in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3]):
-                x, base = (v.values.to_numpy().view("u8") for v in (mine, theirs))
+            leaders, nodes, sizes, firsts = [], [], [], []
+            for leader, turn, node, n, starts in zip(*(batch.column(c).to_pylist() for c in ("leader", "turn", "node", "n")), batch.column("starts")):
+                x = starts.values.to_numpy().view("u8")
+                if turn == 0:
+                    m, base = n, x
+                    continue
                 most, seen = int(_first(percent) * n) + 1, np.ones(len(x), bool)
                 if len(base) < m:  # the leader's kept elements end here, in the common order
-                    end, late = base[-1], _late(x, last)
-                    seen = late < _late(base[-1:], last)[0]
-                    seen |= (late == _late(base[-1:], last)[0]) & (x <= end)
+                    level, end = late(x), late(base[-1:])[0]
+                    seen = (level < end) | (level == end) & (x <= base[-1])
                 own = x[seen & ~np.isin(x, base)]
                 far = len(own) >= most and len(own) > k * (n + m)
+                leaders.append(leader)
+                nodes.append(node)
                 sizes.append(n)
                 firsts.append(own[:most].view("i8") if far else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("leader"), batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                [pa.array(leaders, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
                 names=["leader", "node", "size", "first"])
 
-    return both.select("leader", "node", "n", "m", "mine", "theirs").mapInArrow(work, "leader long, node long, size int, first array<long>")
+    # Elements move once to their node and once to the groups that need them.
+    both = _by_group(_dealt(pairs).join(classes.select("node", "n", "starts"), "node"))
+    return both.select("leader", "turn", "node", "n", "starts").mapInArrow(work, "leader long, node long, size int, first array<long>")
 
 
-def leader_answers(pairs: DataFrame, texts: DataFrame, frequent, percent: int, width: int) -> DataFrame:
+def leader_answers(pairs: DataFrame, texts: DataFrame, frequent, percent: int, width: int, common=None) -> DataFrame:
     """Each pair (leader, node) on full sets: the node's size, the size of D (what only the node has, then what only the
     leader has) with its first elements and a bit set of it, and whether the two link.
 
     texts: node and text of every class that is asked for, possibly repeated.  A leader with many nodes has its set in
     several groups; texts go straight to the groups that need them.
     """
-    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
-    dealt = pairs.join(counts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TOGETHER)).alias("group"))
-    wanted = dealt.select("leader", "group", F.lit(1).alias("turn"), "node").union(
-        dealt.select("leader", "group", F.lit(0), F.col("leader")).distinct())
-
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        last, base, before = _frequent_array(frequent), np.empty(0, "u8"), None
+        late, base, before = _order(frequent, common), np.empty(0, "u8"), None
         for batch in batches:
             rows = []
             for leader, group, turn, node, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "group", "turn", "node")), batch.column("text")):
@@ -222,20 +314,32 @@ def leader_answers(pairs: DataFrame, texts: DataFrame, frequent, percent: int, w
                     base = found
                     continue
                 own, lacking = np.setdiff1d(found, base, True), np.setdiff1d(base, found, True)
-                d = np.concatenate([part for side in (own, lacking) for late in (_late(side, last),) for part in (side[~late], side[late])])
+                d = np.concatenate([_in_order(side, late(side)) for side in (own, lacking)])
                 bits = np.zeros(256, bool)
                 bits[(d >> np.uint64(56)).astype("i8")] = True
-                common = len(found) - len(own)
+                same = len(found) - len(own)
                 rows.append((leader, node, len(found), len(d), d[:int(_first(percent) * len(found)) + 1].view("i8"),
-                             np.packbits(bits, bitorder="little").view("<i8"), 100 * common >= percent * (common + len(d))))
+                             np.packbits(bits, bitorder="little").view("<i8"), 100 * same >= percent * (same + len(d))))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                  names=["leader", "node", "size", "different", "first", "marks", "linked"])
 
-    keys = ["leader", "group"]
-    return (wanted.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys, "turn", "node")
-            .select("leader", "group", "turn", "node", "text").mapInArrow(work, ANSWERS))
+    return _by_group(_dealt(pairs).join(texts, "node")).select("leader", "group", "turn", "node", "text").mapInArrow(work, ANSWERS)
+
+
+def asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, text of the asked documents (node, doc_id, text_hash).  A sieve keeps nearly all other texts where they lie."""
+    words = sieve(asked.select("text_hash"), asked.count())
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column("text_hash").to_numpy().view("u8"), words)))
+
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(work, "doc_id long, text_hash long, text string").join(asked, ["doc_id", "text_hash"]).select("node", "text")
 
 
 def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
@@ -272,7 +376,7 @@ def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
     return x.join(y, promising).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("node")).distinct()
 
 
-def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_frequent: int = FREQUENT) -> DataFrame:
+def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_frequent: int = FREQUENT, most_common: int = COMMON) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component_id for each row of docs (doc_id, text).
 
     Two documents link if 100 * intersection >= percent * union of their sets of `width`-word shingles (A-Z in lower case;
@@ -284,24 +388,23 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, most_
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_elements(docs, width, most_frequent) if most_frequent else []
-    made = written(ordered_sets(docs, frequent, percent, width), "sets")
+    frequent, common = late_elements(docs, width, most_frequent, most_common) if most_frequent else ([], None)
+    made = written(ordered_sets(docs, frequent, percent, width, common), "sets")
     grouped = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("starts").alias("starts"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "n", "starts"), "classes")
 
     pairs = written(leader_pairs(classes, percent), "pairs")
-    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def answers(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("leader").alias("node")).union(pairs.select("node")).distinct().join(classes.select("node", "rep"), "node")
-        texts = hashed.join(asked.select("node", "rep.doc_id", "rep.text_hash"), ["doc_id", "text_hash"]).select("node", "text")
-        return written(leader_answers(pairs, texts, frequent, percent, width), "answers")
+        texts = asked_texts(docs, written(asked.select("node", "rep.doc_id", "rep.text_hash"), "asked"))
+        return written(leader_answers(pairs, texts, frequent, percent, width, common), "answers")
 
     def linked(found: DataFrame) -> DataFrame:
         return found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    judged = written(far_answers(pairs, classes, frequent, percent), "far")
+    judged = written(far_answers(pairs, classes, frequent, percent, common), "far")
     near = answers(judged.where("first IS NULL").select("leader", "node"))
     far = judged.where("first IS NOT NULL").select(
         "leader", "node", "size", F.lit(None).cast("int").alias("different"), "first", F.lit(None).cast("array<bigint>").alias("marks"), F.lit(False).alias("linked"))

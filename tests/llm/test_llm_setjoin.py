@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from edge import edge_docs, edge_rows, no_docs, prose
 from pyspark.sql import functions as F
@@ -107,3 +108,37 @@ def test_edge_documents(spark):
     assert S.join_sets(no_docs(spark)).count() == 0
     with pytest.raises(ValueError, match="doc_id"):
         S.join_sets(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_common_elements_beyond_the_most_frequent_lead_no_pairs(spark, monkeypatch):
+    """Far more elements are shared than may be frequent: texts that share only such passages are in no list together."""
+    rng = random.Random(3)
+    passages = [prose(2000 + k, 12) for k in range(40)]
+    texts = [" ".join(f"{prose(10_000 + 10 * k + i, 10)} {p}" for i, p in enumerate(rng.sample(passages, 6))) for k in range(240)]
+    rows = list(enumerate(texts + family(4, 120, 10, 8)))
+    counts, made = [], S.leader_pairs
+
+    def counted(*args):
+        pairs = made(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(S, "leader_pairs", counted)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), 85, 4, 8) == brute(rows)
+    assert counts[0] < 120, counts
+
+
+def test_a_sieve_loses_nothing_and_lets_little_through(spark):
+    hashes = [h for t in range(60) for h in shingles(prose(t, 60), 4).view("i8").tolist()]
+    words = S.sieve(spark.createDataFrame([(h,) for h in hashes], "hash long").repartition(5), len(hashes))
+    others = np.unique(np.concatenate([shingles(prose(100 + t, 60), 4) for t in range(60)]))
+    assert S.passes(np.array(hashes, "i8").view("u8"), words).all() and S.passes(others, words).mean() < 0.1
+    assert not S.passes(others, S.sieve(spark.createDataFrame([], "hash long"), 0)).any()
+
+
+def test_asked_texts_are_those_of_id_and_hash(spark):
+    docs = spark.createDataFrame([(k, prose(k, 20)) for k in range(400)] + [(7, "another text of seven"), (None, prose(8, 20))], "doc_id long, text string")
+    asked = docs.where("doc_id IN (7, 8) AND text <> 'another text of seven'").select(
+        (F.col("doc_id") + 100).alias("node"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    found = S.asked_texts(docs, asked)
+    assert sorted(map(tuple, found.collect())) == [(107, prose(7, 20)), (108, prose(8, 20))]
