@@ -10,9 +10,11 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import merge
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -151,77 +153,129 @@ def fixed_minute(requests: DataFrame, limit: int = R.CLIENT_PER_MINUTE, delay_mi
     return by_hour.transformWithState(MinuteCounts(limit, delay_minutes * R.MINUTE_MS), MinuteCounts.OUT, "Append", "EventTime")
 
 
+JOB_BUCKETS = 1 << 13
+
+
 class JobFold(_Remembering):
-    """What a job's events say so far, and a timer: while it runs, for its lock; when it is done, for its end."""
+    """What the events of each job of a bucket say so far, and when it is due: while it runs, for its lock; else, for its end.
+
+    A bucket has one row of state, a table of its jobs, and one timer, for the job that is due first.  So Spark is called for
+    each bucket that a micro-batch touches, not for each job.
+    """
 
-    STATE = ("version long, ts_ms long, seq int, kind string, worker string, attempts int, max_attempts int, "
-             "error string, error_ms long, error_seq int, expired boolean")
+    STATE = "jobs binary"
+    IN = ("job_id", "ts_ms", "seq", "kind", "worker", "error", "max_attempts")
     OUT = ("job_id string, version long, status string, attempts int, last_error string, locked_by string, locked_ms long, "
            "at_ms long, cause string, late boolean")
-    _FIELDS = [f.split()[0] for f in STATE.split(", ")]
-    _OUT = Row(*[f.split()[0] for f in OUT.split(", ")])
+    _TABLE = pa.schema({
+        "job_id": pa.string(), "version": pa.int64(), "ts_ms": pa.int64(), "seq": pa.int64(), "kind": pa.string(), "worker": pa.string(),
+        "attempts": pa.int64(), "max_attempts": pa.int64(), "error": pa.string(), "error_ms": pa.int64(), "error_seq": pa.int64(),
+        "expired": pa.bool_(), "until_ms": pa.int64()}.items())
+    _NAMES = [f.split()[0] for f in OUT.split(", ")]
+    # Where the fields of a job lie, behind its id.
+    VERSION, TS, SEQ, KIND, WORKER, ATTEMPTS, MAX_ATTEMPTS, ERROR, ERROR_MS, ERROR_SEQ, EXPIRED, UNTIL = range(12)
 
     def __init__(self, lock_ms: int, keep_ms: int):
         self.lock_ms, self.keep_ms = lock_ms, keep_ms
 
-    @staticmethod
-    def status(job: dict) -> str:
-        if job["kind"] == "claim":
-            return "queued" if job["expired"] else "running"
-        if job["kind"] == "complete":
+    def jobs(self) -> dict:
+        """The jobs of the bucket: id -> fields."""
+        known = self.recall()
+        if not known:
+            return {}
+        ids, *fields = (c.to_pylist() for c in pa.ipc.read_record_batch(pa.py_buffer(known[0]), self._TABLE).columns)
+        return dict(zip(ids, map(list, zip(*fields))))
+
+    def keep_jobs(self, jobs: dict, fired: bool = False) -> None:
+        columns = zip(self._TABLE, [list(jobs), *zip(*jobs.values())])
+        table = pa.RecordBatch.from_arrays([pa.array(values, field.type) for field, values in columns], schema=self._TABLE)
+        self.keep((table.serialize().to_pybytes(),), min(job[self.UNTIL] for job in jobs.values()), fired)
+
+    def status(self, job: list) -> str:
+        if job[self.KIND] == "claim":
+            return "queued" if job[self.EXPIRED] else "running"
+        if job[self.KIND] == "complete":
             return "completed"
-        return "failed" if job["kind"] == "fail" and job["attempts"] >= job["max_attempts"] else "queued"
+        return "failed" if job[self.KIND] == "fail" and job[self.ATTEMPTS] >= job[self.MAX_ATTEMPTS] else "queued"
 
-    def row(self, key, job: dict, at_ms: int, cause: str) -> Row:
-        status = self.status(job)
+    def row(self, job_id, job: list, status: str, at_ms: int, cause: str) -> tuple:
         running = status == "running"
-        return self._OUT(key[0], job["version"], status, job["attempts"], job["error"], job["worker"] if running else None,
-                         job["ts_ms"] if running else None, at_ms, cause, False)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        events = []
-        for e in rows:
-            if e.ts_ms < watermark:
-                yield self._OUT(key[0], None, None, None, None, None, None, e.ts_ms, e.kind, True)
-            else:
-                events.append(e)
-        if events:
-            known = self.recall()
-            job = dict(zip(self._FIELDS, known)) if known else dict.fromkeys(self._FIELDS) | {"version": 0, "attempts": 0, "max_attempts": 0}
-            for e in sorted(events, key=lambda e: (e.ts_ms, e.seq)):
-                at = (e.ts_ms, e.seq)
-                job["attempts"] += e.kind == "claim"
-                job["max_attempts"] = max(job["max_attempts"], e.max_attempts)
-                if e.kind == "fail" and (job["error_ms"] is None or at > (job["error_ms"], job["error_seq"])):
-                    job["error"], job["error_ms"], job["error_seq"] = e.error, *at
-                if job["ts_ms"] is None or at > (job["ts_ms"], job["seq"]):
-                    job |= {"ts_ms": at[0], "seq": at[1], "kind": e.kind, "worker": e.worker, "expired": False}
-            job["version"] += 1
-            # A job that waits for a worker has nothing to be woken for; it is forgotten when it was left for long.
-            running = self.status(job) == "running"
-            self.keep(tuple(job[f] for f in self._FIELDS), job["ts_ms"] + (self.lock_ms if running else self.keep_ms))
-            yield self.row(key, job, job["ts_ms"], job["kind"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        job = dict(zip(self._FIELDS, self.recall()))
-        if self.status(job) != "running":
+        return (job_id, job[self.VERSION], status, job[self.ATTEMPTS], job[self.ERROR], job[self.WORKER] if running else None,
+                job[self.TS] if running else None, at_ms, cause, False)
+
+    def frames(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        while part := list(islice(rows, _PART)):
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(self._NAMES, zip(*part))})
+
+    def fold(self, job: list, ts_ms: int, seq: int, kind: str, worker: str, error: str, max_attempts: int) -> None:
+        """One more event.  They may come in any order; of two at the same place the first counts."""
+        job[self.ATTEMPTS] += kind == "claim"
+        if max_attempts > job[self.MAX_ATTEMPTS]:
+            job[self.MAX_ATTEMPTS] = max_attempts
+        if kind == "fail" and (job[self.ERROR_MS] is None or (ts_ms, seq) > (job[self.ERROR_MS], job[self.ERROR_SEQ])):
+            job[self.ERROR:self.EXPIRED] = error, ts_ms, seq
+        if job[self.TS] is None or (ts_ms, seq) > (job[self.TS], job[self.SEQ]):
+            job[self.TS:self.ATTEMPTS] = ts_ms, seq, kind, worker
+            job[self.EXPIRED] = False
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark, jobs, touched = timerValues.getCurrentWatermarkInMs(), self.jobs(), {}
+        for part in rows:
+            late = []
+            for job_id, ts_ms, *event in zip(*(part[c].tolist() for c in self.IN)):
+                if ts_ms < watermark:
+                    late.append((job_id, None, None, None, None, None, None, ts_ms, event[1], True))
+                    continue
+                job = touched.get(job_id)
+                if job is None:
+                    job = touched[job_id] = jobs.setdefault(job_id, [0, None, None, None, None, 0, 0, None, None, None, False, None])
+                self.fold(job, ts_ms, *event)
+            yield from self.frames(iter(late))
+        if touched:
+            yield from self.frames(map(self.moved, touched, touched.values()))
+            self.keep_jobs(jobs)
+
+    def moved(self, job_id, job: list) -> tuple:
+        """A job after events.  One that waits for a worker has nothing to be woken for; it is forgotten when it was left for long."""
+        status = self.status(job)
+        job[self.VERSION] += 1
+        job[self.UNTIL] = job[self.TS] + (self.lock_ms if status == "running" else self.keep_ms)
+        return self.row(job_id, job, status, job[self.TS], job[self.KIND])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark, jobs, freed = timerValues.getCurrentWatermarkInMs(), {}, []
+        for job_id, job in self.jobs().items():
+            if job[self.UNTIL] <= watermark:
+                if self.status(job) != "running":
+                    continue  # it is forgotten
+                job[self.EXPIRED], job[self.UNTIL] = True, job[self.TS] + self.lock_ms + self.keep_ms
+                job[self.VERSION] += 1
+                freed.append(self.row(job_id, job, "queued", job[self.TS] + self.lock_ms, "lock expired"))
+            jobs[job_id] = job
+        if jobs:
+            self.keep_jobs(jobs, fired=True)
+        else:
             self.forget()
-            return
-        job["expired"], job["version"] = True, job["version"] + 1
-        self.keep(tuple(job[f] for f in self._FIELDS), job["ts_ms"] + self.lock_ms + self.keep_ms, fired=True)
-        yield self.row(key, job, job["ts_ms"] + self.lock_ms, "lock expired")
+        yield from self.frames(iter(freed))
 
 
-def job_states(events: DataFrame, lock_minutes: int = 10, keep_hours: int = 24, delay: str = "5 minutes") -> DataFrame:
+def job_states(events: DataFrame, lock_minutes: int = 10, keep_hours: int = 24, delay: str = "5 minutes", buckets: int = JOB_BUCKETS) -> DataFrame:
     """Every state that jobs go through, from the stream of their events(job_id, ts, seq, kind, worker, error, max_attempts).
 
     A row per job and micro-batch with events of it, with a growing version.  When the watermark passes the time to live of
     a lock, a row with status queued and cause `lock expired` is put out without any event.  A job that nothing was heard
     of for `keep_hours`, finished ones among them, leaves the state; events behind the watermark come back marked late.
+
+    Jobs lie in `buckets` by a hash of their id, a row of state each.  A micro-batch reads and writes the buckets that it
+    touches whole, some 80 bytes for each job in them; so a stream of far more open jobs wants more buckets.  Their number
+    can't change while a stream keeps its state.
     """
-    rows = watched(events.select("job_id", F.unix_millis("ts").alias("ts_ms"), "seq", "kind", "worker", "error", "max_attempts"), "ts_ms", delay)
-    return rows.groupBy("job_id").transformWithState(JobFold(lock_minutes * 60_000, keep_hours * R.HOUR_MS), JobFold.OUT, "Append", "EventTime")
+    needed = lambda c, what: F.coalesce(c, F.raise_error(F.lit(f"a job event without {what}")))
+    rows = watched(events.select("job_id", needed(F.unix_millis("ts"), "a time").alias("ts_ms"), F.coalesce("seq", F.lit(-1 << 31)).alias("seq"), "kind",
+                                 "worker", "error", needed(F.col("max_attempts"), "the most attempts").alias("max_attempts")), "ts_ms", delay)
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    return bucketed.groupBy("bucket").transformWithStateInPandas(
+        JobFold(lock_minutes * 60_000, keep_hours * R.HOUR_MS), JobFold.OUT, "Append", "EventTime")
 
 
 def newest_states(states: DataFrame) -> DataFrame:

@@ -265,3 +265,50 @@ def test_a_busy_key_is_not_gathered_in_tables(spark):
     from pyspark.sql import Row
     asked, late = K._in_time(iter([Row(ts_ms=t, request_id=i) for i, t in enumerate([30, 10, 20, 10, 5])]), 10, "request_id")
     assert isinstance(asked, Iterator) and list(asked) == [(10, 1), (10, 3), (20, 2), (30, 0)] and late == [(5, 4)]
+
+
+def test_jobs_of_a_bucket_share_one_state_and_one_timer(spark):
+    """Events in any order over several files, many jobs to a bucket: the same states as job by job, in few rows of state."""
+    import random
+    import time
+
+    rng, events = random.Random(4), []
+    for k in range(400):
+        n, last = k % 4, 0
+        events.append(_job(0, 0, "enqueue", f"j{k}"))
+        for attempt in range(n):
+            last += 1 + k % 3
+            events.append(_job(last, 2 * attempt + 1, "claim", f"j{k}", f"w{attempt}"))
+            if attempt < n - 1 or k % 5 == 0:
+                events.append(_job(last, 2 * attempt + 2, "fail", f"j{k}", error=f"e{attempt}"))
+        if n and k % 5 in (1, 2):
+            events.append(_job(last + 1, 2 * n, "complete", f"j{k}"))
+    events.append(_job(1, 1, "claim", None))
+    rng.shuffle(events)
+    batches = [*(events[k::3] for k in range(3)), [_job(200, 0, "enqueue", "later")], [_job(9000, 0, "enqueue", "last")]]
+    path, schema = scratch_path(spark, "files"), "job_id string, minute int, seq int, kind string, worker string, error string, max_attempts int"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_millis(F.col("minute") * 60_000)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stored = spark.read.parquet(path)
+    found, kept = _drained(K.job_states(T.read_stream(spark, path, stored.schema, files_per_trigger=1), delay="1 hour", buckets=8))
+    assert not any(r.late for r in found) and len({(r.job_id, r.version) for r in found}) == len(found)
+    assert max(kept) <= 8 and kept[-1] <= 2                     # rows of state are buckets; all but the last jobs have left
+    want = {r.job_id: r for r in T.fold_jobs(stored).collect()}
+    by = {}
+    for r in sorted(found, key=lambda r: r.version):
+        by.setdefault(r.job_id, []).append(r)
+    assert set(by) == set(want)
+    for job, states in by.items():
+        w, told = want[job], [r for r in states if r.cause != "lock expired"][-1]
+        assert (told.status, told.attempts, told.last_error, told.locked_by) == (w.status, w.attempts, w.last_error, w.locked_by)
+        freed = [r for r in states if r.cause == "lock expired"]
+        assert len(freed) == (w.status == "running") and all(
+            (r.status, r.at_ms, r.locked_by) == ("queued", told.at_ms + 600_000, None) and r is states[-1] for r in freed)
+
+
+def test_a_job_event_without_a_time_is_refused(spark):
+    path = scratch_path(spark, "files")
+    spark.createDataFrame([("j", None, 0, "enqueue", "w", None, 2)], "job_id string, ts timestamp, seq int, kind string, worker string, error string, max_attempts int").write.parquet(path)
+    with pytest.raises(Exception, match="a job event without a time"):
+        _drained(K.job_states(T.read_stream(spark, path, spark.read.parquet(path).schema)))
