@@ -163,7 +163,7 @@ class JobFold(_Remembering):
     each bucket that a micro-batch touches, not for each job.
     """
 
-    STATE = "jobs binary"
+    STATE = "bytes long, jobs binary"   # the table as Arrow writes it: how long it is, and compressed
     IN = ("job_id", "ts_ms", "seq", "kind", "worker", "error", "max_attempts")
     OUT = ("job_id string, version long, status string, attempts int, last_error string, locked_by string, locked_ms long, "
            "at_ms long, cause string, late boolean")
@@ -183,13 +183,14 @@ class JobFold(_Remembering):
         known = self.recall()
         if not known:
             return {}
-        ids, *fields = (c.to_pylist() for c in pa.ipc.read_record_batch(pa.py_buffer(known[0]), self._TABLE).columns)
+        table = pa.ipc.read_record_batch(pa.decompress(bytes(known[1]), known[0], "zstd"), self._TABLE)
+        ids, *fields = (c.to_pylist() for c in table.columns)
         return dict(zip(ids, map(list, zip(*fields))))
 
     def keep_jobs(self, jobs: dict, fired: bool = False) -> None:
         columns = zip(self._TABLE, [list(jobs), *zip(*jobs.values())])
-        table = pa.RecordBatch.from_arrays([pa.array(values, field.type) for field, values in columns], schema=self._TABLE)
-        self.keep((table.serialize().to_pybytes(),), min(job[self.UNTIL] for job in jobs.values()), fired)
+        table = pa.RecordBatch.from_arrays([pa.array(values, field.type) for field, values in columns], schema=self._TABLE).serialize()
+        self.keep((table.size, pa.compress(table, "zstd", asbytes=True)), min(job[self.UNTIL] for job in jobs.values()), fired)
 
     def status(self, job: list) -> str:
         if job[self.KIND] == "claim":
@@ -267,7 +268,7 @@ def job_states(events: DataFrame, lock_minutes: int = 10, keep_hours: int = 24,
     of for `keep_hours`, finished ones among them, leaves the state; events behind the watermark come back marked late.
 
     Jobs lie in `buckets` by a hash of their id, a row of state each.  A micro-batch reads and writes the buckets that it
-    touches whole, some 80 bytes for each job in them; so a stream of far more open jobs wants more buckets.  Their number
+    touches whole, some 40 bytes for each job in them; so a stream of far more open jobs wants more buckets.  Their number
     can't change while a stream keeps its state.
     """
     needed = lambda c, what: F.coalesce(c, F.raise_error(F.lit(f"a job event without {what}")))
