@@ -342,6 +342,60 @@ def asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return hashed.mapInArrow(work, "doc_id long, text_hash long, text string").join(asked, ["doc_id", "text_hash"]).select("node", "text")
 
 
+def shared_elements(told: DataFrame) -> DataFrame:
+    """The rows of told (leader, node, first, slices, others), one for each element of `first` that another node of the leader
+    has in its own, with its place `i`; nearly all elements are their node's alone.
+
+    Elements move once, in arrays.  Those of a leader with many nodes are dealt by hash into as many slices as it has groups.
+    """
+    rest = [f for f in told.schema if f.name not in ("first", "slices")]
+    names = [f.name for f in rest]
+    placed = F.transform("first", lambda e, i: F.struct(i.cast("int").alias("i"), e.alias("element")))
+    mine = F.filter("placed", lambda x: F.pmod(F.xxhash64(x["element"]), F.col("slices")) == F.col("slice"))
+    dealt = (told.select(*names, "slices", placed.alias("placed"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+             .withColumn("placed", F.when(F.col("slices") == 1, F.col("placed")).otherwise(mine))
+             .select(*names, "slice", F.col("placed.i").alias("i"), F.col("placed.element").alias("element")))
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def shared(rows: list) -> Iterator:
+            """The rows of a group with what other rows of it have too."""
+            if len(rows) < 2:
+                return
+            elements = np.concatenate([r[-1] for r in rows])
+            found, place, counts = np.unique(elements, return_inverse=True, return_counts=True)
+            some = np.split(counts[place] > 1, np.cumsum([len(r[-1]) for r in rows])[:-1])
+            for row, kept in zip(rows, some):
+                if kept.any():
+                    yield (*row[:-2], row[-2][kept], row[-1][kept])
+
+        def out(rows: list, schema) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        group, held, ready, schema = None, [], [], None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in (*names, "i", "element")])
+            narrow = zip(*(batch.column(c).to_pylist() for c in names))
+            for row, leader, part, i, element in zip(narrow, batch.column("leader").to_pylist(), batch.column("slice").to_pylist(), batch.column("i"), batch.column("element")):
+                if (leader, part) != group:
+                    ready += shared(held)
+                    group, held = (leader, part), []
+                held.append((*row, i.values.to_numpy(), element.values.to_numpy()))
+            if ready:
+                yield out(ready, schema)
+                ready = []
+        ready += shared(held)
+        if ready:
+            yield out(ready, schema)
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
+    kept = (dealt.repartition("leader", "slice").sortWithinPartitions("leader", "slice", "node")
+            .mapInArrow(work, f"{types}, i array<int>, element array<long>"))
+    return kept.select(*names, F.inline(F.arrays_zip("i", "element")))
+
+
 def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """leader, node: pairs of classes of one leader that may link and are not yet joined (node, label), from the leader's
     answers alone.
@@ -357,10 +411,11 @@ def derived_pairs(answers: DataFrame, joined: DataFrame, percent: int) -> DataFr
     rows = rows.join(label.select(F.col("_n").alias("_l"), F.col("label").alias("leading")), F.col("leader") == F.col("_l"), "left").withColumn(
         "apart", F.col("label") != F.coalesce("leading", "leader")).drop("_l", "leading")
     # Only leaders with two classes or more, not all joined with them, can have more to tell.
-    telling = rows.groupBy("leader").agg(F.count("*").alias("_n"), F.max("apart").alias("_any")).where("_n > 1 AND _any").select("leader")
+    telling = rows.groupBy("leader").agg(F.count("*").alias("_n"), F.max("apart").alias("_any")).where("_n > 1 AND _any").select("leader", "_n")
     marked = F.aggregate("marks", F.lit(0), lambda n, m: n + F.bit_count(m))
-    starts = written(rows.join(telling, "leader").select("leader", "node", "size", "different", "label", "apart", "marks", (F.col("different") - marked).alias("hidden"),
-                                                         F.posexplode("first").alias("i", "element")), "telling")
+    told = rows.join(telling, "leader").select("leader", "node", "size", "different", "label", "apart", "marks", (F.col("different") - marked).alias("hidden"),
+                                               "first", F.ceil(F.col("_n") / TOGETHER).cast("int").alias("slices"))
+    starts = written(shared_elements(told), "telling")
     x, y = starts.alias("x"), starts.alias("y")
     allowed = k * (F.col("x.size") + F.col("y.size")) + 1e-9
     need = (F.col("x.different") + F.col("y.different") - allowed) / 2

@@ -142,3 +142,15 @@ def test_asked_texts_are_those_of_id_and_hash(spark):
         (F.col("doc_id") + 100).alias("node"), "doc_id", F.xxhash64("text").alias("text_hash"))
     found = S.asked_texts(docs, asked)
     assert sorted(map(tuple, found.collect())) == [(107, prose(7, 20)), (108, prose(8, 20))]
+
+
+def test_only_elements_that_two_nodes_of_a_leader_have_go_on(spark):
+    rng, told = random.Random(8), []
+    for leader, nodes, slices in ((1, 2, 1), (2, 40, 3), (3, 1, 1), (4, 5, 1)):
+        for node in range(nodes):
+            told.append((leader, 100 * leader + node, 9, rng.sample(range(-200, 200), rng.randrange(12)), slices))
+    frame = spark.createDataFrame(told, "leader long, node long, size int, first array<long>, slices int").repartition(4)
+    want = sorted((leader, node, 9, i, e) for leader, node, _, first, _ in told for i, e in enumerate(first)
+                  if any(e in f for a, b, _, f, _ in told if a == leader and b != node))
+    got = S.shared_elements(frame).select("leader", "node", "size", "i", "element")
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < sum(len(t[3]) for t in told)
